@@ -39,8 +39,8 @@ def trimmed_header(df: DataFrame, lower: bool = False) -> DataFrame:
 
 
 def age_norm(age: Column) -> Column:
-    """clip((age − 40) / 50, 0, 1)"""
-    return F.least(F.greatest((age - 40) / 50, F.lit(0.0)), F.lit(1.0))
+    """clip((age − 40) / 50, 0, 1); an absent age stays absent."""
+    return F.when(age.isNotNull(), F.least(F.greatest((age - 40) / 50, F.lit(0.0)), F.lit(1.0)))
 
 
 def participants(spark: SparkSession, path: str) -> DataFrame:
