@@ -60,7 +60,8 @@ def j03(spark, sf):
     meta = e.filter("event_type = 'signup'").select(
         F.col("user_id").alias("subject"), F.date_format("ts", "yyyy.MM.dd").alias("mdate"),
         F.col("event_id").alias("ord"), "value")
-    out = release.preferred_match(ses, meta, "subject", release.date_key(F.col("date")) == F.col("mdate"), "ord")
+    ses = ses.withColumn("day", release.date_key(F.col("date")))
+    out = release.preferred_match(ses, meta, "subject", "day", "mdate", "ord")
     return out.select("subject", "date", "mdate", "matched", rounded(F.col("value")).alias("value"))
 
 

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NAME = r"^([^-]+)-(\d{4}_\d{2}_\d{2}_[^-]+)-(video|resting)"
@@ -56,17 +55,19 @@ def fingerprint(files: DataFrame) -> DataFrame:
         .alias("fingerprint"))
 
 
-def preferred_match(sessions: DataFrame, meta: DataFrame, key: str, match, order: str) -> DataFrame:
-    """Each session's metadata row: the one that matches, else the subject's first; flagged.
+def preferred_match(sessions: DataFrame, meta: DataFrame, key: str, session_date: str,
+                    meta_date: str, order: str) -> DataFrame:
+    """Each session's metadata row: the one of its date, else the subject's first; flagged.
 
-    ``match`` is a boolean expression over the joined row. The pick is an aggregate over the
-    joined rows, so a subject with very many rows is reduced before the shuffle.
+    Metadata is first reduced to one row per (subject, date) and one per subject, so both joins
+    have a unique right side and a subject with very many rows does not multiply.
     """
-    joined = sessions.join(meta, key).withColumn("__match", F.coalesce(match, F.lit(False)))
-    keys = sessions.columns
     cols = [c for c in meta.columns if c != key]
-    best = joined.groupBy(*keys).agg(
-        F.max("__match").alias("matched"),
-        F.min_by(F.struct(*cols), F.struct((~F.col("__match")).alias("m"), F.col(order).alias("o")))
-        .alias("__row"))
-    return best.select(*keys, "matched", *[F.col(f"__row.{c}").alias(c) for c in cols])
+    row = F.min_by(F.struct(*cols), F.col(order)).alias
+    exact = meta.groupBy(key, F.col(meta_date).alias("__d")).agg(row("__exact"))
+    first = meta.groupBy(key).agg(row("__first"))
+    out = (sessions.withColumn("__d", F.col(session_date)).join(first, key)
+           .join(exact, [key, "__d"], "left"))
+    best = F.coalesce("__exact", "__first")
+    return out.select(*sessions.columns, F.col("__exact").isNotNull().alias("matched"),
+                      *[best[c].alias(c) for c in cols])
