@@ -4,10 +4,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import group_is_hot, running
+from tidemark.operators.ordered import neighbours
 
 
 def nearest_site(targets: DataFrame, grid: DataFrame, coords: Sequence[str],
@@ -33,34 +32,13 @@ def nearest_value(df: DataFrame, keys: Sequence[str], value: str, is_ref: str, c
     the cost is linear; the pairs inside the caliper are never enumerated. On equal distance the
     lower reference value is taken.
     """
-    keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull())
-    is_hot = group_is_hot(rows, keys, hot)
-    ref = F.when(F.col(is_ref) == 1, F.col(value))
-    if not is_hot:
-        w = W.partitionBy(*keys).orderBy(value)
-        rows = rows.withColumns({
-            "__lo": F.max(ref).over(w.rangeBetween(W.unboundedPreceding, W.currentRow)),
-            "__hi": F.min(ref).over(w.rangeBetween(W.currentRow, W.unboundedFollowing))})
-    else:
-        # Distinct reference values, ranked; a row's place among them names its two neighbours.
-        refs = rows.filter(F.col(is_ref) == 1).select(*keys, value).distinct()
-        vals = rows.groupBy(*keys, value).agg(F.max(is_ref).alias("__r"))
-        ranked = running(vals, keys, [value], {"__k": F.col("__r").cast("bigint")})
-        by_k = (ranked.filter("__r = 1").select(*keys, "__k", F.col(value).alias("__v"))
-                .join(refs.withColumnRenamed(value, "__v"), [*keys, "__v"], "left_semi"))
-        lo = by_k.withColumnRenamed("__v", "__lo")
-        hi = by_k.withColumnRenamed("__v", "__hi").withColumn("__k", F.col("__k") - 1)
-        up = ranked.join(lo, [*keys, "__k"], "left").join(hi, [*keys, "__k"], "left").select(
-            *keys, value, "__lo",
-            F.when(F.col("__r") == 1, F.col(value)).otherwise(F.col("__hi")).alias("__hi"))
-        rows = rows.join(up, [*keys, value])
-    low = F.when(F.col(value) - F.col("__lo") <= caliper, F.col("__lo"))
-    high = F.when(F.col("__hi") - F.col(value) <= caliper, F.col("__hi"))
+    rows = neighbours(df.filter(F.col(value).isNotNull()), keys, value, is_ref, hot)
+    low = F.when(F.col(value) - F.col("lo") <= caliper, F.col("lo"))
+    high = F.when(F.col("hi") - F.col(value) <= caliper, F.col("hi"))
     pick = (F.when(low.isNull(), high).when(high.isNull(), low)
             .when(F.col(value) - low <= high - F.col(value), low).otherwise(high))
     return (rows.filter(F.col(is_ref) == 0).withColumn("nearest", pick)
-            .withColumn("distance", F.abs(F.col(value) - F.col("nearest"))).drop("__lo", "__hi"))
+            .withColumn("distance", F.abs(F.col(value) - F.col("nearest"))).drop("lo", "hi"))
 
 
 def pinned(windows: DataFrame, offsets: DataFrame, rec: str, start: str, length: int,

@@ -67,9 +67,10 @@ def _slices(df: DataFrame, keys: list[str], lead: str, largest: int) -> DataFram
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            sums: Mapping[str, Column], hot: bool | None = None) -> DataFrame:
-    """Inclusive running sums of ``sums`` in ``order`` within ``keys``; the order must be total."""
+            values: Mapping[str, Column], hot: bool | None = None, how: str = "sum") -> DataFrame:
+    """Inclusive running sums (or maxima) in ``order`` within ``keys``; the order must be total."""
     keys = list(keys)
+    fn = {"sum": F.sum, "max": F.max}[how]
     drop = not keys
     if drop:
         df, keys = df.withColumn(ALL, F.lit(0)), [ALL]
@@ -78,20 +79,20 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     to_row = (W.unboundedPreceding, W.currentRow)
     if not is_hot:
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(*to_row)
-        out = df.withColumns({name: F.sum(e).over(w) for name, e in sums.items()})
+        out = df.withColumns({name: fn(e).over(w) for name, e in values.items()})
         return out.drop(ALL) if drop else out
     largest = largest if largest is not None else largest_group(df, keys)
     cut = _slices(df, keys, order[0], largest)
     part = [*keys, "__slice"]
     w = W.partitionBy(*part).orderBy(*order).rowsBetween(*to_row)
-    local = cut.withColumns({name: F.sum(e).over(w) for name, e in sums.items()})
+    local = cut.withColumns({name: fn(e).over(w) for name, e in values.items()})
     before = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (cut.groupBy(*part).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
-               .select(*part, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0))
-                                .alias(f"__o_{n}") for n in sums]))
-    out = local.join(offsets, part).withColumns(
-        {n: F.col(n) + F.col(f"__o_{n}") for n in sums})
-    out = out.drop("__slice", *[f"__o_{n}" for n in sums])
+    offsets = (cut.groupBy(*part).agg(*[fn(e).alias(f"__t_{n}") for n, e in values.items()])
+               .select(*part, *[fn(f"__t_{n}").over(before).alias(f"__o_{n}") for n in values]))
+    carry = (lambda n: F.coalesce(F.col(f"__o_{n}"), F.lit(0)) + F.col(n)) if how == "sum" else (
+        lambda n: F.greatest(f"__o_{n}", n))
+    out = local.join(offsets, part).withColumns({n: carry(n) for n in values})
+    out = out.drop("__slice", *[f"__o_{n}" for n in values])
     return out.drop(ALL) if drop else out
 
 
@@ -164,3 +165,25 @@ def midranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "midran
     """Average rank of tied values, 1-based."""
     out = counts_through(df, keys, value, {name: F.lit(1)}, hot)
     return out.withColumn(name, F.col(name) + 0.5)
+
+
+def neighbours(df: DataFrame, keys: Sequence[str], value: str, is_ref: str,
+               hot: bool | None = None) -> DataFrame:
+    """Add lo and hi: the closest reference values at or below and at or above each row's value.
+
+    Both sides are sorted together once; pairs are never enumerated.
+    """
+    keys = list(keys)
+    ref = F.when(F.col(is_ref) == 1, F.col(value))
+    if not group_is_hot(df, keys, hot):
+        w = W.partitionBy(*keys).orderBy(value)
+        return df.withColumns({
+            "lo": F.max(ref).over(w.rangeBetween(W.unboundedPreceding, W.currentRow)),
+            "hi": F.min(ref).over(w.rangeBetween(W.currentRow, W.unboundedFollowing))})
+    # Distinct values carry the running maximum of the references; the mirror image gives hi.
+    vals = df.groupBy(*keys, value).agg(F.max(ref).alias("__r")).withColumn("__neg", -F.col(value))
+    up = running(vals, keys, [value], {"lo": F.col("__r")}, how="max")
+    down = running(vals, keys, ["__neg"], {"__m": -F.col("__r")}, how="max")
+    both = up.select(*keys, value, "lo").join(
+        down.select(*keys, value, (-F.col("__m")).alias("hi")), [*keys, value])
+    return df.join(both, [*keys, value])

@@ -104,19 +104,19 @@ def delong(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, min_n: in
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str, order: Sequence[str] = (),
-         name: str = "p_holm") -> DataFrame:
+         name: str = "p_holm", hot: bool | None = None) -> DataFrame:
     """Step-down adjusted p-values inside each declared family; null p-values stay null.
 
-    A family is a prespecified list of tests, so its size is bounded by the study's design.
+    ``order`` breaks ties of p, so that the order inside a family is total.
     """
-    valid = F.col(p).isNotNull().cast("int")
-    part = W.partitionBy(*family, valid)
-    by_p = part.orderBy(F.col(p), *order)
-    rank = F.row_number().over(by_p) - 1
-    scaled = (F.count("*").over(part) - rank) * F.col(p)
-    out = df.withColumn("__scaled", scaled)
-    run = F.max("__scaled").over(by_p.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return out.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), run))).drop("__scaled")
+    family = list(family)
+    valid = df.filter(F.col(p).isNotNull())
+    n = valid.groupBy(*family).agg(F.count("*").alias("__n"))
+    ranked = running(with_group(valid, n, family), family, [p, *order], {"__rank": F.lit(1)}, hot)
+    scaled = ranked.withColumn("__scaled", (F.col("__n") - F.col("__rank") + 1) * F.col(p))
+    run = running(scaled, family, [p, *order], {"__run": F.col("__scaled")}, hot, how="max")
+    out = run.withColumn(name, F.least(F.lit(1.0), F.col("__run"))).drop("__n", "__rank", "__scaled", "__run")
+    return out.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def control_threshold(df: DataFrame, keys: Sequence[str], y: str, s: str, spec: float = 0.8,

@@ -82,12 +82,12 @@ MBI = """mbi AS (SELECT montage, p.rec, p.t, a || '-' || b AS channel, p.x - q.x
 MINH = "minh AS (SELECT montage, rec, t, channel, x FROM signal JOIN mch USING (channel) WHERE ref = 'inherit')"
 MALL = """mall AS (SELECT * FROM (SELECT * FROM mcar UNION ALL SELECT * FROM mbi UNION ALL SELECT * FROM minh)
   WHERE (rec, montage) IN (SELECT rec, montage FROM mok))"""
-SUMMARY = "SELECT {k}, count(*) AS n, " + r("avg(x)", 7) + " AS mean, " + r("stddev_pop(x)", 7) + " AS sd FROM {src} GROUP BY {k}"
+SUMMARY = "SELECT {k}, count(*) AS n, " + r("max(x)") + " AS top, " + r("stddev_pop(x)") + " AS sd FROM {src} GROUP BY {k}"
 
 
 def summary(df, *keys):
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), rounded(F.avg("x"), 7).alias("mean"),
-                                 rounded(F.stddev_pop("x"), 7).alias("sd"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), rounded(F.max("x")).alias("top"),
+                                 rounded(F.stddev_pop("x")).alias("sd"))
 
 
 @query("m01_channel_subset", with_views(SIGNAL, MCH, MINH) + SUMMARY.format(k="montage, rec, channel", src="minh"))

@@ -141,10 +141,10 @@ mc AS (SELECT rec, f0, max(v) FILTER (f > f0 - 2 AND f < f0 + 2) AS peak, quanti
 
 
 @query("q03_mains_detection", with_views(WINDOWS, PSD, MAINS) + f"""
-SELECT rec, {r('max(peak / (loc + 1e-30))')} AS ratio, CASE WHEN max(peak / (loc + 1e-30)) >= 1.5e0
+SELECT rec, {r('max(peak / (loc + 1e-30))')} AS ratio, CASE WHEN max(peak / (loc + 1e-30)) >= 1.2e0
   THEN arg_max(f0, peak / (loc + 1e-30)) END AS mains_hz FROM mc GROUP BY rec""")
 def q03(spark, sf):
-    m = sp.mains(spectrum(Tables(spark, sf)), ["rec"], GRID, (12.0, 20.0), 1.5)
+    m = sp.mains(spectrum(Tables(spark, sf)), ["rec"], GRID, (12.0, 20.0), 1.2)
     return m.select("rec", rounded(F.col("ratio")).alias("ratio"), "mains_hz")
 
 
