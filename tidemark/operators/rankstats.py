@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import Z95, normal_two_sided, ratio
 from tidemark.operators.ordered import (counts_through, group_is_hot, histogram, quantiles,
                                         running)
+from tidemark.session import stored
 
 Y1, Y0 = 1, 0
 
@@ -111,11 +112,20 @@ def holm(df: DataFrame, family: Sequence[str], p: str, order: Sequence[str] = ()
     """
     family = list(family)
     valid = df.filter(F.col(p).isNotNull())
-    n = valid.groupBy(*family).agg(F.count("*").alias("__n"))
-    ranked = running(with_group(valid, n, family), family, [p, *order], {"__rank": F.lit(1)}, hot)
-    scaled = ranked.withColumn("__scaled", (F.col("__n") - F.col("__rank") + 1) * F.col(p))
-    run = running(scaled, family, [p, *order], {"__run": F.col("__scaled")}, hot, how="max")
-    out = run.withColumn(name, F.least(F.lit(1.0), F.col("__run"))).drop("__n", "__rank", "__scaled", "__run")
+    if group_is_hot(valid, family, hot):
+        valid = stored(valid, "family")
+        n = valid.groupBy(*family).agg(F.count("*").alias("__n"))
+        ranked = running(with_group(valid, n, family), family, [p, *order], {"__rank": F.lit(1)}, True)
+        scaled = ranked.withColumn("__scaled", (F.col("__n") - F.col("__rank") + 1) * F.col(p))
+        run = running(scaled, family, [p, *order], {"__run": F.col("__scaled")}, True, how="max")
+    else:
+        part = W.partitionBy(*family)
+        by_p = part.orderBy(p, *order)
+        scaled = valid.withColumn(
+            "__scaled", (F.count("*").over(part) - F.row_number().over(by_p) + 1) * F.col(p))
+        run = scaled.withColumn("__run", F.max("__scaled").over(
+            by_p.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    out = run.withColumn(name, F.least(F.lit(1.0), F.col("__run"))).select(*df.columns, name)
     return out.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
