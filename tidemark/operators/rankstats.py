@@ -111,22 +111,22 @@ def holm(df: DataFrame, family: Sequence[str], p: str, order: Sequence[str] = ()
     ``order`` breaks ties of p, so that the order inside a family is total.
     """
     family = list(family)
-    valid = df.filter(F.col(p).isNotNull())
-    if group_is_hot(valid, family, hot):
-        valid = stored(valid, "family")
-        n = valid.groupBy(*family).agg(F.count("*").alias("__n"))
-        ranked = running(with_group(valid, n, family), family, [p, *order], {"__rank": F.lit(1)}, True)
-        scaled = ranked.withColumn("__scaled", (F.col("__n") - F.col("__rank") + 1) * F.col(p))
-        run = running(scaled, family, [p, *order], {"__run": F.col("__scaled")}, True, how="max")
-    else:
-        part = W.partitionBy(*family)
+    if not group_is_hot(df, family, hot):
+        part = W.partitionBy(*family, F.col(p).isNotNull())
         by_p = part.orderBy(p, *order)
-        scaled = valid.withColumn(
+        scaled = df.withColumn(
             "__scaled", (F.count("*").over(part) - F.row_number().over(by_p) + 1) * F.col(p))
-        run = scaled.withColumn("__run", F.max("__scaled").over(
-            by_p.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        run = F.max("__scaled").over(by_p.rowsBetween(W.unboundedPreceding, W.currentRow))
+        return scaled.withColumn(
+            name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), run))).drop("__scaled")
+    rows = stored(df, "family")
+    valid = rows.filter(F.col(p).isNotNull())
+    n = valid.groupBy(*family).agg(F.count("*").alias("__n"))
+    ranked = running(with_group(valid, n, family), family, [p, *order], {"__rank": F.lit(1)}, True)
+    scaled = ranked.withColumn("__scaled", (F.col("__n") - F.col("__rank") + 1) * F.col(p))
+    run = running(scaled, family, [p, *order], {"__run": F.col("__scaled")}, True, how="max")
     out = run.withColumn(name, F.least(F.lit(1.0), F.col("__run"))).select(*df.columns, name)
-    return out.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+    return out.unionByName(rows.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def control_threshold(df: DataFrame, keys: Sequence[str], y: str, s: str, spec: float = 0.8,
