@@ -38,6 +38,15 @@ def group_is_hot(df: DataFrame, keys: Sequence[str], hot: bool | None = None) ->
     return hot if hot is not None else largest_group(df, keys) > hot_limit(df.sparkSession)
 
 
+def _on_axis(df: DataFrame, col: str) -> Column:
+    """The leading order column as a double that keeps its order (times included)."""
+    kind = dict(df.dtypes)[col]
+    if kind == "timestamp_ntz":
+        day = F.unix_date(F.col(col).cast("date")) * 86400.0
+        return day + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+    return (F.unix_date(col) if kind == "date" else F.col(col)).cast("double")
+
+
 def _slices(df: DataFrame, keys: list[str], lead: str, largest: int) -> DataFrame:
     """Add ``__slice``: the place of ``lead`` among quantile cuts of its group, 0 in cold groups.
 
@@ -49,11 +58,11 @@ def _slices(df: DataFrame, keys: list[str], lead: str, largest: int) -> DataFram
     n_cuts = step * step
     hot_keys = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
     probs = [i / (n_cuts + 1) for i in range(1, n_cuts + 1)]
+    x = _on_axis(df, lead)
     cuts = stored(
         df.join(hot_keys, keys, "left_semi").groupBy(*keys).agg(
-            F.percentile_approx(F.col(lead).cast("double"), probs, 10 * n_cuts).alias("__cuts")),
+            F.percentile_approx(x, probs, 10 * n_cuts).alias("__cuts")),
         "cuts")
-    x = F.col(lead).cast("double")
     below = lambda arr: F.size(F.filter(arr, lambda c: c < x))
     coarse = F.transform(F.sequence(F.lit(step), F.lit(n_cuts), F.lit(step)),
                          lambda i: F.element_at("__cuts", i))

@@ -86,9 +86,10 @@ def channel_correlations(samples: DataFrame) -> DataFrame:
     """
     at = samples.groupBy("rec", "t").agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("c"))
     pairs = at.select("rec", F.explode("c").alias("a"), "c").select("rec", "a", F.explode("c").alias("b"))
-    pairs = pairs.filter(F.col("a.channel") != F.col("b.channel"))
-    return pairs.groupBy("rec", F.col("a.channel").alias("a"), F.col("b.channel").alias("b")).agg(
+    pairs = pairs.filter(F.col("a.channel") < F.col("b.channel"))
+    half = pairs.groupBy("rec", F.col("a.channel").alias("a"), F.col("b.channel").alias("b")).agg(
         F.corr("a.x", "b.x").alias("r"))
+    return half.unionByName(half.select("rec", F.col("b").alias("a"), F.col("a").alias("b"), "r"))
 
 
 def block_structure(corr: DataFrame, blocks: DataFrame) -> DataFrame:

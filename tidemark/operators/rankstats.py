@@ -207,17 +207,41 @@ def net_benefit(df: DataFrame, keys: Sequence[str], y: str, prob: str, threshold
         ((tp + fp) / n_eff).alias("flagged_fraction"))
 
 
-def pool(df: DataFrame, keys: Sequence[str], diff: str, se: str) -> DataFrame:
-    """Fixed-effect inverse-variance pool with Cochran's Q; rows without a positive se are left out."""
+POOL_SUMS = ("__k", "__sw", "__swd", "__swdd")
+
+
+def _pool_sums(df: DataFrame, keys: Sequence[str], diff: str, se: str) -> DataFrame:
     ok = df.filter(F.col(diff).isNotNull() & (F.col(se) > 0)).withColumn(
         "__w", 1 / (F.col(se) * F.col(se)))
-    agg = ok.groupBy(*keys).agg(
-        F.count("*").alias("k"), F.sum("__w").alias("__sw"),
+    return ok.groupBy(*keys).agg(
+        F.count("*").alias("__k"), F.sum("__w").alias("__sw"),
         F.sum(F.col("__w") * F.col(diff)).alias("__swd"),
         F.sum(F.col("__w") * F.col(diff) * F.col(diff)).alias("__swdd"))
+
+
+def _pooled(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     est = F.col("__swd") / F.col("__sw")
-    out = agg.select(*keys, "k", est.alias("diff"), F.sqrt(1 / F.col("__sw")).alias("se"),
-                     F.greatest(F.col("__swdd") - F.col("__swd") * est, F.lit(0.0)).alias("q"))
+    out = sums.filter(F.col("__k") > 0).select(
+        *keys, F.col("__k").alias("k"), est.alias("diff"), F.sqrt(1 / F.col("__sw")).alias("se"),
+        F.greatest(F.col("__swdd") - F.col("__swd") * est, F.lit(0.0)).alias("q"))
     return out.withColumns({"ci_lo": F.col("diff") - Z95 * F.col("se"),
                             "ci_hi": F.col("diff") + Z95 * F.col("se"),
                             "p": normal_two_sided(F.col("diff") / F.col("se"))})
+
+
+def pool(df: DataFrame, keys: Sequence[str], diff: str, se: str) -> DataFrame:
+    """Fixed-effect inverse-variance pool with Cochran's Q; rows without a positive se are left out."""
+    return _pooled(_pool_sums(df, keys, diff, se), keys)
+
+
+def pool_leave_one_out(df: DataFrame, keys: Sequence[str], unit: str, diff: str, se: str,
+                       name: str = "left_out") -> DataFrame:
+    """The pool without each unit in turn, as total minus own; 'none' is the pool of all."""
+    own = _pool_sums(df, [*keys, unit], diff, se)
+    units = df.select(*keys, unit).distinct().join(own, [*keys, unit], "left")
+    total = own.groupBy(*keys).agg(*[F.sum(c).alias(f"t{c}") for c in POOL_SUMS])
+    rest = with_group(units, total, keys).select(
+        *keys, F.col(unit).cast("string").alias(name),
+        *[(F.col(f"t{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in POOL_SUMS])
+    whole = total.select(*keys, F.lit("none").alias(name), *[F.col(f"t{c}").alias(c) for c in POOL_SUMS])
+    return _pooled(rest.unionByName(whole), [*keys, name])

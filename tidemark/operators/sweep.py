@@ -9,6 +9,7 @@ from tidemark.operators import channels as ch
 from tidemark.operators import degrade as dg
 from tidemark.operators import spectral as sp
 from tidemark.operators import windows as wn
+from tidemark.session import stored
 
 
 def kept_windows(samples: DataFrame, length: int, limit: float, quota: int) -> DataFrame:
@@ -33,7 +34,8 @@ def swept(samples: DataFrame, length: int, rate: int, limit: float, quota: int,
     kept = kept_windows(samples, length, limit, quota)
     signals = ch.all_montages(wn.windowed(samples, length).join(
         kept.select("rec", "win"), ["rec", "win"], "left_semi").drop("win"))
-    vec = wn.vectors(signals, kept, length, ("montage", "rec"))
+    # The windows are cut once and written; every rate and band below reads these files.
+    vec = stored(wn.vectors(signals, kept, length, ("montage", "rec")), "windows")
     plan = conditions(spark, rate, rates, depths)
     ref = F.broadcast(dims.montage(spark).select("montage", "ref"))
     parts = []

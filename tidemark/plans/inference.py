@@ -179,9 +179,7 @@ SELECT left_out, k, {r('est')} AS diff, {r('pse')} AS se, {r('greatest(q, 0)', 4
 def i11(spark, sf):
     t = Tables(spark, sf)
     d = rs.delong(score(t), ["source"], "y", "a", "c", hot=t.hot("documents")).select("source", "diff", "se")
-    out_of = d.select(F.col("source").alias("left_out")).unionByName(dims.table(t.spark, [("none",)], "left_out"))
-    rows = d.join(F.broadcast(out_of), F.col("left_out") != F.col("source"))
-    p = rs.pool(rows, ["left_out"], "diff", "se")
+    p = rs.pool_leave_one_out(d, [], "source", "diff", "se")
     return p.select("left_out", "k", rounded(F.col("diff")).alias("diff"), rounded(F.col("se")).alias("se"),
                     rounded(F.col("q"), 4).alias("q"), rounded(F.col("p"), 5).alias("p"))
 

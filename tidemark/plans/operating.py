@@ -65,7 +65,7 @@ def a08(spark, sf):
 
 
 @query("a09_average_precision", with_views(SCORE) + f"""
-SELECT cohort, {r('sum(dp * cp / cn) / sum(dp)')} AS average_precision FROM (SELECT cohort, a, sum(p) AS dp, sum(sum(p)) OVER w AS cp,
+SELECT cohort, {r('CASE WHEN sum(dp) > 0 THEN sum(dp * cp / cn) / sum(dp) END')} AS average_precision FROM (SELECT cohort, a, sum(p) AS dp, sum(sum(p)) OVER w AS cp,
   sum(count(*)) OVER w AS cn FROM (SELECT cohort, a, CAST(y AS DOUBLE) AS p FROM score) GROUP BY cohort, a
   WINDOW w AS (PARTITION BY cohort ORDER BY a DESC)) GROUP BY cohort""")
 def a09(spark, sf):
