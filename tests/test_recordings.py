@@ -48,14 +48,14 @@ def test_features_of_a_pure_rhythm(spark):
     x = np.sin(2 * np.pi * 10 * t)
     df = spark.createDataFrame([("r", 0, "O1", x.tolist()), ("r", 0, "O2", (2 * x).tolist()), ("r", 0, "Fp1", [0.0] * 512)],
                                "rec string, win int, channel string, x array<double>")
-    f = sp.channel_features(sp.spectra(df, 128), sp.Grid(512, 128))
+    f = sp.channel_features(sp.spectra(df, 128), sp.Grids([sp.Grid(512, 128)]))
     out = {r["channel"]: r for r in f.collect()}
     assert out["O1"]["pdr_frequency"] == 10.0 and out["O1"]["rel_alpha"] > 0.95
     assert out["Fp1"]["rel_alpha"] is None and out["Fp1"]["hjorth_mobility"] is None
     w = sp.window_features(f, ["rec", "win"]).first()
     assert abs(w["asymmetry_alpha"] - 0.6) < 1e-9      # (1 - 4) / (1 + 4)
     assert abs(w["ap_gradient_alpha"] - 1.0) < 1e-9
-    low = sp.channel_features(sp.spectra(df, 64), sp.Grid(512, 64)).first()
+    low = sp.channel_features(sp.spectra(df, 64), sp.Grids([sp.Grid(512, 64)])).first()
     assert low["rel_gamma"] is None                    # band above Nyquist
 
 
@@ -146,3 +146,33 @@ def test_condition_grid_has_42_conditions(spark):
     assert g.count() == 42 and g.select("cond").distinct().count() == 42
     with pytest.raises(ValueError, match="unknown sites"):
         dims.check_sites("x", ["T5", "T9"])
+
+
+def test_sweep_derives_the_same_signals_as_the_montage_operator(spark):
+    from tidemark.operators import sweep as sw
+    rng = np.random.default_rng(8)
+    raw = {("r", c): rng.normal(size=8) for c in dims.CANON}
+    want = {(r["montage"], r["channel"], r["t"]): r["x"] for r in ch.all_montages(samples(spark, raw)).collect()}
+    x = np.stack([raw["r", c] for c in sorted(dims.CANON)])[None]
+    n = 0
+    for m in dims.MONTAGES:
+        sig, names = sw.derived(x, sorted(dims.CANON), m)
+        for i, c in enumerate(names):
+            for t in range(8):
+                assert abs(sig[0, i, t] - want[m, c, t]) < 1e-12
+                n += 1
+    assert n == len(want)
+    assert sw.derived(x[:, :3], ["Fp1", "Fp2", "F7"], "b4") is None
+    assert len(sw.conditions(256, dims.RATES, dims.DEPTHS)) == 40      # the other two read another input
+
+
+def test_sweep_cube(spark):
+    from tidemark.operators import sweep as sw
+    rng = np.random.default_rng(9)
+    s = samples(spark, {(r, c): rng.normal(size=700) for r in ("a", "b") for c in dims.CANON})
+    out = sw.swept(s, 256, 64, 100.0, 2, [64, 32], [None, 8], 20.0)
+    rows = {(r["cond"], r["rec"]): r for r in out.collect()}
+    assert {r["n_windows"] for r in rows.values()} == {2}
+    assert rows["b1|64|f32|full", "a"]["asymmetry_alpha"] is None
+    assert rows["b19|64|f32|full", "a"]["ap_gradient_alpha"] is not None
+    assert rows["b19|32|f32|full", "a"]["rel_beta"] is None and rows["b19|64|f32|full", "a"]["rel_beta"] is not None

@@ -62,16 +62,32 @@ def bipolar(samples: DataFrame, montage_pair: DataFrame) -> DataFrame:
             .filter("__k = 2").drop("__k").withColumnRenamed("signal", "channel"))
 
 
+def montage_specs(spark) -> DataFrame:
+    """(montage, ref, channels, pairs): the registry with its sites and pairs as arrays."""
+    ch = dims.montage_channel(spark).groupBy("montage", "ref").agg(F.collect_list("channel").alias("channels"))
+    pr = dims.montage_pair(spark).groupBy("montage").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    return ch.join(pr, "montage", "left")
+
+
 def all_montages(samples: DataFrame) -> DataFrame:
-    """Every measurable montage in one plan: (montage, rec, t, channel, x)."""
-    spark = samples.sparkSession
-    ch, pairs = dims.montage_channel(spark), dims.montage_pair(spark)
-    ok = measurable(samples, ch)
-    cols = ["montage", "rec", "t", "channel", "x"]
-    inherit = subset(samples, ch.filter("ref = 'inherit'")).select(*cols)
-    out = (subset_referenced(samples, ch).select(*cols)
-           .unionByName(bipolar(samples, pairs).select(*cols)).unionByName(inherit))
-    return out.join(ok, ["rec", "montage"], "left_semi").select(*cols)
+    """Every montage in one plan: (montage, rec, t, channel, x).
+
+    The samples are read and shuffled once: the channels of an instant meet in one row (bounded by
+    the electrode count) and every montage whose sites are all there is derived from that row.
+    """
+    inst = samples.groupBy("rec", "t").agg(
+        F.map_from_entries(F.collect_list(F.struct("channel", "x"))).alias("m"))
+    rows = inst.crossJoin(F.broadcast(montage_specs(samples.sparkSession))).filter(
+        F.forall("channels", lambda c: F.map_contains_key("m", c)))
+    at = lambda c: F.try_element_at(F.col("m"), c)
+    mean = F.aggregate("channels", F.lit(0.0), lambda s, c: s + at(c)) / F.size("channels")
+    rows = rows.withColumn("mean", F.when(F.col("ref") == "subset_car", mean).otherwise(0.0))
+    single = F.transform("channels", lambda c: F.struct(c.alias("channel"), (at(c) - F.col("mean")).alias("x")))
+    double = F.transform("pairs", lambda p: F.struct(
+        F.concat_ws("-", p["a"], p["b"]).alias("channel"), (at(p["a"]) - at(p["b"])).alias("x")))
+    sig = F.when(F.col("ref") == "bipolar", double).otherwise(single)
+    return rows.select("montage", "rec", "t", F.explode(sig).alias("s")).select(
+        "montage", "rec", "t", "s.channel", "s.x")
 
 
 def reachable_neighbours(spark, sites: list[str] | None = None) -> DataFrame:

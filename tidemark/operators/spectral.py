@@ -6,7 +6,7 @@ need). Every feature is then an expression over the small spectrum array.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -70,93 +70,115 @@ class Grid:
         at = np.flatnonzero((self.f >= lo) & ((self.f <= hi) if closed else (self.f < hi)))
         return (int(at[0]), len(at)) if len(at) else (0, 0)
 
-    def part(self, p: Column, lo: float, hi: float, closed: bool = False) -> Column:
-        first, count = self.bins(lo, hi, closed)
-        return F.slice(p, first + 1, count)
+
+class Grids:
+    """One grid per sampling rate; a constant of a grid becomes an expression over the rate column."""
+
+    def __init__(self, grids: Sequence[Grid], rate: str | None = None):
+        self.grids, self.rate = list(grids), rate
+        if len(self.grids) > 1 and rate is None:
+            raise ValueError("several grids need a rate column")
+
+    def pick(self, fn: Callable) -> Column:
+        """``fn(grid)`` as a column; None stays null."""
+        if len(self.grids) == 1:
+            return self._lit(fn(self.grids[0]))
+        out = None
+        for g in self.grids:
+            cond = F.col(self.rate) == g.rate
+            v = self._lit(fn(g))
+            out = F.when(cond, v) if out is None else out.when(cond, v)
+        return out
+
+    @staticmethod
+    def _lit(v) -> Column:
+        if isinstance(v, (list, np.ndarray)):
+            return F.array(*[F.lit(float(x)) for x in v])
+        return F.lit(v)
+
+    def df(self) -> Column:
+        return self.pick(lambda g: float(g.df))
+
+    def part(self, p: Column, lo: float, hi: float, closed: bool = False, min_bins: int = 1) -> Column:
+        """The bins of an interval; null on a grid with fewer than ``min_bins`` of them."""
+        count = self.pick(lambda g: g.bins(lo, hi, closed)[1])
+        first = self.pick(lambda g: g.bins(lo, hi, closed)[0] + 1)
+        return F.when(count >= min_bins, F.slice(p, first, count))
 
 
 def total(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
 
 
-def band_power(p: Column, g: Grid, lo: float, hi: float) -> Column:
+def band_power(p: Column, g: Grids, lo: float, hi: float) -> Column:
     """Trapezoid over [lo, hi); null above Nyquist or with fewer than two bins."""
-    first, count = g.bins(lo, hi)
-    if hi > g.nyquist or count < 2:
-        return F.lit(None).cast("double")
-    ends = (F.element_at(p, first + 1) + F.element_at(p, first + count)) / 2
-    return (total(g.part(p, lo, hi)) - ends) * g.df
+    fits = g.pick(lambda x: bool(hi <= x.nyquist and x.bins(lo, hi)[1] >= 2))
+    first = g.pick(lambda x: x.bins(lo, hi)[0] + 1)
+    last = g.pick(lambda x: max(sum(x.bins(lo, hi)), 1))
+    ends = (F.element_at(p, first) + F.element_at(p, last)) / 2
+    return F.when(fits, (total(g.part(p, lo, hi, min_bins=2)) - ends) * g.df())
 
 
-def with_band_powers(df: DataFrame, g: Grid) -> DataFrame:
+def with_band_powers(df: DataFrame, g: Grids) -> DataFrame:
     return df.withColumns({f"bp_{b}": band_power(F.col("p"), g, *r) for b, r in dims.BANDS.items()})
 
 
-def shape_columns(p: Column, g: Grid) -> Mapping[str, Column]:
-    """Entropy, 95 % edge and median frequency of the normalised spectrum."""
-    n_bins = len(g.f)
+def spectral_scan(p: Column) -> Column:
+    """One pass over the normalised spectrum: 95 % and 50 % crossing bins and the entropy sum."""
     tot = total(p)
+    share = lambda a, v: v / a["t"]
     scan = F.aggregate(
         p, F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("k"), F.lit(-1).alias("e"), F.lit(-1).alias("m"),
                     F.lit(0.0).alias("h"), tot.alias("t")),
         lambda a, v: F.struct(
-            (a["c"] + v / a["t"]).alias("c"), (a["k"] + 1).alias("k"),
-            F.when((a["e"] < 0) & (a["c"] + v / a["t"] >= 0.95), a["k"]).otherwise(a["e"]).alias("e"),
-            F.when((a["m"] < 0) & (a["c"] + v / a["t"] >= 0.50), a["k"]).otherwise(a["m"]).alias("m"),
-            (a["h"] + F.when(v > 0, v / a["t"] * F.log(v / a["t"])).otherwise(0.0)).alias("h"),
+            (a["c"] + share(a, v)).alias("c"), (a["k"] + 1).alias("k"),
+            F.when((a["e"] < 0) & (a["c"] + share(a, v) >= 0.95), a["k"]).otherwise(a["e"]).alias("e"),
+            F.when((a["m"] < 0) & (a["c"] + share(a, v) >= 0.50), a["k"]).otherwise(a["m"]).alias("m"),
+            (a["h"] + F.when(v > 0, share(a, v) * F.log(share(a, v))).otherwise(0.0)).alias("h"),
             a["t"].alias("t")))
-    ok = tot > 0
-    s = F.when(ok, scan)
-    return {"__shape": s,
-            "spectral_entropy": -F.col("__shape.h") / float(np.log(n_bins)),
-            "spectral_edge95": F.coalesce(F.greatest(F.col("__shape.e"), F.lit(0)) * g.df, F.lit(0.0)),
-            "spectral_median": F.coalesce(F.greatest(F.col("__shape.m"), F.lit(0)) * g.df, F.lit(0.0))}
+    return F.when(tot > 0, scan)
 
 
-def pdr_columns(p: Column, g: Grid) -> Mapping[str, Column]:
-    """Dominant-rhythm frequency (first of equal peaks) and its share of the band."""
-    lo, hi = dims.PDR_BAND
-    first, count = g.bins(lo, hi, closed=True)
-    if count < 3:
-        none = F.lit(None).cast("double")
-        return {"pdr_frequency": none, "pdr_prominence": none}
-    part = g.part(p, lo, hi, closed=True)
-    peak = F.array_max(part)
-    at = F.array_position(part, peak) - 1 + first
-    return {"pdr_frequency": at.cast("double") * g.df, "pdr_prominence": ratio(peak, total(part))}
-
-
-def aperiodic_exponent(p: Column, g: Grid) -> Column:
-    """Negated slope of log10 power on log10 frequency; the regressor is fixed, so the slope is a
-    dot product with constant weights."""
+def aperiodic_weights(g: Grid) -> np.ndarray | None:
+    """Fixed regression weights of the log-frequency fit; None with fewer than five bins."""
     lo, hi = dims.APERIODIC_FIT
-    first, count = g.bins(max(lo, g.df / 2), hi, closed=True)
+    first, count = g.bins(lo, hi, closed=True)
     if count < 5:
-        return F.lit(None).cast("double")
+        return None
     lf = np.log10(g.f[first:first + count])
     c = lf - lf.mean()
-    weights = F.array(*[F.lit(float(v)) for v in c / (c ** 2).sum()])
-    logs = F.zip_with(g.part(p, lo, hi, closed=True), weights,
+    return c / (c ** 2).sum()
+
+
+def aperiodic_exponent(p: Column, g: Grids) -> Column:
+    """Negated slope of log10 power on log10 frequency, as a dot product with fixed weights."""
+    logs = F.zip_with(g.part(p, *dims.APERIODIC_FIT, closed=True, min_bins=5), g.pick(aperiodic_weights),
                       lambda v, w: F.log10(F.greatest(v, F.lit(1e-30))) * w)
     return -total(logs)
 
 
-def channel_features(spectrum: DataFrame, g: Grid) -> DataFrame:
+def channel_features(spectrum: DataFrame, g: Grids) -> DataFrame:
     """Per (window, channel) features and the alpha power; spectrum and variances are dropped."""
     keys = [c for c in spectrum.columns if c not in ("p", "v0", "v1", "v2")]
-    df = with_band_powers(spectrum, g)
     p = F.col("p")
-    shape = shape_columns(p, g)
-    df = df.withColumn("__shape", shape.pop("__shape"))
+    parts = {f"bp_{b}": band_power(p, g, *r) for b, r in dims.BANDS.items()}
+    parts |= {"__shape": spectral_scan(p), "__pdr": g.part(p, *dims.PDR_BAND, closed=True, min_bins=3)}
+    df = spectrum.withColumns(parts)
     bands = [F.col(f"bp_{b}") for b in dims.BANDS]
     present = [F.coalesce(b, F.lit(0.0)) for b in bands]
     whole = present[0] + present[1] + present[2] + present[3] + present[4]
     d, t, a, b = bands[0], bands[1], bands[2], bands[3]
     mob, mob1 = F.sqrt(ratio(F.col("v1"), F.col("v0"))), F.sqrt(ratio(F.col("v2"), F.col("v1")))
+    at = lambda k: F.coalesce(F.greatest(F.col(f"__shape.{k}"), F.lit(0)) * g.df(), F.lit(0.0))
+    peak = F.array_max("__pdr")
+    offset = g.pick(lambda x: x.bins(*dims.PDR_BAND, closed=True)[0] - 1)
     return df.select(
         *keys, *[ratio(F.col(f"bp_{x}"), whole).alias(f"rel_{x}") for x in dims.BANDS],
         ratio(t, a).alias("theta_alpha_ratio"), ratio(d + t, a + b).alias("slowing_ratio"),
-        *[e.alias(n) for n, e in shape.items()], *[e.alias(n) for n, e in pdr_columns(p, g).items()],
+        (-F.col("__shape.h") / g.pick(lambda x: float(np.log(len(x.f))))).alias("spectral_entropy"),
+        at("e").alias("spectral_edge95"), at("m").alias("spectral_median"),
+        ((F.array_position("__pdr", peak) + offset).cast("double") * g.df()).alias("pdr_frequency"),
+        ratio(peak, total(F.col("__pdr"))).alias("pdr_prominence"),
         aperiodic_exponent(p, g).alias("aperiodic_exponent"),
         mob.alias("hjorth_mobility"), ratio(mob1, mob).alias("hjorth_complexity"), a.alias("alpha"))
 

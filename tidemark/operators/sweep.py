@@ -1,15 +1,29 @@
-"""The acquisition sweep: every condition of every recording in one keyed plan."""
+"""The acquisition sweep: every condition of every recording in one keyed plan.
+
+Samples are read twice: once for the window statistics that choose the windows, once to gather the
+chosen windows, one row each. Montage, band, rate and depth are then applied to a batch of windows
+in a single Arrow pass that returns spectra keyed by condition; features, channel means and window
+medians are expressions and aggregates again.
+"""
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import dims
-from tidemark.operators import channels as ch
 from tidemark.operators import degrade as dg
 from tidemark.operators import spectral as sp
 from tidemark.operators import windows as wn
-from tidemark.session import stored
+
+DIGITISED = ("b19", "b4")
+CHUNK_SAMPLES = 4_000_000  # samples worked on at once inside a task
+SPECTRA = ("cond string, bip boolean, rate int, rec {rec}, win bigint, channel string, "
+           "p array<double>, v0 double, v1 double, v2 double")
 
 
 def kept_windows(samples: DataFrame, length: int, limit: float, quota: int) -> DataFrame:
@@ -17,47 +31,81 @@ def kept_windows(samples: DataFrame, length: int, limit: float, quota: int) -> D
     return wn.sampled(wn.accepted(wn.window_ptp(samples, length), limit, quota), quota)
 
 
-def conditions(spark, rate: int, rates: list[int], depths: list, montage: str = "b4") -> DataFrame:
-    """Depths per (montage, rate): all depths for the digitised montage, none for the others."""
-    rows = [(m, rate, None) for m in dims.MONTAGES]
-    rows += [(montage, r, b) for r in rates for b in depths if not (r == rate and b is None)]
-    return dims.table(spark, rows, "montage, rate, bits")
+def conditions(rate: int, rates: Sequence[int], depths: Sequence) -> list[tuple]:
+    """(montage, preproc, rate, bits): all montages at native settings, two over the digitisation
+    grid and the band restriction."""
+    out = [(m, "full", rate, None) for m in dims.MONTAGES]
+    out += [(m, "full", r, b) for m in DIGITISED for r in rates for b in depths
+            if not (r == rate and b is None)]
+    return out + [(m, "emgfree", rate, None) for m in DIGITISED]
 
 
-def swept(samples: DataFrame, length: int, rate: int, limit: float, quota: int, rates: list[int],
-          depths: list, full_scale: float, hot: bool | None = None) -> DataFrame:
-    """(cond, rec, n_windows, 17 features) over montage × digitisation × band restriction.
+def derived(x: np.ndarray, names: list[str], montage: str) -> tuple[np.ndarray, list[str]] | None:
+    """Signals of a montage from (windows, channels, samples); None when a site is missing."""
+    sites, ref, pairs, _ = dims.MONTAGES[montage]
+    if not set(sites) <= set(names):
+        return None
+    at = names.index
+    if ref == "bipolar":
+        a, b = [at(p) for p, _ in pairs], [at(q) for _, q in pairs]
+        return x[:, a] - x[:, b], [f"{p}-{q}" for p, q in pairs]
+    sub = x[:, [at(s) for s in sites]]
+    return (sub - sub.mean(axis=1, keepdims=True) if ref == "subset_car" else sub), list(sites)
 
-    Samples are read and windowed once; montages, rates, depths and bands fan out as keys.
-    """
-    spark = samples.sparkSession
-    kept = kept_windows(samples, length, limit, quota)
-    signals = ch.all_montages(wn.windowed(samples, length).join(
-        kept.select("rec", "win"), ["rec", "win"], "left_semi").drop("win"))
-    # The windows are cut once and written; every rate and band below reads these files.
-    vec = stored(wn.vectors(signals, kept, length, ("montage", "rec")), "windows")
-    plan = conditions(spark, rate, rates, depths)
-    ref = F.broadcast(dims.montage(spark).select("montage", "ref"))
-    parts = []
+
+def quantised_rows(x: np.ndarray, bits: int | None, full_scale: float) -> np.ndarray:
+    if bits is None:
+        return x
+    lsb = full_scale / 2 ** bits
+    return np.clip(np.round(x / lsb) * lsb, -full_scale / 2, full_scale / 2)
+
+
+def condition_spectra(windows: DataFrame, conds: list[tuple], rate: int, full_scale: float) -> DataFrame:
+    """Spectra of every condition of a batch of windows (rec, win, channels, xs)."""
+    order = sorted(conds, key=lambda c: (c[0], c[1], c[2]))
+
+    def spectra_of(g: pd.DataFrame, names: list[str]) -> Iterator[pd.DataFrame]:
+        x = np.stack(g["xs"].to_list()).reshape(len(g), len(names), -1)
+        for (montage, pre), same in groupby(order, key=lambda c: c[:2]):
+            sig = derived(x, names, montage)
+            if sig is None:
+                continue
+            flat = sig[0].reshape(-1, x.shape[2])
+            if dims.PREPROC_BAND[pre] is not None:
+                flat = dg.restrict_rows(flat, rate, *dims.PREPROC_BAND[pre])
+            rec, win = (np.repeat(g[c].to_numpy(), len(sig[1])) for c in ("rec", "win"))
+            for _, _, r, bits in same:
+                y = quantised_rows(dg.decimate_rows(flat, rate // r), bits, full_scale)
+                d1 = np.diff(y, axis=1)
+                yield pd.DataFrame({
+                    "cond": f"{montage}|{r}|{'f32' if bits is None else bits}|{pre}",
+                    "bip": dims.MONTAGES[montage][1] == "bipolar", "rate": r, "rec": rec, "win": win,
+                    "channel": np.tile(sig[1], len(g)), "p": list(sp.welch_rows(y, r)),
+                    "v0": y.var(axis=1), "v1": d1.var(axis=1), "v2": np.diff(d1, axis=1).var(axis=1)})
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for names, g in pdf.groupby(pdf["channels"].map(tuple), sort=False):
+                size = max(1, CHUNK_SAMPLES // len(g["xs"].iloc[0]))
+                for start in range(0, len(g), size):
+                    yield from spectra_of(g.iloc[start:start + size], list(names))
+
+    return windows.mapInPandas(step, SPECTRA.format(rec=dict(windows.dtypes)["rec"]))
+
+
+def swept(samples: DataFrame, length: int, rate: int, limit: float, quota: int, rates: Sequence[int],
+          depths: Sequence, full_scale: float, hot: bool | None = None) -> DataFrame:
+    """(cond, rec, n_windows, 17 features) over montage × digitisation × band restriction."""
     for r in rates:
-        at = vec.join(F.broadcast(plan.filter(F.col("rate") == r)), "montage")
-        at = dg.decimated(at, rate, r).withColumn("preproc", F.lit("full"))
-        if r == rate:
-            lo, hi = dims.PREPROC_BAND["emgfree"]
-            band = dg.restricted(vec.join(F.broadcast(plan.filter(
-                (F.col("rate") == r) & F.col("bits").isNull() & (F.col("montage") == "b4"))), "montage"), rate, lo, hi)
-            at = at.unionByName(band.withColumn("preproc", F.lit("emgfree")))
-        at = at.withColumn("x", F.transform("x", lambda v: dg.quantised(v, F.col("bits"), full_scale)))
-        grid = sp.Grid(length // (rate // r), r)
-        parts.append(sp.channel_features(sp.spectra(at, r), grid))
-    per = parts[0]
-    for p in parts[1:]:
-        per = per.unionByName(p)
-    per = per.join(ref, "montage").withColumn("cond", F.concat_ws(
-        "|", "montage", F.col("rate").cast("string"), F.coalesce(F.col("bits").cast("string"), F.lit("f32")), "preproc"))
-    per = per.withColumn("bip", F.col("ref") == "bipolar")
+        dg.decimation_factor(rate, r)
+    kept = kept_windows(samples, length, limit, quota)
+    windows = wn.matrices(samples, kept, length)
+    spectra = condition_spectra(windows, conditions(rate, rates, depths), rate, full_scale)
+    grids = sp.Grids([sp.Grid(length // (rate // r), r) for r in rates], "rate")
+    per = sp.channel_features(spectra, grids)
     win = sp.window_features(per, ["cond", "bip", "rec", "win"], F.col("bip"))
-    return sp.recording_features(win, ["cond", "rec"], hot=hot)
+    # A recording keeps at most ``quota`` windows, so its medians are bounded.
+    return sp.recording_features(win, ["cond", "rec"], hot=False if hot is None else hot)
 
 
 def sweep_report(cube_wide: DataFrame) -> DataFrame:

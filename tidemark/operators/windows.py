@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import dims
 from tidemark.functions.draws import digest
+from tidemark.session import stored
 
 
 def windowed(samples: DataFrame, length: int) -> DataFrame:
@@ -14,24 +15,29 @@ def windowed(samples: DataFrame, length: int) -> DataFrame:
     return samples.withColumn("win", F.floor(F.col("t") / length))
 
 
-def full_windows(samples: DataFrame, length: int) -> DataFrame:
-    """(rec, win, channel, n, ptp, mean, sd) of complete windows; the tail is dropped."""
-    g = windowed(samples, length).groupBy("rec", "win", "channel").agg(
+def window_stats(samples: DataFrame, length: int) -> DataFrame:
+    """(rec, win, channel, n, ptp, mean, sd) of every window, complete or not."""
+    return windowed(samples, length).groupBy("rec", "win", "channel").agg(
         F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("ptp"),
         F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    return g.filter(F.col("n") == length)
 
 
-def window_ptp(samples: DataFrame, length: int, n_channels: DataFrame | None = None) -> DataFrame:
-    """(rec, win, ptp, n_channels): peak-to-peak of the worst channel.
+def full_windows(samples: DataFrame, length: int) -> DataFrame:
+    """Statistics of complete windows; the tail is dropped."""
+    return window_stats(samples, length).filter(F.col("n") == length)
+
+
+def window_ptp(samples: DataFrame, length: int) -> DataFrame:
+    """(rec, win, ptp, k): peak-to-peak of the worst of the k channels.
 
     Only windows in which every channel of the recording is complete are kept: a recording is cut
-    as a whole, so its shortest channel sets the last window.
+    as a whole, so its shortest channel sets the last window. The samples are read once; the
+    per-window statistics, a thousandth of their size at 1024 samples, are written and reused.
     """
-    full = full_windows(samples, length)
-    per = full.groupBy("rec", "win").agg(F.max("ptp").alias("ptp"), F.count("*").alias("k"))
-    need = (n_channels if n_channels is not None
-            else samples.groupBy("rec").agg(F.count_distinct("channel").alias("need")))
+    stats = stored(window_stats(samples, length).select("rec", "win", "channel", "n", "ptp"), "stats")
+    need = stats.groupBy("rec").agg(F.count_distinct("channel").alias("need"))
+    per = stats.filter(F.col("n") == length).groupBy("rec", "win").agg(
+        F.max("ptp").alias("ptp"), F.count("*").alias("k"))
     return per.join(need, "rec").filter("k = need").select("rec", "win", "ptp", "k")
 
 
@@ -60,11 +66,16 @@ def sampled(windows: DataFrame, quota: int, keys: tuple = ("rec",)) -> DataFrame
     return h.withColumn("__k", k).filter(F.col("__k") <= quota).drop("__k", "__h")
 
 
-def vectors(samples: DataFrame, kept: DataFrame, length: int, keys: tuple = ("rec",)) -> DataFrame:
-    """windows(*keys, win, channel, x ARRAY) of the kept windows, samples in time order."""
+def matrices(samples: DataFrame, kept: DataFrame, length: int) -> DataFrame:
+    """(rec, win, channels, xs): a kept window as one row, samples in (channel, time) order.
+
+    One shuffle; the group is one window, bounded by electrodes times window length.
+    """
     rows = windowed(samples, length).join(kept.select("rec", "win"), ["rec", "win"], "left_semi")
-    arr = F.array_sort(F.collect_list(F.struct("t", "x")))
-    return rows.groupBy(*keys, "win", "channel").agg(F.transform(arr, lambda s: s["x"]).alias("x"))
+    cells = F.array_sort(F.collect_list(F.struct("channel", "t", "x")))
+    return rows.groupBy("rec", "win").agg(
+        F.array_sort(F.collect_set("channel")).alias("channels"),
+        F.transform(cells, lambda s: s["x"]).alias("xs"))
 
 
 def standardised(samples: DataFrame, length: int) -> DataFrame:

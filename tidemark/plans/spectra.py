@@ -15,6 +15,7 @@ from tidemark.tables import SIGNAL, WINDOWS, signal, window_vectors, with_views
 
 RATE, LENGTH = 64, 64
 GRID = sp.Grid(LENGTH, RATE)
+GRIDS = sp.Grids([GRID])
 PSD = """smp AS (SELECT rec, win, channel, unnest(x) AS x, unnest(range(0, 64)) AS t FROM wvec),
 tap AS (SELECT rec, win, channel, t, (x - avg(x) OVER (PARTITION BY rec, win, channel)) * (0.5e0 - 0.5e0 * cos(2 * pi() * t / 64)) AS v FROM smp),
 psd AS (SELECT rec, win, channel, k AS f, (pow(sum(v * cos(2 * pi() * k * t / 64)), 2) + pow(sum(v * sin(2 * pi() * k * t / 64)), 2))
@@ -55,7 +56,7 @@ def spectrum(t: Tables):
 
 
 def per_channel(t: Tables):
-    return sp.channel_features(spectrum(t), GRID)
+    return sp.channel_features(spectrum(t), GRIDS)
 
 
 @query("f01_welch_psd", with_views(WINDOWS, PSD) + f"SELECT rec, win, channel, f, {r('p', 9)} AS p FROM psd")
@@ -68,7 +69,7 @@ def f01(spark, sf):
 SELECT rec, win, channel, {r('d', 9)} AS delta, {r('th', 9)} AS theta, {r('a', 9)} AS alpha, {r('b', 9)} AS beta,
   CAST(NULL AS DOUBLE) AS gamma FROM bp""")
 def f02(spark, sf):
-    d = sp.with_band_powers(spectrum(Tables(spark, sf)), GRID)
+    d = sp.with_band_powers(spectrum(Tables(spark, sf)), GRIDS)
     return d.select("rec", "win", "channel", *[rounded(F.col(f"bp_{b}"), 9).alias(b) for b in dims.BANDS])
 
 
@@ -172,7 +173,7 @@ def participants(events, hot):
 
 
 def sweep_cube(t: Tables):
-    return sw.swept(signal(t), 32, 64, LIMIT, QUOTA, [64, 32], dims.DEPTHS, 200000.0, t.hot("lineitem", fanout=20))
+    return sw.swept(signal(t), 32, 64, LIMIT, QUOTA, [64, 32], dims.DEPTHS, 200000.0, t.hot("lineitem"))
 
 
 @query("f23_sweep")
