@@ -77,3 +77,15 @@ def verified(recorded: DataFrame, current: DataFrame, name: str = "name") -> Dat
     return j.withColumn("status", F.when(F.col("current").isNull(), "vanished")
                         .when(F.col("stated").isNull(), "new")
                         .when(F.col("stated") == F.col("current"), "match").otherwise("drifted"))
+
+
+def pair_counts(rows: DataFrame, subject: str, arm: str, pairs: DataFrame) -> DataFrame:
+    """Subjects present in both arms of every declared pair.
+
+    A row is sent to the pairs its arm belongs to and counted there, so arms are not joined to
+    each other. ``pairs`` has (a, b); ``rows`` holds a subject at most once per arm.
+    """
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias(arm))
+    hit = rows.select(subject, arm).join(F.broadcast(sides), arm).groupBy("a", "b", subject).agg(
+        F.count("*").alias("__k"))
+    return hit.filter("__k = 2").groupBy("a", "b").agg(F.count("*").alias("n_pairs"))

@@ -66,11 +66,10 @@ def site_order(channel: Column) -> Column:
     return F.when(at > 0, at)
 
 
-def missing_sites(df: DataFrame, rec: str, channel: str, sites: DataFrame) -> DataFrame:
+def missing_sites(df: DataFrame, rec: str, channel: str, sites: Sequence[str] = tuple(dims.CANON)) -> DataFrame:
     """(rec, channel) for every required site a recording lacks; empty when complete."""
-    have = df.select(rec, channel).distinct()
-    want = have.select(rec).distinct().crossJoin(F.broadcast(sites.select(channel)))
-    return want.join(have, [rec, channel], "left_anti")
+    have = df.groupBy(rec).agg(F.collect_set(F.when(F.col(channel).isin(list(sites)), F.col(channel))).alias("__have"))
+    return have.select(rec, F.explode(F.array_except(tag_set(sites), F.col("__have"))).alias(channel))
 
 
 def usable_features(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:

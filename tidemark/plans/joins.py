@@ -177,14 +177,15 @@ def j14(spark, sf):
     return v.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("j15_score_pairs", with_views(CUBE) + """
-SELECT a.cond AS arm_a, b.cond AS arm_b, count(*) AS n_pairs FROM cube a JOIN cube b ON a.subject = b.subject
-  AND a.feature = 'f_sd' AND b.feature = 'f_sd' AND a.cond < b.cond WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2""")
+ARM_PAIRS = [("1-URGENT", "2-HIGH"), ("1-URGENT", "5-LOW"), ("2-HIGH", "3-MEDIUM"), ("4-NOT SPECIFIED", "5-LOW")]
+
+
+@query("j15_score_pairs", with_views(CUBE) + f"""
+SELECT p.a, p.b, count(*) AS n_pairs FROM {dims.values_sql(ARM_PAIRS)} p(a, b) JOIN cube x ON x.cond = p.a AND x.feature = 'f_sd'
+  JOIN cube y ON y.cond = p.b AND y.feature = 'f_sd' AND y.subject = x.subject WHERE x.value IS NOT NULL AND y.value IS NOT NULL GROUP BY 1, 2""")
 def j15(spark, sf):
-    c = cube(Tables(spark, sf)).filter("feature = 'f_sd' AND value IS NOT NULL").select("subject", "cond")
-    other = c.select("subject", F.col("cond").alias("arm_b"))
-    pairs = c.withColumnRenamed("cond", "arm_a").join(other, "subject").filter("arm_a < arm_b")
-    return pairs.groupBy("arm_a", "arm_b").agg(F.count("*").alias("n_pairs"))
+    c = cube(Tables(spark, sf)).filter("feature = 'f_sd' AND value IS NOT NULL")
+    return jn.pair_counts(c, "subject", "cond", dims.table(spark, ARM_PAIRS, "a, b"))
 
 
 @query("t01_union_cohorts", """

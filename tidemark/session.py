@@ -29,16 +29,20 @@ def local_session(cpus: int | str = "*", app: str = "tidemark", memory: str = "8
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach. Taken from the session; a private one only in local mode."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="spark-tidemark-")
-    spark.conf.set(CHECKPOINT_CONF, made)
-    return made
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="spark-tidemark-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

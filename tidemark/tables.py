@@ -89,8 +89,10 @@ def features_wide(t: Tables) -> DataFrame:
         F.sum((F.col("o_orderstatus") == "O").cast("double")).alias("open"),
         F.sum((F.col("o_orderstatus") == "F").cast("double")).alias("final"),
         F.avg(price).alias("mean"), F.stddev_samp(price).alias("sd"))
-    conds = o.select(F.col("o_orderpriority").alias("cond")).distinct()
-    frame = t.customer.select(F.col("c_custkey").alias("subject")).crossJoin(conds)
+    # The conditions are a design list: one row holding them all is attached and unfolded.
+    conds = o.agg(F.collect_set("o_orderpriority").alias("conds"))
+    frame = t.customer.select(F.col("c_custkey").alias("subject")).crossJoin(F.broadcast(conds)).select(
+        "subject", F.explode("conds").alias("cond"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return frame.join(per, ["subject", "cond"], "left").select(
         "cond", "subject", zero("n").alias("f_n"), zero("total").alias("f_total"),
