@@ -193,7 +193,7 @@ BASE = """bl AS (SELECT cohort, 'transported' AS baseline, y, a, b AS base FROM
 , sw AS (SELECT t.cohort, t.baseline, t.diff - s.diff AS swing, sqrt(t.se * t.se + s.se * s.se) AS se FROM res t JOIN res s
    ON s.cohort = 'en' AND s.baseline = 'transported' WHERE t.cohort <> 'en')
 SELECT cohort, baseline, {r('swing')} AS swing, {r('swing - 1.96e0 * se')} AS ci_lo, {r('swing + 1.96e0 * se')} AS ci_hi,
-  {r(f"CASE WHEN se > 0 THEN {two_sided('(swing / se)')} END", 5)} AS p, row_number() OVER (PARTITION BY cohort ORDER BY swing, baseline) = 1 AS headline FROM sw""")
+  {r(f"CASE WHEN se > 0 THEN {two_sided('(swing / se)')} END", 5)} AS p, row_number() OVER (PARTITION BY cohort ORDER BY round(swing, 9), baseline) = 1 AS headline FROM sw""")
 def i12(spark, sf):
     t = Tables(spark, sf)
     hot = t.hot("documents")
@@ -207,7 +207,7 @@ def i12(spark, sf):
     j = d.filter("cohort <> 'en'").crossJoin(F.broadcast(src))
     j = j.select("cohort", "baseline", (F.col("diff") - F.col("sd")).alias("swing"),
                  F.sqrt(F.col("se") * F.col("se") + F.col("sse") * F.col("sse")).alias("se"))
-    low = j.groupBy("cohort").agg(F.min_by("baseline", F.struct("swing", "baseline")).alias("worst"))
+    low = j.groupBy("cohort").agg(F.min_by("baseline", F.struct(F.round("swing", 9).alias("s"), "baseline")).alias("worst"))
     j = j.join(low, "cohort")
     return j.select("cohort", "baseline", rounded(F.col("swing")).alias("swing"), rounded(F.col("swing") - Z95 * F.col("se")).alias("ci_lo"),
                     rounded(F.col("swing") + Z95 * F.col("se")).alias("ci_hi"),
@@ -242,7 +242,28 @@ def match_pairs(t: Tables, keys=("contrast", "cohort"), caliper=0.5):
     return mt.caliper_match(contrast_rows(t), list(keys), "subject", "y", "age", caliper, hot=t.hot("customer"))
 
 
-@query("mt01_caliper_match")
+def _matched(keys: str, caliper: float) -> str:
+    """Closest-first matching as rounds of mutually best pairs over the remaining pairs."""
+    k = [x.strip() for x in keys.split(",")]
+    on = " AND ".join(f"a.{x} = c.{x}" for x in k)
+    return f"""mp AS (SELECT {', '.join(f'a.{x}' for x in k)}, a.subject AS case_id, c.subject AS control_id, abs(a.age - c.age) AS d,
+    CASE WHEN c.age <= a.age THEN 0 ELSE 1 END AS side, {h("'match'", 'a.subject')} AS ha, {h("'match'", 'c.subject')} AS hc
+    FROM contr a JOIN contr c ON {on} AND a.y = 1 AND c.y = 0 AND abs(a.age - c.age) <= {caliper!r}e0),
+ rounds AS (SELECT mp.*, false AS hit FROM mp UNION ALL
+   SELECT * EXCLUDE (m, cm, km), m AS hit FROM (
+     SELECT *, max(m) OVER (PARTITION BY {keys}, case_id) AS cm, max(m) OVER (PARTITION BY {keys}, control_id) AS km FROM (
+       SELECT * EXCLUDE (hit), row_number() OVER (PARTITION BY {keys}, case_id ORDER BY d, side, hc, control_id) = 1
+         AND row_number() OVER (PARTITION BY {keys}, control_id ORDER BY d, side, ha, case_id) = 1 AS m FROM rounds WHERE NOT hit) q1) q2
+   WHERE m OR NOT (cm OR km)),
+ matched AS (SELECT * FROM rounds WHERE hit)"""
+
+
+def _recursive(*views: str) -> str:
+    return with_views(*views).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("mt01_caliper_match", _recursive(SUBJECT, CONTRAST, _matched("contrast, cohort", 0.5)) + f"""
+SELECT contrast, cohort, case_id, control_id, {r('d')} AS distance FROM matched""")
 def mt01(spark, sf):
     out = match_pairs(Tables(spark, sf))
     return out.select("contrast", "cohort", "case_id", "control_id", rounded(F.abs(F.col("case_value") - F.col("control_value"))).alias("distance"))
@@ -260,7 +281,14 @@ def mt01_ties(spark, sf):
     return mt.caliper_match(d, ["source"], "doc_id", "y", "v", 0.0, hot=t.hot("documents")).select("source", "case_id", "control_id")
 
 
-@query("mt01_matched_auc")
+MROWS = """mr AS (SELECT k.contrast, k.subject, k.y, k.age, f.f_total FROM contr k JOIN fwide f ON f.subject = k.subject AND f.cond = '1-URGENT'),
+ ml AS (SELECT contrast, 'age' AS arm, subject, y, age AS s FROM mr UNION ALL SELECT contrast, 'f_total', subject, y, f_total FROM mr),
+ mk AS (SELECT ml.* FROM ml WHERE (contrast, subject) IN (SELECT contrast, case_id FROM matched UNION ALL SELECT contrast, control_id FROM matched))"""
+
+
+@query("mt01_matched_auc", _recursive(SUBJECT, CONTRAST, CUBE, _matched("contrast", 0.5), MROWS, auc_cte("fa", "ml", "contrast, arm", "y", "s"),
+       auc_cte("ma", "mk", "contrast, arm", "y", "s")) + f"""
+SELECT fa.contrast, fa.arm, ma.n_pos AS n_pairs, {r('fa.auc')} AS auc, {r('ma.auc')} AS matched FROM fa JOIN ma USING (contrast, arm)""")
 def mt01_auc(spark, sf):
     """AUC of the covariate and of a feature on the matched subjects, and the substitution ratio."""
     t = Tables(spark, sf)

@@ -10,7 +10,7 @@ from tidemark.operators import labels as lb
 from tidemark.operators import models as ml
 from tidemark.operators import rankstats as rs
 from tidemark.plans.registry import Tables, query
-from tidemark.plans.sql import h, r
+from tidemark.plans.sql import auc_cte, h, r
 from tidemark.tables import (CONTRAST, CUBE, SCORE, SUBJECT, contrast_rows, cube, score, with_views)
 
 K, REPEATS = 5, 3
@@ -223,7 +223,10 @@ def ml13(spark, sf):
     return cv.abnormality(z_rows(Tables(spark, sf)), ["cond", "subject"]).withColumn("abnormality", rounded(F.col("abnormality"), 5))
 
 
-@query("a05_deviation_auc")
+@query("a05_deviation_auc", with_views(
+    SUBJECT, CUBE, LONG_AGE, NORM, "zy AS (SELECT cond, feature, value, abs(z) AS dev, CASE WHEN label <> 'CN' THEN 1 ELSE 0 END AS y FROM zt)",
+    auc_cte("ra", "zy", "cond, feature", "y", "value"), auc_cte("da", "zy", "cond, feature", "y", "dev")) + f"""
+SELECT cond, feature, {r('ra.auc')} AS auc_raw, {r('da.auc')} AS auc_deviation FROM ra JOIN da USING (cond, feature)""")
 def a05_dev(spark, sf):
     t = Tables(spark, sf)
     z = z_rows(t).withColumns({"y": (F.col("label") != "CN").cast("int"), "dev": F.abs("z")})

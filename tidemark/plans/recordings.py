@@ -194,7 +194,12 @@ def d02(spark, sf):
         "rec", "win", "channel", F.col("m").cast("bigint").alias("m"), rounded(F.col("x")).alias("x"))
 
 
-@query("d03_band_restrict")
+@query("d03_band_restrict", with_views(WINDOWS) + f"""
+, s AS (SELECT rec, win, channel, unnest(x) AS x, unnest(range(0, 64)) AS t FROM wvec),
+ c AS (SELECT rec, win, channel, k, sum(x * cos(2 * pi() * k * t / 64)) AS re, sum(x * sin(2 * pi() * k * t / 64)) AS im
+   FROM s, (SELECT unnest(range(2, 21)) AS k) GROUP BY 1, 2, 3, 4)
+SELECT rec, win, channel, CAST(t AS INT) AS t, {r('sum(re * cos(2 * pi() * k * t / 64) + im * sin(2 * pi() * k * t / 64)) / 32')} AS x
+FROM c, (SELECT unnest(range(0, 64)) AS t) GROUP BY 1, 2, 3, 4""")
 def d03(spark, sf):
     d = dg.restricted(window_vectors(Tables(spark, sf)), 64, 2.0, 20.0)
     return d.select("rec", "win", "channel", F.posexplode("x").alias("t", "x")).withColumn("x", rounded(F.col("x")))
