@@ -12,7 +12,7 @@ from tidemark.operators import windows as wn
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.sql import digest as dsql
 from tidemark.plans.sql import h as hsql
-from tidemark.plans.sql import r
+from tidemark.plans.sql import band_gain, r
 from tidemark.tables import SIGNAL, SITES, WINDOWS, signal, window_vectors, with_views
 
 N, LIMIT, QUOTA = 16, 70000.0, 3
@@ -197,8 +197,8 @@ def d02(spark, sf):
 @query("d03_band_restrict", with_views(WINDOWS) + f"""
 , s AS (SELECT rec, win, channel, unnest(x) AS x, unnest(range(0, 64)) AS t FROM wvec),
  c AS (SELECT rec, win, channel, k, sum(x * cos(2 * pi() * k * t / 64)) AS re, sum(x * sin(2 * pi() * k * t / 64)) AS im
-   FROM s, (SELECT unnest(range(2, 21)) AS k) GROUP BY 1, 2, 3, 4)
-SELECT rec, win, channel, CAST(t AS INT) AS t, {r('sum(re * cos(2 * pi() * k * t / 64) + im * sin(2 * pi() * k * t / 64)) / 32')} AS x
+   FROM s, (SELECT unnest(range(1, 32)) AS k) GROUP BY 1, 2, 3, 4)
+SELECT rec, win, channel, CAST(t AS INT) AS t, {r('sum(' + band_gain('k', 64, 2, 20) + ' * (re * cos(2 * pi() * k * t / 64) + im * sin(2 * pi() * k * t / 64))) / 32')} AS x
 FROM c, (SELECT unnest(range(0, 64)) AS t) GROUP BY 1, 2, 3, 4""")
 def d03(spark, sf):
     d = dg.restricted(window_vectors(Tables(spark, sf)), 64, 2.0, 20.0)

@@ -72,3 +72,9 @@ def delong_cte(name: str, src: str, keys: str, y: str, a: str, b: str) -> str:
 def p_of(z: str = "z", flat: str = "flat", diff: str = "diff") -> str:
     return (f"CASE WHEN {flat} THEN CASE WHEN abs({diff}) < 1e-12 THEN 1.0e0 ELSE 0.0e0 END"
             f" ELSE {two_sided(z)} END")
+
+
+def band_gain(f: str, rate: float, lo: float, hi: float) -> str:
+    """Zero-phase Butterworth band-pass gain at ``f`` (0 < f < Nyquist)."""
+    w, a, b = (f"tan(pi() * ({v}) / {float(rate)!r}e0)" for v in (f, repr(float(lo)) + "e0", repr(float(hi)) + "e0"))
+    return f"(1 / (1 + pow(({w} * {w} - {a} * {b}) / ({w} * ({b} - {a})), 8)))"
