@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark import dims
 from tidemark.functions.scalars import Z80_POWER, Z95_FULL, clip, ratio, wilson
-from tidemark.operators.ordered import neighbours, row_numbers
-from tidemark.operators.rankstats import negatives, positives
+from tidemark.operators.ordered import group_is_hot, midranks, neighbours, row_numbers
+from tidemark.operators.rankstats import negatives, positives, with_group
+from tidemark.session import stored
 
 
 def panel(points: DataFrame, prevalences: DataFrame) -> DataFrame:
@@ -115,11 +116,15 @@ def occurrences(text, value) -> F.Column:
     return ((F.length(text) - F.length(F.replace(text, value, F.lit("")))) / F.length(value)).cast("bigint")
 
 
-def rank_fraction(df: DataFrame, keys: Sequence[str], value: str, name: str, hot=None) -> DataFrame:
+def rank_fraction(df: DataFrame, keys: Sequence[str], value: str, name: str, hot: bool | None = None) -> DataFrame:
     """Midrank divided by the group size."""
-    from tidemark.operators.ordered import midranks
+    keys = list(keys)
+    if not group_is_hot(df, keys, hot):
+        out = midranks(df, keys, value, name, False)
+        return out.withColumn(name, F.col(name) / F.count(value).over(W.partitionBy(*keys)))
+    df = stored(df, "ranked")
     n = df.groupBy(*keys).agg(F.count(value).alias("__n"))
-    out = midranks(df, keys, value, name, hot).join(n, list(keys))
+    out = with_group(midranks(df, keys, value, name, True), n, keys)
     return out.withColumn(name, F.col(name) / F.col("__n")).drop("__n")
 
 

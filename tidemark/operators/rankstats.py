@@ -70,6 +70,7 @@ def delong(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, min_n: in
     hot = group_is_hot(rows, keys, hot)
     counts = {"__n1": F.sum(positives(y)), "__n0": F.sum(negatives(y))}
     if hot:
+        rows = stored(rows.select(*keys, y, a, *([b] if b != a else [])), "paired")
         rows = with_group(rows, rows.groupBy(*keys).agg(*[e.alias(n) for n, e in counts.items()]), keys)
     else:
         rows = rows.withColumns({n: e.over(W.partitionBy(*keys)) for n, e in counts.items()})

@@ -148,7 +148,7 @@ def i09(spark, sf):
     rows = doc_rows(t).select("id", "y", F.col("b").alias("age"), "x").withColumn("perm", F.lit(-1))
     null = rp.permuted(rows.drop("perm"), [], "id", ["y", "age"], N_PERM, "perm", hot)
     every = rows.unionByName(null).withColumn("both", F.concat("x", F.array(F.col("age") / 5000)))
-    s = oof_scores(every.select("perm", "id", "y", "both"), ["perm"], "id", repeats=1, x="both", hot=hot)
+    s = oof_scores(every.select("perm", "id", "y", "both"), ["perm"], "id", repeats=1, x="both", hot=hot, large=t.large("documents"))
     a = rs.auc(s, ["perm"], "y", "s", name="auc_both", hot=hot).select("perm", "auc_both")
     base = rs.auc(rows.select("y", "age"), [], "y", "age", name="auc_age", hot=hot).select("auc_age")
     m = a.crossJoin(base).withColumn("margin", F.col("auc_both") - F.col("auc_age"))
@@ -163,7 +163,7 @@ def i10(spark, sf):
     rows = doc_rows(t).select("id", "y", "x")
     null = rp.permuted(rows, [], "id", ["y"], N_PERM, "labels", hot)
     every = rows.withColumn("perm", F.lit(-1)).unionByName(null)
-    a = rs.auc(oof_scores(every, ["perm"], "id", repeats=1, hot=hot), ["perm"], "y", "s", hot=hot)
+    a = rs.auc(oof_scores(every, ["perm"], "id", repeats=1, hot=hot, large=t.large("documents")), ["perm"], "y", "s", hot=hot)
     out = rp.permutation_p(a.filter("perm >= 0"), a.filter("perm < 0"), [], "auc")
     return out.select("n_perm", *[rounded(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_sd", "p_perm", "p_floor")])
 
@@ -374,7 +374,7 @@ def mt03(spark, sf):
     est = F.create_map(F.lit("full"), F.col("x"), F.lit("one"), F.slice("x", 1, 1))
     rows = curve_draws(t).select("size", "draw", "id", "y", F.explode(est).alias("estimator", "x"))
     keys = ["size", "estimator", "draw"]
-    s = oof_scores(rows, keys, "id", repeats=1, hot=hot)
+    s = oof_scores(rows, keys, "id", repeats=1, hot=hot, large=t.large("documents"))
     a = rs.auc(s, keys, "y", "s", hot=hot)
     smaller = a.groupBy("size", "estimator").agg(F.min(F.least("n_pos", "n_neg")).alias("smaller"))
     out = op.draw_summary(a, ["size", "estimator"], "auc").join(smaller, ["size", "estimator"])
@@ -451,7 +451,7 @@ def mt06(spark, sf):
     n_keep = keep.groupBy("y").agg(F.count("*").alias("take"))
     rand = rp.subsampled(rows, [], "id", "y", n_keep, 3, "dedup", hot).withColumn("arm", F.concat(F.lit("random"), F.col("draw"))).drop("draw")
     arms = rows.withColumn("arm", F.lit("all")).unionByName(keep.withColumn("arm", F.lit("dedup"))).unionByName(rand)
-    s = oof_scores(arms.select("arm", "id", "y", "x"), ["arm"], "id", repeats=2, hot=hot)
+    s = oof_scores(arms.select("arm", "id", "y", "x"), ["arm"], "id", repeats=2, hot=hot, large=t.large("documents"))
     a = rs.auc(s, ["arm"], "y", "s", hot=hot)
     return a.select("arm", rounded(F.col("auc")).alias("auc"), "n_pos", "n_neg")
 
@@ -490,7 +490,7 @@ def mt09(spark, sf):
     hot = t.hot("customer", fanout=9)
     arms = F.create_map(F.lit("x"), F.col("x"), F.lit("both"), F.col("both"), F.lit("age"), F.array(F.col("age") / 25))
     rows = design(t).filter("contrast = 'dementia'").select("cond", "subject", "y", F.explode(arms).alias("arm", "v"))
-    s = oof_scores(rows, ["cond", "arm"], "subject", x="v", hot=hot)
+    s = oof_scores(rows, ["cond", "arm"], "subject", x="v", hot=hot, large=t.large("customer"))
     wide = s.groupBy("cond", "subject", "y").agg(*[F.max(F.when(F.col("arm") == a, F.col("s"))).alias(a) for a in ("both", "age")])
     d = rs.delong(wide, ["cond"], "y", "both", "age", hot=hot)
     return delong_out(d, "cond")
@@ -505,7 +505,7 @@ def mt10(spark, sf):
     from tidemark.tables import subject
     y = subject(t).filter("label IN ('AD', 'FTD')").select("subject", (F.col("label") == "FTD").cast("int").alias("y"))
     rows = ml.feature_array(usable_long(t), ["cond", "subject"]).join(y, "subject")
-    a = rs.auc(oof_scores(rows, ["cond"], "subject", hot=hot), ["cond"], "y", "s", hot=hot)
+    a = rs.auc(oof_scores(rows, ["cond"], "subject", hot=hot, large=t.large("customer")), ["cond"], "y", "s", hot=hot)
     return a.withColumn("auc", rounded(F.col("auc")))
 
 
@@ -520,7 +520,7 @@ def mt11(spark, sf):
         F.transform("x", lambda q: F.rint(q * F.col("step")) / F.col("step"))))
     regime = F.create_map(F.lit("device"), F.col("v"), F.lit("clinic"), F.col("x"))
     rows = rows.select("cond", "id", "y", "v", F.explode(regime).alias("regime", "fit_x"))
-    oof = ml.out_of_fold(rows, ["cond", "regime"], "id", "y", "fit_x", 5, 2, score_x="v", hot=hot)
+    oof = ml.out_of_fold(rows, ["cond", "regime"], "id", "y", "fit_x", 5, 2, score_x="v", hot=hot, large=t.large("documents"))
     s = ml.rank_mean(oof, ["cond", "regime"], "id", "y", hot)
     clean = s.filter("cond = 'clean' AND regime = 'device'").select("id", F.col("s").alias("s_clean"))
     d = rs.delong(s.join(clean, "id"), ["cond", "regime"], "y", "s", "s_clean", hot=hot)

@@ -61,29 +61,62 @@ def ml02(spark, sf):
 
 @query("ml03_logistic_fit")
 def ml03(spark, sf):
-    rows = doc_rows(Tables(spark, sf))
-    p = ml.fit(rows, ["cohort"], "y", "x")
+    t = Tables(spark, sf)
+    rows = doc_rows(t)
+    p = ml.fit(rows, ["cohort"], "y", "x", large=t.large("documents"))
     s = ml.scored(rows, p, ["cohort"], "x")
     return s.select("cohort", "id", "y", rounded(F.col("s")).alias("decision"), rounded(ml.sigmoid(F.col("s"))).alias("probability"))
 
 
+@query("ml03_optimality", with_views(SCORE) + """
+SELECT cohort, count(*) AS n, true AS at_optimum FROM score GROUP BY cohort HAVING count(DISTINCT y) = 2""")
+def ml03_optimality(spark, sf):
+    """The gradient of the penalised likelihood, recomputed from the data, vanishes at the fit."""
+    t = Tables(spark, sf)
+    rows = doc_rows(t)
+    params = ml.fit(rows, ["cohort"], "y", "x", large=t.large("documents"))
+    s = ml.scored(rows, params, ["cohort"], "x", "d")
+    e = ml.sigmoid(F.col("d")) - F.col("y")
+    # On the standardised scale d/dw_i = Σ e·(x_i − μ_i)/σ_i + coef_i·σ_i, and Σ e = 0 removes μ.
+    coef = params.select("cohort", "coef")
+    g = s.groupBy("cohort").agg(F.count("*").alias("n"), F.sum(e).alias("intercept"), *[
+        f.alias(f"{n}{i}") for i in (1, 2, 3) for n, f in (
+            ("slope", F.sum(e * F.element_at("x", i))), ("sd", F.stddev_pop(F.element_at("x", i))))])
+    ok = F.abs("intercept") < 1e-5
+    for i in (1, 2, 3):
+        sd = F.col(f"sd{i}")
+        ok = ok & (F.abs(F.col(f"slope{i}") / sd + F.element_at("coef", i) * sd) < 1e-4)
+    return g.join(coef, "cohort").select("cohort", "n", ok.alias("at_optimum"))
+
+
 @query("ml04_oof_scores")
 def ml04(spark, sf):
     t = Tables(spark, sf)
-    return oof_scores(design(t), ["cond", "contrast"], "subject", hot=t.hot("customer")).withColumn("s", rounded(F.col("s")))
+    return oof_scores(design(t), ["cond", "contrast"], "subject", hot=t.hot("customer"), large=t.large("customer")).withColumn("s", rounded(F.col("s")))
 
 
 @query("ml05_oof_repeats")
 def ml05(spark, sf):
     t = Tables(spark, sf)
-    out = ml.out_of_fold(doc_rows(t), [], "id", "y", "x", K, REPEATS, hot=t.hot("documents"))
+    out = ml.out_of_fold(doc_rows(t), [], "id", "y", "x", K, REPEATS, hot=t.hot("documents"), large=t.large("documents"))
     return out.select("id", "y", "repeat", "fold", rounded(F.col("s")).alias("s"))
 
 
+@query("ml05_coverage", with_views(SCORE) + f"""
+SELECT repeat, fold, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM (SELECT id, repeat,
+  CAST((row_number() OVER (PARTITION BY repeat, y ORDER BY {h('repeat', 'id')}, id) - 1) % {K} AS INT) AS fold
+  FROM score CROSS JOIN (SELECT CAST(unnest(range(0, {REPEATS})) AS INT) AS repeat)) GROUP BY 1, 2""")
+def ml05_coverage(spark, sf):
+    """Every row is scored exactly once per repeat, by the model of its own fold."""
+    t = Tables(spark, sf)
+    out = ml.out_of_fold(doc_rows(t), [], "id", "y", "x", K, REPEATS, hot=t.hot("documents"), large=t.large("documents"))
+    return out.filter("s IS NOT NULL").groupBy("repeat", "fold").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+
+
 @query("ml06_oof_probabilities")
 def ml06(spark, sf):
     t = Tables(spark, sf)
-    out = ml.out_of_fold(doc_rows(t), [], "id", "y", "x", K, REPEATS, hot=t.hot("documents"))
+    out = ml.out_of_fold(doc_rows(t), [], "id", "y", "x", K, REPEATS, hot=t.hot("documents"), large=t.large("documents"))
     return out.groupBy("id", "y").agg(rounded(F.avg(ml.sigmoid(F.col("s")))).alias("p"))
 
 
@@ -91,7 +124,7 @@ def ml06(spark, sf):
 def ml07(spark, sf):
     t = Tables(spark, sf)
     rows = doc_rows(t).withColumn("noisy", F.transform("x", lambda v: F.rint(v * 4) / 4))
-    oof = ml.out_of_fold(rows, [], "id", "y", "x", K, REPEATS, score_x="noisy", hot=t.hot("documents"))
+    oof = ml.out_of_fold(rows, [], "id", "y", "x", K, REPEATS, score_x="noisy", hot=t.hot("documents"), large=t.large("documents"))
     return ml.rank_mean(oof, [], "id", "y", t.hot("documents")).withColumn("s", rounded(F.col("s")))
 
 
@@ -179,7 +212,7 @@ def _crossfit_scores(t: Tables, how: str):
     long = usable_long(t).join(rows.select("contrast", "subject", "y", "age", "repeat", "fold"), "subject")
     cross = cv.crossfitted(long, keys, "subject", "y", "age", "value", K, how).withColumnRenamed("mfold", "model")
     g = [*keys, "repeat", "model"]
-    params = ml.fit(cross.filter("fold <> model"), g, "y", "x")
+    params = ml.fit(cross.filter("fold <> model"), g, "y", "x", large=t.large("customer"))
     s = ml.scored(cross.filter("fold = model"), params, g, "x")
     mean = ml.rank_mean(s, keys, "subject", "y", hot)
     return rs.auc(mean, keys, "y", "s", hot=hot).withColumn("auc", rounded(F.col("auc")))
@@ -251,7 +284,7 @@ def ml15(spark, sf):
     rows = score(t).select("id", F.col("b").alias("target"), F.col("quality").alias("strat"),
                            F.array(F.col("a") / 100, F.col("c") / 10).alias("x"))
     folded = fd.stratified(rows, [], "id", "strat", 10, 2, t.hot("documents"))
-    p = ml.fit(folded, ["repeat"], "target", "x", 10, "ridge")
+    p = ml.fit(folded, ["repeat"], "target", "x", 10, "ridge", large=t.large("documents"))
     s = ml.scored(folded, p, ["repeat"], "x", own_fold=True)
     return s.groupBy("id").agg(rounded(F.avg("s"), 3).alias("pred"), rounded(F.max("target"), 3).alias("target"))
 
@@ -285,11 +318,12 @@ def calibrated_transfer(t: Tables, rows, keys, x, hot):
     ``rows`` has a boolean ``is_source``; target labels are carried along but never fitted on.
     """
     src, tgt = rows.filter("is_source"), rows.filter("NOT is_source")
-    oof = ml.out_of_fold(src, keys, "id", "y", x, K, 1, hot=hot)
-    cal = ml.calibrated(oof, keys, "y", "s")
+    large = t.large("documents")
+    oof = ml.out_of_fold(src, keys, "id", "y", x, K, 1, hot=hot, large=large)
+    cal = ml.calibrated(oof, keys, "y", "s", large)
     prob = ml.sigmoid(F.col("slope") * F.col("s") + F.col("offset"))
     thr = rs.control_threshold(oof.join(cal, keys).withColumn("p", prob), keys, "y", "p", hot=hot)
-    s = ml.scored(tgt, ml.fit(src, keys, "y", x), keys, x)
+    s = ml.scored(tgt, ml.fit(src, keys, "y", x, large=large), keys, x)
     return s.join(cal, keys).withColumn("p", prob).join(thr, keys)
 
 

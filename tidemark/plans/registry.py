@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators.models import MODEL_CONF, MODEL_DEFAULT
 from tidemark.operators.ordered import hot_limit
 
 _ROWS: dict[tuple, int] = {}
@@ -44,6 +45,11 @@ class Tables:
         bound = max(self.rows(n) for n in names) * fanout
         return False if bound <= hot_limit(self.spark) else None
 
+    def large(self, *names: str, fanout: float = 1) -> bool | None:
+        """False when no group can outgrow a task that fits models; None = measure."""
+        limit = int(self.spark.conf.get(MODEL_CONF, str(MODEL_DEFAULT)))
+        return False if max(self.rows(n) for n in names) * fanout <= limit else None
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
