@@ -80,9 +80,11 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], y: str, pred: str) ->
 
 
 def spans(df: DataFrame, keys: Sequence[str], item: str, value: str) -> DataFrame:
+    """Range of a value over a family and the items at its ends; items without a value are skipped."""
+    place = F.when(F.col(value).isNotNull(), F.struct(value, item))
     return df.groupBy(*keys).agg(
         (F.max(value) - F.min(value)).alias("span"),
-        F.max_by(item, F.struct(value, item)).alias("best"), F.min_by(item, F.struct(value, item)).alias("worst"))
+        F.max_by(item, place).alias("best"), F.min_by(item, place).alias("worst"))
 
 
 def draw_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -36,7 +36,7 @@ def _boot(seed: str, src: str, sid: str, cls: str, name: str = "w", keys: str =
 
 def _wauc(name: str, src: str, keys: str, y: str, s: str) -> str:
     """Weighted AUC by the tie histogram."""
-    return f"""{name} AS (SELECT {keys}, sum(p * (cq - q / 2.0e0)) / (sum(p) * CAST(sum(q) AS DOUBLE)) AS auc FROM (
+    return f"""{name} AS (SELECT {keys}, CASE WHEN sum(p) > 0 AND sum(q) > 0 THEN sum(p * (cq - q / 2.0e0)) / (sum(p) * CAST(sum(q) AS DOUBLE)) END AS auc FROM (
     SELECT {keys}, p, q, sum(q) OVER (PARTITION BY {keys} ORDER BY sv) AS cq FROM (SELECT {keys}, {s} AS sv,
       CAST(sum(CASE WHEN {y} = 1 THEN w ELSE 0 END) AS DOUBLE) AS p, CAST(sum(CASE WHEN {y} = 0 THEN w ELSE 0 END) AS DOUBLE) AS q
       FROM {src} GROUP BY {keys}, {s}) h_{name}) c_{name} GROUP BY {keys})"""
@@ -44,7 +44,7 @@ def _wauc(name: str, src: str, keys: str, y: str, s: str) -> str:
 
 @query("i04_bootstrap_auc_ci", with_views(SCORE, _boot("boot", "score", "id", "y", "w", "cohort"),
        "ws AS (SELECT w.cohort, w.b, w.y, w.w, a FROM w JOIN score s ON s.id = w.id)", _wauc("ba", "ws", "cohort, b", "y", "a")) + f"""
-SELECT cohort, {r('avg(auc)')} AS mean, {r('quantile_cont(auc, 0.025)')} AS ci_lo, {r('quantile_cont(auc, 0.975)')} AS ci_hi, count(*) AS n_replicates
+SELECT cohort, {r('avg(auc)')} AS mean, {r('quantile_cont(auc, 0.025)')} AS ci_lo, {r('quantile_cont(auc, 0.975)')} AS ci_hi, count(auc) AS n_replicates
 FROM ba GROUP BY cohort""")
 def i04(spark, sf):
     t = Tables(spark, sf)

@@ -138,21 +138,22 @@ def _mom(where: str = "value IS NOT NULL") -> str:
         "1.0e0", _T, f"pow({_T}, 2)", f"pow({_T}, 3)", f"pow({_T}, 4)", "value", f"{_T} * value", f"pow({_T}, 2) * value"]))
 
 
-def _solve(src: str, keys: str) -> str:
+def _solve(src: str, keys: str, min_n: int = 10) -> str:
     det = "(n * (t2 * t4 - t3 * t3) - t1 * (t1 * t4 - t3 * t2) + t2 * (t1 * t3 - t2 * t2))"
-    return f"""SELECT {keys}, CAST(n AS BIGINT) AS n,
- (x0 * (t2 * t4 - t3 * t3) - t1 * (x1 * t4 - t3 * x2) + t2 * (x1 * t3 - t2 * x2)) / {det} AS b0,
- (n * (x1 * t4 - t3 * x2) - x0 * (t1 * t4 - t3 * t2) + t2 * (t1 * x2 - x1 * t2)) / {det} AS b1,
- (n * (t2 * x2 - x1 * t3) - t1 * (t1 * x2 - x1 * t2) + x0 * (t1 * t3 - t2 * t2)) / {det} AS b2 FROM {src} WHERE n >= 10"""
+    ok = f"CASE WHEN n >= {min_n} AND abs({det}) > 1e-12 THEN"
+    return f"""SELECT {keys}, CAST(coalesce(n, 0) AS BIGINT) AS n,
+ {ok} (x0 * (t2 * t4 - t3 * t3) - t1 * (x1 * t4 - t3 * x2) + t2 * (x1 * t3 - t2 * x2)) / {det} END AS b0,
+ {ok} (n * (x1 * t4 - t3 * x2) - x0 * (t1 * t4 - t3 * t2) + t2 * (t1 * x2 - x1 * t2)) / {det} END AS b1,
+ {ok} (n * (t2 * x2 - x1 * t3) - t1 * (t1 * x2 - x1 * t2) + x0 * (t1 * t3 - t2 * t2)) / {det} END AS b2 FROM {src}"""
 
 
 _TR = f"(b0 + b1 * {_T} + b2 * {_T} * {_T})"
 OLS = f"""mo AS (SELECT cond, feature, {_mom()} FROM la GROUP BY 1, 2), ols AS ({_solve('mo', 'cond, feature')})"""
-NORM = f"""mc AS (SELECT cond, feature, {_mom()} FROM la WHERE label = 'CN' GROUP BY 1, 2), nm AS ({_solve('mc', 'cond, feature')} AND n >= 30),
+NORM = f"""mc AS (SELECT cond, feature, {_mom()} FROM la WHERE label = 'CN' GROUP BY 1, 2), nm AS ({_solve('mc', 'cond, feature', 30)}),
 sp AS (SELECT la.cond, la.feature, regr_slope(ln(abs(value - {_TR}) + 1e-9), age) AS g1, regr_intercept(ln(abs(value - {_TR}) + 1e-9), age) AS g0,
   min(age) AS age_lo, max(age) AS age_hi FROM la JOIN nm USING (cond, feature) WHERE label = 'CN' GROUP BY 1, 2),
-norm AS (SELECT * FROM nm JOIN sp USING (cond, feature)),
-zt AS (SELECT la.*, (value - {_TR}) / greatest(exp(g0 + g1 * age + {cv.LOG_ABS_TO_SD!r}), 1e-9) AS z FROM la JOIN norm USING (cond, feature))"""
+norm AS (SELECT *, b0 IS NOT NULL AND g0 IS NOT NULL AS usable FROM nm JOIN sp USING (cond, feature)),
+zt AS (SELECT la.*, CASE WHEN usable THEN (value - {_TR}) / greatest(exp(g0 + g1 * age + {cv.LOG_ABS_TO_SD!r}), 1e-9) END AS z FROM la JOIN norm USING (cond, feature))"""
 
 
 def long_age(t: Tables):
@@ -168,7 +169,7 @@ def ml08(spark, sf):
 
 
 @query("ml08_residuals", with_views(SUBJECT, CUBE, LONG_AGE, OLS) + f"""
-SELECT cond, feature, subject, {r(f'value - {_TR}')} AS resid FROM la JOIN ols USING (cond, feature)""")
+SELECT cond, feature, subject, {r(f'coalesce(value - {_TR}, value)')} AS resid FROM la JOIN ols USING (cond, feature)""")
 def ml08_resid(spark, sf):
     la = long_age(Tables(spark, sf))
     fit = cv.quadratic_fit(la, ["cond", "feature"], "age", "value")
@@ -178,7 +179,7 @@ def ml08_resid(spark, sf):
 CROSS = f"""fo AS (SELECT cond, feature, age, value, y, subject, fold FROM (SELECT k.subject, k.y, k.age,
     CAST((row_number() OVER (PARTITION BY y ORDER BY {h('0', 'subject')}, subject) - 1) % {K} AS INT) AS fold FROM contr k WHERE contrast = 'dementia') JOIN cube USING (subject)),
  mf AS (SELECT cond, feature, mfold, {_mom('value IS NOT NULL AND y = 0')} FROM fo CROSS JOIN (SELECT unnest(range(0, {K})) AS mfold) WHERE fold <> mfold GROUP BY 1, 2, 3),
- cf AS ({_solve('mf', 'cond, feature, mfold').replace('n >= 10', 'n >= 5')})"""
+ cf AS ({_solve('mf', 'cond, feature, mfold', 5)})"""
 
 
 @query("ml09_crossfit_residuals", with_views(SUBJECT, CONTRAST, CUBE, CROSS) + f"""
@@ -219,7 +220,7 @@ def _crossfit_scores(t: Tables, how: str):
 
 
 @query("ml10_normative_fit", with_views(SUBJECT, CUBE, LONG_AGE, NORM) + f"""
-SELECT cond, feature, n, {r('b0')} AS b0, {r('b1')} AS b1, {r('b2')} AS b2, {r('g0', 5)} AS g0, {r('g1')} AS g1, true AS usable,
+SELECT cond, feature, n, {r('b0')} AS b0, {r('b1')} AS b1, {r('b2')} AS b2, {r('g0', 5)} AS g0, {r('g1')} AS g1, usable,
   {r('age_lo')} AS age_lo, {r('age_hi')} AS age_hi FROM norm""")
 def ml10(spark, sf):
     la = long_age(Tables(spark, sf)).filter("label = 'CN'")

@@ -101,9 +101,10 @@ GRID = f"{dims.values_sql([(t,) for t in dims.net_benefit_grid()])} g(threshold)
 NB = f"""parm AS (SELECT cohort, 'pa' AS arm, y, pa AS p FROM prob UNION ALL SELECT cohort, 'pc', y, pc FROM prob),
 nbc AS (SELECT cohort, arm, threshold, count(*) AS n, avg(y) AS prev, count(*) FILTER (y = 1 AND p >= threshold) AS tp,
    count(*) FILTER (y = 0 AND p >= threshold) AS fp FROM parm CROSS JOIN {GRID} WHERE p IS NOT NULL GROUP BY 1, 2, 3),
-nb AS (SELECT *, 0.2e0 / prev AS w1, 0.8e0 / (1 - prev) AS w0 FROM nbc),
-nbv AS (SELECT cohort, arm, threshold, n, (w1 * tp - w0 * fp * threshold / (1 - threshold)) / n AS net_benefit,
-   0.2e0 - 0.8e0 * threshold / (1 - threshold) AS treat_all, (w1 * tp + w0 * fp) / n AS flagged FROM nb)"""
+nb AS (SELECT *, CASE WHEN prev > 0 THEN 0.2e0 / prev ELSE 0 END AS w1, CASE WHEN prev < 1 THEN 0.8e0 / (1 - prev) ELSE 0 END AS w0 FROM nbc),
+nbe AS (SELECT *, w1 * n * prev + w0 * n * (1 - prev) AS n_eff FROM nb),
+nbv AS (SELECT cohort, arm, threshold, n, (w1 * tp - w0 * fp * threshold / (1 - threshold)) / n_eff AS net_benefit,
+   0.2e0 - 0.8e0 * threshold / (1 - threshold) AS treat_all, (w1 * tp + w0 * fp) / n_eff AS flagged FROM nbe)"""
 
 
 def curves(t: Tables):
@@ -178,7 +179,7 @@ def a17(spark, sf):
 
 
 @query("a18_spans", with_views(SCORE, LONG, auc_cte("res", "slong", "cohort, arm", "y", "s")) + f"""
-SELECT arm, {r('max(auc) - min(auc)')} AS span, arg_max(cohort, (auc, cohort)) AS best, arg_min(cohort, (auc, cohort)) AS worst FROM res GROUP BY arm""")
+SELECT arm, {r('max(auc) - min(auc)')} AS span, arg_max(cohort, (auc, cohort)) FILTER (auc IS NOT NULL) AS best, arg_min(cohort, (auc, cohort)) FILTER (auc IS NOT NULL) AS worst FROM res GROUP BY arm""")
 def a18(spark, sf):
     t = Tables(spark, sf)
     x = rs.auc(rs.long_scores(score(t), ["cohort"], "y", ["a", "b", "c"]), ["cohort", "arm"], "y", "s", hot=t.hot("documents"))
@@ -367,12 +368,13 @@ def r09(spark, sf):
 
 
 @query("r10_conservative_reading", with_views(SCORE, LONG, auc_cte("res", "slong", "cohort, arm", "y", "s")) + f"""
-SELECT cohort, arg_min(arm, (auc, arm)) AS worst_arm, {r('min(auc)')} AS worst, arg_max(arm, (auc, arm)) AS best_arm, {r('max(auc)')} AS best FROM res GROUP BY 1""")
+SELECT cohort, arg_min(arm, (auc, arm)) FILTER (auc IS NOT NULL) AS worst_arm, {r('min(auc)')} AS worst, arg_max(arm, (auc, arm)) FILTER (auc IS NOT NULL) AS best_arm, {r('max(auc)')} AS best FROM res GROUP BY 1""")
 def r10(spark, sf):
     t = Tables(spark, sf)
     x = rs.auc(rs.long_scores(score(t), ["cohort"], "y", ["a", "b", "c"]), ["cohort", "arm"], "y", "s", hot=t.hot("documents"))
-    return x.groupBy("cohort").agg(F.min_by("arm", F.struct("auc", "arm")).alias("worst_arm"), rounded(F.min("auc")).alias("worst"),
-                                   F.max_by("arm", F.struct("auc", "arm")).alias("best_arm"), rounded(F.max("auc")).alias("best"))
+    ends = x.groupBy("cohort").agg(rounded(F.min("auc")).alias("low"), rounded(F.max("auc")).alias("high"))
+    return op.spans(x, ["cohort"], "arm", "auc").join(ends, "cohort").select(
+        "cohort", F.col("worst").alias("worst_arm"), F.col("low").alias("worst"), F.col("best").alias("best_arm"), F.col("high").alias("best"))
 
 
 @query("s01_report_formats", f"""
