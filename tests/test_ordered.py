@@ -36,6 +36,18 @@ def test_row_numbers_without_keys(spark, rows, small_limits):
     assert [r["id"] for r in out] == want and out[-1]["rn"] == len(data)
 
 
+def test_hot_leading_value_is_cut_again(spark, small_limits):
+    rng = random.Random(1)
+    data = [("g", 7.0 if i % 3 else float(rng.randint(0, 14)), i) for i in range(300)]
+    df = spark.createDataFrame(data, "g string, v double, id bigint")
+    cut = od._slices(df, KEYS, ["v", "id"], 300)
+    sizes = cut.groupBy("g", "__slice", "__sub").count().agg(F.max("count")).first()[0]
+    assert sizes < 60                      # the value 7.0 alone has over 200 rows
+    hot = od.row_numbers(df, KEYS, ["v", "id"])
+    want = {i: k for k, (_, i) in enumerate(sorted((v, i) for _, v, i in data), 1)}
+    assert {r["id"]: r["rn"] for r in hot.collect()} == want
+
+
 def test_midranks_match_brute_force(spark, rows, small_limits):
     df, data = rows
     for hot in (None, False):

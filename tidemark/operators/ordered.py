@@ -47,8 +47,8 @@ def _on_axis(df: DataFrame, col: str) -> Column:
     return (F.unix_date(col) if kind == "date" else F.col(col)).cast("double")
 
 
-def _slices(df: DataFrame, keys: list[str], lead: str, largest: int) -> DataFrame:
-    """Add ``__slice``: the place of ``lead`` among quantile cuts of its group, 0 in cold groups.
+def _cut(df: DataFrame, keys: list[str], lead: str, largest: int, name: str) -> DataFrame:
+    """Add ``name``: 1 + the place of ``lead`` among quantile cuts of its group, 0 in cold groups.
 
     The cuts come from a mergeable sketch and are written out before use, so every later read of
     the plan, also after a lost executor, sees the same slices.
@@ -66,15 +66,29 @@ def _slices(df: DataFrame, keys: list[str], lead: str, largest: int) -> DataFram
     below = lambda arr: F.size(F.filter(arr, lambda c: c < x))
     coarse = F.transform(F.sequence(F.lit(step), F.lit(n_cuts), F.lit(step)),
                          lambda i: F.element_at("__cuts", i))
-    major = below(coarse)
-    minor = below(F.slice("__cuts", F.least(major, F.lit(step - 1)) * step + 1, step))
-    place = F.least(major, F.lit(step - 1)) * step + minor
+    major = F.least(below(coarse), F.lit(step - 1))
+    minor = below(F.slice("__cuts", major * step + 1, step))
     return (df.join(cuts, keys, "left")
-            .withColumn("__slice", F.when(F.col("__cuts").isNull() | x.isNull(), F.lit(0))
-                        .otherwise(place))
+            .withColumn(name, F.when(F.col("__cuts").isNull() | x.isNull(), F.lit(0))
+                        .otherwise(major * step + minor + 1))
             .drop("__cuts"))
 
 
+def _slices(df: DataFrame, keys: list[str], order: Sequence[str], largest: int) -> DataFrame:
+    """Add ``__slice`` and ``__sub``, which together follow ``order`` and are small in hot groups.
+
+    A value of the leading column that is itself hot ends a slice (it covers whole cuts), and is
+    cut again along the second column; rows of other values have ``__sub`` 0 and come before it.
+    """
+    lead = order[0]
+    out = _cut(df, keys, lead, largest, "__slice")
+    if len(order) > 1 and dict(df.dtypes)[order[1]] != "string":
+        tied = largest_group(df, [*keys, lead])
+        if tied > hot_limit(df.sparkSession):
+            return _cut(out, [*keys, lead], order[1], tied, "__sub")
+    return out.withColumn("__sub", F.lit(0))
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             values: Mapping[str, Column], hot: bool | None = None, how: str = "sum") -> DataFrame:
     """Inclusive running sums (or maxima) in ``order`` within ``keys``; the order must be total."""
@@ -91,17 +105,17 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         out = df.withColumns({name: fn(e).over(w) for name, e in values.items()})
         return out.drop(ALL) if drop else out
     largest = largest if largest is not None else largest_group(df, keys)
-    cut = _slices(df, keys, order[0], largest)
-    part = [*keys, "__slice"]
+    cut = _slices(df, keys, order, largest)
+    part = [*keys, "__slice", "__sub"]
     w = W.partitionBy(*part).orderBy(*order).rowsBetween(*to_row)
     local = cut.withColumns({name: fn(e).over(w) for name, e in values.items()})
-    before = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("__slice", "__sub").rowsBetween(W.unboundedPreceding, -1)
     offsets = (cut.groupBy(*part).agg(*[fn(e).alias(f"__t_{n}") for n, e in values.items()])
                .select(*part, *[fn(f"__t_{n}").over(before).alias(f"__o_{n}") for n in values]))
     carry = (lambda n: F.coalesce(F.col(f"__o_{n}"), F.lit(0)) + F.col(n)) if how == "sum" else (
         lambda n: F.greatest(f"__o_{n}", n))
     out = local.join(offsets, part).withColumns({n: carry(n) for n in values})
-    out = out.drop("__slice", *[f"__o_{n}" for n in values])
+    out = out.drop("__slice", "__sub", *[f"__o_{n}" for n in values])
     return out.drop(ALL) if drop else out
 
 
