@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, quality
+from tidemark.llm import lines, mixing, packing, quality, simhash
 from tidemark.llm.common import table
 from tidemark.llm.queries import WORD_TOKENIZER
 from tidemark.session import stored
@@ -17,6 +17,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the three-line windows that occurred before."""
+    return lines.replaced(docs)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates."""
+    return simhash.representatives(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as the mix takes them."""
     return mixing.mix(docs)
@@ -29,6 +39,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality", keep_quality),
+    ("line-dedup", drop_repeated_lines),
+    ("near-dedup", keep_distinct),
     ("mix", mix_sources),
     ("pack", pack_sequences),
 ]

@@ -7,7 +7,8 @@ words begin at ``c`` gets the position where the cumulative demand reaches ``c``
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and share ``budget`` times all words; a target stops
 at ``most`` times the source's words and the excess is shared anew by weight until none is above.
 
-A document is taken whole or not at all in each pass: in the last pass, those whose greater part lies below the target.
+A document is taken whole or not at all in each pass: in the last pass, those that end below the target, and of the next
+``candidates`` documents those that still fit.
 
 Defined results: a null or empty text has size 0 and takes nothing; equal rows are interchangeable; a null source is a source of
 its own; no rows give no rows. Rerunning gives the same result on any layout, since the order is a hash of the row.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.llm.common import WORD, whole
+from tidemark.session import stored
 
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST = 1.5, 2
@@ -37,7 +39,7 @@ def size_of(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """``source, n, source_size`` to ``source, source_size, n, rank, target``: shares by weight under a ceiling for each source."""
+    """``source, source_size`` to ``source, source_size, rank, target``: shares by weight under a ceiling for each source."""
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     ranked = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -53,7 +55,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
             .withColumn("level", F.col("left_words") / F.col("left_weight")))
     open_level = F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", "rank", "level"))).over(everything)["level"]
     return rows.withColumn("open", open_level).select(
-        "source", "source_size", "n", "rank",
+        "source", "source_size", "rank",
         F.when(F.col("open").isNull(), ceiling).otherwise(F.least(ceiling, F.col("open") * weight)).alias("target"))
 
 
@@ -73,32 +75,68 @@ def position(share: Column, knots: Sequence[float]) -> Column:
     return out
 
 
+def _begins(rows: DataFrame, starts: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with the place of each row's first word on its source's line, and the columns of its source."""
+    within = W.partitionBy("source", "slice").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.join(starts, rows["source"].eqNullSafe(starts["s"]) & (rows["slice"] == starts["k"])).drop("s", "k")
+    sources = sources.withColumnRenamed("source", "s")
+    rows = rows.join(sources, rows["source"].eqNullSafe(sources["s"])).drop("s")
+    # The target ends inside this pass; all passes before it are taken whole.
+    return rows.withColumn("begin", F.col("slice_start") + F.col("inside")).withColumn(
+        "last", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+
+
+def _last_end(rows: DataFrame) -> Column:
+    return F.col("begin") + F.col("size") + F.col("last") * F.col("source_size")
+
+
+def _fillers(rows: DataFrame, candidates: int) -> DataFrame:
+    """For each source, the places of the documents that fill the gap between the last whole document and the target.
+
+    The ``candidates`` documents from the target on are offered in order; each that still fits is taken.
+    """
+    offered = (rows.where((F.col("size") > 0) & (_last_end(rows) > F.col("target")))
+               .withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("begin")))
+               .where(F.col("nth") <= candidates))
+    lists = offered.groupBy("source").agg(
+        F.array_sort(F.collect_list(F.struct("begin", "size"))).alias("offers"),
+        F.first(F.col("target") - F.col("last") * F.col("source_size")).alias("goal"))
+    free = F.col("goal") - F.element_at("offers", 1)["begin"]
+    taken = F.aggregate(
+        "offers", F.struct(free.cast("double").alias("free"), F.lit([]).cast("array<bigint>").alias("places")),
+        lambda a, x: F.when(x["size"] <= a["free"], F.struct(
+            (a["free"] - x["size"]).alias("free"), F.concat(a["places"], F.array(x["begin"])).alias("places"))).otherwise(a))
+    return lists.select(F.col("source").alias("s"), taken["places"].alias("fill"))
+
+
 def placed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES,
-           budget: float = BUDGET, most: float = MOST) -> DataFrame:
+           budget: float = BUDGET, most: float = MOST, candidates: int = 64) -> DataFrame:
     """Each document as ``row`` with ``size, source_size, target`` and ``takes``: the positions at which it is taken."""
     key = F.xxhash64(F.lit(17), docs["doc_id"], docs["text"], docs["source"])
     sized = docs.select(whole(docs), docs["source"].alias("source"), size_of(docs["text"]).alias("size"), key.alias("key"))
+    narrow = stored(sized.drop("row"), "sizes")
     # The number of slices is a statistic of all rows: about the square root of their number.
-    bits = max(1, math.ceil(math.log2(max(1, docs.count())) / 2))
-    sized = sized.withColumn("slice", F.shiftrightunsigned("key", 64 - bits))
-    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
-    sources = targets(slices.groupBy("source").agg(F.sum("n").alias("n"), F.sum("words").alias("source_size")), weights, budget, most)
+    bits = max(1, math.ceil(math.log2(max(1, narrow.count())) / 2))
+    slice_of = F.shiftrightunsigned("key", 64 - bits)
+    narrow, sized = narrow.withColumn("slice", slice_of), sized.withColumn("slice", slice_of)
+    slices = narrow.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    sources = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, most)
     starts = slices.select(
         F.col("source").alias("s"), F.col("slice").alias("k"),
         F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         .alias("slice_start"))
-    within = W.partitionBy("source", "slice").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(starts, rows["source"].eqNullSafe(starts["s"]) & (rows["slice"] == starts["k"])).drop("s", "k")
-    sources = sources.withColumnRenamed("source", "s").drop("n")
-    rows = rows.join(sources, rows["source"].eqNullSafe(sources["s"])).drop("s")
-    begins = F.col("slice_start") + F.col("inside")
-    passes = F.array(*[begins + F.col("source_size") * p for p in range(math.ceil(most))])
-    taken = F.filter(passes, lambda c: (F.col("size") > 0) & (c + F.col("size") / 2 <= F.col("target")))
+    fill = _fillers(_begins(narrow, starts, sources), candidates)
+    sources = sources.join(fill, sources["source"].eqNullSafe(fill["s"]), "left").drop("s")
+    rows = _begins(sized, starts, sources)
+    passes = F.array(*[F.struct(F.lit(p).alias("p"), (F.col("begin") + F.col("source_size") * p).alias("c")) for p in range(math.ceil(most))])
+    filling = F.coalesce(F.array_contains("fill", F.col("begin")), F.lit(False))
+    taken = F.filter(passes, lambda x: (F.col("size") > 0) & (
+        (x["c"] + F.col("size") <= F.col("target")) | ((x["p"] == F.col("last")) & filling)))
     pick = (F.col("rank") % len(schedules)).cast("int")
 
-    def when(c: Column) -> Column:
-        share = F.least(c / F.col("target"), F.lit(1.0))
+    def when(x: Column) -> Column:
+        share = F.least(x["c"] / F.col("target"), F.lit(1.0))
         out = position(share, schedules[-1])
         for i, knots in enumerate(schedules[:-1]):
             out = F.when(pick == i, position(share, knots)).otherwise(out)

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, pii, quality
+from tidemark.llm import chat, lines, mixing, packing, pii, quality, simhash
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,28 @@ def op10_quality(spark, sf_dir):
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(model, docs["text"]).alias("score"))
     return scored.select("*", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+@query
+def op1_line_dedup(spark, sf_dir):
+    rows = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "text", "lines", F.col("removed").alias("lines_removed"))
+
+
+ORACLES["op1_line_dedup"] = lines.ORACLE
+
+
+@query
+def op5_simhash(spark, sf_dir):
+    groups = simhash.grouped(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_format_chats(spark, sf_dir):
+    said = F.lit("</s>[INST] ok [/INST]")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.digests(chat.formatted(turns.unionByName(probe)))
