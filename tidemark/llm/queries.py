@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, lines, mixing, packing, pii, quality, simhash
+from tidemark.llm import chat, lines, mixing, packing, pii, quality, simhash, syncmers, vectors
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,19 @@ def op7_format_chats(spark, sf_dir):
         F.lit(-1).alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     return chat.digests(chat.formatted(turns.unionByName(probe)))
+
+
+@query
+def op2_fingerprints(spark, sf_dir):
+    rows = syncmers.compared(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.written(F.col("marks")).alias("fingerprint"), syncmers.written(F.col("edited_marks")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
+        syncmers.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))
+
+
+@query
+def op4_near_vectors(spark, sf_dir):
+    rows = vectors.grouped(table(spark, sf_dir, "embeddings"))
+    return rows.select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
