@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, lines, mixing, packing, pii, quality, simhash, syncmers, vectors
+from tidemark.llm import chat, licenses, lines, mixing, packing, pii, quality, simhash, syncmers, vectors
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op2_fingerprints(spark, sf_dir):
 def op4_near_vectors(spark, sf_dir):
     rows = vectors.grouped(table(spark, sf_dir, "embeddings"))
     return rows.select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
