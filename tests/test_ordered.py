@@ -38,16 +38,60 @@ def test_row_numbers_without_keys(spark, rows, small_limits):
 
 def test_hot_leading_value_is_cut_again(spark, small_limits):
     rng = random.Random(1)
-    data = [("g", 7.0 if i % 3 else float(rng.randint(0, 14)), i) for i in range(300)]
-    df = spark.createDataFrame(data, "g string, v double, id bigint")
-    cut = od._slices(df, KEYS, ["v", "id"], 300)
-    sizes = cut.groupBy("g", "__slice", "__sub").count().agg(F.max("count")).first()[0]
+    data = [("g", 7.0 if i % 3 else float(rng.randint(0, 14)), f"id{i}") for i in range(300)]
+    df = spark.createDataFrame(data, "g string, v double, id string")
+    cut = od._ranges(df, KEYS, ["v", "id"])
+    sizes = cut.groupBy("g", "__range").count().agg(F.max("count")).first()[0]
     assert sizes < 60                      # the value 7.0 alone has over 200 rows
     hot = od.row_numbers(df, KEYS, ["v", "id"])
     want = {i: k for k, (_, i) in enumerate(sorted((v, i) for _, v, i in data), 1)}
     assert {r["id"]: r["rn"] for r in hot.collect()} == want
 
 
+@pytest.fixture(scope="module")
+def odd_rows(spark):
+    """Null keys, null values, NaN, ties of strings, whole groups of nulls."""
+    rng = random.Random(9)
+    data = [(rng.choice(["a", "a", "b", None]), rng.choice(["x", "y", "y", None]),
+             rng.choice([None, None, float("nan"), 1.0, 2.0, -3.5]), rng.choice([None, 1, 2, 5]), i) for i in range(200)]
+    data += [("nulls", None, None, None, 1000 + i) for i in range(30)]
+    return spark.createDataFrame(data, "g string, s string, v double, x long, id long")
+
+
+def plain(df):
+    return sorted(repr(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
+
+
+@pytest.mark.parametrize("how", ["sum", "max"])
+@pytest.mark.parametrize("keys, order", [(["g"], ["s", "id"]), (["g", "s"], ["v", "id"]), ([], ["s", "v", "id"])])
+def test_both_ways_give_the_same_rows(odd_rows, small_limits, how, keys, order):
+    run = lambda hot: od.running(odd_rows, keys, order, {"c": F.col("x")}, hot, how)
+    assert plain(run(None)) == plain(run(True)) == plain(run(False))
+
+
+def test_both_ways_of_ranks_quantiles_and_neighbours(odd_rows, small_limits):
+    known = odd_rows.filter("v is not null")
+    for fn in (lambda h: od.midranks(known, ["g"], "v", hot=h), lambda h: od.quantiles(odd_rows.filter("not isnan(v)"), ["g"], "v", {"q": 0.3}, h),
+               lambda h: od.neighbours(odd_rows.withColumn("r", (F.col("id") % 3 == 0).cast("int")), ["g"], "x", "r", h)):
+        assert plain(fn(True)) == plain(fn(False))
+
+
+@pytest.mark.parametrize("operator", ["row_numbers", "midranks", "quantiles", "running"])
+def test_large_way_evaluates_its_input_twice_at_most(spark, small_limits, operator):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([("g", float(i % 7), i) for i in range(100)], "g string, v double, id long").mapInPandas(count, "g string, v double, id long")
+    out = {"row_numbers": lambda: od.row_numbers(df, KEYS, ["v", "id"]), "midranks": lambda: od.midranks(df, KEYS, "v"),
+           "quantiles": lambda: od.quantiles(df, KEYS, "v", {"q": 0.5}), "running": lambda: od.running(df, KEYS, ["v", "id"], {"c": F.col("id")})}
+    assert out[operator]().count() > 0
+    assert seen.value <= 200
+
+
 def test_midranks_match_brute_force(spark, rows, small_limits):
     df, data = rows
     for hot in (None, False):

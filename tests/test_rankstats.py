@@ -68,6 +68,16 @@ def test_delong_degenerate_and_one_class(frame):
     assert out["small"]["diff"] is None and out["small"]["n"] == 30
 
 
+def test_delong_of_one_swapped_pair_in_many(spark):
+    """A tiny variance is not zero: z is about -0.71, p about 0.48."""
+    n = 10_000
+    base = spark.range(2 * n).select((F.col("id") < n).cast("int").alias("y"), (-F.col("id")).cast("double").alias("a"))
+    swapped = F.when(F.col("a") == -(n - 1), -float(n)).when(F.col("a") == -n, -float(n - 1)).otherwise(F.col("a"))
+    r = rs.delong(base.withColumn("b", swapped).withColumn("g", F.lit("g")), ["g"], "y", "b", "a", hot=False).first()
+    assert abs(r["z"] + 0.7071) < 1e-3 and abs(r["p"] - 0.4795) < 1e-3
+    assert r["diff"] < 0 and r["ci_lo"] < 0 < r["ci_hi"]
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_holm(spark, small_limits, hot):
     p = [0.01, 0.04, 0.03, 0.005, 0.5, 0.9, 0.04, None]

@@ -1,13 +1,13 @@
 """Ordered computations that stay distributed when one group is huge.
 
-A window over a group runs in one task. That is fine until one group holds a large share of the
-table, so each entry point measures its largest group first. Below the limit the plain window is
-used; above it, the hot groups are cut into value-ordered slices, every slice is scanned on its
-own, and slice totals (a few hundred rows per hot group) supply the offsets. Both ways are exact.
+A window over a group runs in one task. Each entry point measures its largest group first. Below the
+limit the plain window is used; above it the input is stored once and range-sorted by group and order,
+every range is scanned on its own, and the totals of a group's earlier ranges (one row for each group and
+range) are carried in. Ranges split a group anywhere, also among ties of the leading columns, whatever
+their type. Both ways give the same rows: null keys are a group, and a sum is null until its first value.
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +18,6 @@ from tidemark.session import stored
 
 HOT_CONF = "spark.tidemark.hotGroupRows"
 HOT_DEFAULT = 2_000_000
-ALL = "__all"
 
 
 def hot_limit(spark: SparkSession) -> int:
@@ -38,85 +37,48 @@ def group_is_hot(df: DataFrame, keys: Sequence[str], hot: bool | None = None) ->
     return hot if hot is not None else largest_group(df, keys) > hot_limit(df.sparkSession)
 
 
-def _on_axis(df: DataFrame, col: str) -> Column:
-    """The leading order column as a double that keeps its order (times included)."""
-    kind = dict(df.dtypes)[col]
-    if kind == "timestamp_ntz":
-        day = F.unix_date(F.col(col).cast("date")) * 86400.0
-        return day + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-    return (F.unix_date(col) if kind == "date" else F.col(col)).cast("double")
-
+def same_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null; the columns of ``left`` come first, keys once."""
+    if not keys:
+        return left.crossJoin(right)
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"__r_{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*[f"__r_{k}" for k in keys])
 
-def _cut(df: DataFrame, keys: list[str], lead: str, largest: int, name: str) -> DataFrame:
-    """Add ``name``: 1 + the place of ``lead`` among quantile cuts of its group, 0 in cold groups.
 
-    The cuts come from a mergeable sketch and are written out before use, so every later read of
-    the plan, also after a lost executor, sees the same slices.
-    """
-    limit = hot_limit(df.sparkSession)
-    step = max(2, min(100, math.isqrt(2 * math.ceil(largest / limit)) + 1))
-    n_cuts = step * step
-    hot_keys = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-    probs = [i / (n_cuts + 1) for i in range(1, n_cuts + 1)]
-    x = _on_axis(df, lead)
-    cuts = stored(
-        df.join(hot_keys, keys, "left_semi").groupBy(*keys).agg(
-            F.percentile_approx(x, probs, 10 * n_cuts).alias("__cuts")),
-        "cuts")
-    below = lambda arr: F.size(F.filter(arr, lambda c: c < x))
-    coarse = F.transform(F.sequence(F.lit(step), F.lit(n_cuts), F.lit(step)),
-                         lambda i: F.element_at("__cuts", i))
-    major = F.least(below(coarse), F.lit(step - 1))
-    minor = below(F.slice("__cuts", major * step + 1, step))
-    return (df.join(cuts, keys, "left")
-            .withColumn(name, F.when(F.col("__cuts").isNull() | x.isNull(), F.lit(0))
-                        .otherwise(major * step + minor + 1))
-            .drop("__cuts"))
-
-
-def _slices(df: DataFrame, keys: list[str], order: Sequence[str], largest: int) -> DataFrame:
-    """Add ``__slice`` and ``__sub``, which together follow ``order`` and are small in hot groups.
-
-    A value of the leading column that is itself hot ends a slice (it covers whole cuts), and is
-    cut again along the second column; rows of other values have ``__sub`` 0 and come before it.
-    """
-    lead = order[0]
-    out = _cut(df, keys, lead, largest, "__slice")
-    if len(order) > 1 and dict(df.dtypes)[order[1]] != "string":
-        tied = largest_group(df, [*keys, lead])
-        if tied > hot_limit(df.sparkSession):
-            return _cut(out, [*keys, lead], order[1], tied, "__sub")
-    return out.withColumn("__sub", F.lit(0))
+def _ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df``, evaluated once, with ``__range``: numbers that follow ``keys`` and ``order``."""
+    rows = stored(df, "rows")
+    n = max(2, -(-rows.count() // hot_limit(df.sparkSession)))
+    spread = rows.repartitionByRange(n, *keys, *order)
+    return stored(spread.withColumn("__range", F.spark_partition_id()), "ranges")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             values: Mapping[str, Column], hot: bool | None = None, how: str = "sum") -> DataFrame:
-    """Inclusive running sums (or maxima) in ``order`` within ``keys``; the order must be total."""
+    """Inclusive running sums (or maxima) in ``order`` within ``keys``; the order must be total.
+
+    A null value adds nothing; the result is null before the first value.
+    """
     keys = list(keys)
     fn = {"sum": F.sum, "max": F.max}[how]
-    drop = not keys
-    if drop:
-        df, keys = df.withColumn(ALL, F.lit(0)), [ALL]
-    largest = None if hot is not None else largest_group(df, keys)
-    is_hot = hot if hot is not None else largest > hot_limit(df.sparkSession)
     to_row = (W.unboundedPreceding, W.currentRow)
-    if not is_hot:
+    if not group_is_hot(df, keys, hot):
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(*to_row)
-        out = df.withColumns({name: fn(e).over(w) for name, e in values.items()})
-        return out.drop(ALL) if drop else out
-    largest = largest if largest is not None else largest_group(df, keys)
-    cut = _slices(df, keys, order, largest)
-    part = [*keys, "__slice", "__sub"]
+        return df.withColumns({name: fn(e).over(w) for name, e in values.items()})
+    cut = _ranges(df, keys, order)
+    part = [*keys, "__range"]
     w = W.partitionBy(*part).orderBy(*order).rowsBetween(*to_row)
     local = cut.withColumns({name: fn(e).over(w) for name, e in values.items()})
-    before = W.partitionBy(*keys).orderBy("__slice", "__sub").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (cut.groupBy(*part).agg(*[fn(e).alias(f"__t_{n}") for n, e in values.items()])
                .select(*part, *[fn(f"__t_{n}").over(before).alias(f"__o_{n}") for n in values]))
-    carry = (lambda n: F.coalesce(F.col(f"__o_{n}"), F.lit(0)) + F.col(n)) if how == "sum" else (
-        lambda n: F.greatest(f"__o_{n}", n))
-    out = local.join(offsets, part).withColumns({n: carry(n) for n in values})
-    out = out.drop("__slice", "__sub", *[f"__o_{n}" for n in values])
-    return out.drop(ALL) if drop else out
+    joined = same_group(local, offsets, part)
+    if how == "sum":
+        carried = {n: F.coalesce(F.col(f"__o_{n}") + F.col(n), f"__o_{n}", n) for n in values}
+    else:
+        carried = {n: F.greatest(f"__o_{n}", n) for n in values}
+    return joined.withColumns(carried).drop("__range", *[f"__o_{n}" for n in values])
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
@@ -141,10 +103,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[str, f
     if not is_hot:
         return df.groupBy(*keys).agg(
             *[F.percentile(value, F.lit(float(q))).alias(n) for n, q in qs.items()])
-    hist = histogram(df, keys, value, {"__n": F.lit(1)})
+    hist = stored(histogram(df, keys, value, {"__n": F.lit(1)}), "histogram")
     cum = running(hist, keys, [value], {"__c": F.col("__n")})
-    total = df.groupBy(*keys).agg(F.count("*").alias("__total"))
-    cum = cum.join(total, keys) if keys else cum.crossJoin(total)
+    cum = same_group(cum, hist.groupBy(*keys).agg(F.sum("__n").alias("__total")), keys)
     aggs = []
     for i, q in enumerate(qs.values()):
         pos = (F.col("__total") - 1) * F.lit(float(q))
@@ -176,11 +137,12 @@ def counts_through(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping
         tie = W.partitionBy(*keys, value)
         return df.withColumns({n: F.sum(e).over(upto) - F.sum(e).over(tie) / 2
                                for n, e in sums.items()})
-    hist = histogram(df, keys, value, {f"__h_{n}": e for n, e in sums.items()})
+    df = stored(df, "rows")
+    hist = stored(histogram(df, keys, value, {f"__h_{n}": e for n, e in sums.items()}), "histogram")
     cum = running(hist, keys, [value], {f"__c_{n}": F.col(f"__h_{n}") for n in sums})
     placed = cum.select(*keys, value, *[
         (F.col(f"__c_{n}") - F.col(f"__h_{n}") / 2).alias(n) for n in sums])
-    return df.join(placed, [*keys, value])
+    return same_group(df, placed, [*keys, value])
 
 
 def midranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "midrank",
@@ -194,19 +156,20 @@ def neighbours(df: DataFrame, keys: Sequence[str], value: str, is_ref: str,
                hot: bool | None = None) -> DataFrame:
     """Add lo and hi: the closest reference values at or below and at or above each row's value.
 
-    Both sides are sorted together once; pairs are never enumerated.
+    A row without a value has neither. Both sides are sorted together once; pairs are never enumerated.
     """
     keys = list(keys)
     ref = F.when(F.col(is_ref) == 1, F.col(value))
     if not group_is_hot(df, keys, hot):
         w = W.partitionBy(*keys).orderBy(value)
+        known = F.col(value).isNotNull()
         return df.withColumns({
-            "lo": F.max(ref).over(w.rangeBetween(W.unboundedPreceding, W.currentRow)),
-            "hi": F.min(ref).over(w.rangeBetween(W.currentRow, W.unboundedFollowing))})
+            "lo": F.when(known, F.max(ref).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))),
+            "hi": F.when(known, F.min(ref).over(w.rangeBetween(W.currentRow, W.unboundedFollowing)))})
     # Distinct values carry the running maximum of the references; the mirror image gives hi.
-    vals = df.groupBy(*keys, value).agg(F.max(ref).alias("__r")).withColumn("__neg", -F.col(value))
+    df = stored(df, "rows")
+    vals = stored(df.groupBy(*keys, value).agg(F.max(ref).alias("__r")).withColumn("__neg", -F.col(value)), "values")
     up = running(vals, keys, [value], {"lo": F.col("__r")}, how="max")
     down = running(vals, keys, ["__neg"], {"__m": -F.col("__r")}, how="max")
-    both = up.select(*keys, value, "lo").join(
-        down.select(*keys, value, (-F.col("__m")).alias("hi")), [*keys, value])
-    return df.join(both, [*keys, value])
+    both = same_group(up.select(*keys, value, "lo"), down.select(*keys, value, (-F.col("__m")).alias("hi")), [*keys, value])
+    return same_group(df, both, [*keys, value])

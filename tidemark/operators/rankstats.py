@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import Z95, normal_two_sided, ratio
 from tidemark.operators.ordered import (counts_through, group_is_hot, histogram, quantiles,
-                                        running)
+                                        running, same_group)
 from tidemark.session import stored
 
 Y1, Y0 = 1, 0
@@ -31,7 +31,7 @@ def auc(df: DataFrame, keys: Sequence[str], y: str, s: str, weight: str | None =
     df = df.filter(F.col(s).isNotNull())
     p, q = w * positives(y), w * negatives(y)
     if group_is_hot(df, keys, hot):
-        hist = histogram(df, keys, s, {"__p": p, "__q": q})
+        hist = stored(histogram(df, keys, s, {"__p": p, "__q": q}), "histogram")
         cum = running(hist, keys, [s], {"__cq": F.col("__q")})
         cum = cum.withColumn("__b", F.col("__cq") - F.col("__q") / 2)
     else:
@@ -80,9 +80,11 @@ def delong(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, min_n: in
     def cov(cls: Column, u: str, v: str) -> Column:
         return F.covar_samp(F.when(cls, F.col(u)), F.when(cls, F.col(v)))
 
+    def own(cls: Column, n: str) -> Column:
+        return (cov(cls, "__va", "__va") + cov(cls, "__vb", "__vb")) / F.max(n)
+
     def term(cls: Column, n: str) -> Column:
-        return (cov(cls, "__va", "__va") + cov(cls, "__vb", "__vb")
-                - 2 * cov(cls, "__va", "__vb")) / F.max(n)
+        return own(cls, n) - 2 * cov(cls, "__va", "__vb") / F.max(n)
 
     n = F.max(F.col("__n1") + F.col("__n0"))
     ok = (F.max("__n1") > 0) & (F.max("__n0") > 0) & (n >= min_n)
@@ -90,9 +92,11 @@ def delong(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, min_n: in
         n.alias("n"),
         F.when(ok, F.avg(F.when(pos, F.col("__va")))).alias("auc_a"),
         F.when(ok, F.avg(F.when(pos, F.col("__vb")))).alias("auc_b"),
-        F.when(ok, term(pos, "__n1") + term(neg, "__n0")).alias("__var"))
+        F.when(ok, term(pos, "__n1") + term(neg, "__n0")).alias("__var"),
+        F.when(ok, own(pos, "__n1") + own(neg, "__n0")).alias("__own"))
     diff = F.col("auc_a") - F.col("auc_b")
-    flat = F.col("__var") <= 1e-15
+    # Zero up to rounding, measured against the two variances it is the difference of.
+    flat = F.col("__var") <= 1e-13 * F.col("__own")
     est = est.select(*keys, "n", "auc_a", "auc_b", diff.alias("diff"),
                      F.when(flat, 0.0).otherwise(F.sqrt("__var")).alias("se"), flat.alias("__flat"))
     est = est.withColumn("z", F.when(F.col("__flat"), 0.0).otherwise(F.col("diff") / F.col("se")))
@@ -137,7 +141,7 @@ def control_threshold(df: DataFrame, keys: Sequence[str], y: str, s: str, spec:
 
 
 def with_group(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    return df.join(table, list(keys), how) if keys else df.crossJoin(table)
+    return same_group(df, table, list(keys), how)
 
 
 def read_at(df: DataFrame, keys: Sequence[str], y: str, s: str, threshold: str = "threshold",

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.operators.models import MODEL_CONF, MODEL_DEFAULT
 from tidemark.operators.ordered import hot_limit
 
-_ROWS: dict[tuple, int] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,14 +27,13 @@ class Tables:
     """The parquet tables of one scale-factor folder, read on demand."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._counts = spark, folder, {}
 
     def rows(self, name: str) -> int:
-        """Row count of a table from the Parquet footers, kept for the life of the application."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in _ROWS:
-            _ROWS[key] = getattr(self, name).count()
-        return _ROWS[key]
+        """Row count of a table from the Parquet footers, read once for each query."""
+        if name not in self._counts:
+            self._counts[name] = getattr(self, name).count()
+        return self._counts[name]
 
     def hot(self, *names: str, fanout: float = 1) -> bool | None:
         """False when the largest named table, times a known fan-out, cannot hold a hot group.

@@ -64,8 +64,8 @@ def delong_cte(name: str, src: str, keys: str, y: str, a: str, b: str) -> str:
         + (covar_samp(va, va) FILTER (y_ = 0) + covar_samp(vb, vb) FILTER (y_ = 0)
           - 2 * covar_samp(va, vb) FILTER (y_ = 0)) / max(n0) AS var_ FROM {name}_v GROUP BY {keys}),
       {name} AS (SELECT * EXCLUDE (var_),
-          auc_a - auc_b AS diff, CASE WHEN var_ <= 1e-15 THEN 0.0e0 ELSE sqrt(var_) END AS se,
-          CASE WHEN var_ <= 1e-15 THEN 0.0e0 ELSE (auc_a - auc_b) / sqrt(var_) END AS z, var_ <= 1e-15 AS flat
+          auc_a - auc_b AS diff, CASE WHEN var_ <= 0 THEN 0.0e0 ELSE sqrt(var_) END AS se,
+          CASE WHEN var_ <= 0 THEN 0.0e0 ELSE (auc_a - auc_b) / sqrt(var_) END AS z, var_ <= 0 AS flat
         FROM (SELECT DISTINCT {keys}, n1 + n0 AS n FROM {name}_src) g LEFT JOIN {name}_e USING ({keys}))"""
 
 
