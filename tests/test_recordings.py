@@ -84,6 +84,7 @@ def test_quantise_is_half_even_and_clipped(spark):
     got = [r[0] for r in df.select(dg.quantised(F.col("x"), 3, 8.0)).collect()]
     assert got == [0.0, 2.0, 2.0, 4.0, -4.0]
     assert df.select(dg.quantised(F.col("x"), F.lit(None).cast("int"), 8.0)).first()[0] == 0.5
+    assert dg.converted_rows(np.array([r[0] for r in df.select("x").collect()]), 3, 8.0).tolist() == got
 
 
 def test_subset_reference_removes_the_old_reference(spark):
@@ -159,13 +160,14 @@ def test_sweep_derives_the_same_signals_as_the_montage_operator(spark):
     x = np.stack([raw["r", c] for c in sorted(dims.CANON)])[None]
     n = 0
     for m in dims.MONTAGES:
-        sig, names = sw.derived(x, sorted(dims.CANON), m)
+        matrix, names = sw.mixing(sorted(dims.CANON), m)
+        sig = matrix @ x[0]
         for i, c in enumerate(names):
             for t in range(8):
-                assert abs(sig[0, i, t] - want[m, c, t]) < 1e-12
+                assert abs(sig[i, t] - want[m, c, t]) < 1e-12
                 n += 1
     assert n == len(want)
-    assert sw.derived(x[:, :3], ["Fp1", "Fp2", "F7"], "b4") is None
+    assert sw.mixing(["Fp1", "Fp2", "F7"], "b4") is None
     assert len(sw.conditions(256, dims.RATES, dims.DEPTHS)) == 40      # the other two read another input
 
 

@@ -20,6 +20,15 @@ def quantised(x: Column, bits: Column | int, full_scale: float = FULL_SCALE) ->
         F.greatest(F.least(F.rint(x / lsb) * lsb, F.lit(half)), F.lit(-half)))
 
 
+def converted_rows(x: np.ndarray, bits: int | None, full_scale: float = FULL_SCALE) -> np.ndarray:
+    """What a converter of ``bits`` bits returns: the nearest code, saturating at half the codes either way; None = no converter."""
+    if bits is None:
+        return x
+    codes = np.rint(x * (2 ** bits / full_scale))
+    top = 2 ** (bits - 1)
+    return np.minimum(np.maximum(codes, -top), top) * (full_scale / 2 ** bits)
+
+
 def decimation_taps(k: int) -> np.ndarray:
     """Anti-alias filter for factor k: Kaiser-windowed sinc (beta 5), 10·k taps a side, unit gain."""
     n = np.arange(-10 * k, 10 * k + 1)

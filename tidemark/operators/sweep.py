@@ -40,24 +40,17 @@ def conditions(rate: int, rates: Sequence[int], depths: Sequence) -> list[tuple]
     return out + [(m, "emgfree", rate, None) for m in DIGITISED]
 
 
-def derived(x: np.ndarray, names: list[str], montage: str) -> tuple[np.ndarray, list[str]] | None:
-    """Signals of a montage from (windows, channels, samples); None when a site is missing."""
+def mixing(names: Sequence[str], montage: str) -> tuple[np.ndarray, list[str]] | None:
+    """Signals of a montage as a signed mixing matrix (signals × channels) with their names; None when a site is missing."""
     sites, ref, pairs, _ = dims.MONTAGES[montage]
-    if not set(sites) <= set(names):
+    place = {c: i for i, c in enumerate(names)}
+    if any(s not in place for s in sites):
         return None
-    at = names.index
+    unit = np.eye(len(names))
     if ref == "bipolar":
-        a, b = [at(p) for p, _ in pairs], [at(q) for _, q in pairs]
-        return x[:, a] - x[:, b], [f"{p}-{q}" for p, q in pairs]
-    sub = x[:, [at(s) for s in sites]]
-    return (sub - sub.mean(axis=1, keepdims=True) if ref == "subset_car" else sub), list(sites)
-
-
-def quantised_rows(x: np.ndarray, bits: int | None, full_scale: float) -> np.ndarray:
-    if bits is None:
-        return x
-    lsb = full_scale / 2 ** bits
-    return np.clip(np.round(x / lsb) * lsb, -full_scale / 2, full_scale / 2)
+        return np.stack([unit[place[p]] - unit[place[q]] for p, q in pairs]), ["-".join(p) for p in pairs]
+    own = unit[[place[s] for s in sites]]
+    return own - (own.mean(axis=0) if ref == "subset_car" else 0), list(sites)
 
 
 def condition_spectra(windows: DataFrame, conds: list[tuple], rate: int, full_scale: float) -> DataFrame:
@@ -67,20 +60,21 @@ def condition_spectra(windows: DataFrame, conds: list[tuple], rate: int, full_sc
     def spectra_of(g: pd.DataFrame, names: list[str]) -> Iterator[pd.DataFrame]:
         x = np.stack(g["xs"].to_list()).reshape(len(g), len(names), -1)
         for (montage, pre), same in groupby(order, key=lambda c: c[:2]):
-            sig = derived(x, names, montage)
-            if sig is None:
+            mixed = mixing(names, montage)
+            if mixed is None:
                 continue
-            flat = sig[0].reshape(-1, x.shape[2])
+            matrix, signals = mixed
+            flat = np.einsum("sc,wct->wst", matrix, x).reshape(-1, x.shape[2])
             if dims.PREPROC_BAND[pre] is not None:
                 flat = dg.restrict_rows(flat, rate, *dims.PREPROC_BAND[pre])
-            rec, win = (np.repeat(g[c].to_numpy(), len(sig[1])) for c in ("rec", "win"))
+            rec, win = (np.repeat(g[c].to_numpy(), len(signals)) for c in ("rec", "win"))
             for _, _, r, bits in same:
-                y = quantised_rows(dg.decimate_rows(flat, rate // r), bits, full_scale)
+                y = dg.converted_rows(dg.decimate_rows(flat, rate // r), bits, full_scale)
                 d1 = np.diff(y, axis=1)
                 yield pd.DataFrame({
                     "cond": f"{montage}|{r}|{'f32' if bits is None else bits}|{pre}",
                     "bip": dims.MONTAGES[montage][1] == "bipolar", "rate": r, "rec": rec, "win": win,
-                    "channel": np.tile(sig[1], len(g)), "p": list(sp.welch_rows(y, r)),
+                    "channel": np.tile(signals, len(g)), "p": list(sp.welch_rows(y, r)),
                     "v0": y.var(axis=1), "v1": d1.var(axis=1), "v2": np.diff(d1, axis=1).var(axis=1)})
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

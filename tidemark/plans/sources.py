@@ -94,9 +94,12 @@ UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), s_name, NULL, CAST(s_nationk
 def src04(spark, sf):
     t = Tables(spark, sf)
     a, b = scratch_path(spark, "demo-a"), scratch_path(spark, "demo-b")
-    t.customer.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id EEG"),
-                      F.col("c_mktsegment").alias("Diagnosis "), F.col("c_acctbal").alias("Age"),
-                      F.col("c_nationkey").alias("SEX")).write.option("encoding", "ISO-8859-1").csv(a, header=True)
+    sid, tag = F.concat(F.lit("c"), F.col("c_custkey")).alias("id EEG"), F.col("c_mktsegment").alias("Diagnosis ")
+    age, sex = F.col("c_acctbal").alias("Age"), F.col("c_nationkey").alias("SEX")
+    # Two files of one glob with the same columns in another order.
+    for half, columns in ((0, (sid, tag, age, sex)), (1, (tag, sid, sex, F.lit("x, y").alias("note"), age))):
+        t.customer.where(F.col("c_custkey") % 2 == half).select(*columns).write.option(
+            "encoding", "ISO-8859-1").mode("append").csv(a, header=True)
     sid = F.when(F.col("s_nationkey") != 3, F.concat(F.lit(" s"), F.col("s_suppkey")))
     t.supplier.select(sid.alias("ID_EEG"), F.col("s_name").alias("diagnosis"),
                       F.lit("n/a").alias("age"), F.col("s_nationkey").alias("sex")

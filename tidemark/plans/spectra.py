@@ -11,19 +11,21 @@ from tidemark.plans.recordings import ACC, LIMIT, PTP, QUOTA, SAMPLED, ptp_of, t
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.sql import band_gain, r
 from tidemark.operators import windows as wn
-from tidemark.tables import SIGNAL, SITES, WINDOWS, signal, window_vectors, with_views
+from tidemark.tables import LONG_WINDOWS, SIGNAL, SITES, long_windows, signal, with_views
 
-RATE, LENGTH = 64, 64
+# Windows of 320 samples at 96 Hz: segments of 192 samples, two of them, bins of half a hertz up to 48 Hz.
+RATE, LENGTH = 96, 320
 GRID = sp.Grid(LENGTH, RATE)
 GRIDS = sp.Grids([GRID])
-PSD = """smp AS (SELECT rec, win, channel, unnest(x) AS x, unnest(range(0, 64)) AS t FROM wvec),
-tap AS (SELECT rec, win, channel, t, (x - avg(x) OVER (PARTITION BY rec, win, channel)) * (0.5e0 - 0.5e0 * cos(2 * pi() * t / 64)) AS v FROM smp),
-psd AS (SELECT rec, win, channel, k AS f, (pow(sum(v * cos(2 * pi() * k * t / 64)), 2) + pow(sum(v * sin(2 * pi() * k * t / 64)), 2))
-   / (64 * 24.0e0) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS p FROM tap, (SELECT unnest(range(0, 33)) AS k) GROUP BY 1, 2, 3, 4)"""
+PSD = """seg AS (SELECT rec, win, channel, g, t - g * 96 AS t, x FROM smp, (SELECT unnest(range(0, 2)) AS g) WHERE t >= g * 96 AND t < g * 96 + 192),
+tap AS (SELECT rec, win, channel, g, t, (x - avg(x) OVER (PARTITION BY rec, win, channel, g)) * (0.5e0 - 0.5e0 * cos(2 * pi() * t / 192)) AS v FROM seg),
+psg AS (SELECT rec, win, channel, g, k, (pow(sum(v * cos(2 * pi() * k * t / 192)), 2) + pow(sum(v * sin(2 * pi() * k * t / 192)), 2))
+   / (96 * 72.0e0) * CASE WHEN k IN (0, 96) THEN 1 ELSE 2 END AS p FROM tap, (SELECT unnest(range(0, 97)) AS k) GROUP BY 1, 2, 3, 4, 5),
+psd AS (SELECT rec, win, channel, k, k / 2.0e0 AS f, avg(p) AS p FROM psg GROUP BY 1, 2, 3, 4)"""
 
 
 def _trap(lo: int, hi: int) -> str:
-    return f"sum(p) FILTER (f >= {lo} AND f < {hi}) - sum(p) FILTER (f IN ({lo}, {hi - 1})) / 2"
+    return f"(sum(p) FILTER (f >= {lo} AND f < {hi}) - sum(p) FILTER (f IN ({lo}, {hi - 0.5})) / 2) / 2"
 
 
 FEAT = f"""dif AS (SELECT rec, win, channel, t, x, x - lag(x) OVER w AS d1,
@@ -31,12 +33,12 @@ FEAT = f"""dif AS (SELECT rec, win, channel, t, x, x - lag(x) OVER w AS d1,
 hj AS (SELECT rec, win, channel, sqrt(var_pop(d1) / var_pop(x)) AS mob, sqrt(var_pop(d2) / var_pop(d1)) AS mob1 FROM dif GROUP BY 1, 2, 3),
 cum AS (SELECT *, p / sum(p) OVER (PARTITION BY rec, win, channel) AS q,
    sum(p) OVER (PARTITION BY rec, win, channel ORDER BY f) / sum(p) OVER (PARTITION BY rec, win, channel) AS c FROM psd),
-bp AS (SELECT rec, win, channel, {_trap(1, 4)} AS d, {_trap(4, 8)} AS th, {_trap(8, 13)} AS a, {_trap(13, 30)} AS b,
-   -sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) / ln(33) AS ent, min(f) FILTER (c >= 0.95e0) AS edge, min(f) FILTER (c >= 0.5e0) AS med,
+bp AS (SELECT rec, win, channel, {_trap(1, 4)} AS d, {_trap(4, 8)} AS th, {_trap(8, 13)} AS a, {_trap(13, 30)} AS b, {_trap(30, 45)} AS g,
+   -sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) / ln(97) AS ent, min(f) FILTER (c >= 0.95e0) AS edge, min(f) FILTER (c >= 0.5e0) AS med,
    arg_max(f, (p, -f)) FILTER (f BETWEEN 6 AND 13) AS pf, max(p) FILTER (f BETWEEN 6 AND 13) / sum(p) FILTER (f BETWEEN 6 AND 13) AS ps,
    -regr_slope(log10(greatest(p, 1e-30)), log10(f)) FILTER (f BETWEEN 2 AND 24) AS ape FROM cum GROUP BY 1, 2, 3),
-feat AS (SELECT rec, win, channel, d / (d + th + a + b) AS rel_delta, th / (d + th + a + b) AS rel_theta, a / (d + th + a + b) AS rel_alpha,
-   b / (d + th + a + b) AS rel_beta, CAST(NULL AS DOUBLE) AS rel_gamma, th / a AS theta_alpha_ratio, (d + th) / (a + b) AS slowing_ratio,
+feat AS (SELECT rec, win, channel, d / (d + th + a + b + g) AS rel_delta, th / (d + th + a + b + g) AS rel_theta, a / (d + th + a + b + g) AS rel_alpha,
+   b / (d + th + a + b + g) AS rel_beta, g / (d + th + a + b + g) AS rel_gamma, th / a AS theta_alpha_ratio, (d + th) / (a + b) AS slowing_ratio,
    ent AS spectral_entropy, CAST(edge AS DOUBLE) AS spectral_edge95, CAST(med AS DOUBLE) AS spectral_median, CAST(pf AS DOUBLE) AS pdr_frequency,
    ps AS pdr_prominence, ape AS aperiodic_exponent, mob AS hjorth_mobility, mob1 / mob AS hjorth_complexity, a AS alpha
    FROM bp JOIN hj USING (rec, win, channel))"""
@@ -52,29 +54,29 @@ wfeat AS (SELECT f.rec, f.win, {', '.join(f'avg({n}) AS {n}' for n in dims.FEATU
 
 
 def spectrum(t: Tables):
-    return sp.spectra(window_vectors(t), RATE)
+    return sp.spectra(long_windows(t), RATE)
 
 
 def per_channel(t: Tables):
     return sp.channel_features(spectrum(t), GRIDS)
 
 
-@query("f01_welch_psd", with_views(WINDOWS, PSD) + f"SELECT rec, win, channel, f, {r('p', 9)} AS p FROM psd")
+@query("f01_welch_psd", with_views(LONG_WINDOWS, PSD) + f"SELECT rec, win, channel, k AS f, {r('p', 9)} AS p FROM psd")
 def f01(spark, sf):
     return spectrum(Tables(spark, sf)).select("rec", "win", "channel", F.posexplode("p").alias("f", "p")).select(
         "rec", "win", "channel", F.col("f").cast("bigint").alias("f"), rounded(F.col("p"), 9).alias("p"))
 
 
-@query("f02_band_power", with_views(WINDOWS, PSD, FEAT) + f"""
+@query("f02_band_power", with_views(LONG_WINDOWS, PSD, FEAT) + f"""
 SELECT rec, win, channel, {r('d', 9)} AS delta, {r('th', 9)} AS theta, {r('a', 9)} AS alpha, {r('b', 9)} AS beta,
-  CAST(NULL AS DOUBLE) AS gamma FROM bp""")
+  {r('g', 9)} AS gamma FROM bp""")
 def f02(spark, sf):
     d = sp.with_band_powers(spectrum(Tables(spark, sf)), GRIDS)
     return d.select("rec", "win", "channel", *[rounded(F.col(f"bp_{b}"), 9).alias(b) for b in dims.BANDS])
 
 
 def _register(number: int, name: str) -> None:
-    @query(f"f{number:02d}_{name}", with_views(WINDOWS, PSD, FEAT) + f"""
+    @query(f"f{number:02d}_{name}", with_views(LONG_WINDOWS, PSD, FEAT) + f"""
 SELECT rec, win, channel, {r(name)} AS {name} FROM feat""")
     def run(spark, sf):
         return per_channel(Tables(spark, sf)).select("rec", "win", "channel", rounded(F.col(name)).alias(name))
@@ -84,14 +86,14 @@ for _i, _name in enumerate(dims.FEATURES[:15], start=3):
     _register(_i, _name)
 
 
-@query("f18_asymmetry_alpha", with_views(WINDOWS, PSD, FEAT, SPATIAL) + f"""
+@query("f18_asymmetry_alpha", with_views(LONG_WINDOWS, PSD, FEAT, SPATIAL) + f"""
 SELECT rec, win, {r('asymmetry_alpha')} AS asymmetry_alpha FROM wfeat""")
 def f18(spark, sf):
     w = sp.window_features(per_channel(Tables(spark, sf)), ["rec", "win"])
     return w.select("rec", "win", rounded(F.col("asymmetry_alpha")).alias("asymmetry_alpha"))
 
 
-@query("f19_ap_gradient_alpha", with_views(WINDOWS, PSD, FEAT, SPATIAL) + f"""
+@query("f19_ap_gradient_alpha", with_views(LONG_WINDOWS, PSD, FEAT, SPATIAL) + f"""
 SELECT rec, win, {r('ap_gradient_alpha')} AS ap_gradient_alpha FROM wfeat""")
 def f19(spark, sf):
     w = sp.window_features(per_channel(Tables(spark, sf)), ["rec", "win"])
@@ -101,13 +103,13 @@ def f19(spark, sf):
 ALL_R = ", ".join(f"{r(n)} AS {n}" for n in dims.FEATURES)
 
 
-@query("f20_window_vector", with_views(WINDOWS, PSD, FEAT, SPATIAL) + f"SELECT rec, win, {ALL_R} FROM wfeat")
+@query("f20_window_vector", with_views(LONG_WINDOWS, PSD, FEAT, SPATIAL) + f"SELECT rec, win, {ALL_R} FROM wfeat")
 def f20(spark, sf):
     w = sp.window_features(per_channel(Tables(spark, sf)), ["rec", "win"])
     return w.select("rec", "win", *[rounded(F.col(n)).alias(n) for n in dims.FEATURES])
 
 
-@query("f21_recording_vector", with_views(WINDOWS, PSD, FEAT, SPATIAL) + f"""
+@query("f21_recording_vector", with_views(LONG_WINDOWS, PSD, FEAT, SPATIAL) + f"""
 SELECT rec, count(*) AS n_windows, {', '.join(r(f'quantile_cont({n}, 0.5)') + f' AS {n}' for n in dims.FEATURES)} FROM wfeat GROUP BY rec""")
 def f21(spark, sf):
     t = Tables(spark, sf)
@@ -116,7 +118,7 @@ def f21(spark, sf):
         "rec", "n_windows", *[rounded(F.col(n)).alias(n) for n in dims.FEATURES])
 
 
-@query("j10_lateral_pairs", with_views(WINDOWS, PSD, FEAT, SPATIAL) + f"""
+@query("j10_lateral_pairs", with_views(LONG_WINDOWS, PSD, FEAT, SPATIAL) + f"""
 SELECT a.rec, a.win, l || '-' || r AS pair, {r('(a.alpha - b.alpha) / (a.alpha + b.alpha)')} AS contrast FROM pr
 JOIN feat a ON a.channel = l JOIN feat b ON b.channel = r AND b.rec = a.rec AND b.win = a.win""")
 def j10(spark, sf):
@@ -129,7 +131,7 @@ def j10(spark, sf):
     return g.filter("k = 2").select("rec", "win", "pair", rounded(sp.ratio(F.col("d"), F.col("s"))).alias("contrast"))
 
 
-@query("j11_region_membership", with_views(WINDOWS, PSD, FEAT, SPATIAL) + f"""
+@query("j11_region_membership", with_views(LONG_WINDOWS, PSD, FEAT, SPATIAL) + f"""
 SELECT rec, win, region, {r('avg(alpha)', 9)} AS alpha, count(*) AS n_sites FROM feat JOIN rg USING (channel) GROUP BY 1, 2, 3""")
 def j11(spark, sf):
     f = per_channel(Tables(spark, sf)).join(F.broadcast(dims.region_channel(spark)), "channel")
@@ -141,7 +143,7 @@ mc AS (SELECT rec, f0, max(v) FILTER (f > f0 - 2 AND f < f0 + 2) AS peak, quanti
    {dims.values_sql([(12.0,), (20.0,)])} c(f0) WHERE f > f0 - 10 AND f < f0 + 10 AND f0 < 30 GROUP BY 1, 2)"""
 
 
-@query("q03_mains_detection", with_views(WINDOWS, PSD, MAINS) + f"""
+@query("q03_mains_detection", with_views(LONG_WINDOWS, PSD, MAINS) + f"""
 SELECT rec, {r('max(peak / (loc + 1e-30))')} AS ratio, CASE WHEN max(peak / (loc + 1e-30)) >= 1.2e0
   THEN arg_max(f0, peak / (loc + 1e-30)) END AS mains_hz FROM mc GROUP BY rec""")
 def q03(spark, sf):

@@ -57,21 +57,40 @@ def participants(spark: SparkSession, path: str) -> DataFrame:
                      age_norm(age).alias("age_norm"))
 
 
-def demographics(spark: SparkSession, globs: Sequence[str], encoding: str = "ISO-8859-1") -> DataFrame:
-    """Demographics CSVs whose headers differ: lower-cased, either id spelling, blank ids dropped.
+def _named_values(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
+    """``names`` (lower-cased header) and ``values`` of every line of CSV files, each by the header of its own file.
 
-    One reader per glob because every glob carries its own header.
+    A quoted field must not hold a line feed.
     """
-    out = None
-    for g in globs:
-        part = trimmed_header(
-            spark.read.option("encoding", encoding).csv(g, header=True), lower=True)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    ids = [F.col(f"`{c}`") for c in ("id eeg", "id_eeg") if c in out.columns]
-    sid = F.trim(F.coalesce(*[F.when(F.trim(c) != "", c) for c in ids], F.lit("")))
-    return out.withColumn("id", sid).filter(F.col("id") != "").select(
-        "id", F.trim("diagnosis").alias("diagnosis"),
-        F.expr("try_cast(age AS double)").alias("age"), "sex")
+    lines = (spark.read.option("encoding", encoding).schema("line string")
+             .csv(list(paths), sep="\x01", quote="", mode="PERMISSIVE")
+             .select("line", "_metadata.file_path", F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("at"))
+             .where(F.trim(F.coalesce("line", F.lit(""))) != ""))
+    # One row a file: its first line.
+    heads = lines.groupBy(F.col("file_path").alias("file")).agg(F.min(F.struct("at", "line")).alias("first"))
+    heads = heads.select("file", F.col("first.at").alias("head"), F.col("first.line").alias("header"))
+    widest = heads.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
+    cells = ", ".join(f"c{i} string" for i in range(widest))
+
+    def parsed(c: str) -> Column:
+        row = F.from_csv(c, cells)
+        return F.array(*[row[f"c{i}"] for i in range(widest)])
+
+    names = F.transform(parsed("header"), lambda n: F.lower(F.trim(F.regexp_replace(n, "^\ufeff", ""))))
+    rows = lines.join(heads, lines["file_path"] == heads["file"]).where(F.col("at") != F.col("head"))
+    return rows.select(names.alias("names"), parsed("line").alias("values"))
+
+
+def demographics(spark: SparkSession, globs: Sequence[str], encoding: str = "ISO-8859-1") -> DataFrame:
+    """Demographics CSVs whose headers and column orders differ from file to file: either id spelling, blank ids dropped."""
+    rows = _named_values(spark, globs, encoding)
+
+    def cell(name: str) -> Column:
+        return F.get("values", F.array_position("names", name).cast("int") - 1)
+
+    sid = F.trim(F.coalesce(*[F.when(F.trim(cell(c)) != "", cell(c)) for c in ("id eeg", "id_eeg")], F.lit("")))
+    return rows.select(sid.alias("id"), F.trim(cell("diagnosis")).alias("diagnosis"),
+                       cell("age").try_cast("double").alias("age"), cell("sex").alias("sex")).filter(F.col("id") != "")
 
 
 def workbook(spark: SparkSession, parts: Sequence[str]) -> DataFrame | None:

@@ -59,6 +59,28 @@ WINDOWS = f"""wvec AS (
   JOIN {values_sql(list(enumerate(DEVICE_SITES)))} s(k, site) ON s.k = q.slot WHERE n8 = 8)"""
 
 
+def long_windows(t: Tables) -> DataFrame:
+    """windows(rec, win, channel, x ARRAY): five vectors of a site in a row, 320 samples at a nominal 96 Hz."""
+    seq = row_numbers(t.embeddings, ["label"], ["vec_id"], "pos", t.hot("embeddings"))
+    pos = F.col("pos") - 1
+    rows = seq.select(F.col("label").alias("rec"), F.floor(pos / 40).alias("win"), (pos % 8).alias("slot"),
+                      F.struct(F.floor((pos % 40) / 8).alias("k"), F.col("embedding").cast("array<double>").alias("x")).alias("part"))
+    joined = rows.groupBy("rec", "win", "slot").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.count("*").alias("n"))
+    full = rows.groupBy("rec", "win").agg(F.count("*").alias("all")).filter("all = 40").drop("all")
+    sites = F.array(*[F.lit(s) for s in DEVICE_SITES])
+    return joined.join(full, ["rec", "win"]).select(
+        "rec", "win", F.element_at(sites, (F.col("slot") + 1).cast("int")).alias("channel"),
+        F.flatten(F.transform("parts", lambda p: p["x"])).alias("x"))
+
+
+LONG_WINDOWS = f"""smp AS (
+  SELECT rec, win, site AS channel, k * 64 + unnest(range(0, 64)) AS t, unnest(x) AS x FROM (
+    SELECT label AS rec, pos // 40 AS win, pos % 8 AS slot, (pos % 40) // 8 AS k, x, count(*) OVER (PARTITION BY label, pos // 40) AS n40
+    FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos,
+                 CAST(embedding AS DOUBLE[]) AS x FROM embeddings) p) q
+  JOIN {values_sql(list(enumerate(DEVICE_SITES)))} s(j, site) ON s.j = q.slot WHERE n40 = 40)"""
+
+
 def subject(t: Tables) -> DataFrame:
     """spine(subject, cohort, site, label, age, subtype): one row per customer."""
     geo = (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
