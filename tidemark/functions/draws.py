@@ -1,6 +1,8 @@
 """Randomness defined by identifiers: the same id and seed give the same draw in any partitioning."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +27,24 @@ def hash32(*parts) -> Column:
 def uniform(*parts) -> Column:
     """Uniform on [0, 1) from the md5 of the parts."""
     return hash32(*parts) / F.lit(TWO32)
+
+
+def poisson_bounds() -> list[str]:
+    """Upper bounds of 32-bit draws, as eight hex digits, for the values 0, 1, 2, … of a Poisson count of mean 1."""
+    bounds, share, k = [], math.exp(-1), 0
+    total = share
+    while total * TWO32 < TWO32 - 1:
+        bounds.append(f"{math.floor(total * TWO32):08x}")
+        k += 1
+        share /= k
+        total += share
+    return bounds
+
+
+def poisson(draw: Column) -> Column:
+    """Poisson count of mean 1 from eight hex digits."""
+    bounds = poisson_bounds()
+    out = F.when(draw < bounds[0], 0)
+    for k, b in enumerate(bounds[1:], 1):
+        out = out.when(draw < b, k)
+    return out.otherwise(len(bounds)).cast("bigint")

@@ -30,13 +30,10 @@ def auc(df: DataFrame, keys: Sequence[str], y: str, s: str, weight: str | None =
     w = F.col(weight) if weight else F.lit(1)
     df = df.filter(F.col(s).isNotNull())
     p, q = w * positives(y), w * negatives(y)
-    if group_is_hot(df, keys, hot):
-        hist = stored(histogram(df, keys, s, {"__p": p, "__q": q}), "histogram")
-        cum = running(hist, keys, [s], {"__cq": F.col("__q")})
-        cum = cum.withColumn("__b", F.col("__cq") - F.col("__q") / 2)
-    else:
-        cum = counts_through(df.withColumns({"__p": p, "__q": q}), keys, s,
-                             {"__b": F.col("__q")}, False)
+    hot = group_is_hot(df, keys, hot)
+    hist = histogram(df, keys, s, {"__p": p, "__q": q})
+    cum = running(stored(hist, "histogram") if hot else hist, keys, [s], {"__cq": F.col("__q")}, None if hot else False)
+    cum = cum.withColumn("__b", F.col("__cq") - F.col("__q") / 2)
     out = cum.groupBy(*keys).agg(
         F.sum("__p").cast("double").alias("__P"), F.sum("__q").cast("double").alias("__Q"),
         F.sum(F.col("__p") * F.col("__b")).alias("__u"))

@@ -1,7 +1,7 @@
 """Resampling: bootstrap as weights, permutations and subsamples as hash-ordered keys.
 
-A replicate is never materialised as repeated rows: slots draw an index by hash, the draws are
-counted, and the counts are weights in ordinary weighted statistics.
+A replicate is never materialised as repeated rows: each row draws its count in a replicate by hash (a
+Poisson count of mean 1), and the counts are weights in ordinary weighted statistics.
 """
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import hash32, uniform
+from tidemark.functions.draws import digest, hash32, poisson
 from tidemark.functions.scalars import ratio, substitution_ratio
 from tidemark.operators import rankstats as rs
 from tidemark.operators.ordered import row_numbers
@@ -20,27 +20,24 @@ def replicated(df: DataFrame, n: int, name: str = "replicate") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def bootstrap_weights(df: DataFrame, keys: Sequence[str], sid: str, cls: str, n: int, seed: str,
-                      hot: bool | None = None) -> DataFrame:
-    """(keys, replicate, cls, sid, w): draws with replacement inside each class.
+def bootstrap_weights(df: DataFrame, sid: str, n: int, seed: str) -> DataFrame:
+    """Rows of ``df`` with ``replicate`` and ``w``: a Poisson count of mean 1 by the hash of id and replicate; zero counts are left out.
 
-    Every row of class size m owns one slot of a replicate; the slot draws an index below m.
+    One digest serves four replicates. Nothing is shuffled.
     """
-    keys = list(keys)
-    base = row_numbers(df.select(*keys, cls, sid), [*keys, cls], [sid], "__i", hot)
-    size = df.groupBy(*keys, cls).agg(F.count("*").alias("__m"))
-    slots = replicated(base.select(*keys, cls, "__i"), n).join(size, [*keys, cls])
-    u = uniform(seed, F.col("replicate"), F.col(cls), F.col("__i"))
-    drawn = slots.select(*keys, cls, "replicate", (F.floor(u * F.col("__m")) + 1).alias("__i"))
-    counts = drawn.groupBy(*keys, cls, "replicate", "__i").agg(F.count("*").alias("w"))
-    return counts.join(base, [*keys, cls, "__i"]).select(*keys, "replicate", cls, sid, "w")
+    block = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4)))
+    rows = df.withColumn("__block", block).withColumn("__d", digest(seed, F.col("__block"), F.col(sid)))
+    four = F.array(*[F.struct((F.col("__block") * 4 + j).alias("replicate"), poisson(F.substring("__d", 1 + 8 * j, 8)).alias("w"))
+                     for j in range(4)])
+    drawn = rows.withColumn("__r", F.explode(F.filter(four, lambda x: (x["w"] > 0) & (x["replicate"] < n))))
+    return drawn.select(*df.columns, "__r.replicate", "__r.w")
 
 
 def bootstrap_aucs(df: DataFrame, keys: Sequence[str], sid: str, y: str, scores: Sequence[str], n: int,
                    seed: str, hot: bool | None = None) -> DataFrame:
     """(keys, replicate, arm, auc): every score read with the same weights."""
-    w = bootstrap_weights(df, keys, sid, y, n, seed, hot)
-    rows = w.join(df.select(*keys, sid, *scores), [*keys, sid])
+    keys = list(keys)
+    rows = bootstrap_weights(df.select(*keys, sid, y, *scores), sid, n, seed)
     long = rs.long_scores(rows, [*keys, "replicate", "w"], y, scores)
     return rs.auc(long, [*keys, "replicate", "arm"], y, "s", "w", hot=hot)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import dims
-from tidemark.functions.draws import hash32
+from tidemark.functions.draws import hash32, poisson_bounds
 from tidemark.functions.scalars import Z95, normal_two_sided, rounded
 from tidemark.operators import covariate as cv
 from tidemark.operators import matching as mt
@@ -15,23 +15,24 @@ from tidemark.operators import resample as rp
 from tidemark.plans.modelling import (calibrated_transfer, design, doc_rows, long_age, oof_scores)
 from tidemark.plans.ranks import DELONG_OUT, delong_out
 from tidemark.plans.registry import Tables, query
-from tidemark.plans.sql import auc_cte, delong_cte, h, r, two_sided, u
+from tidemark.plans.sql import auc_cte, delong_cte, digest, h, r, two_sided, u
 from tidemark.tables import (CONTRAST, CUBE, SCORE, SUBJECT, contrast_rows, features_wide, score,
                              with_views)
 
-B = 40
+# Replicates of the bootstrap queries.
+B_AUC, B_PAIR, B_RATIO, B_METRIC, B_INTER = 2000, 4000, 1500, 2000, 4000
 
 
-def _boot(seed: str, src: str, sid: str, cls: str, name: str = "w", keys: str = "") -> str:
-    """CTEs that replay bootstrap_weights: (keys, b, id, w)."""
-    k, kc = (f"{keys}, ", f"{keys}, ") if keys else ("", "")
-    using = f"USING ({keys})" if keys else "ON true"
-    return f"""{name}_i AS (SELECT {kc}{sid}, {cls}, row_number() OVER (PARTITION BY {kc}{cls} ORDER BY {sid}) AS i,
-    count(*) OVER (PARTITION BY {kc}{cls}) AS m FROM {src}),
-  {name}_d AS (SELECT {k}{cls}, b, CAST(floor({u(f"'{seed}'", 'b', cls, 'i')} * m) AS BIGINT) + 1 AS i, count(*) AS w
-    FROM {name}_i CROSS JOIN (SELECT unnest(range(0, {B})) AS b) GROUP BY ALL),
-  {name} AS (SELECT {', '.join(f'd.{x}' for x in keys.split(', ')) + ', ' if keys else ''}d.b, i.{sid}, i.{cls}, d.w FROM {name}_d d JOIN {name}_i i ON i.{cls} = d.{cls} AND i.i = d.i
-    {' '.join(f'AND i.{x} = d.{x}' for x in keys.split(', ')) if keys else ''})"""
+def _poisson(draw: str) -> str:
+    bounds = poisson_bounds()
+    return "CASE " + " ".join(f"WHEN {draw} < '{b}' THEN {k}" for k, b in enumerate(bounds)) + f" ELSE {len(bounds)} END"
+
+
+def _boot(seed: str, src: str, sid: str, cols: str, n: int, name: str = "w") -> str:
+    """CTE that replays bootstrap_weights: (b, w) and the columns ``cols`` of the rows of ``src``."""
+    return f"""{name} AS (SELECT {cols}, b, w FROM (SELECT {cols}, block * 4 + j AS b, {_poisson('substr(d, 1 + 8 * j, 8)')} AS w
+    FROM (SELECT *, {digest(f"'{seed}'", 'block', sid)} AS d FROM {src} CROSS JOIN (SELECT unnest(range(0, {(n + 3) // 4})) AS block)) q_{name}
+    CROSS JOIN (SELECT unnest(range(0, 4)) AS j)) p_{name} WHERE w > 0 AND b < {n})"""
 
 
 def _wauc(name: str, src: str, keys: str, y: str, s: str) -> str:
@@ -42,20 +43,18 @@ def _wauc(name: str, src: str, keys: str, y: str, s: str) -> str:
       FROM {src} GROUP BY {keys}, {s}) h_{name}) c_{name} GROUP BY {keys})"""
 
 
-@query("i04_bootstrap_auc_ci", with_views(SCORE, _boot("boot", "score", "id", "y", "w", "cohort"),
-       "ws AS (SELECT w.cohort, w.b, w.y, w.w, a FROM w JOIN score s ON s.id = w.id)", _wauc("ba", "ws", "cohort, b", "y", "a")) + f"""
+@query("i04_bootstrap_auc_ci", with_views(SCORE, _boot("boot", "score", "id", "cohort, y, a", B_AUC), _wauc("ba", "w", "cohort, b", "y", "a")) + f"""
 SELECT cohort, {r('avg(auc)')} AS mean, {r('quantile_cont(auc, 0.025)')} AS ci_lo, {r('quantile_cont(auc, 0.975)')} AS ci_hi, count(auc) AS n_replicates
 FROM ba GROUP BY cohort""")
 def i04(spark, sf):
     t = Tables(spark, sf)
-    a = rp.bootstrap_aucs(score(t), ["cohort"], "id", "y", ["a"], B, "boot", t.hot("documents"))
+    a = rp.bootstrap_aucs(score(t), ["cohort"], "id", "y", ["a"], B_AUC, "boot", t.hot("documents"))
     out = rp.interval(a, ["cohort"], "auc")
     return out.select("cohort", *[rounded(F.col(c)).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n_replicates")
 
 
-PAIR = [_boot("pair", "score", "id", "y"), "ws AS (SELECT w.b, w.y, w.w, a, c FROM w JOIN score s ON s.id = w.id)",
-        _wauc("ba", "ws", "b", "y", "a"), _wauc("bc", "ws", "b", "y", "c")]
-TAILS = "least(1.0e0, 2 * least(avg(CASE WHEN d <= 0 THEN 1.0e0 ELSE 0.0e0 END), avg(CASE WHEN d >= 0 THEN 1.0e0 ELSE 0.0e0 END)))"
+PAIR = [_boot("pair", "score", "id", "y, a, c", B_PAIR), _wauc("ba", "w", "b", "y", "a"), _wauc("bc", "w", "b", "y", "c")]
+TAILS = "least(1.0e0, 2 * least(avg(CASE WHEN d <= 0 THEN 1.0e0 WHEN d > 0 THEN 0.0e0 END), avg(CASE WHEN d >= 0 THEN 1.0e0 WHEN d < 0 THEN 0.0e0 END)))"
 
 
 @query("i05_paired_bootstrap", with_views(SCORE, *PAIR) + f"""
@@ -63,39 +62,36 @@ SELECT {r('avg(d)')} AS mean, {r('quantile_cont(d, 0.025)')} AS ci_lo, {r('quant
 FROM (SELECT ba.auc - bc.auc AS d FROM ba JOIN bc USING (b))""")
 def i05(spark, sf):
     t = Tables(spark, sf)
-    a = rp.bootstrap_aucs(score(t), [], "id", "y", ["a", "c"], B, "pair", t.hot("documents"))
+    a = rp.bootstrap_aucs(score(t), [], "id", "y", ["a", "c"], B_PAIR, "pair", t.hot("documents"))
     out = rp.interval(rp.arm_difference(a, [], "a", "c"), [], "d")
     return out.select(*[rounded(F.col(c)).alias(c) for c in ("mean", "ci_lo", "ci_hi", "p")])
 
 
 @query("i06_ratio_bootstrap", with_views(
-    SCORE, "matched AS (SELECT * FROM score WHERE quality = 1)", _boot("full", "score", "id", "y", "w"), _boot("sub", "matched", "id", "y", "v"),
-    "ws AS (SELECT w.b, w.y, w.w, a FROM w JOIN score s ON s.id = w.id)", "vs AS (SELECT v.b, v.y, v.w, a FROM v JOIN score s ON s.id = v.id)",
-    _wauc("ta", "ws", "b", "y", "a"), _wauc("ma", "vs", "b", "y", "a")) + f"""
+    SCORE, "matched AS (SELECT * FROM score WHERE quality = 1)", _boot("full", "score", "id", "y, a", B_RATIO), _boot("sub", "matched", "id", "y, a", B_RATIO, "v"),
+    _wauc("ta", "w", "b", "y", "a"), _wauc("ma", "v", "b", "y", "a")) + f"""
 SELECT {r('avg(rho)', 5)} AS mean, {r('quantile_cont(rho, 0.025)', 5)} AS ci_lo, {r('quantile_cont(rho, 0.975)', 5)} AS ci_hi, count(rho) AS n_replicates
 FROM (SELECT CASE WHEN 1 - ta.auc - 0.5e0 > 1e-9 THEN (ma.auc - ta.auc) / (0.5e0 - ta.auc) END AS rho FROM ta JOIN ma USING (b))""")
 def i06(spark, sf):
     t = Tables(spark, sf)
     s = score(t).withColumn("inv", -F.col("a"))
     hot = t.hot("documents")
-    total = rp.bootstrap_aucs(s, [], "id", "y", ["inv"], B, "full", hot)
-    part = rp.bootstrap_aucs(s.filter("quality = 1"), [], "id", "y", ["inv"], B, "sub", hot)
+    total = rp.bootstrap_aucs(s, [], "id", "y", ["inv"], B_RATIO, "full", hot)
+    part = rp.bootstrap_aucs(s.filter("quality = 1"), [], "id", "y", ["inv"], B_RATIO, "sub", hot)
     out = rp.interval(rp.ratio_replicates(total, part, []), [], "rho")
     return out.select(*[rounded(F.col(c), 5).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n_replicates")
 
 
 @query("i07_paired_metric_bootstrap", with_views(
-    SCORE, "one AS (SELECT *, 0 AS g FROM score)", _boot("reg", "one", "id", "g"),
-    "ws AS (SELECT w.b, w.w, s.b AS y, 6 * s.a AS pa, 90 * s.c AS pc FROM w JOIN score s ON s.id = w.id)",
+    SCORE, "one AS (SELECT id, b AS y, 6 * a AS pa, 90 * c AS pc FROM score)", _boot("reg", "one", "id", "y, pa, pc", B_METRIC, "ws"),
     "xs AS (SELECT b, y, pa, pc, unnest(range(0, w)) FROM ws)",
     "mt AS (SELECT b, avg(abs(pa - y)) - avg(abs(pc - y)) AS dm, corr(pa, y) - corr(pc, y) AS dp FROM xs GROUP BY b)") + f"""
 SELECT {r('quantile_cont(dm, 0.025)', 4)} AS d_mae_lo, {r('quantile_cont(dm, 0.975)', 4)} AS d_mae_hi,
-  {r('quantile_cont(dp, 0.025)')} AS d_pcc_lo, {r('quantile_cont(dp, 0.975)')} AS d_pcc_hi, {r(TAILS.replace('d <=', 'dm <=').replace('d >=', 'dm >='))} AS p_mae FROM mt""")
+  {r('quantile_cont(dp, 0.025)')} AS d_pcc_lo, {r('quantile_cont(dp, 0.975)')} AS d_pcc_hi, {r(TAILS.replace('WHEN d ', 'WHEN dm '))} AS p_mae FROM mt""")
 def i07(spark, sf):
     t = Tables(spark, sf)
-    s = score(t).withColumn("g", F.lit(0))
-    w = rp.bootstrap_weights(s, [], "id", "g", B, "reg", t.hot("documents"))
-    rows = w.join(s.select("id", F.col("b").alias("target"), (6 * F.col("a")).alias("pa"), (90 * F.col("c")).alias("pc")), "id")
+    s = score(t).select("id", F.col("b").alias("target"), (6 * F.col("a")).alias("pa"), (90 * F.col("c")).alias("pc"))
+    rows = rp.bootstrap_weights(s, "id", B_METRIC, "reg")
     long = rows.select("replicate", "w", "target", F.explode(F.create_map(F.lit("pa"), F.col("pa"), F.lit("pc"), F.col("pc"))).alias("arm", "pred"))
     m = rp.weighted_regression(long, ["replicate", "arm"], "target", "pred")
     pick = lambda a, c: F.max(F.when(F.col("arm") == a, F.col(c)))
@@ -106,8 +102,7 @@ def i07(spark, sf):
 
 
 @query("i08_interaction_bootstrap", with_views(
-    SCORE, "gr AS (SELECT *, CASE WHEN y = 0 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS g FROM score)", _boot("inter", "gr", "id", "g"),
-    "ws AS (SELECT w.b, w.g, w.w, a, c FROM w JOIN score s ON s.id = w.id)",
+    SCORE, "gr AS (SELECT *, CASE WHEN y = 0 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS g FROM score)", _boot("inter", "gr", "id", "g, a, c", B_INTER, "ws"),
     *[_wauc(f"x{g}{s}", f"(SELECT *, CASE WHEN g = {g} THEN 1 ELSE 0 END AS y FROM ws WHERE g IN (0, {g})) q", "b", "y", s) for g in (1, 2) for s in "ac"]) + f"""
 SELECT {r('avg(d)')} AS mean, {r('stddev_pop(d)')} AS se, {r('quantile_cont(d, 0.025)')} AS ci_lo, {r('quantile_cont(d, 0.975)')} AS ci_hi, {r(TAILS)} AS p
 FROM (SELECT (x1a.auc - x1c.auc) - (x2a.auc - x2c.auc) AS d FROM x1a JOIN x1c USING (b) JOIN x2a USING (b) JOIN x2c USING (b))""")
@@ -115,7 +110,7 @@ def i08(spark, sf):
     t = Tables(spark, sf)
     hot = t.hot("documents")
     s = score(t).withColumn("g", F.when(F.col("y") == 0, 0).when(F.col("quality") == 1, 1).otherwise(2))
-    w = rp.bootstrap_weights(s, [], "id", "g", B, "inter", hot).join(s.select("id", "a", "c"), "id")
+    w = rp.bootstrap_weights(s.select("id", "g", "a", "c"), "id", B_INTER, "inter")
     # Controls carry one weight set and enter both contrasts.
     both = w.withColumn("contrast", F.explode(F.when(F.col("g") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("g")))))
     both = both.withColumn("y", (F.col("g") > 0).cast("int"))
