@@ -54,6 +54,30 @@ def test_distributed_equals_in_task(rows, kind, target):
     assert all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
 
 
+@pytest.mark.parametrize("kind,target", [("logistic", "y"), ("ridge", "t")])
+def test_large_mean_small_spread_and_constants(rows, kind, target):
+    """A feature of mean 1e8 and sd 1, and a constant one, are scaled alike both ways."""
+    df = rows[0].withColumn("x", F.concat("x", F.array(F.element_at("x", 1) + 1e8, F.lit(0.1), F.lit(3e7))))
+    a, b = (ml.fit(df, ["g"], target, "x", None, kind, large=large).collect() for large in (False, True))
+    for p, q in zip(sorted(a, key=lambda r: r["g"]), sorted(b, key=lambda r: r["g"])):
+        assert p["converged"] and q["converged"] and np.allclose(p["coef"], q["coef"], atol=1e-5)
+        assert abs(p["intercept"] - q["intercept"]) < 1e-5 * max(1, abs(p["intercept"]))
+
+
+def test_a_fit_without_optimum_says_so(spark):
+    df = spark.createDataFrame([("g", int(i > 20), [float(i)]) for i in range(40)], "g string, y int, x array<double>")
+    for large in (False, True):
+        assert ml.fit(df, ["g"], "y", "x", penalty=0.0, large=large).first()["converged"] is False
+        assert ml.fit(df, ["g"], "y", "x", large=large).first()["converged"] is True
+        assert ml.fit(df, [], "y", "x", large=large).first()["n_train"] == 40
+
+
+def test_null_keys_are_a_group(spark, small_limits):
+    rows = [(None if i % 2 else "g", i % 3 % 2, [float(i % 7)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, y int, x array<double>")
+    assert sorted(r["n_train"] for r in ml.fit(df, ["g"], "y", "x").collect()) == [30, 30]
+
+
 def test_mixed_sizes_take_both_ways(rows, small_limits):
     a = params(ml.fit(rows[0], ["g"], "y", "x"))
     b = params(ml.fit(rows[0], ["g"], "y", "x", large=False))

@@ -1,10 +1,10 @@
 """Small linear models as Spark jobs: one fit per key, scores as expressions.
 
-A fit returns a table of coefficients on the raw feature scale, and scoring is a dot product in
-the JVM. Groups that fit a task are handed to it as one Arrow batch. Larger groups are fitted by
-passes over all partitions at once: every task sends one partial sum per model, so what is shuffled
-and collected is the size of the models, never of the data. Both ways solve the same problem to
-the same tolerance.
+A fit returns a table of coefficients on the raw feature scale with a ``converged`` flag, and scoring is a dot product in
+the JVM. Groups that fit a task are handed to it as one Arrow batch. Larger groups are fitted by passes over all
+partitions: every task sends one partial sum per model, so what is shuffled and collected is the size of the models,
+never of the data, and at most ``MODELS_AT_ONCE`` large models at a time. Both ways solve the same problem with the
+same scaling, tolerance and step limit.
 """
 from __future__ import annotations
 
@@ -15,15 +15,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 MODEL_CONF, MODEL_DEFAULT = "spark.tidemark.modelGroupRows", 200_000
 ALPHAS = np.logspace(-2, 3, 20)
-MAX_STEPS, TOL = 50, 1e-10
+MAX_STEPS, TOL, SHORTEST = 50, 1e-10, 1e-6
+MODELS_AT_ONCE = 500
 
 
 # ---- one model, in memory --------------------------------------------------------------------
 def scale_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sd = x.std(axis=0)
-    return x.mean(axis=0), np.where(sd > 0, sd, 1.0)
+    mu = x.mean(axis=0)
+    return mu, usable_scale(mu, ((x - mu) ** 2).mean(axis=0))
+
+
+def usable_scale(mu: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Standard deviations; 1 where the spread is rounding of the mean."""
+    sd = np.sqrt(var)
+    return np.where(sd > 1e-12 * np.maximum(1.0, np.abs(mu)), sd, 1.0)
+
+
+def settled(g: np.ndarray, step: np.ndarray, w: np.ndarray, n: float) -> bool:
+    """No gradient and nowhere to go; without an optimum the gradient fades but the steps do not."""
+    return bool(np.abs(g).max() < TOL * max(1.0, n) and np.abs(step).max() < 1e-6 * (1 + np.abs(w).max()))
+
+
+def rises(new: float, old: float) -> bool:
+    return new > old + 1e-9 * max(1.0, abs(old))
 
 
 def logistic_terms(z1: np.ndarray, y: np.ndarray, w: np.ndarray, c: float) -> tuple:
@@ -45,22 +63,19 @@ def newton_step(w, loss, grad, hess, penalty: float):
     return loss + 0.5 * (pen * w * w).sum(), g, np.linalg.lstsq(h, g, rcond=None)[0]
 
 
-def fit_logistic(z: np.ndarray, y: np.ndarray, c: float = 1.0, penalty: float = 1.0) -> np.ndarray:
-    """argmin ½·penalty·|w|² + c·Σ log-loss by Newton steps, halved while the loss rises."""
+def fit_logistic(z: np.ndarray, y: np.ndarray, c: float = 1.0, penalty: float = 1.0) -> tuple[np.ndarray, bool]:
+    """argmin ½·penalty·|w|² + c·Σ log-loss by Newton steps, halved while the loss rises; and whether it converged."""
     z1 = np.column_stack([np.ones(len(z)), z])
     w = np.zeros(z1.shape[1])
     for _ in range(MAX_STEPS):
         obj, g, step = newton_step(w, *logistic_terms(z1, y, w, c), penalty)
-        if np.abs(g).max() < TOL * max(1, len(y)):
-            break
+        if settled(g, step, w, len(y)):
+            return w, True
         t = 1.0
-        while t > 1e-6:
-            new = w - t * step
-            if newton_step(new, *logistic_terms(z1, y, new, c), penalty)[0] <= obj + 1e-12:
-                break
+        while t > SHORTEST and rises(newton_step(w - t * step, *logistic_terms(z1, y, w - t * step, c), penalty)[0], obj):
             t /= 2
-        w = new
-    return w
+        w = w - t * step
+    return w, settled(*newton_step(w, *logistic_terms(z1, y, w, c), penalty)[1:], w, len(y))
 
 
 def raw_scale(w: np.ndarray, mu: np.ndarray, sd: np.ndarray) -> tuple[float, np.ndarray]:
@@ -94,17 +109,18 @@ def _fit_one(kind: str, x: np.ndarray, y: np.ndarray, c: float, penalty: float):
     if kind == "logistic":
         if len(np.unique(y)) < 2:
             return None
-        return raw_scale(fit_logistic(z, y, c, penalty), mu, sd)
+        w, converged = fit_logistic(z, y, c, penalty)
+        return *raw_scale(w, mu, sd), converged
     yc = y - y.mean()
     path = ridge_path(z.T @ z, z.T @ yc)
     w = path[int(np.argmin(loo_errors(z, yc, len(y), path)))][0]
-    return raw_scale(np.r_[y.mean(), w], mu, sd)
+    return *raw_scale(np.r_[y.mean(), w], mu, sd), True
 
 
 def _params_schema(df: DataFrame, keys: Sequence[str]) -> str:
     types = dict(df.dtypes)
     cols = [f"`{k}` {types[k]}" for k in keys]
-    return ", ".join([*cols, "mfold int", "intercept double", "coef array<double>", "n_train bigint"])
+    return ", ".join([*cols, "mfold int", "intercept double", "coef array<double>", "n_train bigint", "converged boolean"])
 
 
 def _in_task(kind, rows, keys, y, x, folds, c, penalty) -> DataFrame:
@@ -119,8 +135,8 @@ def _in_task(kind, rows, keys, y, x, folds, c, penalty) -> DataFrame:
                 continue
             fit = _fit_one(kind, xs[m], ys[m], c, penalty)
             if fit is not None:
-                out.append((*key, f, fit[0], fit[1].tolist(), int(m.sum())))
-        return pd.DataFrame(out, columns=[*keys, "mfold", "intercept", "coef", "n_train"])
+                out.append((*key, f, fit[0], fit[1].tolist(), int(m.sum()), fit[2]))
+        return pd.DataFrame(out, columns=[*keys, "mfold", "intercept", "coef", "n_train", "converged"])
 
     cols = [*keys, y, x] + (["fold"] if folds else [])
     return rows.select(*cols).groupBy(*keys).applyInPandas(run, _params_schema(rows, keys))
@@ -139,6 +155,7 @@ def _partial_sums(rows: DataFrame, keys: list[str], y: str, x: str, folds: int |
         acc: dict = {}
         for pdf in batches:
             for key, g in pdf.groupby(keys, sort=False, dropna=False):
+                key = tuple(None if pd.isna(v) else v for v in key)
                 xs, ys = _stack(g[x]), g[y].to_numpy(float)
                 for f in (range(folds) if folds else [-1]):
                     m = g["fold"].to_numpy() != f if folds else slice(None)
@@ -160,19 +177,21 @@ def _partial_sums(rows: DataFrame, keys: list[str], y: str, x: str, folds: int |
 
 
 def _distributed(kind, rows, keys, y, x, folds, c, penalty) -> list[tuple]:
-    from tidemark.session import stored
     keys = list(keys)
     rows = stored(rows.select(*keys, y, x, *(["fold"] if folds else [])), "fit")
 
-    def moments(key, f, xs, ys):
-        return np.r_[len(xs), ys.sum(), xs.sum(0), (xs * xs).sum(0)] if len(xs) else None
+    def sums(key, f, xs, ys):
+        return np.r_[len(xs), ys.sum(), xs.sum(0)] if len(xs) else None
+
+    means = {k: (v[0], v[1] / v[0], v[2:] / v[0]) for k, v in _partial_sums(rows, keys, y, x, folds, sums).items()}
+
+    def squares(key, f, xs, ys):
+        return ((xs - means[key, f][2]) ** 2).sum(0) if len(xs) else None
 
     base = {}
-    for k, v in _partial_sums(rows, keys, y, x, folds, moments).items():
-        d = (len(v) - 2) // 2
-        mu = v[2:2 + d] / v[0]
-        var = np.maximum(v[2 + d:] / v[0] - mu * mu, 0)
-        base[k] = [mu, np.where(var > 1e-18, np.sqrt(var), 1.0), v[0], v[1] / v[0]]
+    for k, v in _partial_sums(rows, keys, y, x, folds, squares).items():
+        n, share, mu = means[k]
+        base[k] = [mu, usable_scale(mu, v / n), n, share]
 
     def scaled(key, f, xs):
         mu, sd = base[key, f][:2]
@@ -182,15 +201,15 @@ def _distributed(kind, rows, keys, y, x, folds, c, penalty) -> list[tuple]:
         return v[0], v[1:1 + d], v[1 + d:].reshape(d, d)
 
     final: dict = {}
+    done: set = set()
     if kind == "logistic":
         w = {k: np.zeros(len(b[0]) + 1) for k, b in base.items() if 0 < b[3] < 1}
         step = {k: np.zeros_like(v) for k, v in w.items()}
         best = dict.fromkeys(w, np.inf)
         size = dict.fromkeys(w, 1.0)
+        taken = dict.fromkeys(w, 0)
         live = set(w)
-        for _ in range(2 * MAX_STEPS):
-            if not live:
-                break
+        while live:
             at = {k: w[k] - size[k] * step[k] for k in live}
 
             def terms(key, f, xs, ys, at=at):
@@ -202,11 +221,14 @@ def _distributed(kind, rows, keys, y, x, folds, c, penalty) -> list[tuple]:
 
             for k, v in _partial_sums(rows, keys, y, x, folds, terms).items():
                 obj, g, s = newton_step(at[k], *unpack(v, len(at[k])), penalty)
-                if obj > best[k] + 1e-9 * max(1.0, abs(best[k])) and size[k] > 1e-6:
+                if size[k] > SHORTEST and rises(obj, best[k]):
                     size[k] /= 2
                     continue
                 w[k], best[k], step[k], size[k] = at[k], obj, s, 1.0
-                if np.abs(g).max() < TOL * max(1.0, base[k][2]):
+                if settled(g, s, at[k], base[k][2]):
+                    done.add(k)
+                taken[k] += 1
+                if k in done or taken[k] > MAX_STEPS:
                     live.discard(k)
         final = w
     else:
@@ -228,10 +250,11 @@ def _distributed(kind, rows, keys, y, x, folds, c, penalty) -> list[tuple]:
 
         for k, v in _partial_sums(rows, keys, y, x, folds, errors).items():
             final[k] = np.r_[base[k][3], paths[k][int(np.argmin(v))][0]]
+            done.add(k)
     out = []
     for (key, f), w in final.items():
         b0, coef = raw_scale(w, base[key, f][0], base[key, f][1])
-        out.append((*key, f, b0, coef.tolist(), int(base[key, f][2])))
+        out.append((*key, f, b0, coef.tolist(), int(base[key, f][2]), (key, f) in done))
     return out
 
 
@@ -248,17 +271,24 @@ def fit(rows: DataFrame, keys: Sequence[str], y: str, x: str, folds: int | None
     limit = int(spark.conf.get(MODEL_CONF, str(MODEL_DEFAULT)))
     if large is False:
         return _in_task(kind, rows, keys, y, x, folds, c, penalty)
-    if large is None:
-        sizes = rows.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-        hot = sizes.collect()  # at most rows/limit keys
-        if not hot:
-            return _in_task(kind, rows, keys, y, x, folds, c, penalty)
-        big = spark.createDataFrame(hot, sizes.schema)
-        fitted = _distributed(kind, rows.join(F.broadcast(big), keys, "left_semi"), keys, y, x, folds, c, penalty)
-        small = _in_task(kind, rows.join(F.broadcast(big), keys, "left_anti"), keys, y, x, folds, c, penalty)
-        return small.unionByName(spark.createDataFrame(fitted, small.schema))
-    fitted = _distributed(kind, rows, keys, y, x, folds, c, penalty)
-    return spark.createDataFrame(fitted, _params_schema(rows, keys))
+    if not keys:
+        return fit(rows.withColumn("__all", F.lit(0)), ["__all"], y, x, folds, kind, c, penalty, large).drop("__all")
+    sizes = stored(rows.groupBy(*keys).count(), "sizes")
+    big = sizes if large else sizes.filter(F.col("count") > limit)
+    n_big = big.count()
+    if not n_big:
+        return _in_task(kind, rows, keys, y, x, folds, c, penalty)
+    rows = stored(rows, "fit-rows")
+    named = big.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = [rows[k].eqNullSafe(named[f"__k_{k}"]) for k in keys]
+    out = None if large else _in_task(kind, rows.join(named, on, "left_anti"), keys, y, x, folds, c, penalty)
+    turns = -(-n_big // MODELS_AT_ONCE)
+    for i in range(turns):
+        some = rows.join(named, on, "left_semi")
+        some = some if turns == 1 else some.filter(F.pmod(F.xxhash64(*keys), F.lit(turns)) == i)
+        part = spark.createDataFrame(_distributed(kind, some, keys, y, x, folds, c, penalty), _params_schema(rows, keys))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # ---- scoring ----------------------------------------------------------------------------------
