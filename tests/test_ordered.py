@@ -125,3 +125,11 @@ def test_hash_draws_do_not_depend_on_partitioning(spark):
     a = got(ids.select("id", uniform("s", F.col("id")).alias("u")), "id", "u")
     b = got(ids.repartition(7).select("id", uniform("s", F.col("id")).alias("u")), "id", "u")
     assert a == b and 0.4 < np.mean([u for _, u in a]) < 0.6
+
+
+def test_crc_seed_is_the_plain_checksum(spark):
+    import zlib
+
+    from tidemark.functions.draws import crc_seed
+    row = spark.range(1).select(crc_seed("mci", "full", F.lit(40)).alias("s")).first()
+    assert row["s"] == zlib.crc32(b"mci|full|40")

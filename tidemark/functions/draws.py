@@ -19,6 +19,11 @@ def digest(*parts) -> Column:
     return F.md5(tag(*parts).cast("binary"))
 
 
+def crc_seed(*parts) -> Column:
+    """CRC-32 of the joined parts: a short stable seed of a named task."""
+    return F.crc32(tag(*parts).cast("binary"))
+
+
 def hash32(*parts) -> Column:
     """First eight hex digits of the md5 as an integer."""
     return F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast("bigint")

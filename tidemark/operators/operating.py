@@ -87,6 +87,13 @@ def spans(df: DataFrame, keys: Sequence[str], item: str, value: str) -> DataFram
         F.max_by(item, place).alias("best"), F.min_by(item, place).alias("worst"))
 
 
+def span_ratio(per: DataFrame, family: str, above: str, below: str) -> DataFrame:
+    """How far a value moves over one family against another: ratio of their spans, null without movement below."""
+    pick = lambda f: F.max(F.when(F.col(family) == f, F.col("span")))
+    return per.agg(pick(above).alias("span_above"), pick(below).alias("span_below")).withColumn(
+        "ratio", ratio(F.col("span_above"), F.col("span_below")))
+
+
 def draw_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Summary over draws; a key's draws are a design constant (tens)."""
     v = F.col(value)

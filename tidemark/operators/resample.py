@@ -79,6 +79,15 @@ def weighted_regression(df: DataFrame, keys: Sequence[str], y: str, pred: str, w
         ratio(F.sum(wt * dy * dp), F.sqrt(F.sum(wt * dy * dy) * F.sum(wt * dp * dp))).alias("pcc"))
 
 
+def regression_intervals(df: DataFrame, keys: Sequence[str], sid: str, y: str, pred: str, n: int, seed: str) -> DataFrame:
+    """95 % bootstrap intervals of MAE and Pearson correlation per group."""
+    keys = list(keys)
+    rows = bootstrap_weights(df.filter(F.col(y).isNotNull() & F.col(pred).isNotNull()).select(*keys, sid, y, pred), sid, n, seed)
+    m = weighted_regression(rows, [*keys, "replicate"], y, pred)
+    ends = [F.percentile(c, F.lit(q)).alias(f"{c}_{e}") for c in ("mae", "pcc") for e, q in (("lo", 0.025), ("hi", 0.975))]
+    return m.groupBy(*keys).agg(*ends)
+
+
 def permuted(df: DataFrame, keys: Sequence[str], sid: str, carry: Sequence[str], n: int, seed: str,
              hot: bool | None = None) -> DataFrame:
     """Rows under ``n`` permutations: ``carry`` columns move together to another row's place."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import dims
-from tidemark.functions.draws import hash32, poisson_bounds
+from tidemark.functions.draws import hash32
 from tidemark.functions.scalars import Z95, normal_two_sided, rounded
 from tidemark.operators import covariate as cv
 from tidemark.operators import matching as mt
@@ -15,7 +15,7 @@ from tidemark.operators import resample as rp
 from tidemark.plans.modelling import (calibrated_transfer, design, doc_rows, long_age, oof_scores)
 from tidemark.plans.ranks import DELONG_OUT, delong_out
 from tidemark.plans.registry import Tables, query
-from tidemark.plans.sql import auc_cte, delong_cte, digest, h, r, two_sided, u
+from tidemark.plans.sql import auc_cte, boot, delong_cte, h, r, two_sided, u
 from tidemark.tables import (CONTRAST, CUBE, SCORE, SUBJECT, contrast_rows, features_wide, score,
                              with_views)
 
@@ -23,18 +23,6 @@ from tidemark.tables import (CONTRAST, CUBE, SCORE, SUBJECT, contrast_rows, feat
 B_AUC, B_PAIR, B_RATIO, B_METRIC, B_INTER = 2000, 4000, 1500, 2000, 4000
 
 
-def _poisson(draw: str) -> str:
-    bounds = poisson_bounds()
-    return "CASE " + " ".join(f"WHEN {draw} < '{b}' THEN {k}" for k, b in enumerate(bounds)) + f" ELSE {len(bounds)} END"
-
-
-def _boot(seed: str, src: str, sid: str, cols: str, n: int, name: str = "w") -> str:
-    """CTE that replays bootstrap_weights: (b, w) and the columns ``cols`` of the rows of ``src``."""
-    return f"""{name} AS (SELECT {cols}, b, w FROM (SELECT {cols}, block * 4 + j AS b, {_poisson('substr(d, 1 + 8 * j, 8)')} AS w
-    FROM (SELECT *, {digest(f"'{seed}'", 'block', sid)} AS d FROM {src} CROSS JOIN (SELECT unnest(range(0, {(n + 3) // 4})) AS block)) q_{name}
-    CROSS JOIN (SELECT unnest(range(0, 4)) AS j)) p_{name} WHERE w > 0 AND b < {n})"""
-
-
 def _wauc(name: str, src: str, keys: str, y: str, s: str) -> str:
     """Weighted AUC by the tie histogram."""
     return f"""{name} AS (SELECT {keys}, CASE WHEN sum(p) > 0 AND sum(q) > 0 THEN sum(p * (cq - q / 2.0e0)) / (sum(p) * CAST(sum(q) AS DOUBLE)) END AS auc FROM (
@@ -43,7 +31,7 @@ def _wauc(name: str, src: str, keys: str, y: str, s: str) -> str:
       FROM {src} GROUP BY {keys}, {s}) h_{name}) c_{name} GROUP BY {keys})"""
 
 
-@query("i04_bootstrap_auc_ci", with_views(SCORE, _boot("boot", "score", "id", "cohort, y, a", B_AUC), _wauc("ba", "w", "cohort, b", "y", "a")) + f"""
+@query("i04_bootstrap_auc_ci", with_views(SCORE, boot("boot", "score", "id", "cohort, y, a", B_AUC), _wauc("ba", "w", "cohort, b", "y", "a")) + f"""
 SELECT cohort, {r('avg(auc)')} AS mean, {r('quantile_cont(auc, 0.025)')} AS ci_lo, {r('quantile_cont(auc, 0.975)')} AS ci_hi, count(auc) AS n_replicates
 FROM ba GROUP BY cohort""")
 def i04(spark, sf):
@@ -53,7 +41,7 @@ def i04(spark, sf):
     return out.select("cohort", *[rounded(F.col(c)).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n_replicates")
 
 
-PAIR = [_boot("pair", "score", "id", "y, a, c", B_PAIR), _wauc("ba", "w", "b", "y", "a"), _wauc("bc", "w", "b", "y", "c")]
+PAIR = [boot("pair", "score", "id", "y, a, c", B_PAIR), _wauc("ba", "w", "b", "y", "a"), _wauc("bc", "w", "b", "y", "c")]
 TAILS = "least(1.0e0, 2 * least(avg(CASE WHEN d <= 0 THEN 1.0e0 WHEN d > 0 THEN 0.0e0 END), avg(CASE WHEN d >= 0 THEN 1.0e0 WHEN d < 0 THEN 0.0e0 END)))"
 
 
@@ -68,7 +56,7 @@ def i05(spark, sf):
 
 
 @query("i06_ratio_bootstrap", with_views(
-    SCORE, "matched AS (SELECT * FROM score WHERE quality = 1)", _boot("full", "score", "id", "y, a", B_RATIO), _boot("sub", "matched", "id", "y, a", B_RATIO, "v"),
+    SCORE, "matched AS (SELECT * FROM score WHERE quality = 1)", boot("full", "score", "id", "y, a", B_RATIO), boot("sub", "matched", "id", "y, a", B_RATIO, "v"),
     _wauc("ta", "w", "b", "y", "a"), _wauc("ma", "v", "b", "y", "a")) + f"""
 SELECT {r('avg(rho)', 5)} AS mean, {r('quantile_cont(rho, 0.025)', 5)} AS ci_lo, {r('quantile_cont(rho, 0.975)', 5)} AS ci_hi, count(rho) AS n_replicates
 FROM (SELECT CASE WHEN 1 - ta.auc - 0.5e0 > 1e-9 THEN (ma.auc - ta.auc) / (0.5e0 - ta.auc) END AS rho FROM ta JOIN ma USING (b))""")
@@ -83,7 +71,7 @@ def i06(spark, sf):
 
 
 @query("i07_paired_metric_bootstrap", with_views(
-    SCORE, "one AS (SELECT id, b AS y, 6 * a AS pa, 90 * c AS pc FROM score)", _boot("reg", "one", "id", "y, pa, pc", B_METRIC, "ws"),
+    SCORE, "one AS (SELECT id, b AS y, 6 * a AS pa, 90 * c AS pc FROM score)", boot("reg", "one", "id", "y, pa, pc", B_METRIC, "ws"),
     "xs AS (SELECT b, y, pa, pc, unnest(range(0, w)) FROM ws)",
     "mt AS (SELECT b, avg(abs(pa - y)) - avg(abs(pc - y)) AS dm, corr(pa, y) - corr(pc, y) AS dp FROM xs GROUP BY b)") + f"""
 SELECT {r('quantile_cont(dm, 0.025)', 4)} AS d_mae_lo, {r('quantile_cont(dm, 0.975)', 4)} AS d_mae_hi,
@@ -102,7 +90,7 @@ def i07(spark, sf):
 
 
 @query("i08_interaction_bootstrap", with_views(
-    SCORE, "gr AS (SELECT *, CASE WHEN y = 0 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS g FROM score)", _boot("inter", "gr", "id", "g, a, c", B_INTER, "ws"),
+    SCORE, "gr AS (SELECT *, CASE WHEN y = 0 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS g FROM score)", boot("inter", "gr", "id", "g, a, c", B_INTER, "ws"),
     *[_wauc(f"x{g}{s}", f"(SELECT *, CASE WHEN g = {g} THEN 1 ELSE 0 END AS y FROM ws WHERE g IN (0, {g})) q", "b", "y", s) for g in (1, 2) for s in "ac"]) + f"""
 SELECT {r('avg(d)')} AS mean, {r('stddev_pop(d)')} AS se, {r('quantile_cont(d, 0.025)')} AS ci_lo, {r('quantile_cont(d, 0.975)')} AS ci_hi, {r(TAILS)} AS p
 FROM (SELECT (x1a.auc - x1c.auc) - (x2a.auc - x2c.auc) AS d FROM x1a JOIN x1c USING (b) JOIN x2a USING (b) JOIN x2c USING (b))""")
@@ -211,25 +199,51 @@ def i12(spark, sf):
 
 
 FEATURE_PAIRS = [("f_n", "f_total"), ("f_open", "f_final"), ("f_total", "f_open")]
-FAM = f"""fr AS (SELECT k.cohort, k.y, p.fa || '_vs_' || p.fb AS pair, a.value AS sa, b.value AS sb FROM contr k
-  JOIN cube a ON a.subject = k.subject AND a.cond = '5-LOW' JOIN cube b ON b.subject = k.subject AND b.cond = '5-LOW'
-  JOIN {dims.values_sql(FEATURE_PAIRS)} p(fa, fb) ON p.fa = a.feature AND p.fb = b.feature WHERE k.contrast = 'dementia')"""
+FAM = f"""fr AS (SELECT k.contrast, a.cond, k.cohort, k.y, p.fa || '_vs_' || p.fb AS pair, a.value AS sa, b.value AS sb FROM contr k
+  JOIN cube a ON a.subject = k.subject JOIN cube b ON b.subject = k.subject AND b.cond = a.cond
+  JOIN {dims.values_sql(FEATURE_PAIRS)} p(fa, fb) ON p.fa = a.feature AND p.fb = b.feature)"""
+CONDITION_PAIRS = [("1-URGENT", "5-LOW"), ("2-HIGH", "5-LOW"), ("3-MEDIUM", "4-NOT SPECIFIED"), ("1-URGENT", "2-HIGH")]
+CFAM = f"""cr AS (SELECT k.contrast, k.cohort, k.y, p.ca || '_vs_' || p.cb AS pair, a.f_total AS sa, b.f_total AS sb FROM contr k
+  JOIN {dims.values_sql(CONDITION_PAIRS)} p(ca, cb) ON true JOIN fwide a ON a.subject = k.subject AND a.cond = p.ca
+  JOIN fwide b ON b.subject = k.subject AND b.cond = p.cb)"""
+
+
+def _family(keys: str) -> str:
+    """Pooled over cohorts, corrected inside each family of pairs."""
+    return f"""pp AS (SELECT *, {two_sided('(est / pse)')} AS p FROM pl),
+pk AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY p, pair) AS rk, count(*) OVER (PARTITION BY {keys}) AS n FROM pp)
+SELECT {keys}, pair, k, {r('est')} AS diff, {r('pse')} AS se, {r('p', 5)} AS p,
+  {r(f'least(1.0e0, max((n - rk + 1) * p) OVER (PARTITION BY {keys} ORDER BY rk))', 5)} AS p_holm FROM pk"""
+
+
+def pair_family(rows, family, hot):
+    """Paired tests of every prespecified pair per cohort, pooled over cohorts and corrected inside the family."""
+    d = rs.delong(rows, [*family, "pair", "cohort"], "y", "sa", "sb", hot=hot)
+    p = rs.holm(rs.pool(d, [*family, "pair"], "diff", "se"), family, "p", ["pair"], hot=False)
+    return p.select(*family, "pair", "k", rounded(F.col("diff")).alias("diff"), rounded(F.col("se")).alias("se"),
+                    rounded(F.col("p"), 5).alias("p"), rounded(F.col("p_holm"), 5).alias("p_holm"))
 
 
-@query("i13_pair_family", with_views(SUBJECT, CONTRAST, CUBE, FAM, delong_cte("res", "fr", "pair, cohort", "y", "sa", "sb"),
-       POOLED.format(g="pair,", src="res"), f"pp AS (SELECT *, {two_sided('(est / pse)')} AS p FROM pl)",
-       "pk AS (SELECT *, row_number() OVER (ORDER BY p, pair) AS rk, count(*) OVER () AS n FROM pp)") + f"""
-SELECT pair, k, {r('est')} AS diff, {r('pse')} AS se, {r('p', 5)} AS p, {r('least(1.0e0, max((n - rk + 1) * p) OVER (ORDER BY rk))', 5)} AS p_holm FROM pk""")
+@query("i13_pair_family", with_views(SUBJECT, CONTRAST, CUBE, FAM, delong_cte("res", "fr", "contrast, cond, pair, cohort", "y", "sa", "sb"),
+       POOLED.format(g="contrast, cond, pair,", src="res"), _family("contrast, cond")))
 def i13(spark, sf):
     t = Tables(spark, sf)
-    f = features_wide(t).filter("cond = '5-LOW'")
     pairs = F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), F.col(a).alias("sa"), F.col(b).alias("sb")) for a, b in FEATURE_PAIRS])
-    rows = contrast_rows(t).filter("contrast = 'dementia'").join(f, "subject").select("cohort", "y", F.explode(pairs).alias("p")).select("cohort", "y", "p.*")
-    d = rs.delong(rows, ["pair", "cohort"], "y", "sa", "sb", hot=t.hot("customer"))
-    p = rs.pool(d, ["pair"], "diff", "se").withColumn("family", F.lit(0))
-    p = rs.holm(p, ["family"], "p", ["pair"], hot=False)
-    return p.select("pair", "k", rounded(F.col("diff")).alias("diff"), rounded(F.col("se")).alias("se"),
-                    rounded(F.col("p"), 5).alias("p"), rounded(F.col("p_holm"), 5).alias("p_holm"))
+    rows = contrast_rows(t).join(features_wide(t), "subject").select("contrast", "cond", "cohort", "y", F.explode(pairs).alias("p"))
+    return pair_family(rows.select("contrast", "cond", "cohort", "y", "p.*"), ["contrast", "cond"], t.hot("customer", fanout=15))
+
+
+@query("i13_condition_pairs", with_views(SUBJECT, CONTRAST, CUBE, CFAM, delong_cte("res", "cr", "contrast, pair, cohort", "y", "sa", "sb"),
+       POOLED.format(g="contrast, pair,", src="res"), _family("contrast")))
+def i13_conditions(spark, sf):
+    """The same score under two conditions, on the same subjects."""
+    t = Tables(spark, sf)
+    # One row a subject with its score under every condition: a design list.
+    wide = features_wide(t).groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("cond", "f_total"))).alias("m"))
+    at = lambda c: F.try_element_at("m", F.lit(c))
+    pairs = F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), at(a).alias("sa"), at(b).alias("sb")) for a, b in CONDITION_PAIRS])
+    rows = contrast_rows(t).join(wide, "subject").select("contrast", "cohort", "y", F.explode(pairs).alias("p")).select("contrast", "cohort", "y", "p.*")
+    return pair_family(rows, ["contrast"], t.hot("customer", fanout=4))
 
 
 # ---- matching and subsampling -----------------------------------------------------------------

@@ -10,9 +10,10 @@ from tidemark.functions.scalars import rounded
 from tidemark.operators import labels as lb
 from tidemark.operators import operating as op
 from tidemark.operators import rankstats as rs
+from tidemark.operators import resample as rp
 from tidemark.plans.ranks import LONG
 from tidemark.plans.registry import Tables, query
-from tidemark.plans.sql import auc_cte, midrank, r, u
+from tidemark.plans.sql import auc_cte, boot, midrank, r, u
 from tidemark.tables import (CONTRAST, CUBE, SCORE, SIGNAL, SUBJECT, contrast_rows, cube, score, signal,
                              with_views)
 
@@ -178,6 +179,28 @@ def a17(spark, sf):
     return m.select("cohort", "n", rounded(F.col("mae"), 4).alias("mae"), rounded(F.col("rmse"), 4).alias("rmse"), rounded(F.col("pcc")).alias("pcc"))
 
 
+@query("a17_regression_intervals", with_views(SCORE, "pr AS (SELECT cohort, id, b AS y, 6 * a AS p FROM score)",
+       boot("regci", "pr", "id", "cohort, y, p", 2000, "ws"), "xs AS (SELECT cohort, b, y, p, unnest(range(0, w)) FROM ws)",
+       "mt AS (SELECT cohort, b, avg(abs(p - y)) AS mae, CASE WHEN stddev_pop(p) > 0 AND stddev_pop(y) > 0 THEN corr(p, y) END AS pcc FROM xs GROUP BY 1, 2)") + f"""
+SELECT cohort, {r('quantile_cont(mae, 0.025)', 4)} AS mae_lo, {r('quantile_cont(mae, 0.975)', 4)} AS mae_hi,
+  {r('quantile_cont(pcc, 0.025)', 5)} AS pcc_lo, {r('quantile_cont(pcc, 0.975)', 5)} AS pcc_hi FROM mt GROUP BY cohort""")
+def a17_intervals(spark, sf):
+    s = score(Tables(spark, sf)).select("cohort", "id", F.col("b").alias("y"), (6 * F.col("a")).alias("p"))
+    m = rp.regression_intervals(s, ["cohort"], "id", "y", "p", 2000, "regci")
+    return m.select("cohort", *[rounded(F.col(c), 4).alias(c) for c in ("mae_lo", "mae_hi")],
+                    *[rounded(F.col(c), 5).alias(c) for c in ("pcc_lo", "pcc_hi")])
+
+
+@query("a18_span_ratio", with_views(SCORE, LONG, auc_cte("res", "slong", "cohort, arm", "y", "s"),
+       "sp AS (SELECT arm, max(auc) - min(auc) AS span FROM res GROUP BY arm)") + f"""
+SELECT {r('x.span')} AS span_above, {r('y.span')} AS span_below, {r('x.span / y.span')} AS ratio FROM sp x, sp y WHERE x.arm = 'a' AND y.arm = 'c'""")
+def a18_ratio(spark, sf):
+    t = Tables(spark, sf)
+    x = rs.auc(rs.long_scores(score(t), ["cohort"], "y", ["a", "b", "c"]), ["cohort", "arm"], "y", "s", hot=t.hot("documents"))
+    out = op.span_ratio(op.spans(x, ["arm"], "cohort", "auc"), "arm", "a", "c")
+    return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
+
+
 @query("a18_spans", with_views(SCORE, LONG, auc_cte("res", "slong", "cohort, arm", "y", "s")) + f"""
 SELECT arm, {r('max(auc) - min(auc)')} AS span, arg_max(cohort, (auc, cohort)) FILTER (auc IS NOT NULL) AS best, arg_min(cohort, (auc, cohort)) FILTER (auc IS NOT NULL) AS worst FROM res GROUP BY arm""")
 def a18(spark, sf):
@@ -212,13 +235,18 @@ def a22(spark, sf):
 
 
 @query("a23_strata_composition", with_views(SUBJECT) + f"""
-SELECT stratum, count(*) AS n, {r('avg(age)')} AS mean_age, {r('avg(CASE WHEN age < 19 THEN 1.0e0 ELSE 0.0e0 END)')} AS share_severe FROM (
-  SELECT age, unnest(CASE WHEN label = 'CN' THEN ['all', 'controls', cohort] ELSE ['all', cohort] END) AS stratum FROM subject WHERE age IS NOT NULL) GROUP BY 1""")
+, sc AS (SELECT o_custkey AS subject, sum(o_totalprice / 100000) AS score FROM orders GROUP BY 1)
+SELECT stratum, count(*) AS n, {r('avg(age)')} AS mean_age, {r('avg(score)')} AS mean_score, {r('avg(CASE WHEN score < 19 THEN 1.0e0 WHEN score >= 19 THEN 0.0e0 END)')} AS share_severe FROM (
+  SELECT age, score, unnest(CASE WHEN label = 'CN' THEN ['all', 'controls', cohort] ELSE ['all', cohort] END) AS stratum
+  FROM subject LEFT JOIN sc USING (subject) WHERE age IS NOT NULL) GROUP BY 1""")
 def a23(spark, sf):
-    s = subject_with_age(Tables(spark, sf))
+    t = Tables(spark, sf)
+    measured = t.orders.groupBy(F.col("o_custkey").alias("subject")).agg(F.sum(F.col("o_totalprice") / 100000).alias("score"))
+    s = subject_with_age(t).join(measured, "subject", "left")
     strata = F.array_compact(F.array(F.lit("all"), F.when(F.col("label") == "CN", "controls"), F.col("cohort")))
-    return s.select("age", F.explode(strata).alias("stratum")).groupBy("stratum").agg(
-        F.count("*").alias("n"), rounded(F.avg("age")).alias("mean_age"), rounded(F.avg((F.col("age") < 19).cast("double"))).alias("share_severe"))
+    return s.select("age", "score", F.explode(strata).alias("stratum")).groupBy("stratum").agg(
+        F.count("*").alias("n"), rounded(F.avg("age")).alias("mean_age"), rounded(F.avg("score")).alias("mean_score"),
+        rounded(F.avg((F.col("score") < 19).cast("double"))).alias("share_severe"))
 
 
 def subject_with_age(t: Tables):

@@ -205,23 +205,29 @@ def condition_grid(spark):
                                        F.lit(None).cast("int").alias("bits"), "preproc",
                                        F.lit("preprocessing").alias("axis"))
     g = axis_a.unionByName(axis_b).unionByName(axis_c)
+    sites = F.broadcast(m.select("montage", "n_electrodes"))
+    g = g.join(sites, "montage").withColumn("description", F.format_string(
+        "%s (%d el), %d Hz, %s, %s", "montage", "n_electrodes", "rate",
+        F.coalesce(F.concat(F.col("bits").cast("string"), F.lit("-bit")), F.lit("float32")), "preproc")).drop("n_electrodes")
     return g.withColumn("cond", F.concat_ws("|", "montage", F.col("rate").cast("string"),
                                             F.coalesce(F.col("bits").cast("string"), F.lit("f32")), "preproc"))
 
 
 @query("p13_condition_load", f"""
-WITH m AS (SELECT * FROM {dims.values_sql([(k,) for k in dims.MONTAGES])} v(montage)),
-g AS (SELECT montage || '|256|f32|full' AS cond, 'electrodes' AS axis FROM m
-  UNION ALL SELECT montage || '|' || rate || '|' || bits || '|full', 'digitisation' FROM m,
+WITH m AS (SELECT * FROM {dims.values_sql([(k, len(v[0])) for k, v in dims.MONTAGES.items()])} v(montage, el)),
+g AS (SELECT montage, el, 256 AS rate, 'f32' AS bits, 'full' AS pre, 'electrodes' AS axis FROM m
+  UNION ALL SELECT montage, el, rate, bits, 'full', 'digitisation' FROM m,
     (VALUES (256), (128), (64)) a(rate), (VALUES ('f32'), ('16'), ('12'), ('8')) b(bits)
     WHERE montage IN ('b19', 'b4') AND NOT (rate = 256 AND bits = 'f32')
-  UNION ALL SELECT montage || '|256|f32|' || p, 'preprocessing' FROM m, (VALUES ('emgfree'), ('noica')) c(p)
+  UNION ALL SELECT montage, el, 256, 'f32', p, 'preprocessing' FROM m, (VALUES ('emgfree'), ('noica')) c(p)
     WHERE montage IN ('b19', 'b4'))
-SELECT cond, axis, cohort, n FROM g CROSS JOIN (SELECT r_name AS cohort, count(*) AS n FROM customer
+SELECT montage || '|' || rate || '|' || bits || '|' || pre AS cond, axis, cohort, n, montage || ' (' || el || ' el), ' || rate || ' Hz, '
+  || CASE bits WHEN 'f32' THEN 'float32' ELSE bits || '-bit' END || ', ' || pre AS description
+FROM g CROSS JOIN (SELECT r_name AS cohort, count(*) AS n FROM customer
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1)""")
 def p13(spark, sf):
     n = subject(Tables(spark, sf)).groupBy("cohort").agg(F.count("*").alias("n"))
-    return condition_grid(spark).select("cond", "axis").crossJoin(n)
+    return condition_grid(spark).select("cond", "axis", "description").crossJoin(n)
 
 
 @query("p14_covariate_scaling", with_views(SUBJECT) + f"""
@@ -249,17 +255,19 @@ def p16(spark, sf):
     return lb.min_max_scaled(score(Tables(spark, sf)), ["source"], "a", "p").select("id", rounded(F.col("p")).alias("p"))
 
 
-@query("p17_corpus_check", """
-SELECT r_name AS cohort, count(*) AS expected, count(*) AS actual, true AS ok FROM customer
-JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+# Counts a release declares for its cohorts, kept apart from the tables; most are wrong here, one cohort does not exist.
+DECLARED = [("AFRICA", 300), ("AMERICA", 299), ("ASIA", 301), ("EUROPE", 296), ("ATLANTIS", 7)]
+
+
+@query("p17_corpus_check", f"""
+SELECT coalesce(e.cohort, a.cohort) AS cohort, expected, actual, expected IS NOT DISTINCT FROM actual AS ok
+FROM (SELECT cohort, CAST(n AS BIGINT) AS expected FROM {dims.values_sql(DECLARED)} v(cohort, n)) e
+FULL OUTER JOIN (SELECT r_name AS cohort, count(*) AS actual FROM customer JOIN nation ON c_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey GROUP BY 1) a ON a.cohort = e.cohort""")
 def p17(spark, sf):
-    t = Tables(spark, sf)
-    actual = subject(t).groupBy("cohort").agg(F.count("*").alias("n"))
-    per = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("k"))
-    expected = (per.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-                .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-                .groupBy(F.col("r_name").alias("cohort")).agg(F.sum("k").alias("n")))
-    return lb.check_counts(actual, expected, "cohort")
+    actual = subject(Tables(spark, sf)).groupBy("cohort").agg(F.count("*").alias("n"))
+    expected = dims.table(spark, DECLARED, "cohort, n").withColumn("n", F.col("n").cast("bigint"))
+    return lb.check_counts(actual, expected, "cohort", halt=False)
 
 
 @query("p17_cohort_gaps", with_views(SUBJECT) + """

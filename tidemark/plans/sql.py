@@ -1,6 +1,8 @@
 """Fragments shared by the DuckDB statements."""
 from __future__ import annotations
 
+from tidemark.functions.draws import poisson_bounds
+
 
 def r(expr: str, digits: int = 6) -> str:
     """Twin of functions.scalars.rounded."""
@@ -74,6 +76,18 @@ def p_of(z: str = "z", flat: str = "flat", diff: str = "diff") -> str:
             f" ELSE {two_sided(z)} END")
 
 
+def poisson_of(draw: str) -> str:
+    bounds = poisson_bounds()
+    return "CASE " + " ".join(f"WHEN {draw} < '{b}' THEN {k}" for k, b in enumerate(bounds)) + f" ELSE {len(bounds)} END"
+
+
+def boot(seed: str, src: str, sid: str, cols: str, n: int, name: str = "w") -> str:
+    """CTE that replays bootstrap_weights: (b, w) and the columns ``cols`` of the rows of ``src``."""
+    return f"""{name} AS (SELECT {cols}, b, w FROM (SELECT {cols}, block * 4 + j AS b, {poisson_of('substr(d, 1 + 8 * j, 8)')} AS w
+    FROM (SELECT *, {digest(f"'{seed}'", 'block', sid)} AS d FROM {src} CROSS JOIN (SELECT unnest(range(0, {(n + 3) // 4})) AS block)) q_{name}
+    CROSS JOIN (SELECT unnest(range(0, 4)) AS j)) p_{name} WHERE w > 0 AND b < {n})"""
+
+
 def band_gain(f: str, rate: float, lo: float, hi: float) -> str:
     """Zero-phase Butterworth band-pass gain at ``f`` (0 < f < Nyquist)."""
     w, a, b = (f"tan(pi() * ({v}) / {float(rate)!r}e0)" for v in (f, repr(float(lo)) + "e0", repr(float(hi)) + "e0"))
