@@ -168,7 +168,8 @@ def test_sweep_derives_the_same_signals_as_the_montage_operator(spark):
                 n += 1
     assert n == len(want)
     assert sw.mixing(["Fp1", "Fp2", "F7"], "b4") is None
-    assert len(sw.conditions(256, dims.RATES, dims.DEPTHS)) == 40      # the other two read another input
+    assert len(sw.conditions(256, dims.RATES, dims.DEPTHS)) == 40
+    assert len(sw.conditions(256, dims.RATES, dims.DEPTHS, True)) == 42
 
 
 def test_sweep_cube(spark):

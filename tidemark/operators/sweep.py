@@ -19,6 +19,7 @@ from tidemark import dims
 from tidemark.operators import degrade as dg
 from tidemark.operators import spectral as sp
 from tidemark.operators import windows as wn
+from tidemark.session import stored
 
 DIGITISED = ("b19", "b4")
 CHUNK_SAMPLES = 4_000_000  # samples worked on at once inside a task
@@ -31,13 +32,13 @@ def kept_windows(samples: DataFrame, length: int, limit: float, quota: int) -> D
     return wn.sampled(wn.accepted(wn.window_ptp(samples, length), limit, quota), quota)
 
 
-def conditions(rate: int, rates: Sequence[int], depths: Sequence) -> list[tuple]:
+def conditions(rate: int, rates: Sequence[int], depths: Sequence, raw: bool = False) -> list[tuple]:
     """(montage, preproc, rate, bits): all montages at native settings, two over the digitisation
-    grid and the band restriction."""
+    grid and the band restriction, and, where there is a raw input, the same two on it."""
     out = [(m, "full", rate, None) for m in dims.MONTAGES]
     out += [(m, "full", r, b) for m in DIGITISED for r in rates for b in depths
             if not (r == rate and b is None)]
-    return out + [(m, "emgfree", rate, None) for m in DIGITISED]
+    return out + [(m, p, rate, None) for p in ("emgfree", *(["noica"] if raw else [])) for m in DIGITISED]
 
 
 def mixing(names: Sequence[str], montage: str) -> tuple[np.ndarray, list[str]] | None:
@@ -87,14 +88,31 @@ def condition_spectra(windows: DataFrame, conds: list[tuple], rate: int, full_sc
     return windows.mapInPandas(step, SPECTRA.format(rec=dict(windows.dtypes)["rec"]))
 
 
+def pinned_matrices(raw: DataFrame, offsets: DataFrame, kept: DataFrame, length: int) -> DataFrame:
+    """The kept windows cut from another recording of the same session, which starts ``offset`` samples earlier.
+
+    Windows that run past its end are dropped.
+    """
+    placed = raw.join(offsets, "rec").withColumn("t", F.col("t") - F.col("offset")).filter("t >= 0").drop("offset")
+    return wn.matrices(placed, kept, length).filter(F.size("xs") == F.size("channels") * length)
+
+
 def swept(samples: DataFrame, length: int, rate: int, limit: float, quota: int, rates: Sequence[int],
-          depths: Sequence, full_scale: float, hot: bool | None = None) -> DataFrame:
-    """(cond, rec, n_windows, 17 features) over montage × digitisation × band restriction."""
+          depths: Sequence, full_scale: float, hot: bool | None = None, raw: DataFrame | None = None,
+          offsets: DataFrame | None = None) -> DataFrame:
+    """(cond, rec, n_windows, 17 features) over montage × digitisation × band restriction.
+
+    ``raw`` and ``offsets`` (rec, offset) add the arm on the recordings before artefact removal, on the same windows.
+    """
     for r in rates:
         dg.decimation_factor(rate, r)
     kept = kept_windows(samples, length, limit, quota)
-    windows = wn.matrices(samples, kept, length)
-    spectra = condition_spectra(windows, conditions(rate, rates, depths), rate, full_scale)
+    kept = kept if raw is None else stored(kept, "kept")
+    every = conditions(rate, rates, depths, raw is not None)
+    spectra = condition_spectra(wn.matrices(samples, kept, length), [c for c in every if c[1] != "noica"], rate, full_scale)
+    if raw is not None:
+        spectra = spectra.unionByName(condition_spectra(
+            pinned_matrices(raw, offsets, kept, length), [c for c in every if c[1] == "noica"], rate, full_scale))
     grids = sp.Grids([sp.Grid(length // (rate // r), r) for r in rates], "rate")
     per = sp.channel_features(spectra, grids)
     win = sp.window_features(per, ["cond", "bip", "rec", "win"], F.col("bip"))

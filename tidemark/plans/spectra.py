@@ -11,7 +11,7 @@ from tidemark.plans.recordings import ACC, LIMIT, PTP, QUOTA, SAMPLED, ptp_of, t
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.sql import band_gain, r
 from tidemark.operators import windows as wn
-from tidemark.tables import LONG_WINDOWS, SIGNAL, SITES, long_windows, signal, with_views
+from tidemark.tables import LONG_WINDOWS, SCALP, SIGNAL, long_windows, raw_scalp, scalp, with_views
 
 # Windows of 320 samples at 96 Hz: segments of 192 samples, two of them, bins of half a hertz up to 48 Hz.
 RATE, LENGTH = 96, 320
@@ -174,71 +174,87 @@ def participants(events, hot):
         "user_id", rounded(F.col("value")).alias("value"), "disease", "site", "n_sessions", "usable")
 
 
+# The sweep: 19 sites at a nominal 96 Hz, windows of 64 samples, bins of 1.5 Hz at every rate.
+S_RATE, S_RATES, S_LENGTH, S_LIMIT, S_SCALE = 96, [96, 48, 24], 64, 0.8, 2.0
+
+
 def sweep_cube(t: Tables):
-    return sw.swept(signal(t), 32, 64, LIMIT, QUOTA, [64, 32], dims.DEPTHS, 200000.0, t.hot("lineitem"))
+    raw, offsets = raw_scalp(t)
+    return sw.swept(scalp(t), S_LENGTH, S_RATE, S_LIMIT, QUOTA, S_RATES, dims.DEPTHS, S_SCALE, False, raw, offsets)
 
 
-HERE = [m for m, spec in dims.MONTAGES.items() if set(spec[0]) <= set(SITES)]
 CONDS = [(m, r, b, p, f"{m}|{r}|{'f32' if b is None else b}|{p}", dims.MONTAGES[m][1] == "bipolar")
-         for m, p, r, b in sw.conditions(64, [64, 32], dims.DEPTHS) if m in HERE]
-_CELL = "montage, preproc, rec, win, channel"
+         for m, p, r, b in sw.conditions(S_RATE, S_RATES, dims.DEPTHS, True)]
+_SPTP = PTP.replace(" / 16)", " / 64)").replace("= 16", "= 64")
+_SACC = ACC.replace(f"{LIMIT}e0", f"{S_LIMIT}e0")
 
 
 def _trap2(lo: int, hi: int) -> str:
-    """Trapezoid on the 2 Hz grid of the sweep."""
-    first, last = lo + lo % 2, (hi - 1) - (hi - 1) % 2
-    return f"2 * sum(p) FILTER (f >= {lo} AND f < {hi}) - sum(p) FILTER (f IN ({first}, {last}))"
-
-
-SWEEP = f"""{PTP.replace(' / 16)', ' / 32)').replace('= 16', '= 32')}, {ACC}, {SAMPLED},
-raw AS (SELECT s.rec, w.win, s.channel, s.t - w.win * 32 AS t, s.x FROM signal s JOIN wsam w ON w.rec = s.rec AND w.win = CAST(floor(s.t / 32) AS BIGINT)),
-sch AS (SELECT * FROM {dims.values_sql([(m, dims.MONTAGES[m][1], c) for m in HERE for c in dims.MONTAGES[m][0]])} v(montage, ref, channel)),
-spr AS (SELECT * FROM {dims.values_sql([(m, a, b) for m in HERE for a, b in dims.MONTAGES[m][2]])} v(montage, a, b)),
-sig AS (SELECT montage, rec, win, channel, t, x - CASE WHEN ref = 'subset_car' THEN avg(x) OVER (PARTITION BY montage, rec, win, t) ELSE 0 END AS x
-    FROM raw JOIN sch USING (channel) WHERE ref <> 'bipolar'
-  UNION ALL SELECT montage, p.rec, p.win, a || '-' || b, p.t, p.x - q.x FROM spr JOIN raw p ON p.channel = a
-    JOIN raw q ON q.channel = b AND q.rec = p.rec AND q.win = p.win AND q.t = p.t),
-emc AS (SELECT rec, win, channel, k, sum(x * cos(2 * pi() * k * t / 32)) AS re, sum(x * sin(2 * pi() * k * t / 32)) AS im
-  FROM sig, (SELECT unnest(range(1, 16)) AS k) WHERE montage = 'b4' GROUP BY 1, 2, 3, 4),
-dec AS (SELECT montage, rec, win, channel, (t + j) // 2 AS t, sum(x * h) AS x FROM sig JOIN {taps_sql(2)} ON (t + j) % 2 = 0 AND t + j >= 0 AND t + j < 32
-  WHERE montage = 'b4' GROUP BY 1, 2, 3, 4, 5),
-arms AS (SELECT montage, 'full' AS preproc, 64 AS rate, rec, win, channel, t, x FROM sig
-  UNION ALL SELECT 'b4', 'emgfree', 64, rec, win, channel, t, sum({band_gain('2 * k', 64, 2, 20)} * (re * cos(2 * pi() * k * t / 32) + im * sin(2 * pi() * k * t / 32))) / 16
-    FROM emc, (SELECT unnest(range(0, 32)) AS t) GROUP BY rec, win, channel, t
-  UNION ALL SELECT montage, 'full', 32, rec, win, channel, t, x FROM dec),
+    """Trapezoid on the 1.5 Hz grid of the sweep."""
+    first, last = 1.5 * -(-lo * 2 // 3), 1.5 * (-(-hi * 2 // 3) - 1)
+    return f"1.5e0 * (sum(p) FILTER (f >= {lo} AND f < {hi}) - sum(p) FILTER (f IN ({first}, {last})) / 2)"
+
+
+def _decimated(name: str, k: int) -> str:
+    return f"""{name} AS (SELECT montage, rec, win, channel, (t + j) // {k} AS t, sum(x * h) AS x FROM sig JOIN {taps_sql(k)}
+  ON (t + j) % {k} = 0 AND t + j >= 0 AND t + j < 64 WHERE src = 'ica' AND montage IN ('b19', 'b4') GROUP BY 1, 2, 3, 4, 5)"""
+
+
+SWEEP = f"""{_SPTP}, {_SACC}, {SAMPLED},
+raw AS (SELECT s.rec, w.win, s.channel, s.t - w.win * 64 AS t, s.x FROM signal s JOIN wsam w ON w.rec = s.rec AND w.win = CAST(floor(s.t / 64) AS BIGINT)),
+inp AS (SELECT 'ica' AS src, * FROM raw UNION ALL SELECT 'raw', rec, win, channel, t, 1.1e0 * x + 0.01e0 * (t % 2) FROM raw),
+sch AS (SELECT * FROM {dims.values_sql([(m, s[1], c) for m, s in dims.MONTAGES.items() for c in s[0]])} v(montage, ref, channel)),
+spr AS (SELECT * FROM {dims.values_sql([(m, a, b) for m, s in dims.MONTAGES.items() for a, b in s[2]])} v(montage, a, b)),
+sig AS (SELECT src, montage, rec, win, channel, t, x - CASE WHEN ref = 'subset_car' THEN avg(x) OVER (PARTITION BY src, montage, rec, win, t) ELSE 0 END AS x
+    FROM inp JOIN sch USING (channel) WHERE ref <> 'bipolar'
+  UNION ALL SELECT p.src, montage, p.rec, p.win, a || '-' || b, p.t, p.x - q.x FROM spr JOIN inp p ON p.channel = a
+    JOIN inp q ON q.channel = b AND q.src = p.src AND q.rec = p.rec AND q.win = p.win AND q.t = p.t),
+emc AS (SELECT montage, rec, win, channel, k, sum(x * cos(2 * pi() * k * t / 64)) AS re, sum(x * sin(2 * pi() * k * t / 64)) AS im
+  FROM sig, (SELECT unnest(range(1, 32)) AS k) WHERE src = 'ica' AND montage IN ('b19', 'b4') GROUP BY 1, 2, 3, 4, 5),
+{_decimated('dec2', 2)}, {_decimated('dec4', 4)},
+arms AS (SELECT montage, 'full' AS preproc, 96 AS rate, rec, win, channel, t, x FROM sig WHERE src = 'ica'
+  UNION ALL SELECT montage, 'noica', 96, rec, win, channel, t, x FROM sig WHERE src = 'raw' AND montage IN ('b19', 'b4')
+  UNION ALL SELECT montage, 'emgfree', 96, rec, win, channel, t, sum({band_gain('1.5e0 * k', 96, 2, 20)} * (re * cos(2 * pi() * k * t / 64) + im * sin(2 * pi() * k * t / 64))) / 32
+    FROM emc, (SELECT unnest(range(0, 64)) AS t) GROUP BY montage, rec, win, channel, t
+  UNION ALL SELECT montage, 'full', 48, rec, win, channel, t, x FROM dec2
+  UNION ALL SELECT montage, 'full', 24, rec, win, channel, t, x FROM dec4),
 cell AS (SELECT cond, bip, rate, rec, win, channel, t, CASE WHEN bits IS NULL THEN x ELSE
-    greatest(least(round_even(x / (200000e0 / pow(2.0e0, bits)), 0) * (200000e0 / pow(2.0e0, bits)), 100000e0), -100000e0) END AS x
+    greatest(least(round_even(x / (2e0 / pow(2.0e0, bits)), 0) * (2e0 / pow(2.0e0, bits)), 1e0), -1e0) END AS x
   FROM arms JOIN {dims.values_sql(CONDS)} c(montage, rate, bits, preproc, cond, bip) USING (montage, rate, preproc)),
-stap AS (SELECT *, rate // 2 AS n, (x - avg(x) OVER w) * (0.5e0 - 0.5e0 * cos(2 * pi() * t / (rate // 2))) AS v,
+stap AS (SELECT *, rate * 2 // 3 AS n, (x - avg(x) OVER w) * (0.5e0 - 0.5e0 * cos(2 * pi() * t / (rate * 2 // 3))) AS v,
    x - lag(x) OVER o AS d1, x - 2 * lag(x) OVER o + lag(x, 2) OVER o AS d2 FROM cell
    WINDOW w AS (PARTITION BY cond, rec, win, channel), o AS (PARTITION BY cond, rec, win, channel ORDER BY t)),
-sps AS (SELECT cond, bip, rate, rec, win, channel, 2 * k AS f, (pow(sum(v * cos(2 * pi() * k * t / n)), 2) + pow(sum(v * sin(2 * pi() * k * t / n)), 2))
+sps AS (SELECT cond, bip, rate, rec, win, channel, 1.5e0 * k AS f, (pow(sum(v * cos(2 * pi() * k * t / n)), 2) + pow(sum(v * sin(2 * pi() * k * t / n)), 2))
    / (rate * n * 0.375e0) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS p
-   FROM stap, (SELECT unnest(range(0, 17)) AS k) WHERE 2 * k <= n GROUP BY cond, bip, rate, rec, win, channel, k, n),
+   FROM stap, (SELECT unnest(range(0, 33)) AS k) WHERE 2 * k <= n GROUP BY cond, bip, rate, rec, win, channel, k, n),
 scum AS (SELECT *, p / sum(p) OVER g AS q, sum(p) OVER (PARTITION BY cond, rec, win, channel ORDER BY f) / sum(p) OVER g AS c FROM sps
    WINDOW g AS (PARTITION BY cond, rec, win, channel)),
-sbp AS (SELECT cond, bip, rate, rec, win, channel, {_trap2(4, 8)} AS th, {_trap2(8, 13)} AS a, CASE WHEN rate = 64 THEN {_trap2(13, 30)} END AS b,
+sbp AS (SELECT cond, bip, rate, rec, win, channel, {_trap2(1, 4)} AS d, {_trap2(4, 8)} AS th, CASE WHEN rate > 24 THEN {_trap2(8, 13)} END AS a,
+   CASE WHEN rate = 96 THEN {_trap2(13, 30)} END AS b, CASE WHEN rate = 96 THEN {_trap2(30, 45)} END AS g,
    -sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) / ln(count(*)) AS ent, min(f) FILTER (c >= 0.95e0) AS edge, min(f) FILTER (c >= 0.5e0) AS med,
    arg_max(f, (p, -f)) FILTER (f BETWEEN 6 AND 13) AS pf, max(p) FILTER (f BETWEEN 6 AND 13) / sum(p) FILTER (f BETWEEN 6 AND 13) AS ps,
    -regr_slope(log10(greatest(p, 1e-30)), log10(f)) FILTER (f BETWEEN 2 AND 24) AS ape FROM scum GROUP BY 1, 2, 3, 4, 5, 6),
+sall AS (SELECT *, d + th + coalesce(a, 0) + coalesce(b, 0) + coalesce(g, 0) AS whole FROM sbp),
 shj AS (SELECT cond, rec, win, channel, sqrt(var_pop(d1) / var_pop(x)) AS mob, sqrt(var_pop(d2) / var_pop(d1)) AS mob1 FROM stap GROUP BY 1, 2, 3, 4),
 sas AS (SELECT x.cond, x.rec, x.win, avg(abs((x.a - y.a) / (x.a + y.a))) AS asy FROM {dims.values_sql(dims.LATERAL_PAIRS)} pr(l, r) JOIN sbp x ON x.channel = l
    JOIN sbp y ON y.channel = r AND y.cond = x.cond AND y.rec = x.rec AND y.win = x.win WHERE NOT x.bip GROUP BY 1, 2, 3),
-swn AS (SELECT sbp.cond, sbp.rec, sbp.win, avg(th / (th + a + coalesce(b, 0))) AS rel_theta, avg(a / (th + a + coalesce(b, 0))) AS rel_alpha,
-   avg(b / (th + a + b)) AS rel_beta, avg(th / a) AS theta_alpha_ratio, avg(ent) AS spectral_entropy, avg(edge) AS spectral_edge95, avg(med) AS spectral_median,
-   avg(pf) AS pdr_frequency, avg(ps) AS pdr_prominence, avg(ape) AS aperiodic_exponent, avg(mob) AS hjorth_mobility, avg(mob1 / mob) AS hjorth_complexity,
-   any_value(asy) AS asymmetry_alpha, CAST(NULL AS DOUBLE) AS rel_delta, CAST(NULL AS DOUBLE) AS rel_gamma, CAST(NULL AS DOUBLE) AS slowing_ratio,
-   CAST(NULL AS DOUBLE) AS ap_gradient_alpha FROM sbp JOIN shj USING (cond, rec, win, channel) LEFT JOIN sas USING (cond, rec, win) GROUP BY 1, 2, 3),
+sgr AS (SELECT cond, rec, win, (po - an) / (po + an) AS grd FROM (SELECT cond, rec, win, avg(a) FILTER (region = 'posterior') AS po,
+   avg(a) FILTER (region = 'frontal') AS an FROM sbp JOIN {dims.values_sql(list(REG.items()))} rg(channel, region) USING (channel) WHERE NOT bip GROUP BY 1, 2, 3)),
+swn AS (SELECT s.cond, s.rec, s.win, avg(d / whole) AS rel_delta, avg(th / whole) AS rel_theta, avg(a / whole) AS rel_alpha, avg(b / whole) AS rel_beta,
+   avg(g / whole) AS rel_gamma, avg(th / a) AS theta_alpha_ratio, avg((d + th) / (a + b)) AS slowing_ratio, avg(ent) AS spectral_entropy,
+   avg(edge) AS spectral_edge95, avg(med) AS spectral_median, avg(pf) AS pdr_frequency, avg(ps) AS pdr_prominence, avg(ape) AS aperiodic_exponent,
+   avg(mob) AS hjorth_mobility, avg(mob1 / mob) AS hjorth_complexity, any_value(asy) AS asymmetry_alpha, any_value(grd) AS ap_gradient_alpha
+   FROM sall s JOIN shj USING (cond, rec, win, channel) LEFT JOIN sas USING (cond, rec, win) LEFT JOIN sgr USING (cond, rec, win) GROUP BY 1, 2, 3),
 swp AS (SELECT cond, rec, count(*) AS n_windows, {', '.join(f'quantile_cont({n}, 0.5) AS {n}' for n in dims.FEATURES)} FROM swn GROUP BY 1, 2)"""
 
 
-@query("f23_sweep", with_views(SIGNAL, SWEEP) + f"SELECT cond, rec, n_windows, {', '.join(f'{r(n, 5)} AS {n}' for n in dims.FEATURES)} FROM swp")
+@query("f23_sweep", with_views(SCALP, SWEEP) + f"SELECT cond, rec, n_windows, {', '.join(f'{r(n, 5)} AS {n}' for n in dims.FEATURES)} FROM swp")
 def f23(spark, sf):
     out = sweep_cube(Tables(spark, sf))
     return out.select("cond", "rec", "n_windows", *[rounded(F.col(n), 5).alias(n) for n in dims.FEATURES])
 
 
-@query("f24_sweep_report", with_views(SIGNAL, SWEEP) + f"""
+@query("f24_sweep_report", with_views(SCALP, SWEEP) + f"""
 SELECT cond, count(*) AS n_recordings, {' + '.join(f'CASE WHEN count({n}) = count(*) THEN 1 ELSE 0 END' for n in dims.FEATURES)} AS n_usable,
   CAST(quantile_cont(n_windows, 0.5) AS DOUBLE) AS median_windows FROM swp GROUP BY cond""")
 def f24(spark, sf):

@@ -81,6 +81,40 @@ LONG_WINDOWS = f"""smp AS (
   JOIN {values_sql(list(enumerate(DEVICE_SITES)))} s(j, site) ON s.j = q.slot WHERE n40 = 40)"""
 
 
+def scalp(t: Tables) -> DataFrame:
+    """samples(rec, channel, t, x) of all 19 sites: every 19 vectors of a label in a row are 64 samples of each site."""
+    from tidemark.dims import CANON
+    seq = row_numbers(t.embeddings, ["label"], ["vec_id"], "pos", t.hot("embeddings"))
+    pos = F.col("pos") - 1
+    rows = seq.select(F.col("label").alias("rec"), F.floor(pos / 19).alias("round"), (pos % 19).cast("int").alias("site"), "embedding")
+    full = rows.groupBy("rec", "round").agg(F.count("*").alias("n")).filter("n = 19").drop("n")
+    sites = F.array(*[F.lit(s) for s in CANON])
+    cells = rows.join(full, ["rec", "round"]).select(
+        "rec", F.element_at(sites, F.col("site") + 1).alias("channel"), "round", F.posexplode("embedding").alias("i", "v"))
+    return cells.select("rec", "channel", (F.col("round") * 64 + F.col("i")).alias("t"), F.col("v").cast("double").alias("x"))
+
+
+def raw_scalp(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The same recordings before artefact removal, started a few samples earlier; and where the cleaned ones begin in them."""
+    early = (F.col("rec") % 5).cast("bigint")
+    s = scalp(t)
+    raw = s.select("rec", "channel", (F.col("t") + early).alias("t"), (1.1 * F.col("x") + 0.01 * (F.col("t") % 2)).alias("x"))
+    return raw, t.embeddings.select(F.col("label").alias("rec")).distinct().withColumn("offset", early)
+
+
+def _scalp_sql() -> str:
+    from tidemark.dims import CANON
+    return f"""signal AS (
+  SELECT rec, site AS channel, round * 64 + unnest(range(0, 64)) AS t, unnest(x) AS x FROM (
+    SELECT label AS rec, pos // 19 AS round, pos % 19 AS j, x, count(*) OVER (PARTITION BY label, pos // 19) AS n19
+    FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos,
+                 CAST(embedding AS DOUBLE[]) AS x FROM embeddings) p) q
+  JOIN {values_sql(list(enumerate(CANON)))} s(k, site) ON s.k = q.j WHERE n19 = 19)"""
+
+
+SCALP = _scalp_sql()
+
+
 def subject(t: Tables) -> DataFrame:
     """spine(subject, cohort, site, label, age, subtype): one row per customer."""
     geo = (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
