@@ -48,6 +48,20 @@ def test_rows_match_brute_force(frame, large):
         assert all(info[r[f"{col}_id"]] == (r["g"], side, r[f"{col}_value"]) for r in out)
 
 
+def test_islands_are_matched_on_their_own(spark, small_limits):
+    """Two crowded runs and lone values far apart; the limit lets only the crowded ones take rounds."""
+    rng = np.random.default_rng(4)
+    values = np.r_[rng.integers(0, 12, 50), rng.integers(100, 104, 30), [300, 301, 500, 700]].astype(float)
+    data = [("g" if i % 5 else None, i, int(i % 3 == 0), float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "g string, id int, y int, age double")
+    v = df.selectExpr("g", "age AS v").distinct()
+    runs = mt.islands(v, ["g"], 2.0).groupBy("g", "__island").agg({"v": "min"}).count()
+    assert runs >= 2 * 2 and mt.islands(v, ["g"], 2.0).count() == v.count()
+    out = mt.caliper_match(df.filter("g = 'g'"), ["g"], "id", "y", "age", 2.0).collect()
+    assert sorted((r["case_value"], r["control_value"]) for r in out) == brute(
+        [x for g, _, y, x in data if g and y], [x for g, _, y, x in data if g and not y], 2.0)
+
+
 def test_pairs_do_not_depend_on_partitioning(frame):
     df, _ = frame
     key = lambda d: sorted((r["case_id"], r["control_id"]) for r in d.collect())

@@ -3,7 +3,9 @@
 Pairs are taken closest first (on equal distance the lower control first, then hash order). All
 cases of one value are interchangeable up to hash order, so the matching is settled on the table
 of distinct values and counts; identities are assigned afterwards by rank. Pairs of rows are never
-enumerated, and a value shared by a third of all rows is one row of that table.
+enumerated, and a value shared by a third of all rows is one row of that table. Values further apart than the
+caliper cannot meet, so each run of close values is settled on its own; only a run with more than
+``spark.tidemark.matchValuesPerTask`` values takes rounds of mutual choices.
 """
 from __future__ import annotations
 
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import hash32
-from tidemark.operators.ordered import largest_group, neighbours, row_numbers, running
+from tidemark.operators.ordered import neighbours, row_numbers, running, same_group
 from tidemark.session import stored
 
 VALUES_CONF, VALUES_DEFAULT = "spark.tidemark.matchValuesPerTask", 1_000_000
@@ -132,9 +134,31 @@ def matched_values(df: DataFrame, keys: Sequence[str], y: str, value: str, calip
          .agg(F.sum((F.col(y) == 1).cast("bigint")).alias("n_case"),
               F.sum((F.col(y) == 0).cast("bigint")).alias("n_ctrl")))
     limit = int(df.sparkSession.conf.get(VALUES_CONF, str(VALUES_DEFAULT)))
-    if large is None:
-        large = largest_group(v, keys) > limit
-    return _rounds(v, keys, caliper) if large else _in_task(v, keys, caliper)
+    if large is not None:
+        return _rounds(v, keys, caliper) if large else _in_task(v, keys, caliper)
+    v = stored(islands(v, keys, caliper), "values")
+    within = [*keys, "__island"]
+    big = stored(v.groupBy(*within).count().filter(F.col("count") > limit).select(*within), "large-islands")
+    if big.isEmpty():
+        return _in_task(v, within, caliper).drop("__island")
+    named = big.withColumnsRenamed({k: f"__k_{k}" for k in within})
+    on = [v[k].eqNullSafe(named[f"__k_{k}"]) for k in within]
+    small = _in_task(v.join(named, on, "left_anti"), within, caliper)
+    return small.unionByName(_rounds(v.join(named, on, "left_semi"), within, caliper)).drop("__island")
+
+
+def islands(values: DataFrame, keys: Sequence[str], caliper: float) -> DataFrame:
+    """Add ``__island``: values of different islands are more than the caliper apart, so each is matched on its own.
+
+    An island is a run of occupied cells one caliper wide: cell minus rank does not change along a run.
+    """
+    keys = list(keys)
+    if caliper <= 0:
+        return values.withColumn("__island", F.xxhash64("v"))
+    cell = F.floor(F.col("v") / caliper)
+    cells = row_numbers(values.select(*keys, cell.alias("__cell")).distinct(), keys, ["__cell"], "__rank")
+    cells = cells.select(*keys, "__cell", (F.col("__cell") - F.col("__rank")).alias("__island"))
+    return same_group(values.withColumn("__cell", cell), cells, [*keys, "__cell"]).drop("__cell")
 
 
 def caliper_match(df: DataFrame, keys: Sequence[str], sid: str, y: str, value: str, caliper: float,
