@@ -109,7 +109,8 @@ def i08(spark, sf):
     return rp.interval(d, [], "d").select(*[rounded(F.col(c)).alias(c) for c in ("mean", "se", "ci_lo", "ci_hi", "p")])
 
 
-N_PERM = 10
+# Permutations of the null, and repeats of the cross-validation of each.
+N_PERM, PERM_REPEATS = 200, 5
 
 
 @query("i09_permuted_index", with_views(SCORE) + f"""
@@ -131,7 +132,7 @@ def i09(spark, sf):
     rows = doc_rows(t).select("id", "y", F.col("b").alias("age"), "x").withColumn("perm", F.lit(-1))
     null = rp.permuted(rows.drop("perm"), [], "id", ["y", "age"], N_PERM, "perm", hot)
     every = rows.unionByName(null).withColumn("both", F.concat("x", F.array(F.col("age") / 5000)))
-    s = oof_scores(every.select("perm", "id", "y", "both"), ["perm"], "id", repeats=1, x="both", hot=hot, large=t.large("documents"))
+    s = oof_scores(every.select("perm", "id", "y", "both"), ["perm"], "id", repeats=PERM_REPEATS, x="both", hot=hot, large=t.large("documents"))
     a = rs.auc(s, ["perm"], "y", "s", name="auc_both", hot=hot).select("perm", "auc_both")
     base = rs.auc(rows.select("y", "age"), [], "y", "age", name="auc_age", hot=hot).select("auc_age")
     m = a.crossJoin(base).withColumn("margin", F.col("auc_both") - F.col("auc_age"))
@@ -146,7 +147,7 @@ def i10(spark, sf):
     rows = doc_rows(t).select("id", "y", "x")
     null = rp.permuted(rows, [], "id", ["y"], N_PERM, "labels", hot)
     every = rows.withColumn("perm", F.lit(-1)).unionByName(null)
-    a = rs.auc(oof_scores(every, ["perm"], "id", repeats=1, hot=hot, large=t.large("documents")), ["perm"], "y", "s", hot=hot)
+    a = rs.auc(oof_scores(every, ["perm"], "id", repeats=PERM_REPEATS, hot=hot, large=t.large("documents")), ["perm"], "y", "s", hot=hot)
     out = rp.permutation_p(a.filter("perm >= 0"), a.filter("perm < 0"), [], "auc")
     return out.select("n_perm", *[rounded(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_sd", "p_perm", "p_floor")])
 
@@ -314,7 +315,8 @@ def mt01_auc(spark, sf):
         "contrast", "arm", "n_pairs", rounded(F.col("auc")).alias("auc"), rounded(F.col("matched")).alias("matched"))
 
 
-DRAWS = 10
+# Draws of the subsampling analyses.
+DRAWS, CURVE_DRAWS, CURVE_REPEATS, ANCHOR_DRAWS, REMOVALS = 25, 25, 3, 200, 5
 SUBS = f"""sub AS (SELECT draw, id, y, a, c FROM (SELECT draw, id, y, a, c, row_number() OVER (PARTITION BY draw, y ORDER BY {h("'size'", 'draw', 'id')}, id) AS k,
    (SELECT count(*) FROM score s2 WHERE s2.y = score.y AND s2.quality = 1) AS take FROM score CROSS JOIN (SELECT CAST(unnest(range(0, {DRAWS})) AS INT) AS draw)) WHERE k <= take)"""
 
@@ -357,7 +359,7 @@ def a21(spark, sf):
     WHEN y = 1 THEN least(pp, p) ELSE least(greatest(2, size - pp), q) END AS take FROM (
     SELECT size, p, q, greatest(2, CAST(round_even(size * p / (p + q)::DOUBLE, 0) AS BIGINT)) AS pp FROM n, (VALUES (40), (100), (200)) v(size)), (VALUES (0), (1)) c(y)),
  d AS (SELECT draw, id, y, row_number() OVER (PARTITION BY draw, y ORDER BY {h("'curve'", 'draw', 'id')}, id) AS k FROM score
-    CROSS JOIN (SELECT unnest(range(0, 3)) AS draw))
+    CROSS JOIN (SELECT unnest(range(0, {CURVE_DRAWS})) AS draw))
 SELECT size, CAST(draw AS INT) AS draw, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, CAST(sum(id) AS BIGINT) AS id_sum
 FROM d JOIN q USING (y) WHERE k <= take GROUP BY 1, 2""".replace("q.y", "q.y"))
 def mt03_draws(spark, sf):
@@ -372,18 +374,18 @@ def curve_draws(t: Tables):
     sizes = dims.table(t.spark, [(40,), (100,), (200,)], "size")
     quota = rp.balanced_quota(counts, sizes, [], "y")
     keyed = rows.crossJoin(F.broadcast(sizes))
-    return rp.subsampled(keyed, ["size"], "id", "y", quota, 3, "curve", t.hot("documents", fanout=9))
+    return rp.subsampled(keyed, ["size"], "id", "y", quota, CURVE_DRAWS, "curve", t.hot("documents", fanout=3 * CURVE_DRAWS))
 
 
 @query("mt03_complexity_curve")
 def mt03(spark, sf):
     """Size × draw × estimator: refit under the same folds, then summarise over draws."""
     t = Tables(spark, sf)
-    hot = t.hot("documents", fanout=18)
+    hot = t.hot("documents", fanout=6 * CURVE_DRAWS)
     est = F.create_map(F.lit("full"), F.col("x"), F.lit("one"), F.slice("x", 1, 1))
     rows = curve_draws(t).select("size", "draw", "id", "y", F.explode(est).alias("estimator", "x"))
     keys = ["size", "estimator", "draw"]
-    s = oof_scores(rows, keys, "id", repeats=1, hot=hot, large=t.large("documents"))
+    s = oof_scores(rows, keys, "id", repeats=CURVE_REPEATS, hot=hot, large=t.large("documents"))
     a = rs.auc(s, keys, "y", "s", hot=hot)
     smaller = a.groupBy("size", "estimator").agg(F.min(F.least("n_pos", "n_neg")).alias("smaller"))
     out = op.draw_summary(a, ["size", "estimator"], "auc").join(smaller, ["size", "estimator"])
@@ -413,7 +415,7 @@ ANCHOR_K = [5, 10, 20]
 @query("mt05_anchor_split", with_views(SUBJECT) + f"""
 SELECT draw, cohort, k, count(*) FILTER (rn <= k) AS n_anchor, count(*) FILTER (rn > k) AS n_held, CAST(sum(CASE WHEN rn <= k THEN subject ELSE 0 END) AS BIGINT) AS anchor_sum FROM (
   SELECT draw, cohort, subject, row_number() OVER (PARTITION BY cohort, draw ORDER BY {h("'anchor'", 'draw', 'subject')}, subject) AS rn
-  FROM subject CROSS JOIN (SELECT CAST(unnest(range(0, 4)) AS INT) AS draw) WHERE label = 'CN' AND age IS NOT NULL), (VALUES (5), (10), (20)) v(k) GROUP BY 1, 2, 3""")
+  FROM subject CROSS JOIN (SELECT CAST(unnest(range(0, {ANCHOR_DRAWS})) AS INT) AS draw) WHERE label = 'CN' AND age IS NOT NULL), (VALUES (5), (10), (20)) v(k) GROUP BY 1, 2, 3""")
 def mt05_split(spark, sf):
     return anchor_split(Tables(spark, sf)).groupBy("draw", "cohort", "k").agg(
         F.count_if(F.col("anchor")).alias("n_anchor"), F.count_if(~F.col("anchor")).alias("n_held"),
@@ -425,8 +427,8 @@ def anchor_split(t: Tables):
     from tidemark.operators.ordered import row_numbers
     from tidemark.tables import subject
     ctrl = subject(t).filter("label = 'CN' AND age IS NOT NULL").select("cohort", "subject")
-    rows = rp.replicated(ctrl, 4, "draw").withColumn("__h", hash32("anchor", F.col("draw"), F.col("subject")))
-    rn = row_numbers(rows, ["cohort", "draw"], ["__h", "subject"], "rn", t.hot("customer", fanout=4))
+    rows = rp.replicated(ctrl, ANCHOR_DRAWS, "draw").withColumn("__h", hash32("anchor", F.col("draw"), F.col("subject")))
+    rn = row_numbers(rows, ["cohort", "draw"], ["__h", "subject"], "rn", t.hot("customer", fanout=ANCHOR_DRAWS))
     ks = dims.table(t.spark, [(k,) for k in ANCHOR_K], "k")
     return rn.crossJoin(F.broadcast(ks)).select("draw", "cohort", "k", "subject", (F.col("rn") <= F.col("k")).alias("anchor"))
 
@@ -435,7 +437,7 @@ def anchor_split(t: Tables):
 def mt05(spark, sf):
     """Re-centre each cohort on its k anchor controls; specificity on the held-out controls."""
     t = Tables(spark, sf)
-    hot = t.hot("customer", fanout=12)
+    hot = t.hot("customer", fanout=3 * ANCHOR_DRAWS)
     z = long_age(t)
     m = cv.normative_fit(z.filter("label = 'CN' AND cohort = 'EUROPE'"), ["cond", "feature"], "age", "value")
     z = cv.deviations(z.filter("label = 'CN'"), m, ["cond", "feature"], "age", "value").filter("cond = '1-URGENT'")
@@ -453,14 +455,14 @@ def mt05(spark, sf):
 def mt06(spark, sf):
     """All rows, repeats removed, and as many removed at random: each refitted and compared."""
     t = Tables(spark, sf)
-    hot = t.hot("documents", fanout=5)
+    hot = t.hot("documents", fanout=2 + REMOVALS)
     rows = doc_rows(t)
     first = t.documents.groupBy("n_chars", "lang").agg(F.min("doc_id").alias("id"))
     keep = rows.join(first.select("id"), "id", "left_semi")
     n_keep = keep.groupBy("y").agg(F.count("*").alias("take"))
-    rand = rp.subsampled(rows, [], "id", "y", n_keep, 3, "dedup", hot).withColumn("arm", F.concat(F.lit("random"), F.col("draw"))).drop("draw")
+    rand = rp.subsampled(rows, [], "id", "y", n_keep, REMOVALS, "dedup", hot).withColumn("arm", F.concat(F.lit("random"), F.col("draw"))).drop("draw")
     arms = rows.withColumn("arm", F.lit("all")).unionByName(keep.withColumn("arm", F.lit("dedup"))).unionByName(rand)
-    s = oof_scores(arms.select("arm", "id", "y", "x"), ["arm"], "id", repeats=2, hot=hot, large=t.large("documents"))
+    s = oof_scores(arms.select("arm", "id", "y", "x"), ["arm"], "id", hot=hot, large=t.large("documents"))
     a = rs.auc(s, ["arm"], "y", "s", hot=hot)
     return a.select("arm", rounded(F.col("auc")).alias("auc"), "n_pos", "n_neg")
 

@@ -37,12 +37,12 @@ def j01(spark, sf):
 
 
 @query("j02_subject_features", with_views(SUBJECT, CUBE) + f"""
-SELECT cohort, label, cond, feature, count(value) AS n, {r('avg(value)')} AS mean FROM subject JOIN cube USING (subject)
+SELECT cohort, label, cond, feature, count(value) AS n, {r('avg(value)', 9)} AS mean FROM subject JOIN cube USING (subject)
 GROUP BY 1, 2, 3, 4""")
 def j02(spark, sf):
     t = Tables(spark, sf)
     return cube(t).join(subject(t), "subject").groupBy("cohort", "label", "cond", "feature").agg(
-        F.count("value").alias("n"), rounded(F.avg("value")).alias("mean"))
+        F.count("value").alias("n"), rounded(F.avg("value"), 9).alias("mean"))
 
 
 @query("j03_preferred_match", """

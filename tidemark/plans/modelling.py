@@ -13,7 +13,7 @@ from tidemark.plans.registry import Tables, query
 from tidemark.plans.sql import auc_cte, h, r
 from tidemark.tables import (CONTRAST, CUBE, SCORE, SUBJECT, contrast_rows, cube, score, with_views)
 
-K, REPEATS = 5, 3
+K, REPEATS, RIDGE_REPEATS = 5, 5, 10
 
 
 def doc_rows(t: Tables):
@@ -284,7 +284,7 @@ def ml15(spark, sf):
     t = Tables(spark, sf)
     rows = score(t).select("id", F.col("b").alias("target"), F.col("quality").alias("strat"),
                            F.array(F.col("a") / 100, F.col("c") / 10).alias("x"))
-    folded = fd.stratified(rows, [], "id", "strat", 10, 2, t.hot("documents"))
+    folded = fd.stratified(rows, [], "id", "strat", 10, RIDGE_REPEATS, t.hot("documents"))
     p = ml.fit(folded, ["repeat"], "target", "x", 10, "ridge", large=t.large("documents"))
     s = ml.scored(folded, p, ["repeat"], "x", own_fold=True)
     return s.groupBy("id").agg(rounded(F.avg("s"), 3).alias("pred"), rounded(F.max("target"), 3).alias("target"))

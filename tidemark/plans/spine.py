@@ -205,7 +205,7 @@ def condition_grid(spark):
                                        F.lit(None).cast("int").alias("bits"), "preproc",
                                        F.lit("preprocessing").alias("axis"))
     g = axis_a.unionByName(axis_b).unionByName(axis_c)
-    sites = F.broadcast(m.select("montage", "n_electrodes"))
+    sites = F.broadcast(dims.montage(spark).select("montage", "n_electrodes"))
     g = g.join(sites, "montage").withColumn("description", F.format_string(
         "%s (%d el), %d Hz, %s, %s", "montage", "n_electrodes", "rate",
         F.coalesce(F.concat(F.col("bits").cast("string"), F.lit("-bit")), F.lit("float32")), "preproc")).drop("n_electrodes")
