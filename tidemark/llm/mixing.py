@@ -39,7 +39,7 @@ def size_of(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """``source, source_size`` to ``source, source_size, rank, target``: shares by weight under a ceiling for each source."""
+    """``origin, source, source_size`` to ``origin, source, source_size, rank, target``: shares by weight under a ceiling for each source."""
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     ranked = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
             .withColumn("level", F.col("left_words") / F.col("left_weight")))
     open_level = F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", "rank", "level"))).over(everything)["level"]
     return rows.withColumn("open", open_level).select(
-        "source", "source_size", "rank",
+        "origin", "source", "source_size", "rank",
         F.when(F.col("open").isNull(), ceiling).otherwise(F.least(ceiling, F.col("open") * weight)).alias("target"))
 
 
@@ -77,11 +77,9 @@ def position(share: Column, knots: Sequence[float]) -> Column:
 
 def _begins(rows: DataFrame, starts: DataFrame, sources: DataFrame) -> DataFrame:
     """``rows`` with the place of each row's first word on its source's line, and the columns of its source."""
-    within = W.partitionBy("source", "slice").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("origin", "slice").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(starts, rows["source"].eqNullSafe(starts["s"]) & (rows["slice"] == starts["k"])).drop("s", "k")
-    sources = sources.withColumnRenamed("source", "s")
-    rows = rows.join(sources, rows["source"].eqNullSafe(sources["s"])).drop("s")
+    rows = rows.join(starts, ["origin", "slice"]).join(sources.drop("source"), "origin")
     # The target ends inside this pass; all passes before it are taken whole.
     return rows.withColumn("begin", F.col("slice_start") + F.col("inside")).withColumn(
         "last", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -97,9 +95,9 @@ def _fillers(rows: DataFrame, candidates: int) -> DataFrame:
     The ``candidates`` documents from the target on are offered in order; each that still fits is taken.
     """
     offered = (rows.where((F.col("size") > 0) & (_last_end(rows) > F.col("target")))
-               .withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("begin")))
+               .withColumn("nth", F.row_number().over(W.partitionBy("origin").orderBy("begin")))
                .where(F.col("nth") <= candidates))
-    lists = offered.groupBy("source").agg(
+    lists = offered.groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("begin", "size"))).alias("offers"),
         F.first(F.col("target") - F.col("last") * F.col("source_size")).alias("goal"))
     free = F.col("goal") - F.element_at("offers", 1)["begin"]
@@ -107,27 +105,33 @@ def _fillers(rows: DataFrame, candidates: int) -> DataFrame:
         "offers", F.struct(free.cast("double").alias("free"), F.lit([]).cast("array<bigint>").alias("places")),
         lambda a, x: F.when(x["size"] <= a["free"], F.struct(
             (a["free"] - x["size"]).alias("free"), F.concat(a["places"], F.array(x["begin"])).alias("places"))).otherwise(a))
-    return lists.select(F.col("source").alias("s"), taken["places"].alias("fill"))
+    return lists.select("origin", taken["places"].alias("fill"))
 
 
 def placed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES,
-           budget: float = BUDGET, most: float = MOST, candidates: int = 64) -> DataFrame:
-    """Each document as ``row`` with ``size, source_size, target`` and ``takes``: the positions at which it is taken."""
+           budget: float = BUDGET, most: float = MOST, candidates: int = 64, keep: Sequence[str] | None = None) -> DataFrame:
+    """Each document as ``row`` with ``size, source_size, target`` and ``takes``: the positions at which it is taken.
+
+    ``row`` holds the columns ``keep``, or all; only these are shuffled.
+    """
     key = F.xxhash64(F.lit(17), docs["doc_id"], docs["text"], docs["source"])
-    sized = docs.select(whole(docs), docs["source"].alias("source"), size_of(docs["text"]).alias("size"), key.alias("key"))
+    # A name of the source that is never null, so that joins and windows on it share one partitioning.
+    origin = F.when(docs["source"].isNull(), "-").otherwise(F.concat(F.lit("+"), docs["source"])).alias("origin")
+    row = whole(docs) if keep is None else F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row")
+    sized = docs.select(row, docs["source"].alias("source"), origin, size_of(docs["text"]).alias("size"), key.alias("key"))
     narrow = stored(sized.drop("row"), "sizes")
     # The number of slices is a statistic of all rows: about the square root of their number.
     bits = max(1, math.ceil(math.log2(max(1, narrow.count())) / 2))
     slice_of = F.shiftrightunsigned("key", 64 - bits)
     narrow, sized = narrow.withColumn("slice", slice_of), sized.withColumn("slice", slice_of)
-    slices = narrow.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    sources = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, most)
-    starts = slices.select(
-        F.col("source").alias("s"), F.col("slice").alias("k"),
-        F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        .alias("slice_start"))
+    # Written, so that the joins know their sizes: they are sent around only while they are small.
+    slices = stored(narrow.groupBy("origin", "source", "slice").agg(F.sum("size").alias("words")), "slices")
+    sources = targets(slices.groupBy("origin", "source").agg(F.sum("words").alias("source_size")), weights, budget, most)
+    sources = stored(sources, "targets")
+    ordered = W.partitionBy("origin").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = stored(slices.select("origin", "slice", F.coalesce(F.sum("words").over(ordered), F.lit(0)).alias("slice_start")), "starts")
     fill = _fillers(_begins(narrow, starts, sources), candidates)
-    sources = sources.join(fill, sources["source"].eqNullSafe(fill["s"]), "left").drop("s")
+    sources = stored(sources.join(fill, "origin", "left"), "sources")
     rows = _begins(sized, starts, sources)
     passes = F.array(*[F.struct(F.lit(p).alias("p"), (F.col("begin") + F.col("source_size") * p).alias("c")) for p in range(math.ceil(most))])
     filling = F.coalesce(F.array_contains("fill", F.col("begin")), F.lit(False))

@@ -22,8 +22,7 @@ def query(fn):
 
 @query
 def op6_mix_sources(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = mixing.placed(docs)
+    rows = mixing.placed(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return rows.select(
         "row.doc_id", "size", "source_size", "target", (F.size("takes") * F.col("size")).alias("taken"),
         F.try_element_at("takes", F.lit(1)).alias("position"), F.try_element_at("takes", F.lit(2)).alias("second_position"))
