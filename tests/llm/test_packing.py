@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -14,7 +15,11 @@ ODD = ["It's THE end!! don't 123 4,5", "a b c　d", "é ́x Ω ΟΔΟΣ ΣΑ
 
 def test_words_like_whole_texts():
     whole, own = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
-    for text in [*ODD, " ".join(ODD), prose(1, 500), ""]:
+    draw = random.Random(3)
+    latin = [chr(c) for c in range(1, 256)]
+    wide = [*latin, *"ΣςΩ漢字ｱﬁ̈́ İıǅ½Ⅷ٣😀\u200d\u2028\ufeff", "'s", "'LL", "<|", "|>", " ", " "]
+    noise = ["".join(draw.choice(pool) for _ in range(draw.randrange(1, 30))) for pool in (latin, wide) for _ in range(3_000)]
+    for text in [*ODD, " ".join(ODD), prose(1, 500), "", *noise]:
         assert own.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
@@ -44,3 +49,10 @@ def test_edges(edge_docs, edge_rows, no_docs):
 def test_many_tasks(spark):
     rows = [(k, prose(k, 10 + 37 * (k % 90)) + " " + ODD[k % len(ODD)], "s") for k in range(150)]
     check(make_docs(spark, rows).repartition(9), rows)
+
+
+def test_memory_is_bounded():
+    own = packing.Remembering(lambda k: k.encode(), 10)
+    for k in range(1_000):
+        assert own[str(k % 7)] == str(k % 7).encode() and own[f"x{k}"] == f"x{k}".encode()
+        assert len(own) <= 10 and len(own.old) <= 10

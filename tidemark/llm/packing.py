@@ -28,50 +28,65 @@ from tidemark.session import stored
 
 LONGEST_BITS = 12
 END_ID = 2
-#: Entries of a worker's word memory before it starts afresh.
-REMEMBERED = 400_000
+#: Entries of a worker's memories of parts, and of runs of the few texts that need them, in the young and in the old half.
+PARTS, RUNS = 200_000, 20_000
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
-#: The vocabulary's own rule for lower-case ASCII text: contractions, letters, single digits, runs of the rest.
-_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PLAIN = re.compile(r"[!-~]+")
+#: The vocabulary's own rule for lower-case text below U+0100: contractions, letters, single numerals, runs of the rest.
+_LETTERS, _NUMERALS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^\s{_LETTERS}{_NUMERALS}]+")
+#: What the rule cannot take: characters from U+0100 on, controls and spaces that libraries disagree on, and special tokens.
+_ODD = re.compile(r"[^\t\n\x0b\x0c\r -~\u00a1-\u00ff]|<\|")
+
+
+class Remembering(dict):
+    """A mapping that computes missing values and forgets those not asked for of late."""
+
+    def __init__(self, compute, half: int):
+        super().__init__()
+        self.compute, self.half, self.old = compute, half, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
-class WordTokenizer(dict):
-    """Ids of texts by a tokenizer whose tokens never cross a space or a line feed, remembering its words.
+class WordTokenizer:
+    """Ids of texts by a tokenizer whose tokens cross neither white space nor the parts of a word, remembering parts.
 
-    Maps a run between spaces to the bytes of its ids.
+    Texts with characters outside of the plain rule are cut at spaces and line feeds only.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
-
-    def __missing__(self, run: str) -> bytes:
-        if not run:
-            return b""
-        if _PLAIN.fullmatch(run) and "<|" not in run:
-            ids = b"".join([self._part(p) for p in _ASCII_PARTS.findall(run.lower())])
-        else:
-            ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[run] = ids
-        return ids
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts, self.runs = Remembering(self._part, PARTS), Remembering(self._run, RUNS)
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            self.parts[part] = ids
-        return ids
+        if not part.isascii():
+            (part, _), = self.tokenizer.pre_tokenizer.pre_tokenize_str(part)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
+
+    def _run(self, run: str) -> bytes:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
-        runs = text.replace("\n", " ").split(" ") if text else ()
-        return np.frombuffer(b"".join([self[r] for r in runs]), "<u4")
+        if not text:
+            return np.empty(0, "<u4")
+        if not _ODD.search(text):
+            return np.frombuffer(self._plain(text), "<u4")
+        runs = text.replace("\n", " ").split(" ")
+        return np.frombuffer(b"".join([self._plain(r) if not _ODD.search(r) else self.runs[r] for r in runs]), "<u4")
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -125,7 +140,8 @@ def pack(docs: DataFrame, tokenizer: str, longest_bits: int = LONGEST_BITS, end_
     for p in powers:
         bases.append((F.coalesce(F.sum(f"n{p}").over(ordered), F.lit(0)) + base).alias(f"b{p}"))
         base = base + F.sum(f"n{p}").over(every)
-    totals = totals.select("task", F.array(*reversed(bases)).alias("bases"))
+    # Written, so that the join knows its size: one row a task is sent around only while it is small.
+    totals = stored(totals.select("task", F.array(*reversed(bases)).alias("bases")), "totals")
     joined = rows.join(totals, "task").select(
         "doc_id", "ids", length.alias("n"), F.zip_with("before", "bases", lambda a, b: a + b).alias("first"))
     top = 1 << longest_bits
