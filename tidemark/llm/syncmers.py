@@ -14,6 +14,8 @@ documents; ties of ids are ordered by text; an only document is followed by itse
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -64,8 +66,8 @@ def written(marks: Column) -> Column:
     return F.array_join(F.transform(marks, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``docs`` with ``next``: a struct of ``columns`` of the document of the next id (after the last, the first).
+def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``derive(docs)`` with ``next``: a struct of ``columns`` of the document of the next id (after the last, the first).
 
     The ids are cut into slices at quantiles, and each slice also gets the first row of the slice after it. One shuffle of the rows.
     """
@@ -95,7 +97,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         "nth", F.row_number().over(W.partitionBy("slice").orderBy("text"))).where("nth = 1")
     guests = first.select(*[docs[c] for c in docs.columns], F.col("host").alias("slice"), F.lit(True).alias("guest"))
     within = W.partitionBy("slice").orderBy("guest", F.col("doc_id").isNull(), "doc_id", "text")
-    found = rows.unionByName(guests).withColumn("next", F.lead(F.struct(*columns)).over(within))
+    found = derive(rows).unionByName(derive(guests)).withColumn("next", F.lead(F.struct(*columns)).over(within))
     return found.where(~F.col("guest")).drop("slice", "guest")
 
 
@@ -108,6 +110,6 @@ def edited(text: Column, following: Column) -> Column:
 def compared(docs: DataFrame) -> DataFrame:
     """``doc_id, text, marks, edited, edited_marks, next_marks`` of every document."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("marks", sketch(F.col("text"))), ["text", "marks"])
+    rows = with_next(rows, ["text", "marks"], lambda d: d.withColumn("marks", sketch(F.col("text"))))
     rows = rows.select("doc_id", "text", "marks", edited(F.col("text"), F.col("next.text")).alias("edited"), F.col("next.marks").alias("next_marks"))
     return rows.withColumn("edited_marks", sketch(F.col("edited")))
