@@ -55,21 +55,22 @@ def _starts(n: Column, length: int) -> Column:
     return F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.lit([]).cast("array<int>"))
 
 
-def shingle_hashes(words: Column, width: int) -> Column:
-    return F.transform(_starts(F.size(words), width), lambda i: F.xxhash64(F.slice(words, i + 1, width)))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def shingles(words: Column, width: int) -> Column:
-    return F.transform(_starts(F.size(words), width), lambda i: F.array_join(F.slice(words, i + 1, width), " "))
+def shingle_hashes(hashes: Column, width: int) -> Column:
+    """Hashes of the runs of ``width`` words, from the hashes of the words."""
+    return F.transform(_starts(F.size(hashes), width), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(width)]))
 
 
-def _band(hashes: Column, band: int) -> Column:
-    """Least hash by the order of other bits: a shift brings lower bits to the front."""
-    return F.array_min(F.transform(hashes, lambda h: F.shiftleft(h, band * _TURN)))
+def shingles(words: Column, width: int) -> Column:
+    return F.transform(_starts(F.size(words), width), lambda i: F.array_join(F.slice(words, i + 1, width), " "))
 
 
-def _values(hashes: Column) -> Column:
-    return F.array(*[_band(hashes, b) for b in range(BANDS)])
+def _values(hashes: Column, length: int) -> Column:
+    """MinHash of every band over ``length`` hashes; each band has an order of its own: a shift brings lower bits to the front."""
+    return F.array(*[F.least(*[F.shiftleft(F.get(hashes, F.lit(i)), band * _TURN) for i in range(length)]) for band in range(BANDS)])
 
 
 def templates(spark: SparkSession, catalogue: Sequence[tuple[str, str]]) -> DataFrame:
@@ -78,7 +79,10 @@ def templates(spark: SparkSession, catalogue: Sequence[tuple[str, str]]) -> Data
                                for i, (name, text) in enumerate(catalogue)]))
     rows = spark.range(1).select(rows.alias("t")).select("t.template", "t.license", words_of(F.col("t.text")).alias("words"))
     rows = rows.where(F.size("words") > 0).withColumn("width", F.least(F.size("words"), F.lit(SHINGLE)))
-    marks = F.when(F.size("words") >= SHINGLE, shingle_hashes(F.col("words"), SHINGLE)).otherwise(F.array(F.xxhash64("words")))
+    rows = rows.withColumn("hashes", word_hashes(F.col("words")))
+    marks = shingle_hashes(F.col("hashes"), SHINGLE)
+    for width in range(1, SHINGLE):
+        marks = F.when(F.col("width") == width, shingle_hashes(F.col("hashes"), width)).otherwise(marks)
     rows = rows.withColumn("marks", marks)
     return rows.withColumn("kind", F.when(F.size("marks") >= WINDOW, 0).otherwise(F.col("width")))
 
@@ -89,7 +93,7 @@ def template_keys(rows: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(0), F.size("marks") - length)
     rows = rows.select("*", F.explode(starts).alias("offset"))
     own = F.slice("marks", F.col("offset") + 1, length)
-    values = F.when(F.col("kind") == 0, _values(own)).otherwise(own)
+    values = F.when(F.col("kind") == 0, _values(own, WINDOW)).otherwise(own)
     return rows.select("template", "kind", "offset", F.posexplode(values).alias("band", "value"))
 
 
@@ -100,38 +104,42 @@ def found_windows(words: Column, known: dict[tuple[int, int], list[int]], reach:
         return F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), low.cast("int").alias("from"),
                         F.slice(words, low + 1, 2 * reach).alias("context"), bands.alias("bands"))
 
-    def single(kind: int) -> Column:
-        values = known[kind, 0]
-
-        def of(hashes: Column) -> Column:
-            places = F.filter(_starts(F.size(hashes), 1), lambda i: F.get(hashes, i).isin(values))
-            return F.transform(places, lambda i: hit(kind, i, F.array(F.struct(F.lit(0).alias("band"), F.get(hashes, i).alias("value")))))
-
-        return let(shingle_hashes(words, kind), of)
+    def single(kind: int, hashes: Column) -> Column:
+        places = F.filter(_starts(F.size(hashes), 1), lambda i: F.get(hashes, i).isin(known[kind, 0]))
+        return F.transform(places, lambda i: hit(kind, i, F.array(F.struct(F.lit(0).alias("band"), F.get(hashes, i).alias("value")))))
 
     def windows(hashes: Column) -> Column:
-        # Least values of half windows, then of each two neighbours; the last half may be shorter.
-        halves = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(hashes) / _STRIDE) - 1, F.lit(0)).cast("int")),
-                             lambda b: _values(F.slice(hashes, b * _STRIDE + 1, _STRIDE)))
+        # MinHashes of half windows, then of each two neighbours; the last half may be shorter.
+        last = F.greatest(F.ceil(F.size(hashes) / _STRIDE) - 1, F.lit(0)).cast("int")
+        halves = F.transform(F.sequence(F.lit(0), last), lambda b: let(F.slice(hashes, b * _STRIDE + 1, _STRIDE), lambda h: _values(h, _STRIDE)))
 
         def whole(parts: Column) -> Column:
-            def values(i: Column) -> Column:
-                return F.zip_with(F.get(parts, i), F.coalesce(F.get(parts, i + 1), F.get(parts, i)), lambda a, b: F.least(a, b))
+            def least(i: Column, band: int) -> Column:
+                return F.least(F.get(parts, i)[band], F.get(parts, i + 1)[band])
 
-            def matching(i: Column) -> Column:
-                own = F.transform(values(i), lambda v, b: F.struct(b.alias("band"), v.alias("value")))
-                test = lambda x: _any([(x["band"] == b) & x["value"].isin(known[0, b]) for b in range(BANDS)])
-                return F.struct((i * _STRIDE).alias("at"), F.filter(own, test).alias("bands"))
+            def found(i: Column) -> Column:
+                bands = F.array(*[F.struct(F.lit(b).alias("band"), least(i, b).alias("value")) for b in range(BANDS)])
+                return hit(0, i * _STRIDE, bands)
 
-            rows = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), matching)
-            return F.transform(F.filter(rows, lambda r: F.size(r["bands"]) > 0), lambda r: hit(0, r["at"], r["bands"]))
+            places = F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0)))
+            return F.transform(F.filter(places, lambda i: _any([least(i, b).isin(known[0, b]) for b in range(BANDS)])), found)
 
         return F.when(F.size(hashes) > 0, let(halves, whole)).otherwise(F.lit([]).cast(HITS))
 
-    lists = [single(kind) for kind, _ in known if kind]
-    if (0, 0) in known:
-        lists.append(let(shingle_hashes(words, SHINGLE), windows))
-    return F.concat(*lists) if lists else F.lit([]).cast(HITS)
+    def full(hashes: Column) -> Column:
+        lists = ([single(SHINGLE, hashes)] if (SHINGLE, 0) in known else []) + ([windows(hashes)] if (0, 0) in known else [])
+        return F.concat(*lists)
+
+    def of_words(hashes: Column) -> Column:
+        def short(kind: int) -> Column:
+            return let(shingle_hashes(hashes, kind), lambda h: single(kind, h))
+
+        lists = [short(kind) for kind, _ in known if 0 < kind < SHINGLE]
+        if (SHINGLE, 0) in known or (0, 0) in known:
+            lists.append(let(shingle_hashes(hashes, SHINGLE), full))
+        return F.concat(*lists)
+
+    return let(word_hashes(words), of_words) if known else F.lit([]).cast(HITS)
 
 
 HITS = "array<struct<kind:int,at:int,from:int,context:array<string>,bands:array<struct<band:int,value:bigint>>>>"
