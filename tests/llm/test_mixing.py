@@ -83,3 +83,35 @@ def test_one_source_and_positions(spark):
 def test_position_of_flat_schedule(spark):
     row = spark.range(1).select(*[mixing.position(F.lit(x), (1.0, 1.0)).alias(f"p{i}") for i, x in enumerate((0.0, 0.25, 1.0))]).first()
     assert np.allclose(list(row), [0, 0.25, 1])
+
+
+def gap_and_least(docs):
+    """Words over the target of each source, and the least document that the last pass has not taken."""
+    over, least, last = {}, {}, {}
+    for r in rows_of(docs):
+        last[r.source] = int(r.target // r.source_size)
+        over[r.source] = over.get(r.source, -r.target) + r.size * len(r.takes)
+        if len(r.takes) == last[r.source]:
+            least[r.source] = min(r.size, least.get(r.source, r.size))
+    return over, least
+
+
+def test_gap_before_a_long_document_is_filled(spark):
+    """The long document straddles the target; short ones after it, more than a task would list, fill the gap."""
+    rows = [(k, "w " * (1 + k % 9), "s") for k in range(4000)] + [(-1, "long " * 20_000, "s")]
+    over, least = gap_and_least(make_docs(spark, rows))
+    assert abs(over["s"]) <= least["s"] / 2
+    taken = [r for r in rows_of(make_docs(spark, rows)) if r.doc_id >= 0 and len(r.takes) == 2]
+    # Words that fill the gap keep to the schedule instead of piling up at the end.
+    assert max(sum(t == x for r in taken for t in r.takes) for x in {t for r in taken for t in r.takes}) == 1
+
+
+def test_long_document_is_placed_whole_where_nearer(spark):
+    rows = [(0, "long " * 20_000, "a"), (1, "w " * 300, "a"), (2, "w " * 40_000, "b"), (3, "w", "b"), (4, "w " * 9000, "c")]
+    docs = make_docs(spark, rows)
+    over, least = gap_and_least(docs)
+    for s, x in over.items():
+        size = sum(len(t.split()) for _, t, o in rows if o == s)
+        target = next(r.target for r in rows_of(docs) if r.source == s)
+        assert target + x <= 2 * size
+        assert abs(x) <= least.get(s, 1) / 2

@@ -7,8 +7,10 @@ words begin at ``c`` gets the position where the cumulative demand reaches ``c``
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and share ``budget`` times all words; a target stops
 at ``most`` times the source's words and the excess is shared anew by weight until none is above.
 
-A document is taken whole or not at all in each pass: in the last pass, those that end below the target, and of the next
-``candidates`` documents those that still fit.
+A document is taken whole or not at all in each pass: in the last pass, those that end below the target, and of all documents after
+them, in order, each that still fits. If a gap is left, the least document not yet taken is added where that comes nearer to the target
+without passing ``most`` times the source's words. So a source misses its target by at most half of its least document not taken, or,
+at the ceiling, by less than that document. Documents of the last pass that are taken out of turn get the position of the words they stand for.
 
 Defined results: a null or empty text has size 0 and takes nothing; equal rows are interchangeable; a null source is a source of
 its own; no rows give no rows. Rerunning gives the same result on any layout, since the order is a hash of the row.
@@ -89,27 +91,48 @@ def _last_end(rows: DataFrame) -> Column:
     return F.col("begin") + F.col("size") + F.col("last") * F.col("source_size")
 
 
-def _fillers(rows: DataFrame, candidates: int) -> DataFrame:
-    """For each source, the places of the documents that fill the gap between the last whole document and the target.
+def _fillers(rows: DataFrame, most: float) -> DataFrame:
+    """``origin, begin, place``: the documents that fill the gap between the last whole document and the target, and the words before each.
 
-    The ``candidates`` documents from the target on are offered in order; each that still fits is taken.
+    In order, each remaining document that still fits is taken. A round takes the documents up to the first that does not fit; what fits
+    the rest of the gap after that one is the next round. The rest is less than the document that did not fit, so in hash order it
+    shrinks by a factor each round. Running sums use the slices of ``rows``.
     """
-    offered = (rows.where((F.col("size") > 0) & (_last_end(rows) > F.col("target")))
-               .withColumn("nth", F.row_number().over(W.partitionBy("origin").orderBy("begin")))
-               .where(F.col("nth") <= candidates))
-    lists = offered.groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("begin", "size"))).alias("offers"),
-        F.first(F.col("target") - F.col("last") * F.col("source_size")).alias("goal"))
-    free = F.col("goal") - F.element_at("offers", 1)["begin"]
-    taken = F.aggregate(
-        "offers", F.struct(free.cast("double").alias("free"), F.lit([]).cast("array<bigint>").alias("places")),
-        lambda a, x: F.when(x["size"] <= a["free"], F.struct(
-            (a["free"] - x["size"]).alias("free"), F.concat(a["places"], F.array(x["begin"])).alias("places"))).otherwise(a))
-    return lists.select("origin", taken["places"].alias("fill"))
+    goal = F.col("target") - F.col("last") * F.col("source_size")
+    rest = stored(rows.where((F.col("size") > 0) & (_last_end(rows) > F.col("target"))).select(
+        "origin", "slice", "begin", "size", goal.alias("goal"), (F.col("source_size") * float(most) - F.col("target")).alias("room")), "rest")
+    gaps = rest.groupBy("origin").agg(
+        F.min("begin").alias("through"), (F.first("goal") - F.min("begin")).alias("free"), F.first("goal").alias("goal"), F.first("room").alias("room"))
+    gaps = first = stored(gaps.where("free > 0"), "gaps")
+    rest = rest.drop("goal", "room")
+    before = W.partitionBy("origin").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("origin", "slice").orderBy("begin").rowsBetween(W.unboundedPreceding, -1)
+    fill = rest.select("origin", "begin", "size", F.lit(0.0).alias("place")).where(F.lit(False))
+    while not gaps.isEmpty():
+        fit = rest.join(gaps.select("origin", "through", "free", "goal"), "origin").where((F.col("size") <= F.col("free")) & (F.col("begin") > F.col("through")))
+        heads = fit.groupBy("origin", "slice").agg(F.sum("size").alias("words"), F.first("free").alias("limit"))
+        heads = heads.withColumn("head", F.coalesce(F.sum("words").over(before), F.lit(0))).where(F.col("head") < F.col("limit"))
+        heads = stored(heads.select("origin", "slice", "head"), "heads")
+        step = fit.join(heads, ["origin", "slice"]).withColumn("head", F.col("head") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        step = stored(step.select("origin", "begin", "size", "free", "goal", (F.col("head") + F.col("size") <= F.col("free")).alias("fits"),
+                                  (F.col("goal") - F.col("free") + F.col("head")).alias("place")), "fill")
+        fill = fill.unionByName(step.where("fits").select("origin", "begin", "size", "place"))
+        gaps = stored(step.groupBy("origin").agg(
+            F.min(F.when(~F.col("fits"), F.col("begin"))).alias("through"), F.first("goal").alias("goal"),
+            (F.first("free") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("free")).where("through IS NOT NULL AND free > 0"), "gaps")
+    # What is left of each gap, and the least document that could close it.
+    filled = fill.groupBy("origin").agg(F.sum("size").alias("filled"))
+    left = first.join(filled, "origin", "left").withColumn("free", F.col("free") - F.coalesce("filled", F.lit(0))).where("free > 0")
+    least = (rest.join(left.select("origin"), "origin", "left_semi").join(fill.select("origin", "begin"), ["origin", "begin"], "left_anti")
+             .groupBy("origin").agg(F.min(F.struct("size", "begin")).alias("least")))
+    over = F.col("least.size") - F.col("free")
+    closing = left.join(least, "origin").where((over < F.col("free")) & (over <= F.col("room")))
+    closing = closing.select("origin", "least.begin", (F.col("goal") - F.col("free")).alias("place"))
+    return stored(fill.select("origin", "begin", "place").unionByName(closing), "fillers")
 
 
 def placed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES,
-           budget: float = BUDGET, most: float = MOST, candidates: int = 64, keep: Sequence[str] | None = None) -> DataFrame:
+           budget: float = BUDGET, most: float = MOST, keep: Sequence[str] | None = None) -> DataFrame:
     """Each document as ``row`` with ``size, source_size, target`` and ``takes``: the positions at which it is taken.
 
     ``row`` holds the columns ``keep``, or all; only these are shuffled.
@@ -130,11 +153,12 @@ def placed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Seque
     sources = stored(sources, "targets")
     ordered = W.partitionBy("origin").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     starts = stored(slices.select("origin", "slice", F.coalesce(F.sum("words").over(ordered), F.lit(0)).alias("slice_start")), "starts")
-    fill = _fillers(_begins(narrow, starts, sources), candidates)
-    sources = stored(sources.join(fill, "origin", "left"), "sources")
-    rows = _begins(sized, starts, sources)
-    passes = F.array(*[F.struct(F.lit(p).alias("p"), (F.col("begin") + F.col("source_size") * p).alias("c")) for p in range(math.ceil(most))])
-    filling = F.coalesce(F.array_contains("fill", F.col("begin")), F.lit(False))
+    fill = _fillers(_begins(narrow, starts, sources), most)
+    rows = _begins(sized, starts, sources).join(fill, ["origin", "begin"], "left")
+    # An empty document begins where the next one does.
+    filling = F.col("place").isNotNull() & (F.col("size") > 0)
+    begin = lambda p: F.when(filling & (F.col("last") == p), F.col("place")).otherwise(F.col("begin"))
+    passes = F.array(*[F.struct(F.lit(p).alias("p"), (begin(p) + F.col("source_size") * p).alias("c")) for p in range(math.ceil(most))])
     taken = F.filter(passes, lambda x: (F.col("size") > 0) & (
         (x["c"] + F.col("size") <= F.col("target")) | ((x["p"] == F.col("last")) & filling)))
     pick = (F.col("rank") % len(schedules)).cast("int")
