@@ -87,3 +87,11 @@ def test_one_of_each_group_stays(spark):
     docs = make_docs(spark, [(k, text if k % 3 else text + f" end{k}", "s") for k in range(40)] + [(50, prose(8, 300), "s")])
     kept = simhash.representatives(docs).select("doc_id").toPandas()["doc_id"].tolist()
     assert sorted(kept) == [0, 50]
+
+
+def test_groups_that_share_a_least_id_each_keep_one(spark):
+    """An id repeated over unlike texts, once and as a hot key: every group keeps one document."""
+    x, y = prose(11, 300), prose(12, 300)
+    rows = [(3, x, "s"), (7, x + " end", "s"), (7, y, "s"), (7, y, "s")] + [(9, prose(100 + k, 80), "s") for k in range(60)]
+    kept = simhash.representatives(make_docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == sorted({(3, x), (7, y), *((i, t) for i, t, _ in rows if i == 9)})

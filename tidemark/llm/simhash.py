@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import whole
 from tidemark.llm.components import components
 from tidemark.session import stored
 
@@ -214,10 +215,11 @@ def grouped(docs: DataFrame, budget: int = BUDGET, limit: int = LIMIT) -> DataFr
 
 
 def representatives(docs: DataFrame, budget: int = BUDGET, limit: int = LIMIT) -> DataFrame:
-    """One document of each group, columns unchanged: the one of least id, or of least hash where no document has an id."""
-    own = stored(grouped(docs, budget, limit).select("doc_id", "body", "root", "component_id"), "groups")
-    ids = own.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
-    bodies = own.where(F.col("component_id").isNull()).groupBy("root").agg(F.min("body").alias("body"))
-    named = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(docs["doc_id"].isNull()).join(bodies, F.xxhash64(docs["text"]) == bodies["body"], "left_semi")
-    return named.unionByName(nameless.dropDuplicates(["text"]))
+    """One document of each group, columns unchanged: the one of least id (null last), then of least hash of the text."""
+    own = stored(grouped(docs, budget, limit).select("doc_id", "body", "root"), "groups")
+    # Ids may repeat over unlike texts, so groups are told apart by root; a text lies in one group only.
+    least = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("least"))
+    least = stored(least.select(F.col("least.doc_id").alias("own_id"), F.col("least.body").alias("own_body")), "least")
+    body = F.xxhash64(docs["text"])
+    found = docs.join(least, docs["doc_id"].eqNullSafe(least["own_id"]) & (body == least["own_body"]))
+    return found.select(whole(docs), "own_id", "own_body").dropDuplicates(["own_id", "own_body"]).select("row.*")
