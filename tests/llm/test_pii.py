@@ -63,3 +63,26 @@ def test_edges(edge_docs, edge_rows, no_docs, spark):
     docs = make_docs(spark, [(1, "mail x@y.zz or 10.0.0.1", "s")] * 2 + [(2, None, "s")])
     got = pii.detect(docs).select("doc_id", pii.count_of("spans", "email").alias("n"), pii.listing("spans").alias("l")).collect()
     assert sorted(tuple(r) for r in got) == [(1, 1, "email:5:11,ip:15:23")] * 2 + [(2, 0, "")]
+
+
+def with_check(country, body):
+    rest = int("".join(str(int(c, 36)) for c in body + country)) * 100
+    return f"{country}{98 - rest % 97:02d}{body}"
+
+
+def test_ibans_end_where_their_country_says():
+    found = lambda t: [t[s["start"]:s["end"]] for s in pii.spans_of(t) if s["kind"] == "iban"]
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for after in (" BIC COBADEFFXXX", " Berlin", " 2024", " A", "", ".", " BIC"):
+        assert found(f"IBAN {de}{after}") == [de] and found(f"IBAN {gb}{after}") == [gb]
+    assert found(f"AB12 {gb} {de} NO DE") == [gb, de]
+    assert found(de + "X") == [] and found(de[:-1] + " BIC") == []
+    assert found("ZZ" + with_check("ZZ", "1" * 14)[2:]) == [with_check("ZZ", "1" * 14)]
+
+
+def test_iban_stays_beside_a_card_that_it_touches():
+    """The digits of the account pass Luhn."""
+    body = next(b for k in range(100) if pii.luhn((b := with_check("NL", f"ABNA{417164300 + k:010d}"))[8:]))
+    iban = next(i for k in range(10_000) if pii.luhn((i := with_check("BE", f"{539007547000 + k:012d}"))[2:]))
+    kinds = [s["kind"] for s in pii.spans_of(f"account {iban} due")]
+    assert kinds == ["iban", "card"] and [s["kind"] for s in pii.spans_of(f"account {body} due")][0] == "iban"

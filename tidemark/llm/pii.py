@@ -2,11 +2,11 @@
 
 Base kinds (always reported once they pass their check): ``email``, ``ip`` (parts at most 255), ``card`` (12 to 19
 digits that pass Luhn) and ``phone`` (international, 9 to 15 digits). Further kinds, reported from a score of
-``threshold`` on and only where they touch no base span: ``iban`` (mod-97), ``local_phone`` and ``ssn``, which need a
-context word.
+``threshold`` on: ``iban`` (mod-97 over the length that its country code sets), also beside base spans that it touches;
+``local_phone`` and ``ssn``, which need a context word, only where they touch no base span.
 
 Defined results: a null or empty text has no spans; repeated rows each get theirs; matches of one kind never overlap;
-a failed match is dropped and not tried again. Every pattern takes time in proportion to the text.
+a failed match of a base kind is dropped and not tried again; after a failed IBAN the next word is tried. Every pattern takes time in proportion to the text.
 """
 from __future__ import annotations
 
@@ -27,7 +27,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+#: Characters of an IBAN by country; of a country that is not listed, as far as upper-case letters and digits go.
+IBAN_LENGTH = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for country in countries.split()}
+_IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in range(15, 35)}
+_IBAN_OPEN = re.compile(r"(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z])")
 _SSN = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -102,10 +111,19 @@ def _found(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", *m.span()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    for m in _IBAN_HEAD.finditer(text):
+        length = IBAN_LENGTH.get(m[0][:2])
+        rest = (_IBAN_REST[length] if length else _IBAN_OPEN).match(text, m.end())
+        if m.start() >= done and rest and mod97(text[m.start():rest.end()]):
+            done = rest.end()
+            yield m.start(), done
+
+
 def _further(text: str) -> Iterator[tuple[str, int, int]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for kind, pattern in (("local_phone", _LOCAL_PHONE), ("ssn", _SSN)):
         for m in pattern.finditer(text):
             yield kind, *m.span()
@@ -123,7 +141,7 @@ def spans_of(text: str | None, threshold: float = 0.5) -> list[dict]:
         return []
     base = list(_found(text))
     more = [x for x in _further(text) if _score(text, *x) >= threshold
-            and not any(x[1] < end and start < x[2] for _, start, end in base)]
+            and (x[0] == "iban" or not any(x[1] < end and start < x[2] for _, start, end in base))]
     ordered = sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return [{"kind": k, "start": s, "end": e, "score": _score(text, k, s, e)} for k, s, e in ordered]
 
