@@ -72,3 +72,36 @@ def test_anchors_do_not_depend_on_context(spark):
     assert {a["hash"] for a in own} <= {a["hash"] for a in far}
     gaps = [b["at"] - a["at"] for a, b in zip(own, own[1:])]
     assert max(gaps) <= syncmers.K - syncmers.S + 1
+
+
+def brute_agreement(a, b):
+    a, b = [{(h, q - p, g) for (p, h), (q, g) in zip(x, x[1:])} | {("end", h) for _, h in x[-1:]} for x in (a, b)]
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_all_anchors_and_positional_matching(spark):
+    words, passage = prose(5, 5000).split(), prose(6, 50)
+    changed = " ".join(words[:2500] + ["changed"] + words[2501:])
+    texts = [" ".join(words), changed, " ".join(words[:100]) + " " + passage + " " + " ".join(words[100:]),
+             prose(7, 3000) + " " + passage + " " + prose(8, 2000), "", "one", "x" * 20_000]
+    rows = spark.createDataFrame([(i, j, texts[i], texts[j]) for i in range(len(texts)) for j in range(i, len(texts))], "i int, j int, a string, b string")
+    rows = rows.select("i", "j", syncmers.anchors(F.col("a")).alias("a"), syncmers.anchors(F.col("b")).alias("b"))
+    near = {(r.i, r.j): r.near for r in rows.select("i", "j", syncmers.agreement(F.col("a"), F.col("b")).alias("near")).collect()}
+    found = [brute_anchors(t) for t in texts]
+    assert all(abs(x - brute_agreement(found[i], found[j])) < 1e-12 for (i, j), x in near.items())
+    # One changed word shows, and a shared passage at different places is found.
+    assert 0.99 < near[0, 1] < 1 and near[2, 3] > 0.003 and near[0, 3] == 0
+
+
+def test_query_returns_every_anchor(spark, tmp_path):
+    from tidemark.llm.queries import QUERIES
+
+    rows = [(k, prose(20 + k, 600), "s") for k in range(3)]
+    make_docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op2_fingerprints"](spark, str(tmp_path)).collect()}
+    for k, text, _ in rows:
+        following = rows[(k + 1) % 3][1]
+        edited = brute_anchors(text[:len(text) - len(text) // 2] + following[:len(text) // 2])
+        assert [tuple(a) for a in got[k].anchors] == brute_anchors(text) and [tuple(a) for a in got[k].edited_anchors] == edited
+        assert abs(got[k].near_edited - brute_agreement(brute_anchors(text), edited)) < 1e-12
+        assert abs(got[k].near_next - brute_agreement(brute_anchors(text), brute_anchors(following))) < 1e-12

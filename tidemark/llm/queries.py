@@ -84,8 +84,8 @@ def op2_fingerprints(spark, sf_dir):
     return rows.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         syncmers.written(F.col("marks")).alias("fingerprint"), syncmers.written(F.col("edited_marks")).alias("edited_fingerprint"),
-        syncmers.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
-        syncmers.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))
+        syncmers.agreement(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        syncmers.agreement(F.col("anchors"), F.col("next_anchors")).alias("near_next"), "anchors", "edited_anchors")
 
 
 @query

@@ -5,8 +5,12 @@ inner runs of ``s`` pieces are hashed; the k-mer is a closed syncmer if the leas
 k-mer is chosen depends on itself only, so equal passages give equal anchors at equal distances wherever they stand, and of any
 ``k - s + 1`` consecutive k-mers at least one is chosen.
 
-The fingerprint lists the ``SKETCH`` least distinct hashes of the anchors of the whole text; the likeness of two fingerprints estimates
-the Jaccard index of their anchors from the least hashes of both (exactly, if there are no more).
+The fingerprint is the list of all anchors of the whole text with their positions. Two texts are matched by ``links``: an anchor, the
+distance to the next one and that one, so that a match means two anchors at the same offset between both texts, wherever the passage
+stands. ``agreement`` is the exact Jaccard index of the distinct links; a link that a text repeats counts once.
+
+Beside it, a digest lists the ``SKETCH`` least distinct hashes of the anchors; the ``likeness`` of two digests estimates the Jaccard index
+of the hashes alone (exactly, if there are no more).
 
 Defined results: a null text is the empty one; a text without a word has the empty fingerprint, and two empty ones have likeness 1; a text
 without anchors, being shorter than ``k`` pieces, has the hash of its pieces as its only anchor; null ids come last in the order of
@@ -50,9 +54,27 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return F.coalesce(let(pieces, of_pieces), F.lit([]).cast("array<struct<at:int,hash:bigint>>"))
 
 
-def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
-    """The ``size`` least distinct anchor hashes of a text."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors(text, k, s), lambda a: a["hash"]))), 1, size)
+def digest(found: Column, size: int = SKETCH) -> Column:
+    """The ``size`` least distinct hashes of anchors."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, size)
+
+
+def links(found: Column) -> Column:
+    """For each anchor a hash of it, the distance to the next one and that one; for the last, of it alone."""
+    def link(a: Column, i: Column) -> Column:
+        after = F.get(found, i + 1)
+        return F.xxhash64(a["hash"], after["at"] - a["at"], after["hash"])
+
+    return F.transform(found, link)
+
+
+def agreement(left: Column, right: Column) -> Column:
+    """Share of common links among all links of two lists of anchors; 1 for two empty ones."""
+    def of_links(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+    return let(F.struct(links(left).alias("a"), links(right).alias("b")), of_links)
 
 
 def likeness(left: Column, right: Column, size: int = SKETCH) -> Column:
@@ -69,7 +91,8 @@ def written(marks: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``derive(docs)`` with ``next``: a struct of ``columns`` of the document of the next id (after the last, the first).
 
-    The ids are cut into slices at quantiles, and each slice also gets the first row of the slice after it. One shuffle of the rows.
+    The ids are cut into slices at quantiles, and each slice also gets the first row of the slice after it. One shuffle of the rows, before
+    ``derive``, which keeps their order.
     """
     spark = docs.sparkSession
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -96,9 +119,11 @@ def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame],
     first = docs.join(F.broadcast(heads), docs["doc_id"].eqNullSafe(heads["head"])).withColumn(
         "nth", F.row_number().over(W.partitionBy("slice").orderBy("text"))).where("nth = 1")
     guests = first.select(*[docs[c] for c in docs.columns], F.col("host").alias("slice"), F.lit(True).alias("guest"))
-    within = W.partitionBy("slice").orderBy("guest", F.col("doc_id").isNull(), "doc_id", "text")
-    found = derive(rows).unionByName(derive(guests)).withColumn("next", F.lead(F.struct(*columns)).over(within))
-    return found.where(~F.col("guest")).drop("slice", "guest")
+    order = ["guest", "none", "doc_id", "text"]
+    every = rows.unionByName(guests).withColumn("none", F.col("doc_id").isNull())
+    every = derive(every.repartition("slice").sortWithinPartitions("slice", *order))
+    found = every.withColumn("next", F.lead(F.struct(*columns)).over(W.partitionBy("slice").orderBy(*order)))
+    return found.where(~F.col("guest")).drop("slice", "guest", "none")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -108,8 +133,9 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, marks, edited, edited_marks, next_marks`` of every document."""
+    """``doc_id, text, anchors, marks, edited, edited_anchors, edited_marks, next_anchors, next_marks`` of every document."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows, ["text", "marks"], lambda d: d.withColumn("marks", sketch(F.col("text"))))
-    rows = rows.select("doc_id", "text", "marks", edited(F.col("text"), F.col("next.text")).alias("edited"), F.col("next.marks").alias("next_marks"))
-    return rows.withColumn("edited_marks", sketch(F.col("edited")))
+    rows = with_next(rows, ["text", "anchors"], lambda d: d.withColumn("anchors", anchors(F.col("text"))))
+    rows = rows.select("doc_id", "text", "anchors", edited(F.col("text"), F.col("next.text")).alias("edited"), F.col("next.anchors").alias("next_anchors"))
+    rows = rows.withColumn("edited_anchors", anchors(F.col("edited")))
+    return rows.select("*", *[digest(F.col(f"{x}anchors")).alias(f"{x}marks") for x in ("", "edited_", "next_")])
