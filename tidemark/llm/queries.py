@@ -7,12 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, licenses, lines, mixing, packing, pii, quality, simhash, syncmers, vectors
+from tidemark.llm import (alignment, chat, licenses, lines, mining, mixing, packing, pii, quality, rules, simhash, syncmers,
+                          vectors)
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn):
@@ -97,3 +100,25 @@ def op4_near_vectors(spark, sf_dir):
 @query
 def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_align_tokenizers(spark, sf_dir):
+    rows = alignment.aligned(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return rows.select(*[c for c in rows.columns if c != "groups"], digest.alias("groups_sha256"))
+
+
+@query
+def op12_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = rules.train(docs, table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", rules.judged(model, docs["text"]).alias("verdict")).select("doc_id", "verdict.*")
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    return mining.mined(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_hard_negatives"] = mining.ORACLE
