@@ -71,7 +71,7 @@ def test_pipeline_like_brute_force(spark, corpus):
     times = Counter(r.doc_id for r in pieces if r.start == 0)
     got = {}
     for r in pieces:
-        got.setdefault(r.doc_id, {})[r.start] = r.ids
+        got.setdefault(r.doc_id, {})[r.start] = np.frombuffer(r.ids, "<u4").tolist()
     sizes, taken = Counter(), Counter()
     for i, text, s in kept:
         n = len((text or "").split())

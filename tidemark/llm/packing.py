@@ -80,13 +80,13 @@ class WordTokenizer:
     def _run(self, run: str) -> bytes:
         return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str | None) -> np.ndarray:
+    def ids(self, text: str | None) -> bytes:
         if not text:
-            return np.empty(0, "<u4")
+            return b""
         if not _ODD.search(text):
-            return np.frombuffer(self._plain(text), "<u4")
+            return self._plain(text)
         runs = text.replace("\n", " ").split(" ")
-        return np.frombuffer(b"".join([self._plain(r) if not _ODD.search(r) else self.runs[r] for r in runs]), "<u4")
+        return b"".join([self._plain(r) if not _ODD.search(r) else self.runs[r] for r in runs])
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -96,30 +96,30 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, longest_bits: int = LONGEST_BITS, end_id: int = END_ID) -> DataFrame:
-    """``doc_id``, ``ids``, ``task`` and ``before``: the pieces of each length (power) that this task has made before."""
+    """``doc_id``, ``ids`` (little-endian unsigned 32-bit), ``task`` and ``before``: the pieces of each length (power) that this task
+    has made before."""
     powers = np.arange(longest_bits + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, done = _tokenizer(tokenizer), TaskContext.get().partitionId(), np.zeros(longest_bits + 1, np.int64)
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             step = 500
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                rows = [np.append(encode.ids(t.as_py()), np.uint32(end_id)).astype(np.int32) for t in part.column(1)]
-                lengths = np.array([len(r) for r in rows], np.int64)
+                rows = [encode.ids(t) + end for t in part.column(1).to_pylist()]
+                lengths = np.array([len(r) for r in rows], np.int64) // 4
                 made = (lengths[:, None] >> powers) & 1
                 made[:, longest_bits] = lengths >> longest_bits
                 before = np.cumsum(made, axis=0) - made + done
                 done = done + made.sum(axis=0)
-                edges = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.ListArray.from_arrays(edges, pa.array(np.concatenate(rows))),
-                    pa.array(np.full(len(rows), task), pa.int32()), pa.array(list(before), pa.list_(pa.int64())),
+                    part.column(0), pa.array(rows, pa.binary()), pa.array(np.full(len(rows), task), pa.int32()), pa.array(list(before), pa.list_(pa.int64())),
                 ], ["doc_id", "ids", "task", "before"])
 
     narrow = docs.select("doc_id", "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, ids array<int>, task int, before array<bigint>")
+    return narrow.mapInArrow(run, f"doc_id {kind}, ids binary, task int, before array<bigint>")
 
 
 def _made(length: Column, power: int, longest_bits: int) -> Column:
@@ -128,10 +128,10 @@ def _made(length: Column, power: int, longest_bits: int) -> Column:
 
 
 def pack(docs: DataFrame, tokenizer: str, longest_bits: int = LONGEST_BITS, end_id: int = END_ID) -> DataFrame:
-    """One row a piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``."""
+    """One row a piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``; ids are little-endian unsigned 32-bit numbers."""
     powers = range(longest_bits, -1, -1)
     rows = stored(tokenised(docs, tokenizer, longest_bits, end_id), "tokenised")
-    length = F.size("ids")
+    length = F.shiftright(F.octet_length("ids"), 2)
     # One row a task: what it has made of each length, then what all tasks before it and all longer buckets have made.
     totals = rows.groupBy("task").agg(*[F.sum(_made(length, p, longest_bits)).alias(f"n{p}") for p in powers])
     ordered = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
@@ -157,13 +157,6 @@ def pack(docs: DataFrame, tokenizer: str, longest_bits: int = LONGEST_BITS, end_
     pieces = joined.select("doc_id", "ids", "n", F.explode(F.concat(F.coalesce(long_pieces, empty), short_pieces)).alias("piece"))
     return pieces.select(
         "doc_id", F.col("piece.start").cast("long").alias("start"), F.col("piece.length").cast("long").alias("length"),
-        F.slice("ids", F.col("piece.start") + 1, F.col("piece.length")).alias("ids"), F.col("n").cast("long").alias("doc_tokens"),
+        F.substring("ids", F.col("piece.start") * 4 + 1, F.col("piece.length") * 4).alias("ids"), F.col("n").cast("long").alias("doc_tokens"),
         F.col("piece.seq").alias("sequence_id"), F.lit(0).cast(T.LongType()).alias("offset"))
 
-
-@F.pandas_udf(T.LongType())
-def crc32_of(ids):
-    """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-    import zlib
-
-    return ids.map(lambda x: zlib.crc32(np.ascontiguousarray(x, "<u4"))).astype("int64")

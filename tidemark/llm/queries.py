@@ -44,7 +44,7 @@ def op8_personal_data(spark, sf_dir):
 @query
 def op9_pack_pieces(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
-    return pieces.select("doc_id", "start", "length", packing.crc32_of("ids").alias("ids_crc32"),
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
 
 
