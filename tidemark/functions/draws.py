@@ -44,12 +44,3 @@ def poisson_bounds() -> list[str]:
         share /= k
         total += share
     return bounds
-
-
-def poisson(draw: Column) -> Column:
-    """Poisson count of mean 1 from eight hex digits."""
-    bounds = poisson_bounds()
-    out = F.when(draw < bounds[0], 0)
-    for k, b in enumerate(bounds[1:], 1):
-        out = out.when(draw < b, k)
-    return out.otherwise(len(bounds)).cast("bigint")

@@ -1,8 +1,4 @@
-"""Resampling: bootstrap as weights, permutations and subsamples as hash-ordered keys.
-
-A replicate is never materialised as repeated rows: each row draws its count in a replicate by hash (a
-Poisson count of mean 1), and the counts are weights in ordinary weighted statistics.
-"""
+"""Resampling: summaries over bootstrap replicates, permutations and subsamples as hash-ordered keys."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -10,9 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import digest, hash32, poisson
-from tidemark.functions.scalars import ratio, substitution_ratio
-from tidemark.operators import rankstats as rs
+from tidemark.functions.draws import hash32
+from tidemark.functions.scalars import substitution_ratio
 from tidemark.operators.ordered import row_numbers
 
 
@@ -20,28 +15,6 @@ def replicated(df: DataFrame, n: int, name: str = "replicate") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def bootstrap_weights(df: DataFrame, sid: str, n: int, seed: str) -> DataFrame:
-    """Rows of ``df`` with ``replicate`` and ``w``: a Poisson count of mean 1 by the hash of id and replicate; zero counts are left out.
-
-    One digest serves four replicates. Nothing is shuffled.
-    """
-    block = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4)))
-    rows = df.withColumn("__block", block).withColumn("__d", digest(seed, F.col("__block"), F.col(sid)))
-    four = F.array(*[F.struct((F.col("__block") * 4 + j).alias("replicate"), poisson(F.substring("__d", 1 + 8 * j, 8)).alias("w"))
-                     for j in range(4)])
-    drawn = rows.withColumn("__r", F.explode(F.filter(four, lambda x: (x["w"] > 0) & (x["replicate"] < n))))
-    return drawn.select(*df.columns, "__r.replicate", "__r.w")
-
-
-def bootstrap_aucs(df: DataFrame, keys: Sequence[str], sid: str, y: str, scores: Sequence[str], n: int,
-                   seed: str, hot: bool | None = None) -> DataFrame:
-    """(keys, replicate, arm, auc): every score read with the same weights."""
-    keys = list(keys)
-    rows = bootstrap_weights(df.select(*keys, sid, y, *scores), sid, n, seed)
-    long = rs.long_scores(rows, [*keys, "replicate", "w"], y, scores)
-    return rs.auc(long, [*keys, "replicate", "arm"], y, "s", "w", hot=hot)
-
-
 def interval(df: DataFrame, keys: Sequence[str], value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Percentile interval over replicates (a design constant per key)."""
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("se"),
@@ -69,25 +42,6 @@ def ratio_replicates(total: DataFrame, matched: DataFrame, keys: Sequence[str])
         *keys, "replicate", substitution_ratio(F.col("auc"), F.col("__m")).alias("rho"))
 
 
-def weighted_regression(df: DataFrame, keys: Sequence[str], y: str, pred: str, w: str = "w") -> DataFrame:
-    """Weighted MAE and Pearson correlation from moments centred on the plain means."""
-    c = df.groupBy(*keys).agg((F.sum(F.col(w) * F.col(y)) / F.sum(w)).alias("__my"),
-                              (F.sum(F.col(w) * F.col(pred)) / F.sum(w)).alias("__mp"))
-    dy, dp, wt = F.col(y) - F.col("__my"), F.col(pred) - F.col("__mp"), F.col(w)
-    return df.join(c, list(keys)).groupBy(*keys).agg(
-        (F.sum(wt * F.abs(F.col(pred) - F.col(y))) / F.sum(wt)).alias("mae"),
-        ratio(F.sum(wt * dy * dp), F.sqrt(F.sum(wt * dy * dy) * F.sum(wt * dp * dp))).alias("pcc"))
-
-
-def regression_intervals(df: DataFrame, keys: Sequence[str], sid: str, y: str, pred: str, n: int, seed: str) -> DataFrame:
-    """95 % bootstrap intervals of MAE and Pearson correlation per group."""
-    keys = list(keys)
-    rows = bootstrap_weights(df.filter(F.col(y).isNotNull() & F.col(pred).isNotNull()).select(*keys, sid, y, pred), sid, n, seed)
-    m = weighted_regression(rows, [*keys, "replicate"], y, pred)
-    ends = [F.percentile(c, F.lit(q)).alias(f"{c}_{e}") for c in ("mae", "pcc") for e, q in (("lo", 0.025), ("hi", 0.975))]
-    return m.groupBy(*keys).agg(*ends)
-
-
 def permuted(df: DataFrame, keys: Sequence[str], sid: str, carry: Sequence[str], n: int, seed: str,
              hot: bool | None = None) -> DataFrame:
     """Rows under ``n`` permutations: ``carry`` columns move together to another row's place."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import dims
 from tidemark.functions.draws import hash32
 from tidemark.functions.scalars import Z95, normal_two_sided, rounded
+from tidemark.operators import bootstrap as bs
 from tidemark.operators import covariate as cv
 from tidemark.operators import matching as mt
 from tidemark.operators import models as ml
@@ -36,7 +37,7 @@ SELECT cohort, {r('avg(auc)')} AS mean, {r('quantile_cont(auc, 0.025)')} AS ci_l
 FROM ba GROUP BY cohort""")
 def i04(spark, sf):
     t = Tables(spark, sf)
-    a = rp.bootstrap_aucs(score(t), ["cohort"], "id", "y", ["a"], B_AUC, "boot", t.hot("documents"))
+    a = bs.aucs(score(t), ["cohort"], "id", "y", ["a"], B_AUC, "boot")
     out = rp.interval(a, ["cohort"], "auc")
     return out.select("cohort", *[rounded(F.col(c)).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n_replicates")
 
@@ -50,7 +51,7 @@ SELECT {r('avg(d)')} AS mean, {r('quantile_cont(d, 0.025)')} AS ci_lo, {r('quant
 FROM (SELECT ba.auc - bc.auc AS d FROM ba JOIN bc USING (b))""")
 def i05(spark, sf):
     t = Tables(spark, sf)
-    a = rp.bootstrap_aucs(score(t), [], "id", "y", ["a", "c"], B_PAIR, "pair", t.hot("documents"))
+    a = bs.aucs(score(t), [], "id", "y", ["a", "c"], B_PAIR, "pair")
     out = rp.interval(rp.arm_difference(a, [], "a", "c"), [], "d")
     return out.select(*[rounded(F.col(c)).alias(c) for c in ("mean", "ci_lo", "ci_hi", "p")])
 
@@ -63,9 +64,8 @@ FROM (SELECT CASE WHEN 1 - ta.auc - 0.5e0 > 1e-9 THEN (ma.auc - ta.auc) / (0.5e0
 def i06(spark, sf):
     t = Tables(spark, sf)
     s = score(t).withColumn("inv", -F.col("a"))
-    hot = t.hot("documents")
-    total = rp.bootstrap_aucs(s, [], "id", "y", ["inv"], B_RATIO, "full", hot)
-    part = rp.bootstrap_aucs(s.filter("quality = 1"), [], "id", "y", ["inv"], B_RATIO, "sub", hot)
+    total = bs.aucs(s, [], "id", "y", ["inv"], B_RATIO, "full")
+    part = bs.aucs(s.filter("quality = 1"), [], "id", "y", ["inv"], B_RATIO, "sub")
     out = rp.interval(rp.ratio_replicates(total, part, []), [], "rho")
     return out.select(*[rounded(F.col(c), 5).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n_replicates")
 
@@ -79,9 +79,7 @@ SELECT {r('quantile_cont(dm, 0.025)', 4)} AS d_mae_lo, {r('quantile_cont(dm, 0.9
 def i07(spark, sf):
     t = Tables(spark, sf)
     s = score(t).select("id", F.col("b").alias("target"), (6 * F.col("a")).alias("pa"), (90 * F.col("c")).alias("pc"))
-    rows = rp.bootstrap_weights(s, "id", B_METRIC, "reg")
-    long = rows.select("replicate", "w", "target", F.explode(F.create_map(F.lit("pa"), F.col("pa"), F.lit("pc"), F.col("pc"))).alias("arm", "pred"))
-    m = rp.weighted_regression(long, ["replicate", "arm"], "target", "pred")
+    m = bs.regressions(s, [], "id", "target", ["pa", "pc"], B_METRIC, "reg")
     pick = lambda a, c: F.max(F.when(F.col("arm") == a, F.col(c)))
     d = m.groupBy("replicate").agg((pick("pa", "mae") - pick("pc", "mae")).alias("dm"), (pick("pa", "pcc") - pick("pc", "pcc")).alias("dp"))
     pct = lambda c, q, n: rounded(F.percentile(c, F.lit(q)), n)
@@ -96,14 +94,10 @@ SELECT {r('avg(d)')} AS mean, {r('stddev_pop(d)')} AS se, {r('quantile_cont(d, 0
 FROM (SELECT (x1a.auc - x1c.auc) - (x2a.auc - x2c.auc) AS d FROM x1a JOIN x1c USING (b) JOIN x2a USING (b) JOIN x2c USING (b))""")
 def i08(spark, sf):
     t = Tables(spark, sf)
-    hot = t.hot("documents")
     s = score(t).withColumn("g", F.when(F.col("y") == 0, 0).when(F.col("quality") == 1, 1).otherwise(2))
-    w = rp.bootstrap_weights(s.select("id", "g", "a", "c"), "id", B_INTER, "inter")
     # Controls carry one weight set and enter both contrasts.
-    both = w.withColumn("contrast", F.explode(F.when(F.col("g") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("g")))))
-    both = both.withColumn("y", (F.col("g") > 0).cast("int"))
-    long = rs.long_scores(both, ["replicate", "contrast", "w"], "y", ["a", "c"])
-    x = rs.auc(long, ["replicate", "contrast", "arm"], "y", "s", "w", hot=hot)
+    both = s.withColumn("contrast", F.explode(F.when(F.col("g") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("g")))))
+    x = bs.aucs(both.withColumn("y", (F.col("g") > 0).cast("int")), ["contrast"], "id", "y", ["a", "c"], B_INTER, "inter")
     d = rp.arm_difference(x, ["contrast"], "a", "c").groupBy("replicate").agg(
         (F.max(F.when(F.col("contrast") == 1, F.col("d"))) - F.max(F.when(F.col("contrast") == 2, F.col("d")))).alias("d"))
     return rp.interval(d, [], "d").select(*[rounded(F.col(c)).alias(c) for c in ("mean", "se", "ci_lo", "ci_hi", "p")])

@@ -10,7 +10,7 @@ from tidemark.functions.scalars import rounded
 from tidemark.operators import labels as lb
 from tidemark.operators import operating as op
 from tidemark.operators import rankstats as rs
-from tidemark.operators import resample as rp
+from tidemark.operators import bootstrap as bs
 from tidemark.plans.ranks import LONG
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.sql import auc_cte, boot, midrank, r, u
@@ -186,7 +186,7 @@ SELECT cohort, {r('quantile_cont(mae, 0.025)', 4)} AS mae_lo, {r('quantile_cont(
   {r('quantile_cont(pcc, 0.025)', 5)} AS pcc_lo, {r('quantile_cont(pcc, 0.975)', 5)} AS pcc_hi FROM mt GROUP BY cohort""")
 def a17_intervals(spark, sf):
     s = score(Tables(spark, sf)).select("cohort", "id", F.col("b").alias("y"), (6 * F.col("a")).alias("p"))
-    m = rp.regression_intervals(s, ["cohort"], "id", "y", "p", 2000, "regci")
+    m = bs.regression_intervals(s, ["cohort"], "id", "y", "p", 2000, "regci")
     return m.select("cohort", *[rounded(F.col(c), 4).alias(c) for c in ("mae_lo", "mae_hi")],
                     *[rounded(F.col(c), 5).alias(c) for c in ("pcc_lo", "pcc_hi")])
 
