@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import medians
+from tidemark.operators.ordered import medians, same_group
+from tidemark.session import stored
 
 CENTRE, SPREAD, FLOOR = 50.0, 25.0, 1e-9
 EULER_GAMMA = 0.5772156649015329
@@ -58,7 +59,7 @@ def quadratic_fit(long: DataFrame, keys: Sequence[str], age: str, value: str, mi
 def residuals(long: DataFrame, fit: DataFrame, keys: Sequence[str], age: str, value: str,
               name: str = "resid") -> DataFrame:
     """Value minus trend; a feature without a fit keeps its value."""
-    j = long.join(fit.drop("n"), list(keys), "left")
+    j = same_group(long, fit.drop("n"), list(keys), "left")
     return j.withColumn(name, F.coalesce(F.col(value) - trend(age), F.col(value))).drop("b0", "b1", "b2")
 
 
@@ -78,11 +79,11 @@ def normative_fit(long: DataFrame, keys: Sequence[str], age: str, value: str, mi
     """
     keys = list(keys)
     mean = quadratic_fit(long, keys, age, value, min_n)
-    r = long.join(mean.select(*keys, "b0", "b1", "b2"), keys).withColumn(
+    r = same_group(long, mean.select(*keys, "b0", "b1", "b2"), keys).withColumn(
         "__l", F.log(F.abs(F.col(value) - trend(age)) + FLOOR))
     spread = r.groupBy(*keys).agg(F.regr_slope("__l", age).alias("g1"), F.regr_intercept("__l", age).alias("g0"),
                                   F.min(age).alias("age_lo"), F.max(age).alias("age_hi"))
-    return mean.join(spread, keys, "left").withColumn(
+    return same_group(mean, spread, keys, "left").withColumn(
         "usable", F.col("b0").isNotNull() & F.col("g0").isNotNull())
 
 
@@ -91,12 +92,12 @@ def deviations(long: DataFrame, model: DataFrame, keys: Sequence[str], age: str,
     """Signed z deviation from the expected value; optionally re-centred to a site's controls."""
     m = model.select(*keys, "b0", "b1", "b2", "g0", "g1", "usable")
     sigma = F.greatest(F.exp(F.col("g0") + F.col("g1") * F.col(age) + LOG_ABS_TO_SD), F.lit(FLOOR))
-    z = long.join(m, list(keys)).withColumn(
+    z = same_group(long, m, list(keys)).withColumn(
         name, F.when(F.col("usable"), (F.col(value) - trend(age)) / sigma)).drop(
         "b0", "b1", "b2", "g0", "g1", "usable")
     if anchor is None:
         return z
-    return z.join(anchor.select(*anchor_keys, "shift", "scale"), list(anchor_keys), "left").withColumn(
+    return same_group(z, anchor.select(*anchor_keys, "shift", "scale"), list(anchor_keys), "left").withColumn(
         name, (F.col(name) - F.coalesce("shift", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0))).drop("shift", "scale")
 
 
@@ -104,9 +105,9 @@ def site_anchor(z_controls: DataFrame, keys: Sequence[str], z: str = "z", hot: b
     """Median and 1.4826·MAD of a site's control deviations; the identity where undefined."""
     keys = list(keys)
     med = medians(z_controls, keys, z, "shift", hot)
-    dev = z_controls.join(med, keys).withColumn("__d", F.abs(F.col(z) - F.col("shift")))
+    dev = same_group(z_controls, med, keys).withColumn("__d", F.abs(F.col(z) - F.col("shift")))
     mad = medians(dev, keys, "__d", "__m", hot)
-    out = med.join(mad, keys, "left").withColumn("__s", 1.4826 * F.col("__m"))
+    out = same_group(med, mad, keys, "left").withColumn("__s", 1.4826 * F.col("__m"))
     return out.select(*keys, "shift", F.when(F.col("__s") > FLOOR, F.col("__s")).otherwise(1.0).alias("scale"))
 
 
@@ -118,24 +119,61 @@ def abnormality(z: DataFrame, keys: Sequence[str], weight: Column | None = None,
     return z.groupBy(*keys).agg(F.when(den > 0, F.sqrt(num / den)).alias(name))
 
 
+def _by_fold(fit: DataFrame, keys: Sequence[str], values: Sequence[str], name: str) -> DataFrame:
+    """(keys, name): a map from held-out fold to the parameters of its model."""
+    entry = F.struct("mfold", F.struct(*values))
+    return fit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
+
+
+def _crossfit_spread(rows: DataFrame, keys: Sequence[str], y: str, age: str, value: str, k: int) -> DataFrame:
+    """(keys, mfold, g0, g1): regression of the log absolute residual on the covariate over each model's training controls.
+
+    Every row feeds the sums of all models but its own fold's; nothing is copied.
+    """
+    t = standard_age(F.col(age))
+    sums = []
+    for m in range(k):
+        p = F.try_element_at("__fit", F.lit(m))
+        log = F.log(F.abs(F.col(value) - (p["b0"] + p["b1"] * t + p["b2"] * t * t)) + FLOOR)
+        log = F.when((F.col("fold") != m) & (F.col(y) == 0), log)
+        tt = F.when(log.isNotNull(), t)
+        sums += [F.struct(F.lit(m).alias("mfold"), F.count(log).cast("double").alias("n"), F.sum(tt).alias("t"), F.sum(tt * tt).alias("tt"),
+                          F.sum(log).alias("l"), F.sum(tt * log).alias("tl"))]
+    s = rows.groupBy(*keys).agg(F.array(*sums).alias("__s")).select(*keys, F.explode("__s").alias("__e")).select(*keys, "__e.*")
+    det = F.col("n") * F.col("tt") - F.col("t") * F.col("t")
+    ok = (F.col("n") > 1) & (det > 1e-12 * F.col("n") * F.col("tt"))
+    slope = (F.col("n") * F.col("tl") - F.col("t") * F.col("l")) / det
+    return s.select(*keys, "mfold", F.when(ok, (F.col("l") - slope * F.col("t")) / F.col("n")).alias("g0"), F.when(ok, slope).alias("g1"))
+
+
 def crossfitted(long: DataFrame, keys: Sequence[str], sid: str, y: str, age: str, value: str, k: int,
                 how: str = "residual") -> DataFrame:
     """(keys, repeat, mfold, fold, sid, y, x): features transformed by each fold's own reference.
 
     ``how`` is "residual" (trend of the training controls) or "normative" (their z deviation). A
-    subject appears once per model, so the transform never sees the fold it is applied to.
+    subject appears once per model, so the transform never sees the fold it is applied to. The parameters of all models of a feature are
+    joined to its rows as one map; rows are gathered by subject once, and only feature lists are unfolded by model.
     """
-    from tidemark.operators.models import feature_array
     g = [*keys, "repeat", "feature"]
-    copies = long.withColumn("mfold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    gm = [*g, "mfold"]
-    if how == "residual":
-        sums = crossfit_sums(long, g, "fold", age, value, k, F.col(y) == 0)
-        fit = solved(sums, gm, 5)
-        j = copies.join(fit.drop("n"), gm).withColumn("__v", F.col(value) - trend(age))
-    else:
-        train = copies.filter((F.col("fold") != F.col("mfold")) & (F.col(y) == 0))
-        model = normative_fit(train, gm, age, value)
-        j = deviations(copies, model, gm, age, value, name="__v")
-    j = j.filter(F.col("__v").isNotNull()).drop(value).withColumnRenamed("__v", "value")
-    return feature_array(j, [*keys, "repeat", "mfold", "fold", sid, y])
+    t = standard_age(F.col(age))
+    controls = F.col(y) == 0
+    fit = solved(crossfit_sums(long, g, "fold", age, value, k, controls), [*g, "mfold"], 5 if how == "residual" else 30)
+    rows = same_group(long, _by_fold(fit, g, ["b0", "b1", "b2"], "__fit"), g)
+    if how != "residual":
+        rows = stored(rows, "crossfit")
+        rows = same_group(rows, _by_fold(_crossfit_spread(rows, g, y, age, value, k), g, ["g0", "g1"], "__spread"), g)
+
+    def transformed(m):
+        p = F.try_element_at("__fit", m)
+        r = F.col(value) - (p["b0"] + p["b1"] * t + p["b2"] * t * t)
+        if how == "residual":
+            return r
+        q = F.try_element_at("__spread", m)
+        return r / F.greatest(F.exp(q["g0"] + q["g1"] * t + LOG_ABS_TO_SD), F.lit(FLOOR))
+
+    models = F.sequence(F.lit(0), F.lit(k - 1))
+    entry = F.struct("feature", F.array(*[transformed(F.lit(m)) for m in range(k)]).alias("v"))
+    lists = rows.groupBy(*keys, "repeat", "fold", sid, y).agg(F.array_sort(F.collect_list(entry)).alias("__l"))
+    each = lists.withColumn("mfold", F.explode(models))
+    known = F.filter("__l", lambda e: F.get(e["v"], F.col("mfold")).isNotNull())
+    return each.select(*keys, "repeat", "mfold", "fold", sid, y, F.transform(known, lambda e: F.get(e["v"], F.col("mfold"))).alias("x"))

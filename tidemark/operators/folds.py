@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import hash32
-from tidemark.operators.ordered import row_numbers
+from tidemark.operators.ordered import row_numbers, same_group
 
 
 def with_repeats(df: DataFrame, repeats: int, name: str = "repeat") -> DataFrame:
@@ -28,9 +28,9 @@ def group_stratified(df: DataFrame, keys: Sequence[str], group: str, y: str, k:
     per = df.groupBy(*keys, group).agg(F.avg(F.col(y).cast("double")).alias("__m"))
     per = per.withColumn("__cls", (F.col("__m") >= 0.5).cast("int"))
     n = per.groupBy(*keys).agg(F.count("*").alias("__groups"))
-    per = per.join(n, list(keys)) if keys else per.crossJoin(n)
+    per = same_group(per, n, list(keys))
     msg = F.concat(F.lit(f"need at least {k} groups, got "), F.col("__groups").cast("string"))
     per = per.withColumn("__cls", F.when(F.col("__groups") < k, F.raise_error(msg).cast("int"))
                          .otherwise(F.col("__cls")))
     folds = stratified(per.select(*keys, group, "__cls"), keys, group, "__cls", k, repeats, hot)
-    return df.join(folds.drop("__cls"), [*keys, group])
+    return same_group(df, folds.drop("__cls"), [*keys, group])

@@ -105,10 +105,10 @@ def _rounds(values: DataFrame, keys: list[str], caliper: float) -> DataFrame:
         a = _side(state, keys, "n_case", "n_ctrl", caliper, True)
         b = _side(state, keys, "n_ctrl", "n_case", caliper, False).select(
             *keys, F.col("w").alias("v"), F.col("v").alias("w"))
-        mutual = a.join(b, [*keys, "v", "w"])
+        mutual = same_group(a, b, [*keys, "v", "w"])
         case_n = state.select(*keys, "v", F.col("n_case").alias("__a"))
         ctrl_n = state.select(*keys, F.col("v").alias("w"), F.col("n_ctrl").alias("__b"))
-        got = stored(mutual.join(case_n, [*keys, "v"]).join(ctrl_n, [*keys, "w"]).select(
+        got = stored(same_group(same_group(mutual, case_n, [*keys, "v"]), ctrl_n, [*keys, "w"]).select(
             *keys, F.col("v").alias("case_value"), F.col("w").alias("control_value"),
             F.least("__a", "__b").alias("m"), (F.col("w") > F.col("v")).cast("int").alias("side")), "match")
         if got.isEmpty():
@@ -118,7 +118,7 @@ def _rounds(values: DataFrame, keys: list[str], caliper: float) -> DataFrame:
                 .unionByName(got.select(*keys, F.col("control_value").alias("v"), F.lit(0).alias("__a"),
                                         F.col("m").alias("__b")))
                 .groupBy(*keys, "v").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b")))
-        state = stored(state.join(used, [*keys, "v"], "left").select(
+        state = stored(same_group(state, used, [*keys, "v"], "left").select(
             *keys, "v", (F.col("n_case") - F.coalesce("__a", F.lit(0))).alias("n_case"),
             (F.col("n_ctrl") - F.coalesce("__b", F.lit(0))).alias("n_ctrl")).filter("n_case + n_ctrl > 0"), "match")
     out = parts[0] if parts else got
@@ -179,8 +179,8 @@ def caliper_match(df: DataFrame, keys: Sequence[str], sid: str, y: str, value: s
         *keys, F.col(sid).alias("case_id"), F.col("__v").alias("case_value"), F.col("__rn").alias("__cr"))
     ctrls = ranked.filter(F.col(y) == 0).select(
         *keys, F.col(sid).alias("control_id"), F.col("__v").alias("control_value"), F.col("__rn").alias("__kr"))
-    hit = cases.join(chunks, [*keys, "case_value"]).filter(
+    hit = same_group(cases, chunks, [*keys, "case_value"]).filter(
         (F.col("__cr") > F.col("__c0")) & (F.col("__cr") <= F.col("__ce")))
     hit = hit.withColumn("__kr", F.col("__k0") + F.col("__cr") - F.col("__c0"))
-    return hit.join(ctrls, [*keys, "control_value", "__kr"]).select(
+    return same_group(hit, ctrls, [*keys, "control_value", "__kr"]).select(
         *keys, "case_id", "control_id", "case_value", "control_value")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import same_group
 from tidemark.session import stored
 
 MODEL_CONF, MODEL_DEFAULT = "spark.tidemark.modelGroupRows", 200_000
@@ -307,10 +308,26 @@ def scored(rows: DataFrame, params: DataFrame, keys: Sequence[str], x: str, name
     if own_fold:
         p = p.withColumnRenamed("mfold", "fold")
     on = [*keys, *(["fold"] if own_fold else [])]
-    j = rows.join(p, on) if on else rows.crossJoin(F.broadcast(p))
+    j = same_group(rows, p, on) if on else rows.crossJoin(F.broadcast(p))
     return j.withColumn(name, decision(F.col(x), F.col("coef"), F.col("intercept"))).drop("coef", "intercept")
 
 
+def optimum(rows: DataFrame, params: DataFrame, keys: Sequence[str], y: str, x: str, d: str, penalty: float = 1.0) -> DataFrame:
+    """(keys, n, at_optimum): whether the gradient of the penalised likelihood, taken from the training rows, vanishes.
+
+    ``rows`` hold decisions ``d`` of the models in ``params``. On the standardised scale the gradient is sum e*(x - mean)/sd + penalty*coef*sd.
+    """
+    keys = list(keys)
+    e = sigmoid(F.col(d)) - F.col(y)
+    at = rows.select(*keys, e.alias("__e"), F.posexplode(x).alias("__i", "__x"))
+    g = at.groupBy(*keys, "__i").agg(F.count("*").alias("n"), F.sum("__e").alias("__b"), F.sum(F.col("__e") * F.col("__x")).alias("__g"),
+                                     F.avg("__x").alias("__m"), F.stddev_pop("__x").alias("__sd"))
+    g = same_group(g, params.select(*keys, "coef"), keys).withColumn("__w", F.get("coef", F.col("__i")))
+    sd = F.when(F.col("__sd") > 1e-12 * F.greatest(F.lit(1.0), F.abs("__m")), F.col("__sd")).otherwise(1.0)
+    slope = (F.col("__g") - F.col("__b") * F.col("__m")) / sd + penalty * F.col("__w") * sd
+    return g.groupBy(*keys).agg(F.max("n").alias("n"), F.bool_and((F.abs("__b") < 1e-5) & (F.abs(slope) < 1e-5)).alias("at_optimum"))
+
+
 def feature_array(long: DataFrame, keys: Sequence[str], name: str = "x") -> DataFrame:
     """(keys, x): values in feature order; the group is one subject's feature list."""
     arr = F.array_sort(F.collect_list(F.struct("feature", "value")))
@@ -346,7 +363,7 @@ def calibrated(oof: DataFrame, keys: Sequence[str], y: str, s: str, large: bool
     n = oof.groupBy(*keys).agg(F.sum(F.col(y).cast("double")).alias("__n1"), F.count("*").alias("__n"))
     t = F.when(F.col(y) == 1, (F.col("__n1") + 1) / (F.col("__n1") + 2)).otherwise(
         1 / (F.col("__n") - F.col("__n1") + 2))
-    rows = (oof.join(n, keys) if keys else oof.crossJoin(n)).select(
+    rows = same_group(oof, n, keys).select(
         *keys, t.alias("__t"), F.array(F.col(s)).alias("__x"))
     p = fit(rows, keys, "__t", "__x", None, "logistic", 1.0, 0.0, large)
     return p.select(*keys, F.element_at("coef", 1).alias("slope"), F.col("intercept").alias("offset"))

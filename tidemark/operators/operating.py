@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import dims
 from tidemark.functions.scalars import Z80_POWER, Z95_FULL, clip, ratio, wilson
-from tidemark.operators.ordered import group_is_hot, midranks, neighbours, row_numbers
+from tidemark.operators.ordered import group_is_hot, midranks, neighbours, row_numbers, same_group
 from tidemark.operators.rankstats import negatives, positives, with_group
 from tidemark.session import stored
 
@@ -148,14 +148,14 @@ def interpolated_ranks(ref: DataFrame, held: DataFrame, keys: Sequence[str], raw
     keys = list(keys)
     a = row_numbers(ref.select(*keys, raw, "id"), keys, [raw, "id"], "__i", hot)
     b = row_numbers(ref.select(*keys, s, "id"), keys, [s, "id"], "__i", hot).drop("id")
-    table = a.join(b, [*keys, "__i"]).groupBy(*keys, raw).agg(F.min(s).alias("first"), F.max(s).alias("last"))
+    table = same_group(a, b, [*keys, "__i"]).groupBy(*keys, raw).agg(F.min(s).alias("first"), F.max(s).alias("last"))
     ends = table.groupBy(*keys).agg(F.min("first").alias("__min"), F.max("last").alias("__max"))
     rows = held.select(*keys, "id", raw).withColumn("__ref", F.lit(0)).unionByName(
         table.select(*keys, F.lit(None).cast(held.schema["id"].dataType).alias("id"), raw, F.lit(1).alias("__ref")))
     near = neighbours(rows, keys, raw, "__ref", hot).filter("__ref = 0")
     lo = table.select(*keys, F.col(raw).alias("lo"), F.col("last").alias("__slo"))
     hi = table.select(*keys, F.col(raw).alias("hi"), F.col("first").alias("__shi"))
-    j = near.join(lo, [*keys, "lo"], "left").join(hi, [*keys, "hi"], "left").join(ends, keys)
+    j = same_group(same_group(same_group(near, lo, [*keys, "lo"], "left"), hi, [*keys, "hi"], "left"), ends, keys)
     x = F.col(raw)
     blend = F.col("__slo") + (F.col("__shi") - F.col("__slo")) * (x - F.col("lo")) / (F.col("hi") - F.col("lo"))
     return j.select(*keys, "id", raw, F.when(F.col("lo").isNull(), F.col("__min"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import Z95_FULL, finite
-from tidemark.operators.ordered import medians, quantiles
+from tidemark.operators.ordered import medians, quantiles, same_group
 
 UNIT_LIMIT, UNIT_FACTOR, FLAT_SD = 1e-3, 1e-6, 1e-15
 
@@ -40,7 +40,7 @@ def amplitude_ratio(before: DataFrame, after: DataFrame, lo: float = 0.05, hi: f
     """Median |x| after over before per recording; outside [lo, hi] the job stops or flags."""
     def level(df, name):
         return medians(df.withColumn("__a", F.abs("x")), ["rec"], "__a", name, hot)
-    j = level(before, "before").join(level(after, "after"), "rec", "left")
+    j = same_group(level(before, "before"), level(after, "after"), ["rec"], "left")
     ratio = F.when(F.col("before") > 0, F.coalesce("after", F.lit(0.0)) / F.col("before"))
     j = j.withColumn("ratio", ratio)
     bad = (F.col("ratio") < lo) | (F.col("ratio") > hi)
@@ -54,7 +54,7 @@ def robust_scaled(samples: DataFrame, keys: Sequence[str], hot: bool | None = No
     """(x − median) / IQR with the given scope; an undefined result is 0."""
     q = quantiles(samples, keys, "x", {"__q1": 0.25, "__med": 0.5, "__q3": 0.75}, hot)
     iqr = F.col("__q3") - F.col("__q1")
-    out = samples.join(q, list(keys)).withColumn(
+    out = same_group(samples, q, list(keys)).withColumn(
         "scaled", F.coalesce(F.when(iqr != 0, finite((F.col("x") - F.col("__med")) / iqr)), F.lit(0.0)))
     return out.drop("__q1", "__med", "__q3")
 

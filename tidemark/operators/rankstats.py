@@ -189,7 +189,7 @@ def net_benefit(df: DataFrame, keys: Sequence[str], y: str, prob: str, threshold
     named = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__cell", "__p", "__q")
     cond = F.col("__cell") > F.col("__i")
     for k in keys:
-        cond = cond & (F.col(k) == F.col(f"__k_{k}"))
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     at = (axis.join(named, cond, "left")
           .groupBy(*keys, "threshold", "n_pos", "n_neg")
           .agg(F.coalesce(F.sum("__p"), F.lit(0)).alias("tp"),
@@ -240,7 +240,7 @@ def pool_leave_one_out(df: DataFrame, keys: Sequence[str], unit: str, diff: str,
                        name: str = "left_out") -> DataFrame:
     """The pool without each unit in turn, as total minus own; 'none' is the pool of all."""
     own = _pool_sums(df, [*keys, unit], diff, se)
-    units = df.select(*keys, unit).distinct().join(own, [*keys, unit], "left")
+    units = same_group(df.select(*keys, unit).distinct(), own, [*keys, unit], "left")
     total = own.groupBy(*keys).agg(*[F.sum(c).alias(f"t{c}") for c in POOL_SUMS])
     rest = with_group(units, total, keys).select(
         *keys, F.col(unit).cast("string").alias(name),

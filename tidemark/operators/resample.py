@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.draws import hash32
 from tidemark.functions.scalars import substitution_ratio
-from tidemark.operators.ordered import row_numbers
+from tidemark.operators.ordered import row_numbers, same_group
 
 
 def replicated(df: DataFrame, n: int, name: str = "replicate") -> DataFrame:
@@ -38,7 +38,7 @@ def arm_difference(aucs: DataFrame, keys: Sequence[str], a: str, b: str, value:
 def ratio_replicates(total: DataFrame, matched: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, replicate, rho) from two bootstrap AUC tables over overlapping samples."""
     m = matched.select(*keys, "replicate", F.col("auc").alias("__m"))
-    return total.join(m, [*keys, "replicate"]).select(
+    return same_group(total, m, [*keys, "replicate"]).select(
         *keys, "replicate", substitution_ratio(F.col("auc"), F.col("__m")).alias("rho"))
 
 
@@ -50,13 +50,13 @@ def permuted(df: DataFrame, keys: Sequence[str], sid: str, carry: Sequence[str],
     moved = replicated(df.select(*keys, sid, *carry), n, "perm").withColumn(
         "__h", hash32(seed, F.col("perm"), F.col(sid)))
     moved = row_numbers(moved, [*keys, "perm"], ["__h", sid], "__i", hot).drop("__h", sid)
-    return place.join(moved, [*keys, "perm", "__i"]).drop("__i")
+    return same_group(place, moved, [*keys, "perm", "__i"]).drop("__i")
 
 
 def permutation_p(null: DataFrame, observed: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One-sided p against the null with its floor 1/(n+1)."""
     obs = observed.select(*keys, F.col(value).alias("observed"))
-    j = null.join(obs, list(keys)) if keys else null.crossJoin(obs)
+    j = same_group(null, obs, list(keys))
     n = F.count(value)
     return j.groupBy(*keys, "observed").agg(
         n.alias("n_perm"), F.avg(value).alias("null_mean"), F.stddev_pop(value).alias("null_sd"),
@@ -73,7 +73,7 @@ def subsampled(df: DataFrame, keys: Sequence[str], sid: str, y: str, quota: Data
     keys = list(keys)
     rows = replicated(df, n_draws, "draw").withColumn("__h", hash32(seed, F.col("draw"), F.col(sid)))
     ranked = row_numbers(rows, [*keys, "draw", y], ["__h", sid], "__rn", hot)
-    return ranked.join(quota.select(*keys, y, "take"), [*keys, y]).filter(
+    return same_group(ranked, quota.select(*keys, y, "take"), [*keys, y]).filter(
         F.col("__rn") <= F.col("take")).drop("__rn", "__h", "take")
 
 

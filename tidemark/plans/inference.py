@@ -6,17 +6,21 @@ from pyspark.sql import functions as F
 from tidemark import dims
 from tidemark.functions.draws import hash32
 from tidemark.functions.scalars import Z95, normal_two_sided, rounded
+from tidemark.operators import batched as bt
 from tidemark.operators import bootstrap as bs
 from tidemark.operators import covariate as cv
+from tidemark.operators import folds as fd
 from tidemark.operators import matching as mt
 from tidemark.operators import models as ml
 from tidemark.operators import operating as op
 from tidemark.operators import rankstats as rs
 from tidemark.operators import resample as rp
-from tidemark.plans.modelling import (calibrated_transfer, design, doc_rows, long_age, oof_scores)
+from tidemark.operators.ordered import row_numbers, same_group
+from tidemark.plans.modelling import K, REPEATS, calibrated_transfer, design, doc_rows, long_age
 from tidemark.plans.ranks import DELONG_OUT, delong_out
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.sql import auc_cte, boot, delong_cte, h, r, two_sided, u
+from tidemark.session import stored
 from tidemark.tables import (CONTRAST, CUBE, SCORE, SUBJECT, contrast_rows, features_wide, score,
                              with_views)
 
@@ -123,13 +127,10 @@ def i09(spark, sf):
     """Features permuted against (label, covariate): the null keeps what the covariate knows."""
     t = Tables(spark, sf)
     hot = t.hot("documents", fanout=N_PERM)
-    rows = doc_rows(t).select("id", "y", F.col("b").alias("age"), "x").withColumn("perm", F.lit(-1))
-    null = rp.permuted(rows.drop("perm"), [], "id", ["y", "age"], N_PERM, "perm", hot)
-    every = rows.unionByName(null).withColumn("both", F.concat("x", F.array(F.col("age") / 5000)))
-    s = oof_scores(every.select("perm", "id", "y", "both"), ["perm"], "id", repeats=PERM_REPEATS, x="both", hot=hot, large=t.large("documents"))
-    a = rs.auc(s, ["perm"], "y", "s", name="auc_both", hot=hot).select("perm", "auc_both")
+    rows = doc_rows(t).select("id", "y", (F.col("b") / 5000).alias("age"), "x")
+    a = bt.permutation_aucs(rows, "id", "y", "x", N_PERM, "perm", "age", K, PERM_REPEATS, t.large("documents"), hot)
     base = rs.auc(rows.select("y", "age"), [], "y", "age", name="auc_age", hot=hot).select("auc_age")
-    m = a.crossJoin(base).withColumn("margin", F.col("auc_both") - F.col("auc_age"))
+    m = a.crossJoin(base).withColumn("margin", F.col("auc") - F.col("auc_age"))
     out = rp.permutation_p(m.filter("perm >= 0"), m.filter("perm < 0"), [], "margin")
     return out.select("n_perm", *[rounded(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_sd", "p_perm", "p_floor")])
 
@@ -137,15 +138,54 @@ def i09(spark, sf):
 @query("i10_permuted_label_null")
 def i10(spark, sf):
     t = Tables(spark, sf)
-    hot = t.hot("documents", fanout=N_PERM)
-    rows = doc_rows(t).select("id", "y", "x")
-    null = rp.permuted(rows, [], "id", ["y"], N_PERM, "labels", hot)
-    every = rows.withColumn("perm", F.lit(-1)).unionByName(null)
-    a = rs.auc(oof_scores(every, ["perm"], "id", repeats=PERM_REPEATS, hot=hot, large=t.large("documents")), ["perm"], "y", "s", hot=hot)
+    a = bt.permutation_aucs(doc_rows(t), "id", "y", "x", N_PERM, "labels", None, K, PERM_REPEATS, t.large("documents"), t.hot("documents", fanout=N_PERM))
     out = rp.permutation_p(a.filter("perm >= 0"), a.filter("perm < 0"), [], "auc")
     return out.select("n_perm", *[rounded(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_sd", "p_perm", "p_floor")])
 
 
+# ---- refitted margins -------------------------------------------------------------------------
+def margin_tests(scored, keys, pairs, hot):
+    """Paired tests of named score columns against each other: (keys, margin, delong columns). ``pairs`` is [(margin, a, b)]."""
+    arms = F.array(*[F.struct(F.lit(m).alias("margin"), F.col(a).cast("double").alias("sa"), F.col(b).cast("double").alias("sb")) for m, a, b in pairs])
+    rows = scored.select(*keys, "y", F.explode(arms).alias("p")).select(*keys, "y", "p.*")
+    return rs.delong(rows, [*keys, "margin"], "y", "sa", "sb", hot=hot)
+
+
+@query("i03_increment_margins")
+def i03(spark, sf):
+    """Features alone and with the covariate, both refitted out of fold, against the covariate; Holm within a condition; spread over repeats."""
+    t = Tables(spark, sf)
+    hot, g = t.hot("customer", fanout=10), ["cond", "contrast"]
+    rows = design(t)
+    s = stored(bt.cross_validated(rows, g, "subject", "y", {"eeg": "x", "both": "both"}, large=t.large("customer"), hot=hot), "margins")
+    s = same_group(s, rows.select(*g, "subject", "age"), [*g, "subject"])
+    d = rs.holm(margin_tests(s, g, [("sub", "eeg", "age"), ("inc", "both", "age")], hot), ["cond"], "p", ["contrast", "margin"], hot=False)
+    spread = bt.repeat_spread(s, g, "y", ["eeg", "both"], hot).select(
+        *g, F.when(F.col("arm") == "eeg", "sub").otherwise("inc").alias("margin"), "auc_sd")
+    out = d.join(spread, [*g, "margin"])
+    return out.select(*g, "margin", "n", rounded(F.col("auc_a")).alias("auc_score"), rounded(F.col("auc_b")).alias("auc_age"),
+                      *[rounded(F.col(c)).alias(c) for c in ("diff", "se", "ci_lo", "ci_hi")],
+                      *[rounded(F.col(c), 5).alias(c) for c in ("z", "p", "p_holm")], rounded(F.col("auc_sd")).alias("repeat_sd"))
+
+
+FOLDED = f"""fld AS (SELECT contrast, subject, y, repeat, (row_number() OVER (PARTITION BY contrast, repeat, y ORDER BY {h('repeat', 'subject')}, subject) - 1) % {K} AS fold
+  FROM contr CROSS JOIN (SELECT CAST(unnest(range(0, {REPEATS})) AS INT) AS repeat))"""
+
+
+@query("i03_optimality", with_views(SUBJECT, CONTRAST, CUBE, FOLDED) + f"""
+SELECT cond, contrast, repeat, CAST(mfold AS INT) AS mfold, count(*) AS n_train, true AS at_optimum FROM fld CROSS JOIN (SELECT DISTINCT cond FROM fwide)
+CROSS JOIN (SELECT unnest(range(0, {K})) AS mfold) WHERE fold <> mfold GROUP BY 1, 2, 3, 4""")
+def i03_optimality(spark, sf):
+    """The gradient of every fold's penalised likelihood, recomputed from the rows, vanishes at the batched fit."""
+    t = Tables(spark, sf)
+    g = ["cond", "contrast"]
+    rows = stored(design(t).select(*g, "subject", "y", "both"), "design")
+    params = stored(bt.fold_models(rows, g, "subject", "y", "both", K, REPEATS), "models")
+    folded = fd.stratified(rows, g, "subject", "y", K, REPEATS, t.hot("customer", fanout=5 * REPEATS))
+    train = ml.scored(folded.join(params.select(*g, "repeat", "mfold"), [*g, "repeat"]).filter("fold <> mfold"), params, [*g, "repeat", "mfold"], "both", "d")
+    return ml.optimum(train, params, [*g, "repeat", "mfold"], "y", "both", "d").select(*g, "repeat", "mfold", F.col("n").alias("n_train"), "at_optimum")
+
+
 POOLED = """pl AS (SELECT {g} count(*) AS k, sum(diff / (se * se)) / sum(1 / (se * se)) AS est, sqrt(1 / sum(1 / (se * se))) AS pse,
   sum(diff * diff / (se * se)) - pow(sum(diff / (se * se)), 2) / sum(1 / (se * se)) AS q FROM {src} WHERE se > 0 AND diff IS NOT NULL GROUP BY ALL)"""
 
@@ -361,31 +401,64 @@ def mt03_draws(spark, sf):
         F.sum(rs.positives("y")).alias("n_pos"), F.sum(rs.negatives("y")).alias("n_neg"), F.sum("id").alias("id_sum"))
 
 
+SIZES = (40, 100, 200)
+
+
 def curve_draws(t: Tables):
     """Balanced subsamples over sizes and draws, keyed by both."""
+    return _nested_draws(t).select("*", F.explode(F.filter(F.array(*[F.when(F.col(f"in_{s}"), F.lit(s)) for s in SIZES]), lambda s: s.isNotNull())).alias("size"))
+
+
+def _nested_draws(t: Tables):
+    """(draw, id, y, …, in_<size>): one hash order for each draw and class, of which every size takes a prefix; rows in no size are left out."""
     rows = doc_rows(t)
     counts = rows.agg(F.sum(rs.positives("y")).alias("n_pos"), F.sum(rs.negatives("y")).alias("n_neg"))
-    sizes = dims.table(t.spark, [(40,), (100,), (200,)], "size")
-    quota = rp.balanced_quota(counts, sizes, [], "y")
-    keyed = rows.crossJoin(F.broadcast(sizes))
-    return rp.subsampled(keyed, ["size"], "id", "y", quota, CURVE_DRAWS, "curve", t.hot("documents", fanout=3 * CURVE_DRAWS))
+    quota = rp.balanced_quota(counts, dims.table(t.spark, [(s,) for s in SIZES], "size"), [], "y")
+    takes = quota.groupBy("y").agg(*[F.max(F.when(F.col("size") == s, F.col("take"))).alias(f"take_{s}") for s in SIZES])
+    drawn = rp.replicated(rows.select("id", "y"), CURVE_DRAWS, "draw").withColumn("__h", hash32("curve", F.col("draw"), F.col("id")))
+    ranked = row_numbers(drawn, ["draw", "y"], ["__h", "id"], "__rn", t.hot("documents", fanout=CURVE_DRAWS))
+    marked = ranked.join(F.broadcast(takes), "y").select("draw", "id", *[(F.col("__rn") <= F.col(f"take_{s}")).alias(f"in_{s}") for s in SIZES])
+    return marked.filter(" OR ".join(f"in_{s}" for s in SIZES)).join(rows, "id")
 
 
 @query("mt03_complexity_curve")
 def mt03(spark, sf):
-    """Size × draw × estimator: refit under the same folds, then summarise over draws."""
+    """Size × estimator over draws: features, covariate and both refitted in the same folds; sizes at or above the cohort leave it to the whole one."""
     t = Tables(spark, sf)
-    hot = t.hot("documents", fanout=6 * CURVE_DRAWS)
-    est = F.create_map(F.lit("full"), F.col("x"), F.lit("one"), F.slice("x", 1, 1))
-    rows = curve_draws(t).select("size", "draw", "id", "y", F.explode(est).alias("estimator", "x"))
-    keys = ["size", "estimator", "draw"]
-    s = oof_scores(rows, keys, "id", repeats=CURVE_REPEATS, hot=hot, large=t.large("documents"))
-    a = rs.auc(s, keys, "y", "s", hot=hot)
-    smaller = a.groupBy("size", "estimator").agg(F.min(F.least("n_pos", "n_neg")).alias("smaller"))
-    out = op.draw_summary(a, ["size", "estimator"], "auc").join(smaller, ["size", "estimator"])
-    k = F.when(F.col("estimator") == "full", 3).otherwise(1)
-    return out.select("size", "estimator", "n_draws", rounded(F.col("mean")).alias("mean"), rounded(F.col("sd")).alias("sd"),
-                      rounded(F.col("share_below_half")).alias("share_below_half"), rounded(F.col("smaller") / k).alias("epv"))
+    hot = t.hot("documents", fanout=8 * CURVE_DRAWS)
+    n_all = t.documents.join(t.labels, "doc_id").count()
+    sizes = [s for s in SIZES if s < n_all]
+    base = doc_rows(t).withColumn("draw", F.lit(-1)).withColumns({f"in_{s}": F.lit(False) for s in SIZES}).withColumn("in_all", F.lit(True))
+    rows = _nested_draws(t).withColumn("in_all", F.lit(False)).unionByName(base)
+    rows = rows.select("draw", "id", "y", F.col("b").alias("age"), *[f"in_{s}" for s in (*sizes, "all")], F.array(F.col("a") / 1000, F.col("c") / 50).alias("full"),
+                       F.col("x").alias("full_both"), F.array(F.col("a") / 1000).alias("one"), F.array(F.col("a") / 1000, F.col("b") / 5000).alias("one_both"))
+    subsets = [f"in_{s}" for s in (*sizes, "all")]
+    s = stored(bt.cross_validated(rows, ["draw"], "id", "y", {a: a for a in ("full", "full_both", "one", "one_both")}, subsets, K, CURVE_REPEATS,
+                                  t.large("documents"), hot), "curve")
+    s = s.join(rows.select("draw", "id", "age", *subsets), ["draw", "id"])
+    cells = F.array(*[F.struct(F.lit(x).alias("size"), F.lit(e).alias("estimator"), F.when(F.col(f"in_{x}"), F.col(f"in_{x}_{e}")).alias("eeg"),
+                               F.when(F.col(f"in_{x}"), F.col(f"in_{x}_{e}_both")).alias("both"), F.when(F.col(f"in_{x}"), F.col("age")).alias("age"))
+                      for x in (*map(str, sizes), "all") for e in ("full", "one")])
+    cells = s.select("draw", "y", F.explode(cells).alias("c")).select("draw", "y", "c.*").filter("age IS NOT NULL")
+    g = ["size", "estimator", "draw"]
+    a = bt.arm_aucs(cells, g, "y", ["eeg", "both", "age"], hot)
+    pick = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("auc")))
+    per = cells.groupBy(*g).agg(F.count("*").alias("n"), F.least(F.sum(rs.positives("y")), F.sum(rs.negatives("y"))).alias("smaller")).join(
+        a.groupBy(*g).agg(pick("age").alias("auc_age"), pick("eeg").alias("auc_eeg"), pick("both").alias("auc_both")), g)
+    # A draw with a class smaller than the number of folds is counted, not scored.
+    ok = F.col("smaller") >= K
+    used = per.withColumns({"ok": ok, **{c: F.when(ok, F.col(c)) for c in ("auc_age", "auc_eeg", "auc_both")}})
+    used = used.withColumns({"sub": F.col("auc_eeg") - F.col("auc_age"), "inc": F.col("auc_both") - F.col("auc_age")})
+    values = ("auc_age", "auc_eeg", "auc_both", "sub", "inc")
+    out = used.groupBy("size", "estimator").agg(
+        F.max("n").alias("n"), F.max("smaller").alias("n_smaller_class"), F.count_if("ok").alias("n_draws"), F.count_if(~F.col("ok")).alias("n_skipped"),
+        *[f(c).alias(f"{c}_{e}") for c in values for e, f in (("mean", F.avg), ("sd", F.stddev_pop), ("p10", lambda v: F.percentile(v, F.lit(0.1))),
+                                                             ("p90", lambda v: F.percentile(v, F.lit(0.9))))],
+        F.avg((F.col("auc_eeg") < 0.5).cast("double")).alias("share_below_half"), F.avg((F.col("inc") > 0).cast("double")).alias("share_positive"))
+    k = F.when(F.col("estimator") == "full", 2).otherwise(1)
+    epv = F.col("n_smaller_class") / k
+    return out.withColumns({"epv": rounded(epv), "powered": epv >= 10, **{c: rounded(F.col(c)) for c in out.columns if c.split("_")[-1] in ("mean", "sd", "p10", "p90")},
+                            "share_below_half": rounded(F.col("share_below_half")), "share_positive": rounded(F.col("share_positive"))})
 
 
 ARMS = """arm AS (SELECT 'all' AS arm, * FROM score UNION ALL SELECT 'clean', * FROM score WHERE y = 1 OR quality = 1
@@ -418,7 +491,6 @@ def mt05_split(spark, sf):
 
 def anchor_split(t: Tables):
     """(draw, cohort, k, subject, anchor): k controls calibrate, the rest measure."""
-    from tidemark.operators.ordered import row_numbers
     from tidemark.tables import subject
     ctrl = subject(t).filter("label = 'CN' AND age IS NOT NULL").select("cohort", "subject")
     rows = rp.replicated(ctrl, ANCHOR_DRAWS, "draw").withColumn("__h", hash32("anchor", F.col("draw"), F.col("subject")))
@@ -445,20 +517,47 @@ def mt05(spark, sf):
     return per.groupBy("cohort", "k").agg(rounded(F.avg("spec")).alias("specificity"), rounded(F.stddev_pop("spec")).alias("specificity_sd"))
 
 
+REPEATED = """firsts AS (SELECT min(doc_id) AS id FROM documents JOIN labels USING (doc_id) GROUP BY md5(text))"""
+
+
+@query("mt06_repeats", with_views(SCORE, REPEATED) + """
+SELECT y, count(*) AS n, count(*) FILTER (id NOT IN (SELECT id FROM firsts)) AS n_repeats, CAST(sum(id) FILTER (id IN (SELECT id FROM firsts)) AS BIGINT) AS kept_ids FROM score GROUP BY y""")
+def mt06_repeats(spark, sf):
+    """Rows whose text occurs under a lower id."""
+    rows = repeat_flags(Tables(spark, sf))
+    return rows.groupBy("y").agg(F.count("*").alias("n"), F.count_if(~F.col("dedup")).alias("n_repeats"), F.sum(F.when(F.col("dedup"), F.col("id"))).alias("kept_ids"))
+
+
+def repeat_flags(t: Tables):
+    """Rows with ``dedup``: true for the least id of each text."""
+    first = t.documents.join(t.labels.select("doc_id"), "doc_id").groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("doc_id").alias("id"))
+    return doc_rows(t).join(first.select("id", F.lit(True).alias("first")), "id", "left").withColumn("dedup", F.coalesce("first", F.lit(False))).drop("first")
+
+
 @query("mt06_dedup_sensitivity")
 def mt06(spark, sf):
-    """All rows, repeats removed, and as many removed at random: each refitted and compared."""
+    """All rows, repeats removed, and as many removed at random, five times: each refitted, with its increment over the covariate."""
     t = Tables(spark, sf)
-    hot = t.hot("documents", fanout=2 + REMOVALS)
-    rows = doc_rows(t)
-    first = t.documents.groupBy("n_chars", "lang").agg(F.min("doc_id").alias("id"))
-    keep = rows.join(first.select("id"), "id", "left_semi")
-    n_keep = keep.groupBy("y").agg(F.count("*").alias("take"))
-    rand = rp.subsampled(rows, [], "id", "y", n_keep, REMOVALS, "dedup", hot).withColumn("arm", F.concat(F.lit("random"), F.col("draw"))).drop("draw")
-    arms = rows.withColumn("arm", F.lit("all")).unionByName(keep.withColumn("arm", F.lit("dedup"))).unionByName(rand)
-    s = oof_scores(arms.select("arm", "id", "y", "x"), ["arm"], "id", hot=hot, large=t.large("documents"))
-    a = rs.auc(s, ["arm"], "y", "s", hot=hot)
-    return a.select("arm", rounded(F.col("auc")).alias("auc"), "n_pos", "n_neg")
+    hot = t.hot("documents", fanout=4 * (2 + REMOVALS))
+    rows = stored(repeat_flags(t), "flagged")
+    take = rows.filter("dedup").groupBy("y").agg(F.count("*").alias("take"))
+    drawn = rp.subsampled(rows.select("id", "y"), [], "id", "y", take, REMOVALS, "dedup", hot).groupBy("id").agg(F.collect_set("draw").alias("draws"))
+    random = [f"random{r}" for r in range(REMOVALS)]
+    rows = rows.join(drawn, "id", "left").withColumns(
+        {"all": F.lit(True), **{n: F.coalesce(F.array_contains("draws", r), F.lit(False)) for r, n in enumerate(random)}})
+    rows = rows.withColumns({"eeg": F.array(F.col("a") / 1000, F.col("c") / 50), "both": F.col("x")})
+    subsets = ["all", "dedup", *random]
+    s = bt.cross_validated(rows, [], "id", "y", {"eeg": "eeg", "both": "both"}, subsets, large=t.large("documents"), hot=hot)
+    s = stored(s.join(rows.select("id", F.col("b").alias("age"), *subsets), "id"), "sensitivity")
+    each = F.array(*[F.struct(F.lit(n).alias("arm"), F.col(f"{n}_eeg").alias("eeg"), F.col(f"{n}_both").alias("both"), F.when(F.col(n), F.col("age")).alias("age")) for n in subsets])
+    long = s.select("y", F.explode(each).alias("e")).select("y", "e.*").filter("age IS NOT NULL")
+    d = margin_tests(long, ["arm"], [("inc", "both", "age"), ("sub", "eeg", "age")], hot).withColumn("random", F.col("arm").startswith("random"))
+    # The five random removals are reported by their mean.
+    name = F.when(F.col("random"), "random").otherwise(F.col("arm"))
+    one = lambda c: F.when(~F.first("random"), F.first(c))
+    out = d.groupBy(name.alias("arm"), "margin").agg(
+        F.count("*").alias("n_fits"), F.first("n").alias("n"), *[F.avg(c).alias(c) for c in ("auc_a", "auc_b", "diff")], one("ci_lo").alias("ci_lo"), one("ci_hi").alias("ci_hi"))
+    return out.select("arm", "margin", "n_fits", "n", *[rounded(F.col(c)).alias(c) for c in ("auc_a", "auc_b", "diff", "ci_lo", "ci_hi")])
 
 
 @query("mt07_subset_of_scores", with_views(SCORE, "held AS (SELECT * FROM score WHERE id IN (SELECT user_id FROM events WHERE event_type = 'signup'))",
@@ -475,58 +574,115 @@ def mt07(spark, sf):
 
 @query("mt08_transfer_increment")
 def mt08(spark, sf):
-    """Per target cohort: calibrated features plus covariate against the transported covariate."""
+    """Per target cohort: calibrated features, alone and with the covariate, against the transported covariate; pooled, and pooled without each target."""
     t = Tables(spark, sf)
     hot = t.hot("documents", fanout=3)
     arms = F.create_map(F.lit("eeg"), F.slice("x", 1, 2), F.lit("age"), F.slice("x", 3, 1), F.lit("both"), F.col("x"))
     rows = doc_rows(t).withColumn("is_source", F.col("cohort") == "en").select("is_source", "cohort", "id", "y", F.explode(arms).alias("arm", "v"))
-    p = calibrated_transfer(t, rows, ["arm"], "v", hot)
+    p = stored(calibrated_transfer(t, rows, ["arm"], "v", hot), "transferred")
     point = rs.read_at(p, ["cohort", "arm"], "y", "p")
-    wide = p.groupBy("cohort", "id", "y").agg(*[F.max(F.when(F.col("arm") == a, F.col("p"))).alias(a) for a in ("both", "age")])
-    inc = rs.delong(wide, ["cohort"], "y", "both", "age", hot=hot).select("cohort", "n", "diff", "se", "p")
-    both = point.filter("arm = 'both'").select("cohort", "sensitivity", "specificity")
-    return inc.join(both, "cohort").select("cohort", "n", *[rounded(F.col(c)).alias(c) for c in ("diff", "se", "p", "sensitivity", "specificity")])
+    wide = p.groupBy("cohort", "id", "y").agg(*[F.max(F.when(F.col("arm") == a, F.col("p"))).alias(a) for a in ("both", "age", "eeg")])
+    d = stored(margin_tests(wide, ["cohort"], [("inc", "both", "age"), ("sub", "eeg", "age")], hot), "margins")
+    arm_of = F.when(F.col("margin") == "inc", "both").otherwise("eeg")
+    each = d.withColumn("arm", arm_of).join(point.select("cohort", "arm", "sensitivity", "specificity"), ["cohort", "arm"])
+    each = each.select("margin", F.col("cohort").alias("target"), F.lit(None).cast("string").alias("left_out"), "n", F.col("auc_a").alias("auc"), "diff", "se", "p",
+                       "sensitivity", "specificity", F.lit(None).cast("double").alias("q"))
+    pools = rs.pool_leave_one_out(d, ["margin"], "cohort", "diff", "se")
+    none = F.lit(None).cast("double")
+    pooled = pools.select("margin", F.lit("pool").alias("target"), "left_out", F.col("k").alias("n"), none.alias("auc"), "diff", "se", "p",
+                          none.alias("sensitivity"), none.alias("specificity"), "q")
+    out = each.unionByName(pooled)
+    return out.select("margin", "target", "left_out", "n", *[rounded(F.col(c)).alias(c) for c in ("auc", "diff", "se", "p", "sensitivity", "specificity", "q")])
+
+
+def cohort_scores(t: Tables, hot):
+    """Within every cohort: the covariate, and two estimators with and without it, refitted in the same folds."""
+    rows = design(t).select("cohort", "cond", "contrast", "subject", "y", "age", F.array(F.col("age") / 25).alias("v_age"), F.col("x").alias("v_full"),
+                            F.col("both").alias("v_full_both"), F.slice("x", 1, 3).alias("v_three"), F.concat(F.slice("x", 1, 3), F.array(F.col("age") / 25)).alias("v_three_both"))
+    arms = ("age_cv", "full", "full_both", "three", "three_both")
+    named = {a: "v_age" if a == "age_cv" else f"v_{a}" for a in arms}
+    g = ["cohort", "cond", "contrast"]
+    s = bt.cross_validated(rows, g, "subject", "y", named, large=t.large("customer"), hot=hot)
+    return same_group(s, rows.select(*g, "subject", "age"), [*g, "subject"])
 
 
 @query("mt09_within_increment")
 def mt09(spark, sf):
-    """Covariate refitted under the same cross-validation as the features, per condition."""
+    """Per cohort, condition, contrast and estimator: the covariate refitted under the same cross-validation as the features."""
     t = Tables(spark, sf)
-    hot = t.hot("customer", fanout=9)
-    arms = F.create_map(F.lit("x"), F.col("x"), F.lit("both"), F.col("both"), F.lit("age"), F.array(F.col("age") / 25))
-    rows = design(t).filter("contrast = 'dementia'").select("cond", "subject", "y", F.explode(arms).alias("arm", "v"))
-    s = oof_scores(rows, ["cond", "arm"], "subject", x="v", hot=hot, large=t.large("customer"))
-    wide = s.groupBy("cond", "subject", "y").agg(*[F.max(F.when(F.col("arm") == a, F.col("s"))).alias(a) for a in ("both", "age")])
-    d = rs.delong(wide, ["cond"], "y", "both", "age", hot=hot)
-    return delong_out(d, "cond")
+    hot, g = t.hot("customer", fanout=20), ["cohort", "cond", "contrast"]
+    s = stored(cohort_scores(t, hot), "within")
+    d = margin_tests(s, g, [(e, f"{e}_both", "age_cv") for e in ("full", "three")], hot).withColumnRenamed("margin", "estimator")
+    a = bt.arm_aucs(s, g, "y", ["age", "full", "three"], hot)
+    pick = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("auc")))
+    wide = a.groupBy(*g).agg(pick("age").alias("auc_age_raw"), pick("full").alias("__full"), pick("three").alias("__three"), F.max("n_pos").alias("n_case"), F.max("n_neg").alias("n_control"))
+    out = same_group(d, wide, g).withColumn("auc_eeg", F.when(F.col("estimator") == "full", F.col("__full")).otherwise(F.col("__three")))
+    return out.select(*g, "estimator", "n", "n_case", "n_control", rounded(F.col("auc_b")).alias("auc_age_cv"), rounded(F.col("auc_a")).alias("auc_both"),
+                      *[rounded(F.col(c)).alias(c) for c in ("auc_age_raw", "auc_eeg", "diff", "se", "ci_lo", "ci_hi")], rounded(F.col("p"), 5).alias("p"))
+
+
+@query("mt09_coverage", with_views(SUBJECT, CONTRAST, CUBE) + f"""
+SELECT cohort, cond, contrast, arm, count(*) AS n_scored, CAST(sum(subject) AS BIGINT) AS id_sum FROM contr CROSS JOIN (SELECT DISTINCT cond FROM fwide)
+CROSS JOIN (SELECT unnest(['age_cv', 'full', 'full_both', 'three', 'three_both']) AS arm) GROUP BY 1, 2, 3, 4""")
+def mt09_coverage(spark, sf):
+    """Every subject of a cohort is scored once in every arm."""
+    t = Tables(spark, sf)
+    s = rs.long_scores(cohort_scores(t, t.hot("customer", fanout=20)), ["cohort", "cond", "contrast", "subject"], "y", ["age_cv", "full", "full_both", "three", "three_both"])
+    return s.filter("s IS NOT NULL").groupBy("cohort", "cond", "contrast", "arm").agg(F.count("*").alias("n_scored"), F.sum("subject").alias("id_sum"))
+
+
+def differential_scores(t: Tables, hot):
+    """One diagnosis against another, no controls, within every cohort."""
+    from tidemark.plans.modelling import usable_long
+    from tidemark.tables import subject
+    y = subject(t).filter("label IN ('AD', 'FTD')").select("subject", "cohort", (F.col("label") == "FTD").cast("int").alias("y"))
+    rows = ml.feature_array(usable_long(t), ["cond", "subject"]).join(y, "subject")
+    return bt.cross_validated(rows, ["cond", "cohort"], "subject", "y", {"s": "x"}, large=t.large("customer"), hot=hot)
 
 
 @query("mt10_differential")
 def mt10(spark, sf):
-    """One diagnosis against another, no controls: the contrast is a key like any other."""
+    """AUC of the differential score per condition and cohort, and its mean over cohorts."""
     t = Tables(spark, sf)
     hot = t.hot("customer", fanout=5)
-    from tidemark.plans.modelling import usable_long
-    from tidemark.tables import subject
-    y = subject(t).filter("label IN ('AD', 'FTD')").select("subject", (F.col("label") == "FTD").cast("int").alias("y"))
-    rows = ml.feature_array(usable_long(t), ["cond", "subject"]).join(y, "subject")
-    a = rs.auc(oof_scores(rows, ["cond"], "subject", hot=hot, large=t.large("customer")), ["cond"], "y", "s", hot=hot)
-    return a.withColumn("auc", rounded(F.col("auc")))
+    a = stored(rs.auc(differential_scores(t, hot), ["cond", "cohort"], "y", "s", hot=hot), "differential")
+    mean = a.groupBy("cond").agg(F.lit("mean").alias("cohort"), F.avg("auc").alias("auc"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    return a.unionByName(mean).withColumn("auc", rounded(F.col("auc")))
+
+
+@query("mt10_pair_family")
+def mt10_pairs(spark, sf):
+    """Conditions compared on the same subjects, pooled over cohorts, Holm-adjusted in the family of pairs."""
+    t = Tables(spark, sf)
+    hot = t.hot("customer", fanout=5)
+    wide = differential_scores(t, hot).groupBy("cohort", "subject", "y").agg(F.map_from_entries(F.collect_list(F.struct("cond", "s"))).alias("m"))
+    at = lambda c: F.try_element_at("m", F.lit(c))
+    pairs = F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), at(a).alias("sa"), at(b).alias("sb")) for a, b in CONDITION_PAIRS])
+    rows = wide.select(F.lit("differential").alias("task"), "cohort", "y", F.explode(pairs).alias("p")).select("task", "cohort", "y", "p.*")
+    return pair_family(rows, ["task"], hot)
+
+
+# Fault strengths: features rounded to 1/step.
+FAULTS = {"coarse": 4.0, "severe": 1.0}
 
 
 @query("mt11_stress_table")
 def mt11(spark, sf):
-    """Faults × training regime: fitted on the fault itself or on clean data, paired with clean."""
+    """Faults × training regime: fitted on the fault itself (device) or on clean data (clinic); scores and increments over the covariate, paired with clean."""
     t = Tables(spark, sf)
-    hot = t.hot("documents", fanout=6)
-    # Fault strength is a rounding step on the features; 0 is clean.
-    faults = dims.table(t.spark, [("clean", 0.0), ("coarse", 4.0), ("severe", 1.0)], "cond, step")
-    rows = doc_rows(t).crossJoin(F.broadcast(faults)).withColumn("v", F.when(F.col("step") == 0, F.col("x")).otherwise(
-        F.transform("x", lambda q: F.rint(q * F.col("step")) / F.col("step"))))
-    regime = F.create_map(F.lit("device"), F.col("v"), F.lit("clinic"), F.col("x"))
-    rows = rows.select("cond", "id", "y", "v", F.explode(regime).alias("regime", "fit_x"))
-    oof = ml.out_of_fold(rows, ["cond", "regime"], "id", "y", "fit_x", 5, 2, score_x="v", hot=hot, large=t.large("documents"))
-    s = ml.rank_mean(oof, ["cond", "regime"], "id", "y", hot)
-    clean = s.filter("cond = 'clean' AND regime = 'device'").select("id", F.col("s").alias("s_clean"))
-    d = rs.delong(s.join(clean, "id"), ["cond", "regime"], "y", "s", "s_clean", hot=hot)
-    return d.select("cond", "regime", "n", *[rounded(F.col(c)).alias(c) for c in ("auc_a", "diff", "se")])
+    hot = t.hot("documents", fanout=8)
+    features = [F.col("a") / 1000, F.col("c") / 50]
+    design_of = {"clean": F.array(*features), **{f: F.array(*[F.rint(q * step) / step for q in features]) for f, step in FAULTS.items()}}
+    age = F.array(F.col("b") / 5000)
+    rows = doc_rows(t).select("id", "y", F.col("b").alias("age"), *[v.alias(f"v_{n}") for n, v in design_of.items()],
+                              *[F.concat(v, age).alias(f"b_{n}") for n, v in design_of.items()])
+    arms = {"clean_device": "v_clean", "clean_device_both": "b_clean"}
+    for f in FAULTS:
+        arms |= {f"{f}_device": f"v_{f}", f"{f}_device_both": f"b_{f}", f"{f}_clinic": ("v_clean", f"v_{f}"), f"{f}_clinic_both": ("b_clean", f"b_{f}")}
+    s = bt.cross_validated(rows, [], "id", "y", arms, large=t.large("documents"), hot=hot).join(rows.select("id", "age"), "id")
+    cases = ["clean_device", *[f"{f}_{r}" for f in FAULTS for r in ("device", "clinic")]]
+    tests = [(f"{c}:{m}", *p) for c in cases for m, p in (("inc", (f"{c}_both", "age")), ("score_to_clean", (c, "clean_device")), ("both_to_clean", (f"{c}_both", "clean_device_both")))]
+    d = margin_tests(stored(s, "stress"), [], tests, hot)
+    case, test = F.split("margin", ":")[0], F.split("margin", ":")[1]
+    d = d.select(F.split(case, "_")[0].alias("cond"), F.split(case, "_")[1].alias("regime"), test.alias("test"), "n", "auc_a", "diff", "se", "ci_lo", "ci_hi", "p")
+    return d.select("cond", "regime", "test", "n", *[rounded(F.col(c)).alias(c) for c in ("auc_a", "diff", "se", "ci_lo", "ci_hi")], rounded(F.col("p"), 5).alias("p"))

@@ -11,6 +11,7 @@ from tidemark.operators import models as ml
 from tidemark.operators import rankstats as rs
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.sql import auc_cte, h, r
+from tidemark.session import stored
 from tidemark.tables import (CONTRAST, CUBE, SCORE, SUBJECT, contrast_rows, cube, score, with_views)
 
 K, REPEATS, RIDGE_REPEATS = 5, 5, 10
@@ -320,8 +321,8 @@ def calibrated_transfer(t: Tables, rows, keys, x, hot):
     """
     src, tgt = rows.filter("is_source"), rows.filter("NOT is_source")
     large = t.large("documents")
-    oof = ml.out_of_fold(src, keys, "id", "y", x, K, 1, hot=hot, large=large)
-    cal = ml.calibrated(oof, keys, "y", "s", large)
+    oof = stored(ml.out_of_fold(src, keys, "id", "y", x, K, 1, hot=hot, large=large), "oof")
+    cal = stored(ml.calibrated(oof, keys, "y", "s", large), "calibration")
     prob = ml.sigmoid(F.col("slope") * F.col("s") + F.col("offset"))
     thr = rs.control_threshold(oof.join(cal, keys).withColumn("p", prob), keys, "y", "p", hot=hot)
     s = ml.scored(tgt, ml.fit(src, keys, "y", x, large=large), keys, x)

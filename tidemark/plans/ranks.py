@@ -82,7 +82,7 @@ def margin_rows(t: Tables):
         "tot", 0.5 * F.col("s") + 0.01 * F.col("age"))
 
 
-@query("i03_increment_margins", with_views(
+@query("i03_registered_margins", with_views(
     SUBJECT, CONTRAST, CUBE, MARGIN_SRC, delong_cte("sub", "msrc", "cond, contrast", "y", "s", "age"),
     delong_cte("inc", "msrc", "cond, contrast", "y", "tot", "age"),
     f"""tests AS (SELECT 'sub' AS margin, *, {p_of()} AS p FROM sub
@@ -93,7 +93,8 @@ def margin_rows(t: Tables):
 SELECT cond, contrast, margin, n, {r('auc_a')} AS auc_score, {r('auc_b')} AS auc_age, {r('diff')} AS diff,
   {r('se')} AS se, {r('z', 5)} AS z, {r('p', 5)} AS p,
   {r('least(1.0e0, max(mult * p) OVER (PARTITION BY cond ORDER BY k))', 5)} AS p_holm FROM ranked""")
-def i03(spark, sf):
+def i03_registered(spark, sf):
+    """Margins of scores that are registered once, with no fit: exact."""
     t = Tables(spark, sf)
     rows = margin_rows(t)
     arms = rows.select("cond", "contrast", "y", "age", F.explode(F.create_map(
