@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import neighbours
+from tidemark.operators.ordered import neighbours, same_group
 
 
 def nearest_site(targets: DataFrame, grid: DataFrame, coords: Sequence[str],
@@ -48,12 +48,13 @@ def pinned(windows: DataFrame, offsets: DataFrame, rec: str, start: str, length:
     return windows.join(ok.select(rec, start), [rec, start])
 
 
-def complete_cases(df: DataFrame, subject: str, arm: str, arms: DataFrame) -> DataFrame:
-    """Rows of subjects present in every arm."""
+def complete_cases(df: DataFrame, subject: str | Sequence[str], arm: str, arms: DataFrame) -> DataFrame:
+    """Rows of subjects present in every arm; a subject may be named by several columns."""
+    subject = [subject] if isinstance(subject, str) else list(subject)
     n_arms = arms.select(arm).distinct().agg(F.count("*").alias("__n"))
-    full = (df.select(subject, arm).distinct().groupBy(subject).agg(F.count("*").alias("__k"))
-            .crossJoin(F.broadcast(n_arms)).filter("__k = __n").select(subject))
-    return df.join(full, subject, "left_semi")
+    full = (df.select(*subject, arm).distinct().groupBy(*subject).agg(F.count("*").alias("__k"))
+            .crossJoin(F.broadcast(n_arms)).filter("__k = __n").select(*subject))
+    return same_group(df, full, subject)
 
 
 def parity(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str,
@@ -79,13 +80,13 @@ def verified(recorded: DataFrame, current: DataFrame, name: str = "name") -> Dat
                         .when(F.col("stated") == F.col("current"), "match").otherwise("drifted"))
 
 
-def pair_counts(rows: DataFrame, subject: str, arm: str, pairs: DataFrame) -> DataFrame:
+def pair_counts(rows: DataFrame, subject: str, arm: str, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Subjects present in both arms of every declared pair.
 
     A row is sent to the pairs its arm belongs to and counted there, so arms are not joined to
-    each other. ``pairs`` has (a, b); ``rows`` holds a subject at most once per arm.
+    each other. ``pairs`` has (a, b); ``rows`` holds a subject at most once per arm and ``keys``.
     """
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias(arm))
-    hit = rows.select(subject, arm).join(F.broadcast(sides), arm).groupBy("a", "b", subject).agg(
+    hit = rows.select(*keys, subject, arm).join(F.broadcast(sides), arm).groupBy("a", "b", *keys, subject).agg(
         F.count("*").alias("__k"))
-    return hit.filter("__k = 2").groupBy("a", "b").agg(F.count("*").alias("n_pairs"))
+    return hit.filter("__k = 2").groupBy("a", "b", *keys).agg(F.count("*").alias("n_pairs"))

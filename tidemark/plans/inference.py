@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark import dims
 from tidemark.functions.draws import hash32
-from tidemark.functions.scalars import Z95, normal_two_sided, rounded
+from tidemark.functions.scalars import Z95, normal_two_sided, rounded, substitution_ratio
 from tidemark.operators import batched as bt
 from tidemark.operators import bootstrap as bs
 from tidemark.operators import covariate as cv
@@ -325,14 +325,15 @@ def mt01_ties(spark, sf):
     return mt.caliper_match(d, ["source"], "doc_id", "y", "v", 0.0, hot=t.hot("documents")).select("source", "case_id", "control_id")
 
 
-MROWS = """mr AS (SELECT k.contrast, k.subject, k.y, k.age, f.f_total FROM contr k JOIN fwide f ON f.subject = k.subject AND f.cond = '1-URGENT'),
- ml AS (SELECT contrast, 'age' AS arm, subject, y, age AS s FROM mr UNION ALL SELECT contrast, 'f_total', subject, y, f_total FROM mr),
+MROWS = """mr AS (SELECT f.cond, k.contrast, k.subject, k.y, k.age, f.f_total FROM contr k JOIN fwide f ON f.subject = k.subject),
+ ml AS (SELECT cond, contrast, 'age' AS arm, subject, y, age AS s FROM mr UNION ALL SELECT cond, contrast, 'f_total', subject, y, f_total FROM mr),
  mk AS (SELECT ml.* FROM ml WHERE (contrast, subject) IN (SELECT contrast, case_id FROM matched UNION ALL SELECT contrast, control_id FROM matched))"""
 
 
-@query("mt01_matched_auc", _recursive(SUBJECT, CONTRAST, CUBE, _matched("contrast", 0.5), MROWS, auc_cte("fa", "ml", "contrast, arm", "y", "s"),
-       auc_cte("ma", "mk", "contrast, arm", "y", "s")) + f"""
-SELECT fa.contrast, fa.arm, ma.n_pos AS n_pairs, {r('fa.auc')} AS auc, {r('ma.auc')} AS matched FROM fa JOIN ma USING (contrast, arm)""")
+@query("mt01_matched_auc", _recursive(SUBJECT, CONTRAST, CUBE, _matched("contrast", 0.5), MROWS, auc_cte("fa", "ml", "cond, contrast, arm", "y", "s"),
+       auc_cte("ma", "mk", "cond, contrast, arm", "y", "s")) + f"""
+SELECT fa.cond, fa.contrast, fa.arm, ma.n_pos AS n_pairs, {r('fa.auc')} AS auc, {r('ma.auc')} AS matched,
+  {r('CASE WHEN fa.auc - 0.5e0 > 1e-9 THEN (fa.auc - ma.auc) / (fa.auc - 0.5e0) END', 5)} AS ratio FROM fa JOIN ma USING (cond, contrast, arm)""")
 def mt01_auc(spark, sf):
     """AUC of the covariate and of a feature on the matched subjects, and the substitution ratio."""
     t = Tables(spark, sf)
@@ -340,13 +341,14 @@ def mt01_auc(spark, sf):
     pairs = match_pairs(t, ("contrast",))
     kept = pairs.select("contrast", F.col("case_id").alias("subject")).unionByName(
         pairs.select("contrast", F.col("control_id").alias("subject")))
-    f = features_wide(t).filter("cond = '1-URGENT'").select("subject", "f_total")
-    rows = contrast_rows(t).join(f, "subject").select("contrast", "subject", "y", "age", "f_total")
-    full = rs.auc(rs.long_scores(rows, ["contrast"], "y", ["age", "f_total"]), ["contrast", "arm"], "y", "s", name="auc", hot=hot)
-    sub = rs.long_scores(rows.join(kept, ["contrast", "subject"], "left_semi"), ["contrast"], "y", ["age", "f_total"])
-    m = rs.auc(sub, ["contrast", "arm"], "y", "s", name="matched", hot=hot).select("contrast", "arm", "matched", F.col("n_pos").alias("n_pairs"))
-    return full.join(m, ["contrast", "arm"]).select(
-        "contrast", "arm", "n_pairs", rounded(F.col("auc")).alias("auc"), rounded(F.col("matched")).alias("matched"))
+    g = ["cond", "contrast"]
+    rows = contrast_rows(t).join(features_wide(t).select("cond", "subject", "f_total"), "subject").select(*g, "subject", "y", "age", "f_total")
+    full = rs.auc(rs.long_scores(rows, g, "y", ["age", "f_total"]), [*g, "arm"], "y", "s", name="auc", hot=hot)
+    sub = rs.long_scores(rows.join(kept, ["contrast", "subject"], "left_semi"), g, "y", ["age", "f_total"])
+    m = rs.auc(sub, [*g, "arm"], "y", "s", name="matched", hot=hot).select(*g, "arm", "matched", F.col("n_pos").alias("n_pairs"))
+    return full.join(m, [*g, "arm"]).select(
+        *g, "arm", "n_pairs", rounded(F.col("auc")).alias("auc"), rounded(F.col("matched")).alias("matched"),
+        rounded(substitution_ratio(F.col("auc"), F.col("matched")), 5).alias("ratio"))
 
 
 # Draws of the subsampling analyses.

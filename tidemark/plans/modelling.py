@@ -177,23 +177,28 @@ def ml08_resid(spark, sf):
     return cv.residuals(la, fit, ["cond", "feature"], "age", "value").select("cond", "feature", "subject", rounded(F.col("resid")).alias("resid"))
 
 
-CROSS = f"""fo AS (SELECT cond, feature, age, value, y, subject, fold FROM (SELECT k.subject, k.y, k.age,
-    CAST((row_number() OVER (PARTITION BY y ORDER BY {h('0', 'subject')}, subject) - 1) % {K} AS INT) AS fold FROM contr k WHERE contrast = 'dementia') JOIN cube USING (subject)),
- mf AS (SELECT cond, feature, mfold, {_mom('value IS NOT NULL AND y = 0')} FROM fo CROSS JOIN (SELECT unnest(range(0, {K})) AS mfold) WHERE fold <> mfold GROUP BY 1, 2, 3),
- cf AS ({_solve('mf', 'cond, feature, mfold', 5)})"""
+CROSS = f"""fo AS (SELECT contrast, cond, feature, age, value, y, subject, fold FROM (SELECT k.contrast, k.subject, k.y, k.age,
+    CAST((row_number() OVER (PARTITION BY contrast, y ORDER BY {h('0', 'subject')}, subject) - 1) % {K} AS INT) AS fold FROM contr k) JOIN cube USING (subject)),
+ mf AS (SELECT contrast, cond, feature, mfold, {_mom('value IS NOT NULL AND y = 0')} FROM fo CROSS JOIN (SELECT unnest(range(0, {K})) AS mfold) WHERE fold <> mfold GROUP BY 1, 2, 3, 4),
+ cf AS ({_solve('mf', 'contrast, cond, feature, mfold', 5)}),
+ cr AS (SELECT fo.contrast, fo.cond, fo.feature, fo.fold, fo.subject, value - {_TR} AS resid FROM fo JOIN cf ON cf.contrast = fo.contrast AND cf.cond = fo.cond
+   AND cf.feature = fo.feature AND cf.mfold = fo.fold WHERE value IS NOT NULL)"""
 
 
 @query("ml09_crossfit_residuals", with_views(SUBJECT, CONTRAST, CUBE, CROSS) + f"""
-SELECT fo.cond, fo.feature, fo.subject, {r(f'value - {_TR}')} AS resid FROM fo JOIN cf ON cf.cond = fo.cond AND cf.feature = fo.feature AND cf.mfold = fo.fold
-WHERE value IS NOT NULL""")
+SELECT contrast, cond, feature, fold, count(resid) AS n, {r('avg(resid)')} AS mean, {r('stddev_pop(resid)')} AS sd, {r('max(abs(resid))')} AS largest,
+  arg_max(subject, (round(abs(resid), 9), subject)) AS furthest FROM cr GROUP BY 1, 2, 3, 4""")
 def ml09_resid(spark, sf):
     t = Tables(spark, sf)
-    rows = fd.stratified(contrast_rows(t).filter("contrast = 'dementia'"), [], "subject", "y", K, 1, t.hot("customer"))
-    long = cube(t).join(rows.select("subject", "y", "age", "fold"), "subject")
-    sums = cv.crossfit_sums(long, ["cond", "feature"], "fold", "age", "value", K, F.col("y") == 0)
-    fit = cv.solved(sums, ["cond", "feature", "mfold"], 5).withColumnRenamed("mfold", "fold").drop("n")
-    j = long.filter("value IS NOT NULL").join(fit, ["cond", "feature", "fold"])
-    return j.select("cond", "feature", "subject", rounded(F.col("value") - cv.trend("age")).alias("resid"))
+    g = ["contrast", "cond", "feature"]
+    rows = fd.stratified(contrast_rows(t), ["contrast"], "subject", "y", K, 1, t.hot("customer"))
+    long = cube(t).join(rows.select("contrast", "subject", "y", "age", "fold"), "subject")
+    sums = cv.crossfit_sums(long, g, "fold", "age", "value", K, F.col("y") == 0)
+    fit = cv.solved(sums, [*g, "mfold"], 5).withColumnRenamed("mfold", "fold").drop("n")
+    j = long.filter("value IS NOT NULL").join(fit, [*g, "fold"]).withColumn("resid", F.col("value") - cv.trend("age"))
+    far = F.max_by("subject", F.struct(F.round(F.abs("resid"), 9).alias("d"), "subject"))
+    return j.groupBy(*g, "fold").agg(F.count("resid").alias("n"), rounded(F.avg("resid")).alias("mean"), rounded(F.stddev_pop("resid")).alias("sd"),
+                                     rounded(F.max(F.abs("resid"))).alias("largest"), far.alias("furthest"))
 
 
 @query("ml09_residualised_scores")

@@ -337,30 +337,53 @@ def r06(spark, sf):
     return out.select("cohort", "id", rounded(F.col("placed")).alias("placed"))
 
 
-FAUC = auc_cte("fauc", "frow", "cond, feature", "y", "value")
-FROW = """frow AS (SELECT c.cond, c.feature, c.value, k.y FROM cube c JOIN contr k ON k.subject = c.subject AND k.contrast = 'dementia')"""
+TOP_FEATURES = 6
+FAUC = auc_cte("fauc", "frow", "contrast, cond, feature", "y", "value")
+FROW = """frow AS (SELECT k.contrast, k.cohort, c.cond, c.feature, c.value, k.y FROM cube c JOIN contr k ON k.subject = c.subject)"""
 
 
 def feature_aucs(t: Tables):
-    """AUC and strength of every (condition, feature) in one contrast."""
-    rows = cube(t).join(contrast_rows(t).filter("contrast = 'dementia'").select("subject", "y"), "subject")
-    return rs.auc(rows, ["cond", "feature"], "y", "value", hot=t.hot("customer")).withColumn("strength", F.abs(F.col("auc") - 0.5))
+    """AUC and strength of every (contrast, condition, feature)."""
+    rows = cube(t).join(contrast_rows(t).select("contrast", "subject", "y"), "subject")
+    return rs.auc(rows, ["contrast", "cond", "feature"], "y", "value", hot=t.hot("customer")).withColumn("strength", F.abs(F.col("auc") - 0.5))
 
 
 @query("a05_feature_auc", with_views(SUBJECT, CONTRAST, CUBE, FROW, FAUC) + f"""
-SELECT cond, feature, {r('auc')} AS auc, {r('abs(auc - 0.5e0)')} AS strength, n_pos, n_neg FROM fauc""")
+SELECT contrast, cond, feature, {r('auc')} AS auc, {r('abs(auc - 0.5e0)')} AS strength, n_pos, n_neg FROM fauc""")
 def a05(spark, sf):
     return feature_aucs(Tables(spark, sf)).withColumns({"auc": rounded(F.col("auc")), "strength": rounded(F.col("strength"))})
 
 
 @query("r07_top_features", with_views(SUBJECT, CONTRAST, CUBE, FROW, FAUC) + f"""
-, p AS (SELECT feature, max(abs(auc - 0.5e0)) AS strength, arg_max(cond, (abs(auc - 0.5e0), cond)) AS peak FROM fauc GROUP BY 1)
-SELECT feature, peak, {r('strength')} AS strength, k FROM (SELECT *, row_number() OVER (ORDER BY strength DESC, feature) AS k FROM p) WHERE k <= 3""")
+, p AS (SELECT contrast, feature, max(abs(auc - 0.5e0)) AS strength, arg_max(cond, (abs(auc - 0.5e0), cond)) AS peak FROM fauc GROUP BY 1, 2)
+SELECT contrast, feature, peak, {r('strength')} AS strength, k FROM (SELECT *, row_number() OVER (PARTITION BY contrast ORDER BY strength DESC, feature) AS k FROM p) WHERE k <= 3""")
 def r07(spark, sf):
-    p = feature_aucs(Tables(spark, sf)).groupBy("feature").agg(
+    p = feature_aucs(Tables(spark, sf)).groupBy("contrast", "feature").agg(
         F.max("strength").alias("strength"), F.max_by("cond", F.struct("strength", "cond")).alias("peak"))
-    top = op.top_k(p.withColumn("g", F.lit(0)), ["g"], [F.col("strength").desc(), "feature"], 3)
-    return top.select("feature", "peak", rounded(F.col("strength")).alias("strength"), "k")
+    top = op.top_k(p, ["contrast"], [F.col("strength").desc(), "feature"], 3)
+    return top.select("contrast", "feature", "peak", rounded(F.col("strength")).alias("strength"), "k")
+
+
+@query("a05_topography", with_views(SUBJECT, CONTRAST, CUBE, FROW, auc_cte("cauc", "frow", "contrast, cohort, cond, feature", "y", "value")) + f"""
+, pr AS (SELECT contrast, feature, cond AS region, avg(abs(auc - 0.5e0)) AS strength, count(auc) AS n_cohorts FROM cauc WHERE n_pos >= 5 GROUP BY 1, 2, 3),
+ pk AS (SELECT contrast, feature, max(strength) AS strength, arg_max(region, (round(strength, 9), region)) AS peak_region FROM pr GROUP BY 1, 2),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY contrast ORDER BY round(strength, 9) DESC, feature) AS k FROM pk)
+SELECT pr.contrast, k, feature, peak_region, region, {r('pr.strength')} AS strength, n_cohorts, {r('avg(pr.strength) OVER (PARTITION BY pr.contrast, region)')} AS region_mean
+FROM pr JOIN rk USING (contrast, feature) WHERE k <= {TOP_FEATURES}""")
+def a05_topography(spark, sf):
+    """Profile of the strongest features over the measured regions, averaged over cohorts with enough cases; the region where each peaks."""
+    from pyspark.sql import Window as W
+    t = Tables(spark, sf)
+    rows = cube(t).join(contrast_rows(t).select("contrast", "cohort", "subject", "y"), "subject")
+    per = rs.auc(rows, ["contrast", "cohort", "cond", "feature"], "y", "value", hot=t.hot("customer")).filter("n_pos >= 5")
+    g = ["contrast", "feature"]
+    profile = per.groupBy(*g, F.col("cond").alias("region")).agg(F.avg(F.abs(F.col("auc") - 0.5)).alias("strength"), F.count("auc").alias("n_cohorts"))
+    place = F.struct(F.round("strength", 9).alias("s"), "region")
+    # One row a region: the regions of a feature are a design list.
+    peak = profile.groupBy(*g).agg(F.max("strength").alias("best"), F.max_by("region", place).alias("peak_region"), F.collect_list(F.struct("region", "strength", "n_cohorts")).alias("l"))
+    top = op.top_k(peak, ["contrast"], [F.round("best", 9).desc(), "feature"], TOP_FEATURES).select("contrast", "k", "feature", "peak_region", F.explode("l").alias("e"))
+    out = top.select("contrast", "k", "feature", "peak_region", "e.*").withColumn("region_mean", F.avg("strength").over(W.partitionBy("contrast", "region")))
+    return out.withColumns({"strength": rounded(F.col("strength")), "region_mean": rounded(F.col("region_mean"))})
 
 
 @query("r08_case_pick", with_views(SUBJECT, CONTRAST) + f"""

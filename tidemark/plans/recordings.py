@@ -102,10 +102,9 @@ def m02(spark, sf):
     return summary(ch.subset_referenced(signal(Tables(spark, sf)), dims.montage_channel(spark)), "montage", "rec", "channel")
 
 
-@query("m03_bipolar", with_views(SIGNAL, MPAIR, MBI) + f"SELECT montage, rec, t, channel, {r('x', 4)} AS x FROM mbi")
+@query("m03_bipolar", with_views(SIGNAL, MPAIR, MBI) + SUMMARY.format(k="montage, rec, channel", src="mbi"))
 def m03(spark, sf):
-    d = ch.bipolar(signal(Tables(spark, sf)), dims.montage_pair(spark))
-    return d.select("montage", "rec", "t", "channel", rounded(F.col("x"), 4).alias("x"))
+    return summary(ch.bipolar(signal(Tables(spark, sf)), dims.montage_pair(spark)), "montage", "rec", "channel")
 
 
 @query("m04_montage_registry", with_views(SIGNAL, MCH, MOK) + f"""
