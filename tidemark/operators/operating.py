@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from tidemark.operators.ordered import group_is_hot, midranks, neighbours, row_n
 from tidemark.operators.rankstats import negatives, positives, with_group
 from tidemark.session import stored
 
+#: Values of one automaton.
+VALUES_AT_ONCE = 100_000
+
 
 def panel(points: DataFrame, prevalences: DataFrame) -> DataFrame:
     """Predictive values, likelihood ratios and referral load of each operating point."""
@@ -120,9 +124,61 @@ def power_design(ref: DataFrame, deltas: DataFrame) -> DataFrame:
         "n_required", F.rint(F.col("n") * F.pow(se / need, F.lit(2)) / 10) * 10)
 
 
-def occurrences(text, value) -> F.Column:
-    """Non-overlapping occurrences of a value in a whole text."""
-    return ((F.length(text) - F.length(F.replace(text, value, F.lit("")))) / F.length(value)).cast("bigint")
+def occurrences(texts: DataFrame, keys: Sequence[str], text: str, values: DataFrame, at_once: int = VALUES_AT_ONCE) -> DataFrame:
+    """(name, keys, n, n_texts): non-overlapping occurrences of each value, and texts that have it.
+
+    ``values`` has (name, value), values not empty. Each text is read once by one automaton for at most ``at_once`` values; more values
+    take further passes, so what a task holds is bounded whatever their number. A task adds up its counts before they are shuffled.
+    """
+    keys = list(keys)
+    rows = texts.select(*keys, F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
+    values = stored(values.select("name", "value"), "values")
+    turns = max(1, -(-values.count() // at_once))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(["name " + values.schema["name"].dataType.simpleString(), *[f"`{k}` {types[k]}" for k in keys], "n bigint, n_texts bigint"])
+    out = None
+    for turn in range(turns):
+        some = values if turns == 1 else values.filter(F.pmod(F.xxhash64("name", "value"), F.lit(turns)) == turn)
+        chosen = [(r["name"], r["value"]) for r in some.toLocalIterator()]
+        part = rows.mapInPandas(_counter(chosen, keys), schema)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("name", *keys).agg(F.sum("n").alias("n"), F.sum("n_texts").alias("n_texts"))
+
+
+def _counter(values: list[tuple], keys: list[str]):
+    def run(batches):
+        import ahocorasick
+        words: dict[str, list] = {}
+        for name, value in values:
+            words.setdefault(value, []).append(name)
+        automaton = ahocorasick.Automaton()
+        for w, names in words.items():
+            automaton.add_word(w, (len(w), names))
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        total: dict[tuple, list[int]] = {}
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                key = tuple(None if pd.isna(v) else v for v in row[:-1])
+                found: dict[int, list] = {}
+                for end, (size, names) in automaton.iter(row[-1]):
+                    mine = found.setdefault(id(names), [names, 0, -1])
+                    if end - size >= mine[2]:
+                        mine[1] += 1
+                        mine[2] = end
+                for names, n, _ in found.values():
+                    for name in names:
+                        held = total.setdefault((name, *key), [0, 0])
+                        held[0] += n
+                        held[1] += 1
+            if len(total) > 200_000:
+                yield pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["name", *keys, "n", "n_texts"])
+                total = {}
+        if total:
+            yield pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["name", *keys, "n", "n_texts"])
+
+    return run
 
 
 def rank_fraction(df: DataFrame, keys: Sequence[str], value: str, name: str, hot: bool | None = None) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,14 +83,37 @@ def preferred_copy(copies: DataFrame, subject: str, has_data: str, path: str) ->
 def channel_correlations(samples: DataFrame) -> DataFrame:
     """(rec, a, b, r) for every channel pair of a recording.
 
-    The channels of one instant meet in one row (bounded by the electrode count), the pairs are
-    formed there and reduced by a partial aggregate; samples are never joined to themselves.
+    The channels of one instant meet in one row (bounded by the electrode count). A task adds its instants up to one
+    co-moment matrix a recording, over the instants that both channels have, about each channel's mean; matrices are summed. No
+    row is made for a pair of samples.
     """
-    at = samples.groupBy("rec", "t").agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("c"))
-    pairs = at.select("rec", F.explode("c").alias("a"), "c").select("rec", "a", F.explode("c").alias("b"))
-    pairs = pairs.filter(F.col("a.channel") < F.col("b.channel"))
-    half = pairs.groupBy("rec", F.col("a.channel").alias("a"), F.col("b.channel").alias("b")).agg(
-        F.corr("a.x", "b.x").alias("r"))
+    means = samples.groupBy("rec", "channel").agg(F.avg("x").alias("m"))
+    centred = same_group(samples, means, ["rec", "channel"]).select("rec", "t", "channel", (F.col("x") - F.col("m")).alias("x"))
+    at = centred.groupBy("rec", "t").agg(F.collect_list(F.struct("channel", "x")).alias("c")).select("rec", "c")
+
+    def run(batches):
+        for pdf in batches:
+            for rec, part in pdf.groupby("rec", sort=False, dropna=False):
+                names = sorted({e["channel"] for c in part["c"] for e in c})
+                place = {n: i for i, n in enumerate(names)}
+                x = np.full((len(part), len(names)), np.nan)
+                for i, c in enumerate(part["c"]):
+                    for e in c:
+                        x[i, place[e["channel"]]] = np.nan if e["x"] is None else e["x"]
+                known = ~np.isnan(x)
+                x, m = np.where(known, x, 0.0), known.astype(float)
+                sums = {"n": m.T @ m, "sa": x.T @ m, "sb": m.T @ x, "saa": (x * x).T @ m, "sbb": m.T @ (x * x), "sab": x.T @ x}
+                first, second = np.triu_indices(len(names), 1)
+                yield pd.DataFrame({"rec": [rec] * len(first), "a": [names[i] for i in first], "b": [names[i] for i in second],
+                                    **{k: v[first, second] for k, v in sums.items()}})
+
+    parts = ["n", "sa", "sb", "saa", "sbb", "sab"]
+    schema = f"rec {at.schema['rec'].dataType.simpleString()}, a string, b string, " + ", ".join(f"{c} double" for c in parts)
+    s = at.mapInPandas(run, schema).groupBy("rec", "a", "b").agg(*[F.sum(c).alias(c) for c in parts])
+    n = F.col("n")
+    va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
+    half = s.filter(n > 0).select("rec", "a", "b", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("r"))
     return half.unionByName(half.select("rec", F.col("b").alias("a"), F.col("a").alias("b"), "r"))
 
 

@@ -10,7 +10,7 @@ from tidemark.operators import labels as lb
 from tidemark.operators import models as ml
 from tidemark.operators import rankstats as rs
 from tidemark.plans.registry import Tables, query
-from tidemark.plans.sql import auc_cte, h, r
+from tidemark.plans.sql import auc_cte, h, r, u
 from tidemark.session import stored
 from tidemark.tables import (CONTRAST, CUBE, SCORE, SUBJECT, contrast_rows, cube, score, with_views)
 
@@ -314,11 +314,22 @@ def ml16(spark, sf):
 @query("ml17_transfer_scores")
 def ml17(spark, sf):
     rows = doc_rows(Tables(spark, sf))
-    p = ml.fit(rows.filter("cohort = 'en'").withColumn("g", F.lit(0)), ["g"], "y", "x")
-    s = ml.scored(rows.filter("cohort <> 'en'").withColumn("g", F.lit(0)), p, ["g"], "x")
+    s = ml.scored(rows.filter("cohort <> 'en'"), source_fit(rows), [], "x")
     return s.select("cohort", "id", "y", rounded(F.col("s")).alias("s"))
 
 
+def source_fit(rows):
+    """One model of the source cohort, by distributed passes once it outgrows a task."""
+    return ml.fit(rows.filter("cohort = 'en'"), ["cohort"], "y", "x").select("intercept", "coef")
+
+
+@query("ml17_optimality", with_views(SCORE) + "SELECT cohort, count(*) AS n, true AS at_optimum FROM score WHERE cohort = 'en' GROUP BY 1")
+def ml17_optimality(spark, sf):
+    rows = doc_rows(Tables(spark, sf))
+    params = stored(source_fit(rows).withColumn("cohort", F.lit("en")), "source")
+    return ml.optimum(ml.scored(rows.filter("cohort = 'en'"), params, ["cohort"], "x", "d"), params, ["cohort"], "y", "x", "d")
+
+
 def calibrated_transfer(t: Tables, rows, keys, x, hot):
     """Calibrated target probabilities and the source threshold, per key.
 
@@ -346,8 +357,43 @@ def ml18(spark, sf):
 def ml19(spark, sf):
     from tidemark.functions.draws import uniform
     t = Tables(spark, sf)
-    rows = doc_rows(t).withColumns({"g": F.lit(0), "held": uniform("split", F.col("id")) < 0.4})
-    p = ml.fit(rows.filter("NOT held"), ["g"], "y", "x")
-    s = ml.scored(rows.filter("held"), p, ["g"], "x")
-    a = rs.auc(s, ["g"], "y", "s", hot=t.hot("documents"))
+    rows = doc_rows(t).withColumn("held", uniform("split", F.col("id")) < 0.4)
+    s = ml.scored(rows.filter("held"), ml.fit(rows.filter("NOT held"), [], "y", "x"), [], "x")
+    a = rs.auc(s, [], "y", "s", hot=t.hot("documents"))
     return a.select(rounded(F.col("auc")).alias("auc"), "n_pos", "n_neg")
+
+
+@query("ml19_optimality", with_views(SCORE) + f"""
+SELECT count(*) AS n, true AS at_optimum FROM score WHERE NOT {u("'split'", 'id')} < 0.4e0""")
+def ml19_optimality(spark, sf):
+    from tidemark.functions.draws import uniform
+    rows = doc_rows(Tables(spark, sf)).filter(~(uniform("split", F.col("id")) < 0.4))
+    params = stored(ml.fit(rows, [], "y", "x"), "holdout")
+    return ml.optimum(ml.scored(rows, params, [], "x", "d"), params, [], "y", "x", "d")
+
+
+@query("a11_slope_optimality", with_views(SCORE) + "SELECT cohort, count(*) AS n, true AS at_optimum FROM score GROUP BY 1 HAVING count(DISTINCT y) = 2")
+def a11_slope_optimality(spark, sf):
+    """The unpenalised gradient of the calibration slope vanishes."""
+    from tidemark.operators.operating import logit
+    from tidemark.plans.operating import probs
+    rows = probs(Tables(spark, sf)).select("cohort", "y", F.array(logit(F.col("pa"))).alias("x"))
+    params = stored(ml.fit(rows, ["cohort"], "y", "x", penalty=0.0), "slopes")
+    return ml.optimum(ml.scored(rows, params, ["cohort"], "x", "d"), params, ["cohort"], "y", "x", "d", 0.0)
+
+
+@query("ml04_optimality", with_views(SUBJECT, CONTRAST, CUBE) + f"""
+, fld AS (SELECT contrast, subject, y, repeat, (row_number() OVER (PARTITION BY contrast, repeat, y ORDER BY {h('repeat', 'subject')}, subject) - 1) % {K} AS fold
+  FROM contr CROSS JOIN (SELECT CAST(unnest(range(0, {REPEATS})) AS INT) AS repeat))
+SELECT cond, contrast, repeat, CAST(mfold AS INT) AS mfold, count(*) AS n, true AS at_optimum FROM fld CROSS JOIN (SELECT DISTINCT cond FROM fwide)
+CROSS JOIN (SELECT unnest(range(0, {K})) AS mfold) WHERE fold <> mfold GROUP BY 1, 2, 3, 4""")
+def ml04_optimality(spark, sf):
+    """Every fold's model of the out-of-fold scores is at its optimum over its own training rows."""
+    t = Tables(spark, sf)
+    g = ["cond", "contrast"]
+    rows = fd.stratified(design(t).select(*g, "subject", "y", "x"), g, "subject", "y", K, REPEATS, t.hot("customer", fanout=5 * REPEATS))
+    rows = stored(rows, "folded")
+    params = stored(ml.fit(rows, [*g, "repeat"], "y", "x", K, large=t.large("customer")), "models")
+    m = [*g, "repeat", "mfold"]
+    train = ml.scored(rows.join(params.select(*m), [*g, "repeat"]).filter("fold <> mfold"), params, m, "x", "d")
+    return ml.optimum(train, params, m, "y", "x", "d")

@@ -266,17 +266,35 @@ def a24(spark, sf):
     return out.select("contrast", "cohort", rounded(F.col("delta")).alias("delta"), rounded(F.col("n_required")).alias("n_required"))
 
 
-VALUES = [("v1", "the"), ("v2", "ion"), ("v3", "que"), ("v4", "ou"), ("v5", "aa")]
+STATED = """vals AS (SELECT DISTINCT substr(text, 1, 3) AS value FROM documents WHERE length(text) >= 3),
+occ AS (SELECT value AS name, lang, CAST(sum((length(text) - length(replace(text, value, ''))) / length(value)) AS BIGINT) AS n,
+  count(*) AS n_texts FROM documents JOIN vals ON contains(text, value) GROUP BY 1, 2)"""
 
 
-@query("a26_occurrences", f"""
-SELECT name, lang, CAST(sum((length(text) - length(replace(text, value, ''))) / length(value)) AS BIGINT) AS n,
-  count(*) FILTER (contains(text, value)) AS n_texts FROM documents CROSS JOIN {dims.values_sql(VALUES)} v(name, value) GROUP BY 1, 2""")
+def stated_values(t: Tables):
+    """(name, value): the openings of all texts, looked for in every text."""
+    value = F.substring("text", 1, 3)
+    return t.documents.filter(F.length("text") >= 3).select(value.alias("name"), value.alias("value")).distinct()
+
+
+@query("a26_occurrences", f"WITH {STATED} SELECT name, lang, n, n_texts FROM occ")
 def a26(spark, sf):
-    vals = F.broadcast(dims.table(spark, VALUES, "name, value"))
-    d = Tables(spark, sf).documents.select("lang", "text").crossJoin(vals)
-    return d.groupBy("name", "lang").agg(F.sum(op.occurrences(F.col("text"), F.col("value"))).alias("n"),
-                                         F.count_if(F.contains("text", "value")).alias("n_texts"))
+    t = Tables(spark, sf)
+    return op.occurrences(t.documents, ["lang"], "text", stated_values(t))
+
+
+@query("a26_miscounted", f"""WITH {STATED}, rec AS (SELECT substr(text, 1, 3) AS name, count(*) AS stated FROM documents WHERE length(text) >= 3 AND lang <> 'fr' GROUP BY 1),
+cur AS (SELECT name, sum(n_texts) AS current FROM occ GROUP BY 1)
+SELECT status, count(*) AS n FROM (SELECT CASE WHEN current IS NULL THEN 'vanished' WHEN stated IS NULL THEN 'new' WHEN stated = current THEN 'match'
+  WHEN stated < current THEN 'miscounted' ELSE 'drifted' END AS status FROM rec FULL JOIN cur USING (name)) GROUP BY 1""")
+def a26_miscounted(spark, sf):
+    """Recorded counts of values against their occurrences in the texts."""
+    t = Tables(spark, sf)
+    found = op.occurrences(t.documents, [], "text", stated_values(t)).select("name", F.col("n_texts").alias("current"))
+    stated = t.documents.filter((F.length("text") >= 3) & (F.col("lang") != "fr")).groupBy(F.substring("text", 1, 3).alias("name")).agg(F.count("*").alias("stated"))
+    status = (F.when(F.col("current").isNull(), "vanished").when(F.col("stated").isNull(), "new").when(F.col("stated") == F.col("current"), "match")
+              .when(F.col("stated") < F.col("current"), "miscounted").otherwise("drifted"))
+    return stated.join(found, "name", "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("r02_rank_fraction", with_views(SCORE, LONG.replace("SELECT cohort,", "SELECT id, cohort,")) + f"""
