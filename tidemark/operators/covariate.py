@@ -1,9 +1,12 @@
 """Covariate models by moments: quadratic trends, normative reference, anchoring, cross-fitting."""
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,3 +180,77 @@ def crossfitted(long: DataFrame, keys: Sequence[str], sid: str, y: str, age: str
     each = lists.withColumn("mfold", F.explode(models))
     known = F.filter("__l", lambda e: F.get(e["v"], F.col("mfold")).isNotNull())
     return each.select(*keys, "repeat", "mfold", "fold", sid, y, F.transform(known, lambda e: F.get(e["v"], F.col("mfold"))).alias("x"))
+
+
+# ---- anchored reading -------------------------------------------------------------------------
+def anchor_prefixes(picked: DataFrame, keys: Sequence[str], order: str, sid: str, z: str, ks: Sequence[int]) -> DataFrame:
+    """(keys, k, ids, shift, scale): median and 1.4826*MAD of the first k anchors for every k of the grid, from one sorted pass.
+
+    ``picked`` holds the anchors of a group by ``order``; a group has at most max(ks) of them.
+    """
+    keys, ks = list(keys), sorted(ks)
+    types = {f.name: f.dataType.simpleString() for f in picked.schema.fields}
+
+    def run(key: tuple, whole: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for last, pdf in whole.sort_values(order).groupby(keys[-1], sort=False):
+            ids, rows = pdf[sid].tolist(), np.stack(pdf[z].to_list())
+            kept: list[list[float]] = [[] for _ in range(rows.shape[1])]
+            for i, row in enumerate(rows, 1):
+                for column, v in zip(kept, row):
+                    bisect.insort(column, v)
+                if i in ks:
+                    prefix = np.array(kept).T
+                    shift = (prefix[(i - 1) // 2] + prefix[i // 2]) / 2
+                    scale = 1.4826 * np.median(np.abs(prefix - shift), axis=0)
+                    out.append((*key, last, i, ids[:i], shift.tolist(), np.where(scale > FLOOR, scale, 1.0).tolist()))
+        return pd.DataFrame(out, columns=[*keys, "k", "ids", "shift", "scale"])
+
+    # The last key is the draw: all draws of a group, each with a bounded number of anchors, are one task.
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keys], f"k int, ids array<{types[sid]}>, shift array<double>, scale array<double>"])
+    return picked.groupBy(*keys[:-1]).applyInPandas(run, schema)
+
+
+def anchored_counts(targets: DataFrame, anchors: DataFrame, match: Sequence[str], keys: Sequence[str], sid: str, cells: int) -> DataFrame:
+    """(keys, draw, arm, k, case_hit, n_case, held_hit, n_held): every arm read on the controls that no anchor of the draw has used.
+
+    ``targets`` has ``keys``, sid, y, z, the head (``coef``, ``intercept``, ``slope``, ``offset``) and ``threshold`` of the deviations, and ``p_direct``,
+    ``t_direct``, ``p_normative``. They are dealt into ``cells`` by hash and meet the anchors of their ``match`` columns; counts add up over cells.
+    """
+    keys, match = list(keys), list(match)
+    own = targets.withColumn("cell", F.pmod(F.xxhash64(sid), F.lit(cells)).cast("int"))
+    dealt = anchors.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    types = {f.name: f.dataType.simpleString() for f in targets.schema.fields}
+    names = [*keys, "draw", "arm", "k", "case_hit", "n_case", "held_hit", "n_held"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if not len(left) or not len(right):
+            return pd.DataFrame(out, columns=names)
+        deepest = (right["k"] == right.groupby("draw")["k"].transform("max")).to_numpy()
+        draws, ks, used = right["draw"].to_numpy(), right["k"].to_numpy(), right["ids"].to_list()
+        shifts, scales = np.stack(right["shift"].to_list()), np.stack(right["scale"].to_list())
+        for key, rows in left.groupby(keys, sort=False, dropna=False):
+            y, place, head = rows["y"].to_numpy(), pd.Index(rows[sid]), rows.iloc[0]
+            x, case, control = np.stack(rows["z"].to_list()), y == 1, y == 0
+            plain = {"direct": rows["p_direct"].to_numpy() > rows["t_direct"].to_numpy(), "normative": rows["p_normative"].to_numpy() > head["threshold"]}
+            # The rows of this cell among each draw's anchors: those are not held out.
+            at = [place.get_indexer(ids) for ids in used]
+            at = [i[i >= 0] for i in at]
+            held = [int(control.sum()) - int(control[i].sum()) for i in at]
+            weights = np.array(head["coef"]) / scales
+            offsets = head["intercept"] - (shifts * weights).sum(axis=1)
+            for lo in range(0, len(at), 64):
+                d = head["slope"] * (x @ weights[lo:lo + 64].T + offsets[lo:lo + 64]) + head["offset"]
+                flags = 1 / (1 + np.exp(-np.clip(d, -700, 700))) > head["threshold"]
+                for j in range(flags.shape[1]):
+                    i = lo + j
+                    arms = {"anchored": flags[:, j]} | (plain if deepest[i] else {})
+                    for arm, flag in arms.items():
+                        passed = int((control & ~flag).sum()) - int((control[at[i]] & ~flag[at[i]]).sum())
+                        out.append((*key, draws[i], arm, ks[i], int((case & flag).sum()), int(case.sum()), passed, held[i]))
+        return pd.DataFrame(out, columns=names)
+
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keys], "draw int, arm string, k int, case_hit bigint, n_case bigint, held_hit bigint, n_held bigint"])
+    part = own.groupBy(*match, "cell").cogroup(dealt.groupBy(*match, "cell")).applyInPandas(run, schema)
+    return part.groupBy(*names[:-4]).agg(*[F.sum(c).alias(c) for c in names[-4:]])

@@ -501,22 +501,69 @@ def anchor_split(t: Tables):
     return rn.crossJoin(F.broadcast(ks)).select("draw", "cohort", "k", "subject", (F.col("rn") <= F.col("k")).alias("anchor"))
 
 
+ANCHOR_CELL = 100_000
+
+
+def anchored_reading(t: Tables):
+    """Counts of every draw: heads fitted on the source cohort, read in every other cohort with and without its anchors."""
+    from tidemark.operators.ordered import row_numbers as numbered
+    from tidemark.plans.modelling import usable_long
+    from tidemark.tables import subject
+    hot, large, g = t.hot("customer", fanout=ANCHOR_DRAWS), t.large("customer"), ["cond", "contrast"]
+    people = subject(t).filter("age IS NOT NULL").select("subject", "cohort", "label", "age")
+    long = usable_long(t).join(people, "subject")
+    model = cv.normative_fit(long.filter("label = 'CN' AND cohort = 'EUROPE'"), ["cond", "feature"], "age", "value")
+    z = cv.deviations(long, model, ["cond", "feature"], "age", "value").filter("z IS NOT NULL")
+    lists = z.groupBy("cond", "subject").agg(F.array_sort(F.collect_list(F.struct("feature", "value", "z"))).alias("l"))
+    lists = stored(lists.select("cond", "subject", F.transform("l", lambda e: e["value"]).alias("x"), F.transform("l", lambda e: e["z"]).alias("z")), "deviations")
+    rows = stored(contrast_rows(t).select("contrast", "cohort", "subject", "y").join(lists, "subject"), "anchored")
+    src = rows.filter("cohort = 'EUROPE'")
+    heads = {}
+    for arm, x in (("direct", "x"), ("normative", "z")):
+        oof = stored(ml.out_of_fold(src, g, "subject", "y", x, K, 1, hot=hot, large=large), "oof")
+        head = same_group(ml.fit(src, g, "y", x, large=large).select(*g, "coef", "intercept"), ml.calibrated(oof, g, "y", "s", large), g)
+        p = ml.sigmoid(F.col("slope") * ml.decision(F.col(x), F.col("coef"), F.col("intercept")) + F.col("offset"))
+        thr = rs.control_threshold(same_group(src, head, g).withColumn("p", p), g, "y", "p", hot=hot)
+        heads[arm] = (stored(same_group(head, thr, g), "head"), p)
+    targets = rows.filter("cohort <> 'EUROPE'")
+    head, p = heads["direct"]
+    targets = same_group(targets, head, g).withColumn("p_direct", p).withColumn("t_direct", F.col("threshold")).drop("coef", "intercept", "slope", "offset", "threshold", "x")
+    head, _ = heads["normative"]
+    p = ml.sigmoid(F.col("slope") * ml.decision(F.col("z"), F.col("coef"), F.col("intercept")) + F.col("offset"))
+    targets = same_group(targets, head, g).withColumn("p_normative", p)
+    ctrl = rp.replicated(people.filter("label = 'CN' AND cohort <> 'EUROPE'").select("cohort", "subject"), ANCHOR_DRAWS, "draw")
+    ranked = numbered(ctrl.withColumn("__h", hash32("anchor", F.col("draw"), F.col("subject"))), ["cohort", "draw"], ["__h", "subject"], "rn", hot)
+    picked = ranked.filter(F.col("rn") <= max(ANCHOR_K)).join(lists.select("cond", "subject", "z"), "subject")
+    anchors = cv.anchor_prefixes(picked, ["cond", "cohort", "draw"], "rn", "subject", "z", ANCHOR_K)
+    cells = max(1, -(-t.rows("customer") // ANCHOR_CELL))
+    return stored(cv.anchored_counts(targets, anchors, ["cond", "cohort"], ["cond", "contrast", "cohort"], "subject", cells), "readings"), targets
+
+
 @query("mt05_anchored_specificity")
 def mt05(spark, sf):
-    """Re-centre each cohort on its k anchor controls; specificity on the held-out controls."""
+    """Direct, normative and anchored arms on the same held-out controls: sensitivity and specificity at the source's own control quantile."""
     t = Tables(spark, sf)
-    hot = t.hot("customer", fanout=3 * ANCHOR_DRAWS)
-    z = long_age(t)
-    m = cv.normative_fit(z.filter("label = 'CN' AND cohort = 'EUROPE'"), ["cond", "feature"], "age", "value")
-    z = cv.deviations(z.filter("label = 'CN'"), m, ["cond", "feature"], "age", "value").filter("cond = '1-URGENT'")
-    rows = anchor_split(t).join(z.select("subject", "feature", "z"), "subject")
-    g = ["draw", "cohort", "k"]
-    anchor = cv.site_anchor(rows.filter("anchor"), [*g, "feature"], hot=hot)
-    held = rows.filter("NOT anchor").join(anchor, [*g, "feature"], "left")
-    zz = held.withColumn("z", (F.col("z") - F.coalesce("shift", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
-    ab = cv.abnormality(zz, [*g, "subject"])
-    per = ab.groupBy(*g).agg(F.avg((F.col("abnormality") <= 1.2).cast("double")).alias("spec"))
-    return per.groupBy("cohort", "k").agg(rounded(F.avg("spec")).alias("specificity"), rounded(F.stddev_pop("spec")).alias("specificity_sd"))
+    counts, targets = anchored_reading(t)
+    g = ["cond", "contrast", "cohort"]
+    per = counts.withColumns({"sens": F.col("case_hit") / F.col("n_case"), "spec": F.when(F.col("n_held") > 0, F.col("held_hit") / F.col("n_held"))})
+    k = F.when(F.col("arm") == "anchored", F.col("k")).otherwise(0)
+    out = per.groupBy(*g, "arm", k.alias("n_anchor")).agg(
+        F.max("n_held").alias("n_held"), *[rounded(F.avg(c)).alias(n) for c, n in (("sens", "sensitivity"), ("spec", "specificity"))],
+        rounded(F.stddev_pop("spec")).alias("specificity_sd"))
+    a = rs.auc(rs.long_scores(targets.withColumnsRenamed({"p_direct": "direct", "p_normative": "normative"}), g, "y", ["direct", "normative"]), [*g, "arm"], "y", "s",
+               hot=t.hot("customer", fanout=2))
+    return out.join(a.select(*g, "arm", rounded(F.col("auc")).alias("auc")), [*g, "arm"], "left")
+
+
+@query("mt05_coverage", with_views(SUBJECT, CONTRAST, CUBE) + f"""
+, n AS (SELECT contrast, cohort, count(*) FILTER (y = 1) AS n_case, count(*) FILTER (y = 0) AS n_ctrl FROM contr WHERE cohort <> 'EUROPE' GROUP BY 1, 2),
+ arm AS (SELECT * FROM {dims.values_sql([("anchored", k) for k in (5, 10, 20)] + [("direct", 20), ("normative", 20)])} v(arm, k))
+SELECT cond, contrast, cohort, arm, k, {ANCHOR_DRAWS} AS n_draws, CAST({ANCHOR_DRAWS} * n_case AS BIGINT) AS cases, CAST({ANCHOR_DRAWS} * (n_ctrl - k) AS BIGINT) AS held
+FROM n CROSS JOIN arm CROSS JOIN (SELECT DISTINCT cond FROM fwide) WHERE n_ctrl >= 20""")
+def mt05_coverage(spark, sf):
+    """Every arm of a draw is read on all cases and on exactly the controls that were not anchors."""
+    counts, _ = anchored_reading(Tables(spark, sf))
+    return counts.groupBy("cond", "contrast", "cohort", "arm", "k").agg(F.count("*").cast("int").alias("n_draws"), F.sum("n_case").alias("cases"), F.sum("n_held").alias("held"))
 
 
 REPEATED = """firsts AS (SELECT min(doc_id) AS id FROM documents JOIN labels USING (doc_id) GROUP BY md5(text))"""

@@ -50,11 +50,18 @@ def ml01(spark, sf):
     return fd.stratified(score(t), [], "id", "y", K, REPEATS, t.hot("documents")).select("id", "repeat", "fold")
 
 
-@query("ml02_group_folds", with_views(SCORE) + f"""
-, g AS (SELECT source, avg(y) >= 0.5e0 AS cls FROM score GROUP BY 1),
-f AS (SELECT source, repeat, CAST((row_number() OVER (PARTITION BY repeat, cls ORDER BY {h('repeat', 'source')}, source) - 1) % {K} AS INT) AS fold
+@query("ml02_group_folds", with_views(SCORE).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, g AS (SELECT source, CAST(count(*) FILTER (y = 1) AS HUGEINT) AS p, CAST(count(*) FILTER (y <> 1) AS HUGEINT) AS q FROM score GROUP BY 1),
+w AS (SELECT source, p, q, p * greatest(1, sum(q) OVER ()) + q * greatest(1, sum(p) OVER ()) AS load FROM g),
+o AS (SELECT *, row_number() OVER (ORDER BY load DESC, p DESC) AS i FROM w),
+st AS (SELECT CAST(0 AS BIGINT) AS i, CAST([{', '.join('0' * K)}] AS HUGEINT[]) AS held, CAST(0 AS BIGINT) AS f
+  UNION ALL SELECT o.i, [held[j] + CASE WHEN j = list_position(held, list_min(held)) THEN load ELSE 0 END for j in range(1, {K + 1})],
+    CAST(list_position(held, list_min(held)) AS BIGINT) FROM st JOIN o ON o.i = st.i + 1),
+n AS (SELECT p, q, f - 1 AS fold, count(*) AS c FROM st JOIN o USING (i) GROUP BY 1, 2, 3),
+e AS (SELECT *, sum(c) OVER (PARTITION BY p, q ORDER BY fold) AS hi FROM n),
+rk AS (SELECT source, p, q, repeat, row_number() OVER (PARTITION BY repeat, p, q ORDER BY {h('repeat', 'source')}, source) AS rn
   FROM g CROSS JOIN (SELECT CAST(unnest(range(0, {REPEATS})) AS INT) AS repeat))
-SELECT id, source, repeat, fold FROM score JOIN f USING (source)""")
+SELECT id, source, repeat, CAST(fold AS INT) AS fold FROM score JOIN rk USING (source) JOIN e ON e.p = rk.p AND e.q = rk.q AND rn > e.hi - e.c AND rn <= e.hi""")
 def ml02(spark, sf):
     t = Tables(spark, sf)
     return fd.group_stratified(score(t), [], "source", "y", K, REPEATS, t.hot("documents")).select("id", "source", "repeat", "fold")
