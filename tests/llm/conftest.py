@@ -3,8 +3,8 @@ import random
 import pytest
 
 DOC = ("doc_id long, text string, lang string, source string, n_chars long, row string, key string, size string, "
-       "slice string, hash string, body string, ids string, position string, fp string, label string, id string")
-EXTRA = ("row", "key", "size", "slice", "hash", "body", "ids", "position", "fp", "label", "id")
+       "slice string, hash string, body string, ids string, position string, fp string, label string, id string, own_id string, own_body string")
+EXTRA = ("row", "key", "size", "slice", "hash", "body", "ids", "position", "fp", "label", "id", "own_id", "own_body")
 
 
 def make_docs(spark, rows):

@@ -39,3 +39,33 @@ def test_edges(spark):
         assert (r.n_turns, r.loss_chars) == (len(own), len(loss))
         assert r.turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.digests(chat.formatted(turns.where("false"))).collect() == []
+
+
+def test_long_turns_in_small_memory():
+    """Batches are cut by bytes, long segments copied as slices."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["é" * 1_000_000, "x" * 3_000_000, "a<|im_end|>b" * 40, ""] * 6
+    ids = [k // 4 for k in range(24)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(["user", "assistant"] * 12), pa.array(texts)], ["conv_id", "role", "text"])
+    tracemalloc.start()
+    rows = [(r["conv_id"], r["formatted"]) for out in chat._runs(iter([batch])) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for i, _ in rows] == list(range(6))
+    for i, formatted in rows:
+        assert [t[1] for t in chat.read_back(formatted)] == texts[:4]
+    assert peak < 200_000_000
+
+
+def test_batch_of_short_turns_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chat, "SCATTER", 50)
+    monkeypatch.setattr(chat, "SLICE", 20)
+    texts = [f"turn {k} " * (k % 6) for k in range(90)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k // 7 for k in range(90)]), pa.array(["user"] * 90), pa.array(texts)], ["conv_id", "role", "text"])
+    got = [t[1] for out in chat._runs(iter([batch])) for r in out.to_pylist() for t in chat.read_back(r["formatted"])]
+    assert got == texts

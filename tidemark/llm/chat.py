@@ -31,7 +31,8 @@ _ESCAPE, _UNESCAPE = rf"([<\[])(\\*)({_TAIL})", rf"([<\[])\\(\\*)({_TAIL})"
 _ROLE_ESCAPE, _ROLE_UNESCAPE = ("\\", "\\\\"), ("\n", "\\n")
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 _UNDO = re.compile(_UNESCAPE)
-ROWS = 4_000
+#: Rows and bytes formatted at once, bytes from which a segment is copied as one slice, and bytes scattered at once.
+ROWS, BYTES, SLICE, SCATTER = 4_000, 8 << 20, 512, 1 << 20
 OUT = "turns long, formatted string, mask array<struct<start:bigint,end:bigint>>"
 
 
@@ -78,9 +79,19 @@ def assemble(role: pa.Array, text: pa.Array, first: np.ndarray) -> tuple[pa.Arra
     buffer = np.empty(offsets[-1], np.uint8)
     for k, (data, starts, sizes) in enumerate(pieces):
         to = offsets[k:-1:len(pieces)]
-        # Every byte of a segment moves by the distance between its old and its new place.
-        run = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        buffer[run + np.repeat(to, sizes)] = data[run + np.repeat(starts, sizes)]
+        for i in np.flatnonzero(sizes >= SLICE):
+            buffer[to[i]:to[i] + sizes[i]] = data[starts[i]:starts[i] + sizes[i]]
+        short = np.flatnonzero((sizes > 0) & (sizes < SLICE))
+        ends = np.cumsum(sizes[short])
+        at = 0
+        while at < len(short):
+            until = max(at + 1, int(np.searchsorted(ends, ends[at] + SCATTER)))
+            own = short[at:until]
+            size = sizes[own]
+            # Every byte of a segment moves by the distance between its old and its new place.
+            run = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            buffer[run + np.repeat(to[own], size)] = data[run + np.repeat(starts[own], size)]
+            at = until
     conversation = offsets[np.append(first, n) * len(pieces)]
     formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(conversation.astype(np.int64)), pa.py_buffer(buffer))
     points = np.stack([pc.utf8_length(p).to_numpy(zero_copy_only=False) for p in parts], axis=1).astype(np.int64)
@@ -106,12 +117,22 @@ def _format(rows: pa.Table) -> pa.RecordBatch:
          pa.ListArray.from_arrays(pa.array(edges, pa.int32()), ranges)], ["conv_id", "turns", "formatted", "mask"])
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``ROWS`` rows and, unless one row is longer, ``BYTES`` bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        until = min(at + ROWS, max(at + 1, int(np.searchsorted(sizes, before + BYTES, "right"))))
+        yield batch.slice(at, until - at)
+        at = until
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole conversations of a partition sorted by conversation, some thousand rows at a time."""
+    """Whole conversations of a partition sorted by conversation, some thousand rows or some megabytes at a time."""
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
+        for part in _cut(batch):
             codes = pc.fill_null(pc.not_equal(part.column(0), part.column(0)[-1]), True).to_numpy(zero_copy_only=False)
             codes = codes if part.column(0)[-1].is_valid else part.column(0).is_valid().to_numpy(zero_copy_only=False)
             cut = int(np.flatnonzero(codes)[-1]) + 1 if codes.any() else 0

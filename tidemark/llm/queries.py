@@ -52,7 +52,9 @@ def op9_pack_pieces(spark, sf_dir):
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(model, docs["text"]).alias("score"))
+    # A null id can have no label and is not held out.
+    out = F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False))
+    scored = docs.select("doc_id", out.alias("held_out"), quality.score(model, docs["text"]).alias("score"))
     return scored.select("*", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 

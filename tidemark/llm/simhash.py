@@ -222,4 +222,4 @@ def representatives(docs: DataFrame, budget: int = BUDGET, limit: int = LIMIT) -
     least = stored(least.select(F.col("least.doc_id").alias("own_id"), F.col("least.body").alias("own_body")), "least")
     body = F.xxhash64(docs["text"])
     found = docs.join(least, docs["doc_id"].eqNullSafe(least["own_id"]) & (body == least["own_body"]))
-    return found.select(whole(docs), "own_id", "own_body").dropDuplicates(["own_id", "own_body"]).select("row.*")
+    return found.select(whole(docs), least["own_id"], least["own_body"]).dropDuplicates(["own_id", "own_body"]).select("row.*")
