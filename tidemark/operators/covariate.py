@@ -179,7 +179,8 @@ def crossfitted(long: DataFrame, keys: Sequence[str], sid: str, y: str, age: str
     lists = rows.groupBy(*keys, "repeat", "fold", sid, y).agg(F.array_sort(F.collect_list(entry)).alias("__l"))
     each = lists.withColumn("mfold", F.explode(models))
     known = F.filter("__l", lambda e: F.get(e["v"], F.col("mfold")).isNotNull())
-    return each.select(*keys, "repeat", "mfold", "fold", sid, y, F.transform(known, lambda e: F.get(e["v"], F.col("mfold"))).alias("x"))
+    x = F.transform(known, lambda e: F.get(e["v"], F.col("mfold")))
+    return each.select(*keys, "repeat", "mfold", "fold", sid, y, x.alias("x")).filter(F.size("x") > 0)
 
 
 # ---- anchored reading -------------------------------------------------------------------------
