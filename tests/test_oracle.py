@@ -34,7 +34,7 @@ def test_entry_has_rows(spark):
     assert entry_mod.entry(spark).count() > 0
 
 
-HOT = ["a03_auc", "a09_average_precision", "i02_delong_test", "i03_increment_margins", "j05_caliper_nearest",
+HOT = ["a03_auc", "a09_average_precision", "i02_delong_test", "i03_registered_margins", "j05_caliper_nearest",
        "ml12_site_anchor", "mt01_exact_ties", "r01_midrank", "r05_holm", "r06_rank_interpolation", "w03_reject_fallback"]
 
 

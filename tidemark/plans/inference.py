@@ -16,10 +16,10 @@ from tidemark.operators import operating as op
 from tidemark.operators import rankstats as rs
 from tidemark.operators import resample as rp
 from tidemark.operators.ordered import row_numbers, same_group
-from tidemark.plans.modelling import K, REPEATS, calibrated_transfer, design, doc_rows, long_age
+from tidemark.plans.modelling import K, REPEATS, calibrated_transfer, design, doc_rows
 from tidemark.plans.ranks import DELONG_OUT, delong_out
 from tidemark.plans.registry import Tables, query
-from tidemark.plans.sql import auc_cte, boot, delong_cte, h, r, two_sided, u
+from tidemark.plans.sql import auc_cte, boot, delong_cte, h, r, two_sided
 from tidemark.session import stored
 from tidemark.tables import (CONTRAST, CUBE, SCORE, SUBJECT, contrast_rows, features_wide, score,
                              with_views)
