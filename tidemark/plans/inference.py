@@ -552,7 +552,12 @@ def mt05(spark, sf):
         rounded(F.stddev_pop("spec")).alias("specificity_sd"))
     a = rs.auc(rs.long_scores(targets.withColumnsRenamed({"p_direct": "direct", "p_normative": "normative"}), g, "y", ["direct", "normative"]), [*g, "arm"], "y", "s",
                hot=t.hot("customer", fanout=2))
-    return out.join(a.select(*g, "arm", rounded(F.col("auc")).alias("auc")), [*g, "arm"], "left")
+    out = out.join(a.select(*g, "arm", rounded(F.col("auc")).alias("auc")), [*g, "arm"], "left")
+    # A cohort that cannot be read (too few source controls or anchors) keeps its rows, without values.
+    arms = F.array(*[F.struct(F.lit(n).alias("arm"), F.lit(k).alias("n_anchor")) for n, k in [("direct", 0), ("normative", 0), *[("anchored", k) for k in ANCHOR_K]]])
+    frame = contrast_rows(t).filter("cohort <> 'EUROPE'").select("contrast", "cohort").distinct().crossJoin(
+        F.broadcast(features_wide(t).select("cond").distinct())).select(*g, F.explode(arms).alias("e")).select(*g, "e.*")
+    return frame.join(out, [*g, "arm", "n_anchor"], "left")
 
 
 @query("mt05_coverage", with_views(SUBJECT, CONTRAST, CUBE) + f"""
