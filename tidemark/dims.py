@@ -86,6 +86,14 @@ FEATURES = ["rel_delta", "rel_theta", "rel_alpha", "rel_beta", "rel_gamma", "the
             "hjorth_complexity", "asymmetry_alpha", "ap_gradient_alpha"]
 SLOWING_TRIAD = ["theta_alpha_ratio", "rel_theta", "pdr_frequency"]
 SHORT_QUOTAS = {"clean": 24, "short12": 12, "short6": 6, "short3": 3}
+# name: (share moved towards a neighbouring site, one lead lost, quota, rate divisor, bits)
+STRESS = {
+    "clean": (0.0, False, 24, 1, None),
+    "contact_drop": (0.0, True, 24, 1, None),
+    "displace50": (0.5, False, 24, 1, None), "displace100": (1.0, False, 24, 1, None),
+    "short12": (0.0, False, 12, 1, None), "short6": (0.0, False, 6, 1, None), "short3": (0.0, False, 3, 1, None),
+    "mix_moderate": (0.5, False, 15, 2, 8), "mix_severe": (1.0, False, 6, 2, 8),
+}
 
 # Inference ---------------------------------------------------------------------
 PLACEMENT_PAIRS = [("b2", "b19"), ("b4", "b19"), ("r_temporal", "r_frontal"), ("b2", "r_frontal"),

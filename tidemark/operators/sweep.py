@@ -7,7 +7,7 @@ medians are expressions and aggregates again.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -23,10 +23,16 @@ from tidemark.session import stored
 
 DIGITISED = ("b19", "b4")
 CHUNK_SAMPLES = 4_000_000  # samples worked on at once inside a task
-SPECTRA = ("cond string, bip boolean, rate int, rec {rec}, win bigint, channel string, "
+SPECTRA = ("cond string, bip boolean, rate int, rec string, win bigint, channel string, "
            "p array<double>, v0 double, v1 double, v2 double")
 
 
+def by_recording(windows: DataFrame, step: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` in which recordings travel as strings: an unknown one would turn integers into floats."""
+    kind = dict(windows.dtypes)["rec"]
+    return windows.withColumn("rec", F.col("rec").cast("string")).mapInPandas(step, schema).withColumn("rec", F.col("rec").cast(kind))
+
+
 def kept_windows(samples: DataFrame, length: int, limit: float, quota: int) -> DataFrame:
     """Windows measured under every condition: chosen once, on the full recording."""
     return wn.sampled(wn.accepted(wn.window_ptp(samples, length), limit, quota), quota)
@@ -41,9 +47,13 @@ def conditions(rate: int, rates: Sequence[int], depths: Sequence, raw: bool = Fa
     return out + [(m, p, rate, None) for p in ("emgfree", *(["noica"] if raw else [])) for m in DIGITISED]
 
 
-def mixing(names: Sequence[str], montage: str) -> tuple[np.ndarray, list[str]] | None:
-    """Signals of a montage as a signed mixing matrix (signals × channels) with their names; None when a site is missing."""
+def mixing(names: Sequence[str], montage: str, lost: str | None = None) -> tuple[np.ndarray, list[str]] | None:
+    """Signals of a montage as a signed mixing matrix (signals × channels) with their names; None when a site is missing.
+
+    Without its ``lost`` site the montage is referenced to the sites that are left.
+    """
     sites, ref, pairs, _ = dims.MONTAGES[montage]
+    sites = [s for s in sites if s != lost]
     place = {c: i for i, c in enumerate(names)}
     if any(s not in place for s in sites):
         return None
@@ -54,6 +64,23 @@ def mixing(names: Sequence[str], montage: str) -> tuple[np.ndarray, list[str]] |
     return own - (own.mean(axis=0) if ref == "subset_car" else 0), list(sites)
 
 
+def spectrum_rows(cond: str, montage: str, rate: int, rec: np.ndarray, win: np.ndarray, channel: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    """Spectrum and the three variances of each row of ``y`` in the columns of ``SPECTRA``."""
+    d1 = np.diff(y, axis=1)
+    return pd.DataFrame({
+        "cond": cond, "bip": dims.MONTAGES[montage][1] == "bipolar", "rate": rate, "rec": rec, "win": win, "channel": channel,
+        "p": list(sp.welch_rows(y, rate)), "v0": y.var(axis=1), "v1": d1.var(axis=1), "v2": np.diff(d1, axis=1).var(axis=1)})
+
+
+def recording_cube(spectra: DataFrame, length: int, rate: int, rates: Sequence[int], hot: bool | None = None) -> DataFrame:
+    """(cond, rec, n_windows, 17 features): window means of the channels and their medians over the windows of a recording."""
+    grids = sp.Grids([sp.Grid(length // (rate // r), r) for r in rates], "rate")
+    per = sp.channel_features(spectra, grids)
+    win = sp.window_features(per, ["cond", "bip", "rec", "win"], F.col("bip"))
+    # A recording keeps at most its quota of windows, so its medians are bounded.
+    return sp.recording_features(win, ["cond", "rec"], hot=False if hot is None else hot)
+
+
 def condition_spectra(windows: DataFrame, conds: list[tuple], rate: int, full_scale: float) -> DataFrame:
     """Spectra of every condition of a batch of windows (rec, win, channels, xs)."""
     order = sorted(conds, key=lambda c: (c[0], c[1], c[2]))
@@ -71,12 +98,8 @@ def condition_spectra(windows: DataFrame, conds: list[tuple], rate: int, full_sc
             rec, win = (np.repeat(g[c].to_numpy(), len(signals)) for c in ("rec", "win"))
             for _, _, r, bits in same:
                 y = dg.converted_rows(dg.decimate_rows(flat, rate // r), bits, full_scale)
-                d1 = np.diff(y, axis=1)
-                yield pd.DataFrame({
-                    "cond": f"{montage}|{r}|{'f32' if bits is None else bits}|{pre}",
-                    "bip": dims.MONTAGES[montage][1] == "bipolar", "rate": r, "rec": rec, "win": win,
-                    "channel": np.tile(signals, len(g)), "p": list(sp.welch_rows(y, r)),
-                    "v0": y.var(axis=1), "v1": d1.var(axis=1), "v2": np.diff(d1, axis=1).var(axis=1)})
+                yield spectrum_rows(f"{montage}|{r}|{'f32' if bits is None else bits}|{pre}", montage, r, rec, win,
+                                    np.tile(signals, len(g)), y)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -85,7 +108,7 @@ def condition_spectra(windows: DataFrame, conds: list[tuple], rate: int, full_sc
                 for start in range(0, len(g), size):
                     yield from spectra_of(g.iloc[start:start + size], list(names))
 
-    return windows.mapInPandas(step, SPECTRA.format(rec=dict(windows.dtypes)["rec"]))
+    return by_recording(windows, step, SPECTRA)
 
 
 def pinned_matrices(raw: DataFrame, offsets: DataFrame, kept: DataFrame, length: int) -> DataFrame:
@@ -113,11 +136,7 @@ def swept(samples: DataFrame, length: int, rate: int, limit: float, quota: int,
     if raw is not None:
         spectra = spectra.unionByName(condition_spectra(
             pinned_matrices(raw, offsets, kept, length), [c for c in every if c[1] == "noica"], rate, full_scale))
-    grids = sp.Grids([sp.Grid(length // (rate // r), r) for r in rates], "rate")
-    per = sp.channel_features(spectra, grids)
-    win = sp.window_features(per, ["cond", "bip", "rec", "win"], F.col("bip"))
-    # A recording keeps at most ``quota`` windows, so its medians are bounded.
-    return sp.recording_features(win, ["cond", "rec"], hot=False if hot is None else hot)
+    return recording_cube(spectra, length, rate, rates, hot)
 
 
 def sweep_report(cube_wide: DataFrame) -> DataFrame:

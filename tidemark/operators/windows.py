@@ -66,12 +66,14 @@ def sampled(windows: DataFrame, quota: int, keys: tuple = ("rec",)) -> DataFrame
     return h.withColumn("__k", k).filter(F.col("__k") <= quota).drop("__k", "__h")
 
 
-def matrices(samples: DataFrame, kept: DataFrame, length: int) -> DataFrame:
-    """(rec, win, channels, xs): a kept window as one row, samples in (channel, time) order.
+def matrices(samples: DataFrame, kept: DataFrame | None, length: int) -> DataFrame:
+    """(rec, win, channels, xs): a kept window (None: any window) as one row, samples in (channel, time) order.
 
     One shuffle; the group is one window, bounded by electrodes times window length.
     """
-    rows = windowed(samples, length).join(kept.select("rec", "win"), ["rec", "win"], "left_semi")
+    rows = windowed(samples, length)
+    if kept is not None:
+        rows = rows.join(kept.select("rec", "win"), ["rec", "win"], "left_semi")
     cells = F.array_sort(F.collect_list(F.struct("channel", "t", "x")))
     return rows.groupBy("rec", "win").agg(
         F.array_sort(F.collect_set("channel")).alias("channels"),

@@ -1,7 +1,7 @@
 """Registered queries: each binds an operator to an adapter view of the given tables."""
 import importlib
 
-MODULES = ["ranks", "sources", "spine", "joins", "recordings", "spectra", "operating", "modelling", "inference"]
+MODULES = ["ranks", "sources", "spine", "joins", "recordings", "spectra", "operating", "modelling", "inference", "stress"]
 
 
 def load() -> None:

@@ -714,29 +714,3 @@ def mt10_pairs(spark, sf):
     pairs = F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), at(a).alias("sa"), at(b).alias("sb")) for a, b in CONDITION_PAIRS])
     rows = wide.select(F.lit("differential").alias("task"), "cohort", "y", F.explode(pairs).alias("p")).select("task", "cohort", "y", "p.*")
     return pair_family(rows, ["task"], hot)
-
-
-# Fault strengths: features rounded to 1/step.
-FAULTS = {"coarse": 4.0, "severe": 1.0}
-
-
-@query("mt11_stress_table")
-def mt11(spark, sf):
-    """Faults × training regime: fitted on the fault itself (device) or on clean data (clinic); scores and increments over the covariate, paired with clean."""
-    t = Tables(spark, sf)
-    hot = t.hot("documents", fanout=8)
-    features = [F.col("a") / 1000, F.col("c") / 50]
-    design_of = {"clean": F.array(*features), **{f: F.array(*[F.rint(q * step) / step for q in features]) for f, step in FAULTS.items()}}
-    age = F.array(F.col("b") / 5000)
-    rows = doc_rows(t).select("id", "y", F.col("b").alias("age"), *[v.alias(f"v_{n}") for n, v in design_of.items()],
-                              *[F.concat(v, age).alias(f"b_{n}") for n, v in design_of.items()])
-    arms = {"clean_device": "v_clean", "clean_device_both": "b_clean"}
-    for f in FAULTS:
-        arms |= {f"{f}_device": f"v_{f}", f"{f}_device_both": f"b_{f}", f"{f}_clinic": ("v_clean", f"v_{f}"), f"{f}_clinic_both": ("b_clean", f"b_{f}")}
-    s = bt.cross_validated(rows, [], "id", "y", arms, large=t.large("documents"), hot=hot).join(rows.select("id", "age"), "id")
-    cases = ["clean_device", *[f"{f}_{r}" for f in FAULTS for r in ("device", "clinic")]]
-    tests = [(f"{c}:{m}", *p) for c in cases for m, p in (("inc", (f"{c}_both", "age")), ("score_to_clean", (c, "clean_device")), ("both_to_clean", (f"{c}_both", "clean_device_both")))]
-    d = margin_tests(stored(s, "stress"), [], tests, hot)
-    case, test = F.split("margin", ":")[0], F.split("margin", ":")[1]
-    d = d.select(F.split(case, "_")[0].alias("cond"), F.split(case, "_")[1].alias("regime"), test.alias("test"), "n", "auc_a", "diff", "se", "ci_lo", "ci_hi", "p")
-    return d.select("cond", "regime", "test", "n", *[rounded(F.col(c)).alias(c) for c in ("auc_a", "diff", "se", "ci_lo", "ci_hi")], rounded(F.col("p"), 5).alias("p"))

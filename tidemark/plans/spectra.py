@@ -200,28 +200,8 @@ def _decimated(name: str, k: int) -> str:
   ON (t + j) % {k} = 0 AND t + j >= 0 AND t + j < 64 WHERE src = 'ica' AND montage IN ('b19', 'b4') GROUP BY 1, 2, 3, 4, 5)"""
 
 
-SWEEP = f"""{_SPTP}, {_SACC}, {SAMPLED},
-raw AS (SELECT s.rec, w.win, s.channel, s.t - w.win * 64 AS t, s.x FROM signal s JOIN wsam w ON w.rec = s.rec AND w.win = CAST(floor(s.t / 64) AS BIGINT)),
-inp AS (SELECT 'ica' AS src, * FROM raw UNION ALL SELECT 'raw', rec, win, channel, t, 1.1e0 * x + 0.01e0 * (t % 2) FROM raw),
-sch AS (SELECT * FROM {dims.values_sql([(m, s[1], c) for m, s in dims.MONTAGES.items() for c in s[0]])} v(montage, ref, channel)),
-spr AS (SELECT * FROM {dims.values_sql([(m, a, b) for m, s in dims.MONTAGES.items() for a, b in s[2]])} v(montage, a, b)),
-sig AS (SELECT src, montage, rec, win, channel, t, x - CASE WHEN ref = 'subset_car' THEN avg(x) OVER (PARTITION BY src, montage, rec, win, t) ELSE 0 END AS x
-    FROM inp JOIN sch USING (channel) WHERE ref <> 'bipolar'
-  UNION ALL SELECT p.src, montage, p.rec, p.win, a || '-' || b, p.t, p.x - q.x FROM spr JOIN inp p ON p.channel = a
-    JOIN inp q ON q.channel = b AND q.src = p.src AND q.rec = p.rec AND q.win = p.win AND q.t = p.t),
-emc AS (SELECT montage, rec, win, channel, k, sum(x * cos(2 * pi() * k * t / 64)) AS re, sum(x * sin(2 * pi() * k * t / 64)) AS im
-  FROM sig, (SELECT unnest(range(1, 32)) AS k) WHERE src = 'ica' AND montage IN ('b19', 'b4') GROUP BY 1, 2, 3, 4, 5),
-{_decimated('dec2', 2)}, {_decimated('dec4', 4)},
-arms AS (SELECT montage, 'full' AS preproc, 96 AS rate, rec, win, channel, t, x FROM sig WHERE src = 'ica'
-  UNION ALL SELECT montage, 'noica', 96, rec, win, channel, t, x FROM sig WHERE src = 'raw' AND montage IN ('b19', 'b4')
-  UNION ALL SELECT montage, 'emgfree', 96, rec, win, channel, t, sum({band_gain('1.5e0 * k', 96, 2, 20)} * (re * cos(2 * pi() * k * t / 64) + im * sin(2 * pi() * k * t / 64))) / 32
-    FROM emc, (SELECT unnest(range(0, 64)) AS t) GROUP BY montage, rec, win, channel, t
-  UNION ALL SELECT montage, 'full', 48, rec, win, channel, t, x FROM dec2
-  UNION ALL SELECT montage, 'full', 24, rec, win, channel, t, x FROM dec4),
-cell AS (SELECT cond, bip, rate, rec, win, channel, t, CASE WHEN bits IS NULL THEN x ELSE
-    greatest(least(round_even(x / (2e0 / pow(2.0e0, bits)), 0) * (2e0 / pow(2.0e0, bits)), 1e0), -1e0) END AS x
-  FROM arms JOIN {dims.values_sql(CONDS)} c(montage, rate, bits, preproc, cond, bip) USING (montage, rate, preproc)),
-stap AS (SELECT *, rate * 2 // 3 AS n, (x - avg(x) OVER w) * (0.5e0 - 0.5e0 * cos(2 * pi() * t / (rate * 2 // 3))) AS v,
+# From samples cell(cond, bip, rate, rec, win, channel, t, x) on a grid of 1.5 Hz to the medians of every recording.
+CUBE_OF_CELLS = f"""stap AS (SELECT *, rate * 2 // 3 AS n, (x - avg(x) OVER w) * (0.5e0 - 0.5e0 * cos(2 * pi() * t / (rate * 2 // 3))) AS v,
    x - lag(x) OVER o AS d1, x - 2 * lag(x) OVER o + lag(x, 2) OVER o AS d2 FROM cell
    WINDOW w AS (PARTITION BY cond, rec, win, channel), o AS (PARTITION BY cond, rec, win, channel ORDER BY t)),
 sps AS (SELECT cond, bip, rate, rec, win, channel, 1.5e0 * k AS f, (pow(sum(v * cos(2 * pi() * k * t / n)), 2) + pow(sum(v * sin(2 * pi() * k * t / n)), 2))
@@ -248,6 +228,30 @@ swn AS (SELECT s.cond, s.rec, s.win, avg(d / whole) AS rel_delta, avg(th / whole
 swp AS (SELECT cond, rec, count(*) AS n_windows, {', '.join(f'quantile_cont({n}, 0.5) AS {n}' for n in dims.FEATURES)} FROM swn GROUP BY 1, 2)"""
 
 
+SWEEP = f"""{_SPTP}, {_SACC}, {SAMPLED},
+raw AS (SELECT s.rec, w.win, s.channel, s.t - w.win * 64 AS t, s.x FROM signal s JOIN wsam w ON w.rec = s.rec AND w.win = CAST(floor(s.t / 64) AS BIGINT)),
+inp AS (SELECT 'ica' AS src, * FROM raw UNION ALL SELECT 'raw', rec, win, channel, t, 1.1e0 * x + 0.01e0 * (t % 2) FROM raw),
+sch AS (SELECT * FROM {dims.values_sql([(m, s[1], c) for m, s in dims.MONTAGES.items() for c in s[0]])} v(montage, ref, channel)),
+spr AS (SELECT * FROM {dims.values_sql([(m, a, b) for m, s in dims.MONTAGES.items() for a, b in s[2]])} v(montage, a, b)),
+sig AS (SELECT src, montage, rec, win, channel, t, x - CASE WHEN ref = 'subset_car' THEN avg(x) OVER (PARTITION BY src, montage, rec, win, t) ELSE 0 END AS x
+    FROM inp JOIN sch USING (channel) WHERE ref <> 'bipolar'
+  UNION ALL SELECT p.src, montage, p.rec, p.win, a || '-' || b, p.t, p.x - q.x FROM spr JOIN inp p ON p.channel = a
+    JOIN inp q ON q.channel = b AND q.src = p.src AND q.rec = p.rec AND q.win = p.win AND q.t = p.t),
+emc AS (SELECT montage, rec, win, channel, k, sum(x * cos(2 * pi() * k * t / 64)) AS re, sum(x * sin(2 * pi() * k * t / 64)) AS im
+  FROM sig, (SELECT unnest(range(1, 32)) AS k) WHERE src = 'ica' AND montage IN ('b19', 'b4') GROUP BY 1, 2, 3, 4, 5),
+{_decimated('dec2', 2)}, {_decimated('dec4', 4)},
+arms AS (SELECT montage, 'full' AS preproc, 96 AS rate, rec, win, channel, t, x FROM sig WHERE src = 'ica'
+  UNION ALL SELECT montage, 'noica', 96, rec, win, channel, t, x FROM sig WHERE src = 'raw' AND montage IN ('b19', 'b4')
+  UNION ALL SELECT montage, 'emgfree', 96, rec, win, channel, t, sum({band_gain('1.5e0 * k', 96, 2, 20)} * (re * cos(2 * pi() * k * t / 64) + im * sin(2 * pi() * k * t / 64))) / 32
+    FROM emc, (SELECT unnest(range(0, 64)) AS t) GROUP BY montage, rec, win, channel, t
+  UNION ALL SELECT montage, 'full', 48, rec, win, channel, t, x FROM dec2
+  UNION ALL SELECT montage, 'full', 24, rec, win, channel, t, x FROM dec4),
+cell AS (SELECT cond, bip, rate, rec, win, channel, t, CASE WHEN bits IS NULL THEN x ELSE
+    greatest(least(round_even(x / (2e0 / pow(2.0e0, bits)), 0) * (2e0 / pow(2.0e0, bits)), 1e0), -1e0) END AS x
+  FROM arms JOIN {dims.values_sql(CONDS)} c(montage, rate, bits, preproc, cond, bip) USING (montage, rate, preproc)),
+{CUBE_OF_CELLS}"""
+
+
 @query("f23_sweep", with_views(SCALP, SWEEP) + f"SELECT cond, rec, n_windows, {', '.join(f'{r(n, 5)} AS {n}' for n in dims.FEATURES)} FROM swp")
 def f23(spark, sf):
     out = sweep_cube(Tables(spark, sf))
