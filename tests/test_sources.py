@@ -62,6 +62,28 @@ def test_release_inventory(spark):
     assert a != release.fingerprint(files.withColumn("length", F.col("length") + 1)).first()[0]
 
 
+def test_hash_tree_against_a_loop(spark, small_limits):
+    import hashlib
+    sha = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    rows = [(f"p{i * 7 % 23:02d}", i) for i in range(23)] + [("p05", 99), ("p05", 99), (None, 3), ("px", None)]
+    files = spark.createDataFrame(rows, "path string, length bigint")
+    key = lambda r: tuple((v is not None, v or "") if i == 0 else (v is not None, v or 0) for i, v in enumerate(r))
+    level = [sha(f"{p or ''}:{'' if n is None else n}") for p, n in sorted(rows, key=key)]
+    depth = 0
+    while len(level) > 1:
+        level, depth = [sha("".join(level[i:i + 3])) for i in range(0, len(level), 3)], depth + 1
+    assert tuple(release.fingerprint(files, 3).first()) == (level[0], len(rows), depth)
+    tree = release.hash_tree(files, 3)
+    root = F.lit(level[0])
+    b = release.branches(tree, files, 3)
+    got = b.select("path", "length", release.proven(F.col("path"), F.col("length"), F.col("steps"), root).alias("yes"),
+                   release.proven(F.concat("path", F.lit("x")), F.col("length"), F.col("steps"), root).alias("no")).collect()
+    assert len(got) == 24 and all(r["yes"] and not r["no"] for r in got)  # distinct known paths
+    one = release.fingerprint(files.limit(1), 3).first()
+    assert one["n_levels"] == 1 and one["n_files"] == 1
+    assert tuple(release.fingerprint(files.limit(0), 3).first()) == (sha(""), 0, 0)
+
+
 def test_cube_reads_only_the_condition_asked_for(spark, tmp_path):
     df = spark.createDataFrame([("c1", 1, 0.5), ("c2", 1, None)], "cond string, subject int, value double")
     sinks.write_cube(df, str(tmp_path / "cube"))

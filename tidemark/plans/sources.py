@@ -141,13 +141,43 @@ def src06_first(spark, sf):
     return release.first_paths(release.parsed(release_files(Tables(spark, sf))))
 
 
-@query("src07_release_fingerprint", """
-SELECT sha256(string_agg(d, '' ORDER BY b)) AS fingerprint FROM (
-  SELECT b, sha256(string_agg(line, '' ORDER BY line)) AS d FROM (
-    SELECT substr(sha256(url), 1, 3) AS b, url || CAST(length(html) AS VARCHAR) AS line FROM pages) GROUP BY b)""")
+# A small fan, so that the given tables already make several levels.
+FAN, LEVELS = 16, 7
+
+
+def _tree_sql() -> str:
+    """Level after level, each only while the one below has more than one node (the first always)."""
+    out = ["l0 AS (SELECT row_number() OVER (ORDER BY path, length) - 1 AS node, sha256(path || ':' || CAST(length AS VARCHAR)) AS d FROM listing)"]
+    for k in range(1, LEVELS + 1):
+        more = "" if k == 1 else f" WHERE (SELECT count(*) FROM l{k - 1}) > 1"
+        out.append(f"l{k} AS (SELECT node // {FAN} AS node, sha256(string_agg(d, '' ORDER BY node)) AS d FROM l{k - 1}{more} GROUP BY node // {FAN})")
+    return ",\n".join(out)
+
+
+@query("src07_release_fingerprint", with_views("listing AS (SELECT url AS path, length(html) AS length FROM pages)", _tree_sql()) + f"""
+SELECT d AS fingerprint, (SELECT count(*) FROM listing) AS n_files, CAST(k AS INT) AS n_levels
+FROM ({' UNION ALL '.join(f'SELECT {k} AS k, d, count(*) OVER () AS c FROM l{k}' for k in range(1, LEVELS + 1))}) WHERE c = 1""")
 def src07(spark, sf):
     p = Tables(spark, sf).pages
-    return release.fingerprint(p.select(F.col("url").alias("path"), F.length("html").alias("length")))
+    return release.fingerprint(p.select(F.col("url").alias("path"), F.length("html").alias("length")), FAN)
+
+
+@query("src07_branch_proof", with_views(FILES) + f"""
+, pos AS (SELECT kind, path, row_number() OVER (ORDER BY path, length) - 1 AS leaf, count(*) OVER () AS n FROM files),
+ want AS (SELECT kind, min(path) AS path, arg_min(leaf, leaf) AS leaf, max(n) AS n FROM (SELECT * FROM pos QUALIFY path = min(path) OVER (PARTITION BY kind)) GROUP BY kind),
+ lev AS (SELECT kind, path, leaf, k, CAST(ceil(n / pow({FAN}.0e0, k - 1)) AS BIGINT) AS below FROM want CROSS JOIN (SELECT unnest(range(1, {LEVELS + 1})) AS k))
+SELECT kind, path, CAST(count(*) AS INT) AS n_levels, CAST(sum(least({FAN}, below - {FAN} * (leaf // CAST(pow({FAN}, k) AS BIGINT)))) AS BIGINT) AS n_siblings,
+  true AS proven, false AS other_size_proven FROM lev WHERE below > 1 OR k = 1 GROUP BY kind, path""")
+def src07_proof(spark, sf):
+    """The first file of each kind is proven by its branch, and is not with another size."""
+    files = release.parsed(release_files(Tables(spark, sf)))
+    levels = release.hash_tree(files, FAN)
+    want = files.groupBy("kind").agg(F.min("path").alias("path"))
+    b = release.branches(levels, want, FAN).crossJoin(levels[-1].select(F.col("digest").alias("root"))).join(want, "path")
+    sizes = F.aggregate("steps", F.lit(0), lambda s, x: s + F.size(x["siblings"]))
+    return b.select("kind", "path", F.size("steps").alias("n_levels"), sizes.cast("bigint").alias("n_siblings"),
+                    release.proven(F.col("path"), F.col("length"), F.col("steps"), F.col("root")).alias("proven"),
+                    release.proven(F.col("path"), F.col("length") + 1, F.col("steps"), F.col("root")).alias("other_size_proven"))
 
 
 @query("src08_split_partition", """

@@ -1,9 +1,12 @@
 """Inventory of a release that comes in several archive parts."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import row_numbers
+from tidemark.session import stored
+
 NAME = r"^([^-]+)-(\d{4}_\d{2}_\d{2}_[^-]+)-(video|resting)"
 
 
@@ -40,19 +43,68 @@ def date_key(date) -> F.Column:
     return F.array_join(F.slice(F.split(date, "_"), 1, 3), ".")
 
 
-def fingerprint(files: DataFrame) -> DataFrame:
-    """Order-independent digest of (path, length).
+def leaf_digest(path: Column, length: Column) -> Column:
+    """Digest of one file's name and size; unknown parts are empty."""
+    return F.sha2(F.concat(F.coalesce(path, F.lit("")), F.lit(":"), F.coalesce(length.cast("string"), F.lit(""))), 256)
+
+
+def _joined(digests: Column) -> Column:
+    return F.sha2(F.array_join(digests, ""), 256)
 
-    Two levels, so no task holds the whole listing: files fall into 4096 buckets by path hash,
-    each bucket is digested in path order, and the bucket digests are digested in bucket order.
+
+def hash_tree(files: DataFrame, fan: int = 1024) -> list[DataFrame]:
+    """Levels of a hash tree over a listing, leaves first, one node in the last: (node, digest), leaves also (path, length).
+
+    Files are numbered in (path, length) order by ranges; a node of the next level digests ``fan`` neighbouring digests,
+    so no task gathers more than ``fan`` of them whatever the number of files, and there are as many levels as it takes.
+    Empty listings have leaves only.
+    """
+    if fan < 2:
+        raise ValueError("a node needs at least two children")
+    leaves = files.select("path", "length", leaf_digest(F.col("path"), F.col("length")).alias("digest"))
+    levels = [stored(row_numbers(leaves, [], ["path", "length"], "node").withColumn("node", F.col("node") - 1), "leaves")]
+    count = levels[0].count()
+    while count > 1 or (count == 1 and len(levels) == 1):
+        below = levels[-1].groupBy(F.floor(F.col("node") / fan).alias("parent")).agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("c"))
+        levels.append(stored(below.select(F.col("parent").alias("node"), _joined(F.transform("c", lambda x: x["digest"])).alias("digest")), "nodes"))
+        count = -(-count // fan)
+    return levels
+
+
+def fingerprint(files: DataFrame, fan: int = 1024) -> DataFrame:
+    """(fingerprint, n_files, n_levels): order-independent digest of (path, length); an empty listing has the digest of nothing."""
+    levels = hash_tree(files, fan)
+    top = levels[-1].agg(F.max("digest").alias("d")) if len(levels) > 1 else levels[0].agg(F.sha2(F.lit(""), 256).alias("d"))
+    return top.crossJoin(levels[0].agg(F.count("*").alias("n_files"))).select(
+        F.col("d").alias("fingerprint"), "n_files", F.lit(len(levels) - 1).alias("n_levels"))
+
+
+def branches(levels: list[DataFrame], paths: DataFrame, fan: int = 1024) -> DataFrame:
+    """(path, length, steps): for the first leaf of each wanted path the digests beside it, level by level up to the root.
+
+    ``steps`` holds structs (level, at, siblings); with the root's digest alone they prove a file's name and size.
     """
-    line = F.concat(F.col("path"), F.col("length").cast("string"))
-    bucketed = files.select(F.substring(F.sha2("path", 256), 1, 3).alias("b"), line.alias("line"))
-    per = bucketed.groupBy("b").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("d"))
-    return per.agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256)
-        .alias("fingerprint"))
+    first = levels[0].join(paths.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.min("node").alias("leaf"), F.min_by("length", "node").alias("length"))
+    first = stored(first, "wanted")
+    steps = None
+    for k, below in enumerate(levels[:-1], start=1):
+        at = first.select("path", F.floor(F.col("leaf") / fan ** (k - 1)).alias("child")).withColumn("parent", F.floor(F.col("child") / fan))
+        inside = below.withColumn("parent", F.floor(F.col("node") / fan)).join(at.select("parent").distinct(), "parent", "left_semi")
+        beside = inside.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("c"))
+        step = at.join(beside, "parent").select("path", F.struct(F.lit(k).alias("level"), (F.col("child") % fan + 1).cast("int").alias("at"),
+                                                                 F.transform("c", lambda x: x["digest"]).alias("siblings")).alias("step"))
+        steps = step if steps is None else steps.unionByName(step)
+    if steps is None:
+        return first.select("path", "length", F.array().cast("array<struct<level:int,at:int,siblings:array<string>>>").alias("steps"))
+    return first.select("path", "length").join(steps.groupBy("path").agg(F.array_sort(F.collect_list("step")).alias("steps")), "path")
+
+
+def proven(path: Column, length: Column, steps: Column, root: Column) -> Column:
+    """Whether a file's name and size lead to ``root`` along a branch; only digests are needed, not the listing."""
+    start = F.struct(leaf_digest(path, length).alias("d"), F.lit(True).alias("fine"))
+    end = F.aggregate(steps, start, lambda s, x: F.struct(
+        _joined(x["siblings"]).alias("d"), (s["fine"] & F.coalesce(F.get(x["siblings"], x["at"] - 1) == s["d"], F.lit(False))).alias("fine")))
+    return end["fine"] & (end["d"] == root)
 
 
 def preferred_match(sessions: DataFrame, meta: DataFrame, key: str, session_date: str,
