@@ -182,3 +182,28 @@ def test_sweep_cube(spark):
     assert rows["b1|64|f32|full", "a"]["asymmetry_alpha"] is None
     assert rows["b19|64|f32|full", "a"]["ap_gradient_alpha"] is not None
     assert rows["b19|32|f32|full", "a"]["rel_beta"] is None and rows["b19|64|f32|full", "a"]["rel_beta"] is not None
+
+
+def test_displaced_against_a_loop_with_gaps_and_null_keys(spark):
+    rows = [(rec, c, t, float(10 * i + t)) for rec in ("a", None) for i, c in enumerate(("T5", "O1", "Cz")) for t in range(4) if not (c == "O1" and t == 2)]
+    rows += [("a", None, 0, 5.0), ("b", "T5", 0, 1.0)]
+    s = spark.createDataFrame(rows, "rec string, channel string, t bigint, x double")
+    edges = spark.createDataFrame([(r, *e) for r in ("a", None) for e in (("T5", "O1"), ("O1", "T5"))], "rec string, channel string, neighbour string")
+    at = {(r, c, t): x for r, c, t, x in rows}
+    want = {(r, c, t): 0.75 * at[r, c, t] + 0.25 * at[r, n, t] for r in ("a", None) for c, n in (("T5", "O1"), ("O1", "T5")) for t in (0, 1, 3)}
+    moved = ch.displaced(s, edges, 0.25)
+    assert {(r["rec"], r["channel"], r["t"]): r["x"] for r in moved.collect()} == want
+
+
+def test_budget_grid_makes_every_rate_in_one_pass(spark):
+    x = np.random.default_rng(3).normal(size=(3, 64))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "k int, x array<double>")
+    bits = dims.table(spark, [(None,), (8,)], "bits")
+    out = dg.with_budget(df, 64, [64, 32, 16], bits, 8.0, (2.0, 20.0))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {(r["k"], r["rate"], r["bits"]): r["x"] for r in out.collect()}
+    assert len(got) == 18
+    for i, row in enumerate(dg.restrict_rows(x, 64, 2.0, 20.0)):
+        for rate in (64, 32, 16):
+            for b in (None, 8):
+                assert np.allclose(got[i, rate, b], dg.converted_rows(dg.decimate_rows(row[None], 64 // rate), b, 8.0)[0])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import dims
 from tidemark.functions.draws import hash32
+from tidemark.operators.ordered import same_group
 
 
 def measurable(samples: DataFrame, montage_channel: DataFrame) -> DataFrame:
@@ -108,11 +109,17 @@ def chosen_neighbour(samples: DataFrame, lists: DataFrame, tag: str) -> DataFram
 
 
 def displaced(samples: DataFrame, edges: DataFrame, share: float) -> DataFrame:
-    """(1 − share)·x + share·x of the chosen neighbour at the same instant."""
-    moved = samples.join(edges, ["rec", "channel"])
-    other = samples.select("rec", "t", F.col("channel").alias("neighbour"), F.col("x").alias("__nx"))
-    return (moved.join(other, ["rec", "t", "neighbour"])
-            .withColumn("x", (1 - share) * F.col("x") + share * F.col("__nx"))
+    """(1 − share)·x + share·x of the chosen neighbour at the same instant; channels whose neighbour has no sample there have no row.
+
+    The channels of an instant meet in one row, so the samples are shuffled once and not joined to themselves. A recording's
+    edges are one small row.
+    """
+    inst = samples.filter("channel IS NOT NULL").groupBy("rec", "t").agg(F.collect_list(F.struct("channel", "x")).alias("c"))
+    moves = edges.groupBy("rec").agg(F.map_from_entries(F.collect_list(F.struct("channel", "neighbour"))).alias("to"))
+    rows = same_group(inst, moves, ["rec"]).select("rec", "t", "to", F.map_from_entries("c").alias("m"), F.explode("c").alias("s"))
+    near = F.try_element_at("to", F.col("s.channel"))
+    return (rows.withColumns({"channel": F.col("s.channel"), "neighbour": near}).filter(F.map_contains_key("m", near))
+            .withColumn("x", (1 - share) * F.col("s.x") + share * F.element_at("m", F.col("neighbour")))
             .select("rec", "channel", "t", "x", "neighbour"))
 
 

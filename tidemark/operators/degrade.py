@@ -110,13 +110,21 @@ def with_budget(windows: DataFrame, rate_in: int, rates: list[int], bits: DataFr
                 full_scale: float = FULL_SCALE, band: tuple | None = None) -> DataFrame:
     """band → rate → bits for a grid: adds ``rate`` and ``bits``, one row per combination.
 
-    The filter runs once per rate; the depths fan out afterwards as an expression.
+    One Arrow pass returns every rate of a window; the depths fan out afterwards as an expression.
     """
-    if band is not None:
-        windows = restricted(windows, rate_in, *band)
-    out = None
-    for rate in rates:
-        part = decimated(windows, rate_in, rate).withColumn("rate", F.lit(rate))
-        out = part if out is None else out.unionByName(part)
-    fan = out.crossJoin(F.broadcast(bits))
+    factors = [decimation_factor(rate_in, rate) for rate in rates]
+
+    @F.pandas_udf("array<array<double>>")
+    def step(col: pd.Series) -> pd.Series:
+        out: list = [None] * len(col)
+        for at, block in _by_length(col):
+            rows = block if band is None else restrict_rows(block, rate_in, *band)
+            per = [decimate_rows(rows, k) for k in factors]
+            for i, j in enumerate(at):
+                out[j] = [p[i] for p in per]
+        return pd.Series(out)
+
+    every = F.explode(F.arrays_zip(F.array(*[F.lit(r) for r in rates]).alias("rate"), step(F.col("x")).alias("x")))
+    rest = [c for c in windows.columns if c != "x"]
+    fan = windows.withColumn("__e", every).select(*rest, F.col("__e.x").alias("x"), F.col("__e.rate").alias("rate")).crossJoin(F.broadcast(bits))
     return fan.withColumn("x", F.transform("x", lambda v: quantised(v, F.col("bits"), full_scale)))

@@ -9,11 +9,13 @@ from tidemark.operators import batched as bt
 from tidemark.operators import bootstrap as bs
 from tidemark.operators import resample as rp
 from tidemark.operators import stress as st
+from tidemark.operators import sweep as sw
 from tidemark.operators.ordered import same_group
-from tidemark.plans.inference import margin_tests
-from tidemark.plans.recordings import taps_sql
+from tidemark.plans.inference import POOLED, _family, margin_tests, pair_family
+from tidemark.plans.recordings import QUOTA, taps_sql
 from tidemark.plans.registry import Tables, query
-from tidemark.plans.spectra import CUBE_OF_CELLS, S_LENGTH, S_LIMIT, S_RATE, S_SCALE
+from tidemark.plans.spectra import CUBE_OF_CELLS, S_LENGTH, S_LIMIT, S_RATE, S_SCALE, SWEEP
+from tidemark.plans.sql import delong_cte
 from tidemark.plans.sql import digest as dsql
 from tidemark.plans.sql import h as hsql
 from tidemark.plans.sql import r
@@ -162,3 +164,30 @@ def mt11_intervals(spark, sf):
     out = rp.interval(bs.aucs(s, ["contrast", "montage"], "rec", "y", CASES, 2000, "stress"), ["contrast", "montage", "arm"], "auc")
     part = F.split("arm", ":")
     return out.select("contrast", "montage", part[0].alias("fault"), part[1].alias("regime"), *[rounded(F.col(c)).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n_replicates")
+
+
+# Placement pairs: every window of the scalp recordings is a recording of its own, so that each cohort has enough of them.
+WHOLE_SCALP = SCALP.replace("signal AS (", "whole AS (", 1) + f""",
+signal AS (SELECT rec * 1000000 + t // {S_LENGTH} AS rec, channel, t % {S_LENGTH} AS t, x FROM whole)"""
+PLACED = f"""pl_s AS (SELECT rec, string_split(cond, '|')[1] AS montage, n.feature, n.value FROM swp
+  CROSS JOIN LATERAL (VALUES {', '.join(f"('{n}', round({n}, 7))" for n in dims.SLOWING_TRIAD)}) n(feature, value) WHERE cond LIKE '%|{S_RATE}|f32|full'),
+pr AS (SELECT a.feature AS task, p.ma || '_vs_' || p.mb AS pair, CASE WHEN a.rec % 2 = 0 THEN 'even' ELSE 'odd' END AS cohort,
+   CASE WHEN a.rec // 1000000 >= 5 THEN 1 ELSE 0 END AS y, a.value AS sa, b.value AS sb
+  FROM pl_s a JOIN pl_s b USING (rec, feature) JOIN {dims.values_sql(dims.PLACEMENT_PAIRS)} p(ma, mb) ON p.ma = a.montage AND p.mb = b.montage)"""
+
+
+@query("i13_placement_pairs", with_views(WHOLE_SCALP, SWEEP, PLACED, delong_cte("res", "pr", "task, pair, cohort", "y", "sa", "sb"),
+       POOLED.format(g="task, pair,", src="res")) + ", " + _family("task"))
+def i13_placement(spark, sf):
+    """Ten placements against each other by three measures of slowing, on the same recordings, pooled over cohorts and Holm-adjusted per measure."""
+    t = Tables(spark, sf)
+    at = F.floor(F.col("t") / S_LENGTH)
+    own = scalp(t).select((F.col("rec") * 1000000 + at).alias("rec"), "channel", (F.col("t") % S_LENGTH).alias("t"), "x")
+    cube = sw.swept(own, S_LENGTH, S_RATE, S_LIMIT, QUOTA, [S_RATE], [None], S_SCALE)
+    wide = cube.groupBy("rec").agg(F.map_from_entries(F.collect_list(F.struct("cond", F.struct(*dims.SLOWING_TRIAD).alias("v")))).alias("m"))
+    of = lambda m, n: F.round(F.try_element_at("m", F.lit(f"{m}|{S_RATE}|f32|full"))[n], 7)
+    pairs = F.array(*[F.struct(F.lit(n).alias("task"), F.lit(f"{a}_vs_{b}").alias("pair"), of(a, n).alias("sa"), of(b, n).alias("sb"))
+                      for n in dims.SLOWING_TRIAD for a, b in dims.PLACEMENT_PAIRS])
+    rows = wide.select(F.when(F.col("rec") % 2 == 0, "even").otherwise("odd").alias("cohort"), (F.floor(F.col("rec") / 1000000) >= 5).cast("int").alias("y"),
+                       F.explode(pairs).alias("p")).select("cohort", "y", "p.*")
+    return pair_family(stored(rows, "placements"), ["task"], t.hot("embeddings", fanout=len(dims.PLACEMENT_PAIRS)))
