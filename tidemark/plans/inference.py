@@ -13,6 +13,7 @@ from tidemark.operators import folds as fd
 from tidemark.operators import matching as mt
 from tidemark.operators import models as ml
 from tidemark.operators import operating as op
+from tidemark.operators import priority as pr
 from tidemark.operators import rankstats as rs
 from tidemark.operators import resample as rp
 from tidemark.operators.ordered import row_numbers, same_group
@@ -313,6 +314,30 @@ def mt01(spark, sf):
     return out.select("contrast", "cohort", "case_id", "control_id", rounded(F.abs(F.col("case_value") - F.col("control_value"))).alias("distance"))
 
 
+def _in_turn(caliper: float) -> str:
+    """Cases one after the other in hash order, each with the list of the controls used before it."""
+    return f"""turns AS (SELECT contrast, cohort, subject, age, row_number() OVER (PARTITION BY contrast, cohort ORDER BY {h("'match'", 'subject')}, subject) AS k
+    FROM contr WHERE y = 1 AND age IS NOT NULL),
+ free AS (SELECT contrast, cohort, subject, age, {h("'match'", 'subject')} AS hc FROM contr WHERE y = 0 AND age IS NOT NULL),
+ state AS (SELECT contrast, cohort, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS case_id, CAST(NULL AS BIGINT) AS control_id, CAST(NULL AS DOUBLE) AS d, CAST([] AS BIGINT[]) AS used
+   FROM turns GROUP BY contrast, cohort
+   UNION ALL SELECT contrast, cohort, k, case_id, near.id, near.d, CASE WHEN near IS NULL THEN used ELSE list_append(used, near.id) END FROM (
+     SELECT s.contrast, s.cohort, t.k, t.subject AS case_id, s.used,
+       min(struct_pack(d := abs(f.age - t.age), side := f.age > t.age, hc := f.hc, id := f.subject)) FILTER (WHERE f.subject IS NOT NULL) AS near
+     FROM state s JOIN turns t ON t.contrast = s.contrast AND t.cohort = s.cohort AND t.k = s.k + 1
+     LEFT JOIN free f ON f.contrast = t.contrast AND f.cohort = t.cohort AND abs(f.age - t.age) <= {caliper!r}e0 AND NOT list_contains(s.used, f.subject)
+     GROUP BY s.contrast, s.cohort, t.k, t.subject, s.used) q)"""
+
+
+@query("mt01_priority_match", _recursive(SUBJECT, CONTRAST, _in_turn(0.5)) + f"""
+SELECT contrast, cohort, case_id, control_id, {r('d')} AS distance FROM state WHERE control_id IS NOT NULL""")
+def mt01_priority(spark, sf):
+    """Each case in hash order takes the nearest control that is still free."""
+    t = Tables(spark, sf)
+    out = pr.priority_match(contrast_rows(t), ["contrast", "cohort"], "subject", "y", "age", 0.5, hot=t.hot("customer"))
+    return out.select("contrast", "cohort", "case_id", "control_id", rounded(F.abs(F.col("case_value") - F.col("control_value"))).alias("distance"))
+
+
 @query("mt01_exact_ties", """
 WITH s AS (SELECT source, doc_id, lang = 'en' AS ctl, length(lang || source) + n_chars // 1000 AS v,
    row_number() OVER (PARTITION BY source, lang = 'en', length(lang || source) + n_chars // 1000 ORDER BY """ + h("'match'", "doc_id") + """, doc_id) AS k FROM documents)
