@@ -86,3 +86,36 @@ def test_iban_stays_beside_a_card_that_it_touches():
     iban = next(i for k in range(10_000) if pii.luhn((i := with_check("BE", f"{539007547000 + k:012d}"))[2:]))
     kinds = [s["kind"] for s in pii.spans_of(f"account {iban} due")]
     assert kinds == ["iban", "card"] and [s["kind"] for s in pii.spans_of(f"account {body} due")][0] == "iban"
+
+
+def test_secrets():
+    found = lambda t: [t[s["start"]:s["end"]] for s in pii.spans_of(t) if s["kind"] == "secret"]
+    drawn = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    for text in (f'token = "{drawn}" next', f"API_KEY:{drawn}", f"password={drawn}.", f"my_secret => {drawn} Secret := '{drawn}'"):
+        assert found(text) in ([drawn], [drawn + "."]), text
+    issued = ["AKIA" + "ABCDEFGH23456789", "ghp_" + "a1B2" * 9, "AIza" + "x" * 35, "sk_live_" + "9a" * 8, "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"]
+    for key in issued:
+        assert found(f"the key {key} is") == [key] and found(f"token = {key}") == [key]
+    for text in ("token = short1", "token = " + "a" * 40, "token = " + "1" * 40, f"sha {drawn}", "the token of appreciation", f"token = {'a1' * 300}"):
+        assert found(text) == [], text
+    assert found(f"commit checksum {issued[1]}") == []
+    # A card number inside a key stays beside it.
+    assert [s["kind"] for s in pii.spans_of("token = abcdef4539578763621486abcdef0987")] == ["secret", "card"]
+
+
+def test_touching_spans():
+    draw = random.Random(5)
+    for _ in range(500):
+        spans = [(s, s + draw.randrange(1, 9)) for s in (draw.randrange(60) for _ in range(draw.randrange(8)))]
+        touches = pii._touching(spans)
+        for _ in range(10):
+            a = draw.randrange(60)
+            b = a + draw.randrange(1, 6)
+            assert touches(a, b) == any(a < e and s < b for s, e in spans)
+
+
+def test_many_spans_take_linear_time():
+    start = time.time()
+    for part in ("x@y.zz 743-555-3824 ", "call 743-555-3824 or 10.0.0.1 ", "token=token=", "token = a1b2c3d4e5f6g7h8 ", "eyJ.", "xox"):
+        pii.spans_of(part * 20_000)
+    assert time.time() - start < 60

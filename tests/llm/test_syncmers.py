@@ -105,3 +105,24 @@ def test_query_returns_every_anchor(spark, tmp_path):
         assert [tuple(a) for a in got[k].anchors] == brute_anchors(text) and [tuple(a) for a in got[k].edited_anchors] == edited
         assert abs(got[k].near_edited - brute_agreement(brute_anchors(text), edited)) < 1e-12
         assert abs(got[k].near_next - brute_agreement(brute_anchors(text), brute_anchors(following))) < 1e-12
+
+
+def test_likeness_is_that_of_the_returned_fingerprints(spark, tmp_path):
+    """The fingerprint as written decides the likeness; a text with one word changed has another one."""
+    from tidemark.llm.queries import QUERIES
+
+    words = prose(40, 900).split()
+    rows = [(1, " ".join(words), "s"), (2, " ".join(words[:400] + ["changed"] + words[401:]), "s"), (3, " ".join(words), "s"), (4, "", "s"),
+            (5, None, "s"), (6, "one", "s"), (7, prose(41, 30), "s")]
+    make_docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op2_fingerprints"](spark, str(tmp_path)).collect()}
+
+    def near(a, b):
+        a, b = [{x[i:i + 16] for i in range(0, len(x), 16)} for x in (a, b)]
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for k, r in got.items():
+        assert abs(r.near_edited - near(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        assert abs(r.near_next - near(r.fingerprint, got[k % 7 + 1].fingerprint)) < 1e-12
+        assert len(r.fingerprint) == 16 * len(r.anchors) and len(r.edited_fingerprint) == 16 * len(r.edited_anchors)
+    assert got[1].fingerprint == got[3].fingerprint != got[2].fingerprint and got[4].fingerprint == got[5].fingerprint == ""

@@ -2,23 +2,30 @@
 
 Base kinds (always reported once they pass their check): ``email``, ``ip`` (parts at most 255), ``card`` (12 to 19
 digits that pass Luhn) and ``phone`` (international, 9 to 15 digits). Further kinds, reported from a score of
-``threshold`` on: ``iban`` (mod-97 over the length that its country code sets), also beside base spans that it touches;
-``local_phone`` and ``ssn``, which need a context word, only where they touch no base span.
+``threshold`` on: ``iban`` (mod-97 over the length that its country code sets) and ``secret`` (keys by the form of their issuer, and
+values assigned to a name such as ``token`` or ``api_key`` that mix letters with digits and have an entropy of ``ENTROPY`` bits a character;
+the span is the value), also beside base spans that they touch; ``local_phone`` and ``ssn``, which need a context word, only where they
+touch no base span.
 
 Defined results: a null or empty text has no spans; repeated rows each get theirs; matches of one kind never overlap;
-a failed match of a base kind is dropped and not tried again; after a failed IBAN the next word is tried. Every pattern takes time in proportion to the text.
+a failed match of a base kind is dropped and not tried again; after a failed IBAN the next word is tried. Every pattern takes time in proportion to the text; spans are sorted once.
 """
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "local_phone", "ssn")
+KINDS = (*BASE_KINDS, "iban", "local_phone", "ssn", "secret")
+BESIDE_BASE = ("iban", "secret")
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 _LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,10 +46,17 @@ _IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n
 _IBAN_OPEN = re.compile(r"(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z])")
 _SSN = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
+#: Forms of keys by which their issuers are known.
+_ISSUED = re.compile(r"(?<![A-Za-z0-9_])(?:A(?:KI|SI)A[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+"
+                     r"|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])|[rs]k_live_[A-Za-z0-9]{16,}+"
+                     r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----)")
+_ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key)[\"']?[ \t]{0,4}[:=][:=]?[ \t]{0,4}[\"']?"
+                       r"([A-Za-z0-9+/_.~-]{16,}+)", re.I)
+LONGEST_SECRET, ENTROPY = 512, 3.0
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: Score before context, after the validator has passed.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3, "ssn": 0.3, "secret": 0.6}
 CONTEXT = {
     "email": "email e-mail mail contact write",
     "ip": "ip address host server login",
@@ -51,10 +65,11 @@ CONTEXT = {
     "iban": "iban account bank transfer",
     "local_phone": "phone call tel telephone mobile cell fax contact",
     "ssn": "ssn social security",
+    "secret": "token secret password passwd pwd key apikey api_key access_key secret_key auth bearer credential credentials",
 }
 #: Words after which a number is more likely something else.
 AGAINST = {"ip": "version release build", "card": "isbn order invoice serial", "phone": "isbn serial",
-           "local_phone": "isbn order invoice serial", "ssn": "isbn order part serial"}
+           "local_phone": "isbn order invoice serial", "ssn": "isbn order part serial", "secret": "checksum commit digest sha1 sha256 md5 uuid"}
 _FOR = {k: re.compile(rf"\b(?:{'|'.join(v.split())})\b", re.I) for k, v in CONTEXT.items()}
 _NOT = {k: re.compile(rf"\b(?:{'|'.join(v.split())})\b", re.I) for k, v in AGAINST.items()}
 BEFORE, AFTER = 48, 24
@@ -75,6 +90,14 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def mixed(value: str) -> bool:
+    """Letters and digits in no plain order, as drawn keys have them."""
+    n = len(value)
+    if n > LONGEST_SECRET or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+        return False
+    return -sum(k / n * log2(k / n) for k in Counter(value).values()) >= ENTROPY
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -121,12 +144,37 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(), done
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Issued keys, and assigned values that overlap none of them."""
+    issued = [m.span() for m in _ISSUED.finditer(text)]
+    touches = _touching(issued)
+    yield from issued
+    for m in _ASSIGNED.finditer(text):
+        if mixed(m[1]) and not touches(*m.span(1)):
+            yield m.span(1)
+
+
+def _touching(spans: list[tuple[int, int]]):
+    """Test of whether a span overlaps any of these."""
+    spans = sorted(spans)
+    starts = [s for s, _ in spans]
+    reach = list(accumulate((e for _, e in spans), max))
+
+    def touches(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before > 0 and reach[before - 1] > start
+
+    return touches
+
+
 def _further(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in _ibans(text):
         yield "iban", start, end
     for kind, pattern in (("local_phone", _LOCAL_PHONE), ("ssn", _SSN)):
         for m in pattern.finditer(text):
             yield kind, *m.span()
+    for start, end in _secrets(text):
+        yield "secret", start, end
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
@@ -140,10 +188,15 @@ def spans_of(text: str | None, threshold: float = 0.5) -> list[dict]:
     if not text:
         return []
     base = list(_found(text))
-    more = [x for x in _further(text) if _score(text, *x) >= threshold
-            and (x[0] == "iban" or not any(x[1] < end and start < x[2] for _, start, end in base))]
-    ordered = sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
-    return [{"kind": k, "start": s, "end": e, "score": _score(text, k, s, e)} for k, s, e in ordered]
+    touches = _touching([(start, end) for _, start, end in base])
+    scored = [(*x, _score(text, *x)) for x in base]
+    for x in _further(text):
+        if x[0] in BESIDE_BASE or not touches(*x[1:]):
+            score = _score(text, *x)
+            if score >= threshold:
+                scored.append((*x, score))
+    scored.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    return [{"kind": k, "start": s, "end": e, "score": score} for k, s, e, score in scored]
 
 
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

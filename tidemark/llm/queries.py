@@ -88,9 +88,9 @@ def op2_fingerprints(spark, sf_dir):
     rows = syncmers.compared(table(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        syncmers.written(F.col("marks")).alias("fingerprint"), syncmers.written(F.col("edited_marks")).alias("edited_fingerprint"),
-        syncmers.agreement(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        syncmers.agreement(F.col("anchors"), F.col("next_anchors")).alias("near_next"), "anchors", "edited_anchors")
+        syncmers.written(F.col("links")).alias("fingerprint"), syncmers.written(F.col("edited_links")).alias("edited_fingerprint"),
+        syncmers.shared(F.col("links"), F.col("edited_links")).alias("near_edited"),
+        syncmers.shared(F.col("links"), F.col("next_links")).alias("near_next"), "anchors", "edited_anchors")
 
 
 @query

@@ -5,9 +5,10 @@ inner runs of ``s`` pieces are hashed; the k-mer is a closed syncmer if the leas
 k-mer is chosen depends on itself only, so equal passages give equal anchors at equal distances wherever they stand, and of any
 ``k - s + 1`` consecutive k-mers at least one is chosen.
 
-The fingerprint is the list of all anchors of the whole text with their positions. Two texts are matched by ``links``: an anchor, the
+All anchors of the whole text are kept with their positions. Two texts are matched by ``links``: an anchor, the
 distance to the next one and that one, so that a match means two anchors at the same offset between both texts, wherever the passage
-stands. ``agreement`` is the exact Jaccard index of the distinct links; a link that a text repeats counts once.
+stands. The fingerprint is the list of all links in the order of the text, written as 16 hex digits each; the likeness of two
+fingerprints is the exact Jaccard index of their distinct links, so that equal fingerprints have likeness 1.
 
 Beside it, a digest lists the ``SKETCH`` least distinct hashes of the anchors; the ``likeness`` of two digests estimates the Jaccard index
 of the hashes alone (exactly, if there are no more).
@@ -35,7 +36,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
     def chosen(inner: Column) -> Column:
         def closed(i: Column) -> Column:
-            low = F.array_min(F.slice(inner, i + 1, width))
+            low = F.least(*[F.get(inner, i + j) for j in range(width)])
             return (F.get(inner, i) == low) | (F.get(inner, i + width - 1) == low)
 
         def anchor(i: Column) -> Column:
@@ -68,13 +69,14 @@ def links(found: Column) -> Column:
     return F.transform(found, link)
 
 
-def agreement(left: Column, right: Column) -> Column:
-    """Share of common links among all links of two lists of anchors; 1 for two empty ones."""
-    def of_links(both: Column) -> Column:
-        a, b = both["a"], both["b"]
-        return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+def shared(a: Column, b: Column) -> Column:
+    """Share of common links among all distinct links of two fingerprints; 1 for two empty ones."""
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
 
-    return let(F.struct(links(left).alias("a"), links(right).alias("b")), of_links)
+def agreement(left: Column, right: Column) -> Column:
+    """``shared`` of two lists of anchors."""
+    return let(F.struct(links(left).alias("a"), links(right).alias("b")), lambda both: shared(both["a"], both["b"]))
 
 
 def likeness(left: Column, right: Column, size: int = SKETCH) -> Column:
@@ -133,9 +135,11 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, anchors, marks, edited, edited_anchors, edited_marks, next_anchors, next_marks`` of every document."""
+    """``doc_id, text, edited`` of every document, and ``anchors, links, marks`` of its text (those of the edited and of the next
+    text with ``edited_`` and ``next_`` before their names)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(rows, ["text", "anchors"], lambda d: d.withColumn("anchors", anchors(F.col("text"))))
     rows = rows.select("doc_id", "text", "anchors", edited(F.col("text"), F.col("next.text")).alias("edited"), F.col("next.anchors").alias("next_anchors"))
     rows = rows.withColumn("edited_anchors", anchors(F.col("edited")))
-    return rows.select("*", *[digest(F.col(f"{x}anchors")).alias(f"{x}marks") for x in ("", "edited_", "next_")])
+    return rows.select("*", *[of(F.col(f"{x}anchors")).alias(f"{x}{name}") for x in ("", "edited_", "next_")
+                              for name, of in (("links", links), ("marks", digest))])
