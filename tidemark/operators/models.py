@@ -19,6 +19,7 @@ from tidemark.operators.ordered import same_group
 from tidemark.session import stored
 
 MODEL_CONF, MODEL_DEFAULT = "spark.tidemark.modelGroupRows", 200_000
+#: Fixed value: the penalty grid.
 ALPHAS = np.logspace(-2, 3, 20)
 MAX_STEPS, TOL, SHORTEST = 50, 1e-10, 1e-6
 MODELS_AT_ONCE = 500
