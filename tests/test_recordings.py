@@ -207,3 +207,13 @@ def test_budget_grid_makes_every_rate_in_one_pass(spark):
         for rate in (64, 32, 16):
             for b in (None, 8):
                 assert np.allclose(got[i, rate, b], dg.converted_rows(dg.decimate_rows(row[None], 64 // rate), b, 8.0)[0])
+
+
+def test_correlations_of_recordings_with_one_channel(spark):
+    """A batch that holds instants of one channel only gives no pair and does not stop the job."""
+    draw = np.random.default_rng(4)
+    rows = samples(spark, {("one", "T5"): draw.normal(size=30), ("two", "T5"): draw.normal(size=40), ("two", "T6"): draw.normal(size=25)})
+    got = {(r.rec, r.a, r.b): r.r for r in ql.channel_correlations(rows.coalesce(1)).collect()}
+    x, y = ([r.x for r in rows.filter(f"rec = 'two' AND channel = '{c}' AND t < 25").orderBy("t").collect()] for c in ("T5", "T6"))
+    assert set(got) == {("two", "T5", "T6"), ("two", "T6", "T5")}
+    assert abs(got["two", "T5", "T6"] - np.corrcoef(x, y)[0, 1]) < 1e-12

@@ -95,6 +95,9 @@ def channel_correlations(samples: DataFrame) -> DataFrame:
         for pdf in batches:
             for rec, part in pdf.groupby("rec", sort=False, dropna=False):
                 names = sorted({e["channel"] for c in part["c"] for e in c})
+                # A batch may end with instants of a single channel: they make no pair, and a frame without rows cannot be returned.
+                if len(names) < 2:
+                    continue
                 place = {n: i for i, n in enumerate(names)}
                 x = np.full((len(part), len(names)), np.nan)
                 for i, c in enumerate(part["c"]):
