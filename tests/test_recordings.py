@@ -217,3 +217,11 @@ def test_correlations_of_recordings_with_one_channel(spark):
     x, y = ([r.x for r in rows.filter(f"rec = 'two' AND channel = '{c}' AND t < 25").orderBy("t").collect()] for c in ("T5", "T6"))
     assert set(got) == {("two", "T5", "T6"), ("two", "T6", "T5")}
     assert abs(got["two", "T5", "T6"] - np.corrcoef(x, y)[0, 1]) < 1e-12
+
+
+def test_bipolar_query_returns_every_sample(spark):
+    """One row an instant and pair, not a summary of a recording."""
+    from tidemark.plans import recordings
+    got = recordings.m03(spark, "/root/testdata/sf0.001")
+    assert {"montage", "rec", "t", "channel", "x"} == set(got.columns)
+    assert got.count() == got.select("montage", "rec", "t", "channel").distinct().count() > got.select("montage", "rec", "channel").distinct().count()
