@@ -170,3 +170,12 @@ def test_platt_slope_is_positive_for_a_good_score(spark):
     n1 = y.sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (200 - n1 + 2))
     assert r["slope"] > 0 and abs((p - t).sum()) < 1e-5
+
+
+def test_crossfit_query_returns_every_residual(spark):
+    """One row a subject of each contrast, condition and feature, not a summary of a fold."""
+    from tidemark.plans import modelling
+    got = modelling.ml09_resid(spark, "/root/testdata/sf0.001")
+    g = ["contrast", "cond", "feature"]
+    assert {*g, "fold", "subject", "resid"} == set(got.columns)
+    assert got.count() == got.select(*g, "subject").distinct().count() > got.select(*g, "fold").distinct().count()

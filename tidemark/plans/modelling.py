@@ -193,8 +193,7 @@ CROSS = f"""fo AS (SELECT contrast, cond, feature, age, value, y, subject, fold
 
 
 @query("ml09_crossfit_residuals", with_views(SUBJECT, CONTRAST, CUBE, CROSS) + f"""
-SELECT contrast, cond, feature, fold, count(resid) AS n, {r('avg(resid)')} AS mean, {r('stddev_pop(resid)')} AS sd, {r('max(abs(resid))')} AS largest,
-  arg_max(subject, (round(abs(resid), 9), subject)) AS furthest FROM cr GROUP BY 1, 2, 3, 4""")
+SELECT contrast, cond, feature, fold, subject, {r('resid')} AS resid FROM cr""")
 def ml09_resid(spark, sf):
     t = Tables(spark, sf)
     g = ["contrast", "cond", "feature"]
@@ -203,9 +202,7 @@ def ml09_resid(spark, sf):
     sums = cv.crossfit_sums(long, g, "fold", "age", "value", K, F.col("y") == 0)
     fit = cv.solved(sums, [*g, "mfold"], 5).withColumnRenamed("mfold", "fold").drop("n")
     j = long.filter("value IS NOT NULL").join(fit, [*g, "fold"]).withColumn("resid", F.col("value") - cv.trend("age"))
-    far = F.max_by("subject", F.struct(F.round(F.abs("resid"), 9).alias("d"), "subject"))
-    return j.groupBy(*g, "fold").agg(F.count("resid").alias("n"), rounded(F.avg("resid")).alias("mean"), rounded(F.stddev_pop("resid")).alias("sd"),
-                                     rounded(F.max(F.abs("resid"))).alias("largest"), far.alias("furthest"))
+    return j.select(*g, "fold", "subject", rounded(F.col("resid")).alias("resid"))
 
 
 @query("ml09_residualised_scores")
