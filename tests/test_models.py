@@ -179,3 +179,33 @@ def test_crossfit_query_returns_every_residual(spark):
     g = ["contrast", "cond", "feature"]
     assert {*g, "fold", "subject", "resid"} == set(got.columns)
     assert got.count() == got.select(*g, "subject").distinct().count() > got.select(*g, "fold").distinct().count()
+
+
+def test_large_fits_reach_the_optimum(spark):
+    """The gradient of a fit over many rows vanishes to 1e-5 and not to a share of the row count."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(400_000, 2)) * [1, 30] + [0, 100]
+    y = (draw.random(400_000) < 1 / (1 + np.exp(-x[:, 0] + 1))).astype(float)
+    mu, sd = ml.scale_of(x)
+    z1 = np.column_stack([np.ones(len(x)), (x - mu) / sd])
+    limit = ml.gradient_limit(len(x))
+    assert limit <= 1e-6 and ml.gradient_limit(100) == 1e-8
+    w, fine = ml.fit_logistic(z1[:, 1:], y)
+    p = 1 / (1 + np.exp(-z1 @ w))
+    assert fine and np.abs(z1.T @ (p - y) + np.r_[0, w[1:]]).max() < 1e-5
+
+
+def test_blocks_like_single_fits(spark):
+    """Folds and label columns of two groups in the same passes."""
+    draw = np.random.default_rng(9)
+    x, f = draw.normal(size=(300, 3)) * [1, 20, 0.1], draw.integers(-1, 3, 300)
+    y = (draw.random((300, 2)) < 1 / (1 + np.exp(-x[:, [0]]))).astype(float)
+    rows = spark.createDataFrame([(i % 2, x[i].tolist(), y[i].tolist(), [int(f[i])]) for i in range(300)], "g int, x array<double>, y array<double>, f array<int>")
+    blocks = [ml.Block(j, {0: [0, 1], 1: [0, 2]}, j, [(0, h) for h in range(3)]) for j in range(2)]
+    got = ml.fit_blocks(rows, blocks)
+    for (g, j), (b0, coef, n, fine) in got.items():
+        for h in range(3):
+            m = (np.arange(300) % 2 == g) & (f >= 0) & (f != h)
+            want = ml._fit_one("logistic", x[m][:, blocks[j].columns[g]], y[m, j], 1.0, 1.0)
+            assert fine[h] and n[h] == m.sum() and abs(b0[h] - want[0]) < 1e-7 * (1 + abs(want[0])) and np.allclose(coef[h], want[1], rtol=1e-6, atol=1e-8)
+    assert len(got) == 4

@@ -12,12 +12,15 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import hash32
 from tidemark.operators import models as ml
-from tidemark.operators.ordered import same_group
+from tidemark.operators.folds import stratified
+from tidemark.operators.operating import rank_fraction
+from tidemark.operators.ordered import group_is_hot, largest_group, same_group
 from tidemark.session import stored
 
 #: Entries of one rows-by-models array.
@@ -44,7 +47,7 @@ def _solve(z1: np.ndarray, y: np.ndarray, m: np.ndarray, pen: np.ndarray, c: flo
             step = np.linalg.solve(h, g.T[:, :, None])[:, :, 0].T
         except np.linalg.LinAlgError:
             step = np.stack([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(h, g.T)], axis=1)
-        done = (np.abs(g).max(axis=0) < ml.TOL * np.maximum(1.0, n[live])) & (np.abs(step).max(axis=0) < 1e-6 * (1 + np.abs(at).max(axis=0)))
+        done = (np.abs(g).max(axis=0) < ml.gradient_limit(n[live])) & (np.abs(step).max(axis=0) < 1e-6 * (1 + np.abs(at).max(axis=0)))
         fine[live[done]] = True
         live, at, step, eta = live[~done], at[:, ~done], step[:, ~done], eta[:, ~done]
         if not len(live) or turn == ml.MAX_STEPS:
@@ -188,27 +191,94 @@ def cross_validated(rows: DataFrame, keys: Sequence[str], sid: str, y: str, arms
     return got.select(*keys, sid, y, *[F.get("scores", F.lit(i)).alias(n) for i, n in enumerate(names)], "repeats")
 
 
+def _folds(rows: DataFrame, subsets: Sequence[str], k: int, repeats: int, hot: bool | None) -> DataFrame:
+    """(g, sid, f): the folds of a row in every subset and repeat as one array, -1 outside the subset. ``rows`` has g, sid, y and the subsets."""
+    inside = F.array(*[F.when(F.col(s), F.lit(i)) for i, s in enumerate(subsets)]) if subsets else F.array(F.lit(0))
+    each = rows.select("g", "sid", "y", F.explode(F.filter(inside, lambda v: v.isNotNull())).alias("s"))
+    folded = stratified(each, ["g", "s"], "sid", "y", k, repeats, hot)
+    at = F.col("s") * repeats + F.col("repeat")
+    n = max(1, len(subsets)) * repeats
+    return folded.groupBy("g", "sid").agg(F.array(*[F.coalesce(F.max(F.when(at == i, F.col("fold"))), F.lit(-1)) for i in range(n)]).alias("f"))
+
+
 def _by_passes(rows, keys, sid, y, pairs, subsets, k, repeats, hot) -> DataFrame:
-    """The same columns by distributed fits, one arm and subset after the other."""
+    """The same columns by passes over all rows, every arm, subset, repeat and fold in each pass."""
+    columns = sorted({c for v in pairs.values() for c in v})
     rows = stored(rows, "arms")
-    out, names = rows.select(*keys, sid, y), []
-    for s in subsets or [None]:
-        for a, (fit_x, score_x) in pairs.items():
-            name = f"{s}_{a}" if s else a
-            some = (rows.where(F.col(s)) if s else rows).select(*keys, sid, y, F.col(fit_x).alias("__fit"), F.col(score_x).alias("__at"))
-            oof = stored(ml.out_of_fold(some, keys, sid, y, "__fit", k, repeats, score_x="__at", hot=hot), "oof")
-            ranked = ml.rank_mean(oof, keys, sid, y, hot).select(*keys, sid, F.col("s").alias(name))
-            each = oof.groupBy(*keys, sid).agg(F.array_sort(F.collect_list(F.struct("repeat", "s"))).alias("__l"))
-            each = each.select(*keys, sid, F.transform("__l", lambda e: e["s"]).alias(f"__r_{name}"))
-            out = same_group(same_group(out, ranked, [*keys, sid], "left"), each, [*keys, sid], "left")
-            names.append(name)
-    none = F.array_repeat(F.lit(None).cast("double"), repeats)
-    return out.select(*keys, sid, y, *names, F.array(*[F.coalesce(f"__r_{n}", none) for n in names]).alias("repeats"))
-
-
-def fold_models(rows: DataFrame, keys: Sequence[str], sid: str, y: str, x: str, k: int = 5, repeats: int = 5) -> DataFrame:
+    groups = ml.numbered_groups(rows, keys) if keys else F.broadcast(rows.sparkSession.range(1).select(F.lit(0).alias("__g")))
+    inside = [f"in{i}" for i in range(len(subsets))]
+    own = same_group(rows, groups, keys).select(
+        F.col("__g").alias("g"), F.col(sid).alias("sid"), F.col(y).alias("y"), *[F.col(s).alias(n) for s, n in zip(subsets, inside)], *[F.col(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    places: dict = {c: {} for c in columns}
+    for r in own.groupBy("g").agg(*[F.max(F.size(f"x{i}")).alias(f"w{i}") for i in range(len(columns))]).collect():
+        start = 0
+        for i, c in enumerate(columns):
+            places[c][r["g"]] = range(start, start + r[f"w{i}"])
+            start += r[f"w{i}"]
+    folds = _folds(own.select("g", "sid", "y", *inside), inside, k, repeats, hot)
+    full = same_group(own.select("g", "sid", "y", F.concat(*[f"x{i}" for i in range(len(columns))]).alias("x")), folds, ["g", "sid"], "left")
+    outside = F.array_repeat(F.lit(-1), max(1, len(subsets)) * repeats)
+    full = stored(full.select("g", "sid", F.col("y").alias("label"), "x", F.array(F.col("y").cast("double")).alias("y"), F.coalesce("f", outside).alias("f")), "arms")
+    names = [f"{s}_{a}" for s in subsets for a in pairs] if subsets else list(pairs)
+    each = [(i, pair) for i in range(max(1, len(subsets))) for pair in pairs.values()]
+    blocks = [ml.Block(b, places[fit_x], 0, [(i * repeats + r, f) for r in range(repeats) for f in range(k)]) for b, (i, (fit_x, _)) in enumerate(each)]
+    models = {key: (b0, coef) for key, (b0, coef, _, _) in ml.fit_blocks(full, blocks).items()}
+    seen = [places[score_x] for _, (_, score_x) in each]
+
+    def decide(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            n, g = batch.num_rows, batch["g"].to_numpy()
+            out = np.full((n, len(each), repeats), np.nan)
+            for group in np.unique(g):
+                own = np.flatnonzero(g == group)
+                x, f = ml._matrix(t["x"], own), ml._matrix(t["f"], own)
+                for b, (i, _) in enumerate(each):
+                    b0, coef = models[int(group), b]
+                    design = x[:, seen[b][int(group)]]
+                    for r in range(repeats):
+                        at = np.flatnonzero(f[:, i * repeats + r] >= 0)
+                        m = r * k + f[at, i * repeats + r]
+                        out[own[at], b, r] = (design[at] * coef[m]).sum(axis=1) + b0[m]
+            flat = pa.array(out.ravel(), mask=np.isnan(out.ravel()))
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * (len(each) * repeats))
+            yield pa.RecordBatch.from_arrays([batch["g"], batch["sid"], batch["label"], pa.ListArray.from_arrays(ends, flat)], ["g", "sid", "label", "d"])
+
+    types = {f.name: f.dataType.simpleString() for f in full.schema.fields}
+    decided = full.select("g", "sid", "label", "x", "f").mapInArrow(decide, f"g int, sid {types['sid']}, label {types['label']}, d array<double>")
+    width = len(each) * repeats
+    decided = stored(decided, "decisions")
+    if not group_is_hot(decided, ["g"], None):
+        def rank(table: pa.Table) -> pa.Table:
+            d = ml._matrix(table["d"])
+            s = np.column_stack([fractions(d[:, b * repeats:(b + 1) * repeats]).mean(axis=1) for b in range(len(each))])
+            flat = pa.array(s.ravel(), mask=np.isnan(s.ravel()))
+            ends = pa.array(np.arange(len(s) + 1, dtype=np.int32) * len(each))
+            return table.append_column("scores", pa.ListArray.from_arrays(ends, flat))
+
+        scored = decided.groupBy("g").applyInArrow(rank, f"g int, sid {types['sid']}, label {types['label']}, d array<double>, scores array<double>")
+    else:
+        one = decided.select("g", "sid", F.posexplode("d").alias("i", "s")).filter("s IS NOT NULL")
+        ranked = rank_fraction(one.withColumn("b", F.floor(F.col("i") / repeats)), ["g", "i"], "s", "__f", hot)
+        mean = ranked.groupBy("g", "sid", "b").agg(F.avg("__f").alias("m"), F.count("*").alias("n"))
+        wide = mean.groupBy("g", "sid").agg(F.array(*[F.max(F.when((F.col("b") == b) & (F.col("n") == repeats), F.col("m"))) for b in range(len(each))]).alias("scores"))
+        scored = same_group(decided, wide, ["g", "sid"], "left")
+    scored = scored.withColumnsRenamed({"g": "__g", "sid": "__sid", "label": "__label", "d": "__d", "scores": "__scores"})
+    return scored.join(groups, "__g").select(
+        *keys, F.col("__sid").alias(sid), F.col("__label").alias(y), *[F.get("__scores", F.lit(b)).alias(n) for b, n in enumerate(names)],
+        F.array(*[F.slice("__d", 1 + lo, repeats) for lo in range(0, width, repeats)]).alias("repeats"))
+
+
+def fold_models(rows: DataFrame, keys: Sequence[str], sid: str, y: str, x: str, k: int = 5, repeats: int = 5, large: bool | None = None,
+                hot: bool | None = None) -> DataFrame:
     """(keys, repeat, mfold, n_train, intercept, coef, converged): the models behind ``cross_validated``, all of a group in one batch."""
     keys = list(keys)
+    limit = int(rows.sparkSession.conf.get(ml.MODEL_CONF, str(ml.MODEL_DEFAULT)))
+    if large is None:
+        large = largest_group(rows, keys) > limit
+    if large:
+        folded = stratified(rows.select(*keys, sid, y, x), keys, sid, y, k, repeats, hot)
+        return ml.fit(folded, [*keys, "repeat"], y, x, k, large=True)
     narrow = rows.select(*keys, sid, y, x).withColumn("__h", _hashes(sid, repeats))
     types = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
 

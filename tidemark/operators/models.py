@@ -9,16 +9,19 @@ same scaling, tolerance and step limit.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.operators.ordered import same_group
 from tidemark.session import stored
 
-MODEL_CONF, MODEL_DEFAULT = "spark.tidemark.modelGroupRows", 200_000
+MODEL_CONF, MODEL_DEFAULT = "spark.tidemark.modelGroupRows", 25_000
 #: Fixed value: the penalty grid.
 ALPHAS = np.logspace(-2, 3, 20)
 MAX_STEPS, TOL, SHORTEST = 50, 1e-10, 1e-6
@@ -37,9 +40,14 @@ def usable_scale(mu: np.ndarray, var: np.ndarray) -> np.ndarray:
     return np.where(sd > 1e-12 * np.maximum(1.0, np.abs(mu)), sd, 1.0)
 
 
+def gradient_limit(n):
+    """The largest gradient of a settled fit over n rows: a share of n up to 1e-6, and above it what rounding leaves."""
+    return np.maximum(np.minimum(TOL * np.maximum(1.0, n), 1e-6), 1e-15 * np.asarray(n))
+
+
 def settled(g: np.ndarray, step: np.ndarray, w: np.ndarray, n: float) -> bool:
     """No gradient and nowhere to go; without an optimum the gradient fades but the steps do not."""
-    return bool(np.abs(g).max() < TOL * max(1.0, n) and np.abs(step).max() < 1e-6 * (1 + np.abs(w).max()))
+    return bool(np.abs(g).max() < gradient_limit(n) and np.abs(step).max() < 1e-6 * (1 + np.abs(w).max()))
 
 
 def rises(new: float, old: float) -> bool:
@@ -144,6 +152,151 @@ def _in_task(kind, rows, keys, y, x, folds, c, penalty) -> DataFrame:
     return rows.select(*cols).groupBy(*keys).applyInPandas(run, _params_schema(rows, keys))
 
 
+# ---- many models by passes ----------------------------------------------------------------------
+#: Rows that a task reads together.
+ROWS_AT_ONCE = 32_768
+
+
+class Block(NamedTuple):
+    """Models over one design: feature columns (by group, or None for all), the label column, and for each model (fold column, fold left out)."""
+    name: int
+    columns: dict[int, Sequence[int]] | None
+    label: int
+    models: Sequence[tuple[int, int]]
+
+
+def _matrix(column: pa.ChunkedArray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Lists of one length as a matrix, of the given rows or all."""
+    column = column if rows is None else column.take(pa.array(rows))
+    n = len(column)
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 0))
+
+
+def _block_sums(rows: DataFrame, blocks: Sequence[Block], transform: Callable | None, stat: Callable) -> dict:
+    """{(group, block): vector}: every task adds up ``stat`` over its rows, Spark adds up the tasks; one vector a group and block comes back.
+
+    ``rows`` has g, x, y and f: group number, features, labels and folds (arrays; a negative fold is outside of every model).
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict = {}
+
+        def add(held: list) -> None:
+            t = pa.Table.from_batches(held)
+            g = t["g"].to_numpy()
+            for group in np.unique(g):
+                x, y, f = (_matrix(t[c], np.flatnonzero(g == group)) for c in ("x", "y", "f"))
+                for b in blocks:
+                    design = x if b.columns is None else x[:, b.columns[int(group)]]
+                    if transform is not None:
+                        design = transform(int(group), b.name, design)
+                    fold = f[:, [c for c, _ in b.models]]
+                    v = stat((int(group), b.name), design, y[:, b.label], (fold >= 0) & (fold != np.array([h for _, h in b.models])))
+                    if v is not None:
+                        key = int(group), b.name
+                        acc[key] = acc[key] + v if key in acc else v
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held, n = [*held, batch], n + batch.num_rows
+            if n >= ROWS_AT_ONCE:
+                add(held)
+                held, n = [], 0
+        if held:
+            add(held)
+        if acc:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in acc], pa.int32()), pa.array([k[1] for k in acc], pa.int32()),
+                                              pa.array([v.tobytes() for v in acc.values()], pa.binary())], ["g", "b", "v"])
+
+    def total(table: pa.Table) -> pa.Table:
+        v = sum(np.frombuffer(e.as_py()) for e in table["v"])
+        return pa.table({"g": table["g"][:1], "b": table["b"][:1], "v": pa.array([v.tobytes()], pa.binary())})
+
+    schema = "g int, b int, v binary"
+    summed = rows.select("g", "x", "y", "f").mapInArrow(task, schema).groupBy("g", "b").applyInArrow(total, schema)
+    return {(r["g"], r["b"]): np.frombuffer(r["v"]) for r in summed.collect()}
+
+
+def fit_blocks(rows: DataFrame, blocks: Sequence[Block], c: float = 1.0, penalty: float = 1.0, transform: Callable | None = None) -> dict:
+    """{(group, block): (intercepts, coefficients, rows, converged)} of all models of all groups, by passes over ``rows``.
+
+    One pass serves every model; a model that has settled is left out of the next. What comes back to the driver has the size of the models.
+    Each model is standardised by its own rows, which is a penalty of its own on the block's common scale.
+    Folds start at the model of all their rows. ``transform(group, block, x)`` changes the features of a block.
+    """
+    whole = [b._replace(models=[(b.models[0][0], -1)]) for b in blocks if len(b.models) > 1]
+    begin = fit_blocks(rows, whole, c, penalty, transform) if whole else {}
+    size = {b.name: len(b.models) for b in blocks}
+
+    def first(key, x, y, m):
+        m = m.astype(float)
+        return np.concatenate([m.sum(0), y @ m, (m.T @ x).ravel()])
+
+    state = {}
+    for key, v in _block_sums(rows, blocks, transform, first).items():
+        n_models = size[key[1]]
+        n, ones, sums = v[:n_models], v[n_models:2 * n_models], v[2 * n_models:].reshape(n_models, -1)
+        state[key] = {"n": n, "ones": ones, "mean": sums / np.maximum(n, 1)[:, None], "mu": sums.sum(0) / max(1.0, n.sum())}
+    means = {k: s["mean"] for k, s in state.items()}
+
+    def second(key, x, y, m):
+        return np.stack([(m * (x[:, [j]] - means[key][:, j]) ** 2).sum(0) for j in range(x.shape[1])], axis=1).ravel() if x.shape[1] else None
+
+    squares = _block_sums(rows, blocks, transform, second)
+    for key, s in state.items():
+        n, mean, mu = s["n"], s["mean"], s["mu"]
+        sq = squares.get(key, np.zeros(0)).reshape(mean.shape)
+        scale = usable_scale(mu, (sq + n[:, None] * (mean - mu) ** 2).sum(0) / max(1.0, n.sum()))
+        var = sq / np.maximum(n, 1)[:, None]
+        usable = np.sqrt(var) > 1e-12 * np.maximum(1.0, np.abs(mean))
+        d, count = len(mu), len(n)
+        s.update(scale=scale, pen=np.column_stack([np.zeros(count), penalty * np.where(usable, var, 1.0) / scale ** 2]),
+                 w=np.zeros((count, d + 1)), step=np.zeros((count, d + 1)), size=np.ones(count), best=np.full(count, np.inf), taken=np.zeros(count, int),
+                 live=(s["ones"] > 0) & (s["ones"] < n), fits=(s["ones"] > 0) & (s["ones"] < n), fine=np.zeros(count, bool))
+        if key in begin and not np.isnan(begin[key][0][0]):
+            b0, coef = begin[key][0][0], begin[key][1][0]
+            s["w"][:] = np.r_[b0 + coef @ mu, coef * scale]
+    while any(s["live"].any() for s in state.values()):
+        at = {k: (s["mu"], s["scale"], np.flatnonzero(s["live"]), (s["w"] - s["size"][:, None] * s["step"])[s["live"]].T)
+              for k, s in state.items() if s["live"].any()}
+
+        def terms(key, x, y, m, at=at):
+            if key not in at:
+                return None
+            mu, scale, live, w = at[key]
+            z1 = np.column_stack([np.ones(len(x)), (x - mu) / scale])
+            m, eta = m[:, live].astype(float), z1 @ w
+            small = np.exp(-np.abs(eta))
+            p = np.where(eta >= 0, 1.0, small) / (1.0 + small)
+            outer = np.einsum("ni,nj->nij", z1, z1).reshape(len(z1), -1)
+            loss = (m * (np.maximum(eta, 0.0) + np.log1p(small) - y[:, None] * eta)).sum(0)
+            return c * np.concatenate([loss, (z1.T @ (m * (p - y[:, None]))).ravel(), (outer.T @ (m * p * (1 - p))).ravel()])
+
+        live_blocks = [b for b in blocks if any(k[1] == b.name for k in at)]
+        for key, v in _block_sums(rows, live_blocks, transform, terms).items():
+            s, (_, _, live, w) = state[key], at[key]
+            d, count = w.shape
+            pen, w = s["pen"][live], w.T
+            loss = v[:count] + 0.5 * (pen * w * w).sum(1)
+            g = v[count:count * (1 + d)].reshape(d, count).T + pen * w
+            h = v[count * (1 + d):].reshape(d, d, count).transpose(2, 0, 1) + np.einsum("mi,ij->mij", pen, np.eye(d))
+            rose = (s["size"][live] > SHORTEST) & (loss > s["best"][live] + 1e-9 * np.maximum(1.0, np.abs(s["best"][live])))
+            s["size"][live[rose]] /= 2
+            for i in np.flatnonzero(~rose):
+                j, step = live[i], np.linalg.lstsq(h[i], g[i], rcond=None)[0]
+                s["w"][j], s["step"][j], s["best"][j], s["size"][j] = w[i], step, loss[i], 1.0
+                s["taken"][j] += 1
+                s["fine"][j] = settled(g[i], step, w[i], s["n"][j])
+                s["live"][j] = not s["fine"][j] and s["taken"][j] <= MAX_STEPS
+    out = {}
+    for key, s in state.items():
+        raw = s["w"][:, 1:] / s["scale"]
+        b0 = np.where(s["fits"], s["w"][:, 0] - raw @ s["mu"], np.nan)
+        out[key] = b0, np.where(s["fits"][:, None], raw, np.nan), s["n"].astype(int), s["fine"]
+    return out
+
+
 # ---- distributed fit --------------------------------------------------------------------------
 def _partial_sums(rows: DataFrame, keys: list[str], y: str, x: str, folds: int | None,
                   stat: Callable) -> dict:
@@ -180,6 +333,15 @@ def _partial_sums(rows: DataFrame, keys: list[str], y: str, x: str, folds: int |
 
 def _distributed(kind, rows, keys, y, x, folds, c, penalty) -> list[tuple]:
     keys = list(keys)
+    if kind == "logistic":
+        groups = numbered_groups(rows, keys)
+        fold = F.col("fold").cast("int") if folds else F.lit(0)
+        own = same_group(rows, groups, keys).select(F.col("__g").alias("g"), F.col(x).alias("x"), F.array(F.col(y).cast("double")).alias("y"), F.array(fold).alias("f"))
+        own = stored(own, "fit")
+        names = {r["__g"]: tuple(r[k] for k in keys) for r in groups.collect()}
+        fits = fit_blocks(own, [Block(0, None, 0, [(0, f) for f in (range(folds) if folds else [-1])])], c, penalty)
+        return [(*names[g], f if folds else -1, float(b0[f]), coef[f].tolist(), int(n[f]), bool(fine[f]))
+                for (g, _), (b0, coef, n, fine) in fits.items() for f in range(len(b0)) if not np.isnan(b0[f])]
     rows = stored(rows.select(*keys, y, x, *(["fold"] if folds else [])), "fit")
 
     def sums(key, f, xs, ys):
@@ -199,60 +361,28 @@ def _distributed(kind, rows, keys, y, x, folds, c, penalty) -> list[tuple]:
         mu, sd = base[key, f][:2]
         return (xs - mu) / sd
 
-    def unpack(v, d):
-        return v[0], v[1:1 + d], v[1 + d:].reshape(d, d)
-
     final: dict = {}
     done: set = set()
-    if kind == "logistic":
-        w = {k: np.zeros(len(b[0]) + 1) for k, b in base.items() if 0 < b[3] < 1}
-        step = {k: np.zeros_like(v) for k, v in w.items()}
-        best = dict.fromkeys(w, np.inf)
-        size = dict.fromkeys(w, 1.0)
-        taken = dict.fromkeys(w, 0)
-        live = set(w)
-        while live:
-            at = {k: w[k] - size[k] * step[k] for k in live}
-
-            def terms(key, f, xs, ys, at=at):
-                if (key, f) not in at or not len(xs):
-                    return None
-                z1 = np.column_stack([np.ones(len(xs)), scaled(key, f, xs)])
-                loss, g, h = logistic_terms(z1, ys, at[key, f], c)
-                return np.r_[loss, g, h.ravel()]
-
-            for k, v in _partial_sums(rows, keys, y, x, folds, terms).items():
-                obj, g, s = newton_step(at[k], *unpack(v, len(at[k])), penalty)
-                if size[k] > SHORTEST and rises(obj, best[k]):
-                    size[k] /= 2
-                    continue
-                w[k], best[k], step[k], size[k] = at[k], obj, s, 1.0
-                if settled(g, s, at[k], base[k][2]):
-                    done.add(k)
-                taken[k] += 1
-                if k in done or taken[k] > MAX_STEPS:
-                    live.discard(k)
-        final = w
-    else:
-        def gram(key, f, xs, ys):
-            if not len(xs):
-                return None
-            z = scaled(key, f, xs)
-            return np.r_[z.T @ (ys - base[key, f][3]), (z.T @ z).ravel()]
 
-        paths = {}
-        for k, v in _partial_sums(rows, keys, y, x, folds, gram).items():
-            d = len(base[k][0])
-            paths[k] = ridge_path(v[d:].reshape(d, d), v[:d])
+    def gram(key, f, xs, ys):
+        if not len(xs):
+            return None
+        z = scaled(key, f, xs)
+        return np.r_[z.T @ (ys - base[key, f][3]), (z.T @ z).ravel()]
 
-        def errors(key, f, xs, ys):
-            if not len(xs):
-                return None
-            return loo_errors(scaled(key, f, xs), ys - base[key, f][3], int(base[key, f][2]), paths[key, f])
+    paths = {}
+    for k, v in _partial_sums(rows, keys, y, x, folds, gram).items():
+        d = len(base[k][0])
+        paths[k] = ridge_path(v[d:].reshape(d, d), v[:d])
 
-        for k, v in _partial_sums(rows, keys, y, x, folds, errors).items():
-            final[k] = np.r_[base[k][3], paths[k][int(np.argmin(v))][0]]
-            done.add(k)
+    def errors(key, f, xs, ys):
+        if not len(xs):
+            return None
+        return loo_errors(scaled(key, f, xs), ys - base[key, f][3], int(base[key, f][2]), paths[key, f])
+
+    for k, v in _partial_sums(rows, keys, y, x, folds, errors).items():
+        final[k] = np.r_[base[k][3], paths[k][int(np.argmin(v))][0]]
+        done.add(k)
     out = []
     for (key, f), w in final.items():
         b0, coef = raw_scale(w, base[key, f][0], base[key, f][1])
@@ -260,6 +390,13 @@ def _distributed(kind, rows, keys, y, x, folds, c, penalty) -> list[tuple]:
     return out
 
 
+def numbered_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, __g): the groups that take passes, numbered; each has more rows than a task holds, so they are few."""
+    schema = StructType([*rows.select(*keys).schema.fields, StructField("__g", IntegerType())])
+    found = rows.select(*keys).distinct().collect()
+    return F.broadcast(rows.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(found)], schema))
+
+
 def fit(rows: DataFrame, keys: Sequence[str], y: str, x: str, folds: int | None = None,
         kind: str = "logistic", c: float = 1.0, penalty: float = 1.0,
         large: bool | None = None) -> DataFrame:
