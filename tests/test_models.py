@@ -209,3 +209,21 @@ def test_blocks_like_single_fits(spark):
             want = ml._fit_one("logistic", x[m][:, blocks[j].columns[g]], y[m, j], 1.0, 1.0)
             assert fine[h] and n[h] == m.sum() and abs(b0[h] - want[0]) < 1e-7 * (1 + abs(want[0])) and np.allclose(coef[h], want[1], rtol=1e-6, atol=1e-8)
     assert len(got) == 4
+
+
+@pytest.mark.parametrize("how", ["residual", "normative"])
+def test_crossfit_scores_like_single_fits(spark, how):
+    """Transforms inside the passes give the scores of transformed copies of every row."""
+    from tidemark.operators import covariate as cv
+    draw = np.random.default_rng(12)
+    age, y, fold = draw.uniform(20, 90, 240), draw.integers(0, 2, 240), draw.integers(0, 3, 240)
+    v = draw.normal(size=(240, 2)) * (1 + age[:, None] / 50) + age[:, None] * [0.1, -0.02] + y[:, None] * [1.0, 0.2]
+    rows = spark.createDataFrame([("a", i, int(y[i]), float(age[i]), v[i].tolist(), [int(fold[i])]) for i in range(240)],
+                                 "c string, id long, y int, age double, x array<double>, f array<int>")
+    got = {r.id: r.s for r in cv.crossfit_scores(rows, ["c"], "id", "y", "age", "x", "f", 3, 1, how).collect()}
+    long = rows.select("c", "id", "y", "age", F.lit(0).alias("repeat"), F.get("f", F.lit(0)).alias("fold"), F.posexplode("x").alias("feature", "value"))
+    cross = cv.crossfitted(long, ["c"], "id", "y", "age", "value", 3, how).withColumnRenamed("mfold", "model")
+    g = ["c", "repeat", "model"]
+    s = ml.scored(cross.filter("fold = model"), ml.fit(cross.filter("fold <> model"), g, "y", "x", large=False), g, "x")
+    want = {r.id: r.s for r in ml.rank_mean(s, ["c"], "id", "y").collect()}
+    assert len(got) == 240 and got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-9

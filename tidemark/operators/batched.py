@@ -201,6 +201,26 @@ def _folds(rows: DataFrame, subsets: Sequence[str], k: int, repeats: int, hot: b
     return folded.groupBy("g", "sid").agg(F.array(*[F.coalesce(F.max(F.when(at == i, F.col("fold"))), F.lit(-1)) for i in range(n)]).alias("f"))
 
 
+def ranked_decisions(decided: DataFrame, arms: int, repeats: int, hot: bool | None = None) -> DataFrame:
+    """(g, sid, label, d, scores): for each arm the rank fraction inside its repeat and group, averaged over repeats; ``d`` lists decisions arm by arm."""
+    types = {f.name: f.dataType.simpleString() for f in decided.schema.fields}
+    decided = stored(decided, "decisions")
+    if group_is_hot(decided, ["g"], None):
+        one = decided.select("g", "sid", F.posexplode("d").alias("i", "s")).filter("s IS NOT NULL")
+        ranked = rank_fraction(one.withColumn("b", F.floor(F.col("i") / repeats)), ["g", "i"], "s", "__f", hot)
+        mean = ranked.groupBy("g", "sid", "b").agg(F.avg("__f").alias("m"), F.count("*").alias("n"))
+        wide = mean.groupBy("g", "sid").agg(F.array(*[F.max(F.when((F.col("b") == b) & (F.col("n") == repeats), F.col("m"))) for b in range(arms)]).alias("scores"))
+        return same_group(decided, wide, ["g", "sid"], "left")
+
+    def rank(table: pa.Table) -> pa.Table:
+        d = ml._matrix(table["d"])
+        s = np.column_stack([fractions(d[:, b * repeats:(b + 1) * repeats]).mean(axis=1) for b in range(arms)])
+        flat = pa.array(s.ravel(), mask=np.isnan(s.ravel()))
+        return table.append_column("scores", pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * arms), flat))
+
+    return decided.groupBy("g").applyInArrow(rank, f"g int, sid {types['sid']}, label {types['label']}, d array<double>, scores array<double>")
+
+
 def _by_passes(rows, keys, sid, y, pairs, subsets, k, repeats, hot) -> DataFrame:
     """The same columns by passes over all rows, every arm, subset, repeat and fold in each pass."""
     columns = sorted({c for v in pairs.values() for c in v})
@@ -247,22 +267,7 @@ def _by_passes(rows, keys, sid, y, pairs, subsets, k, repeats, hot) -> DataFrame
     types = {f.name: f.dataType.simpleString() for f in full.schema.fields}
     decided = full.select("g", "sid", "label", "x", "f").mapInArrow(decide, f"g int, sid {types['sid']}, label {types['label']}, d array<double>")
     width = len(each) * repeats
-    decided = stored(decided, "decisions")
-    if not group_is_hot(decided, ["g"], None):
-        def rank(table: pa.Table) -> pa.Table:
-            d = ml._matrix(table["d"])
-            s = np.column_stack([fractions(d[:, b * repeats:(b + 1) * repeats]).mean(axis=1) for b in range(len(each))])
-            flat = pa.array(s.ravel(), mask=np.isnan(s.ravel()))
-            ends = pa.array(np.arange(len(s) + 1, dtype=np.int32) * len(each))
-            return table.append_column("scores", pa.ListArray.from_arrays(ends, flat))
-
-        scored = decided.groupBy("g").applyInArrow(rank, f"g int, sid {types['sid']}, label {types['label']}, d array<double>, scores array<double>")
-    else:
-        one = decided.select("g", "sid", F.posexplode("d").alias("i", "s")).filter("s IS NOT NULL")
-        ranked = rank_fraction(one.withColumn("b", F.floor(F.col("i") / repeats)), ["g", "i"], "s", "__f", hot)
-        mean = ranked.groupBy("g", "sid", "b").agg(F.avg("__f").alias("m"), F.count("*").alias("n"))
-        wide = mean.groupBy("g", "sid").agg(F.array(*[F.max(F.when((F.col("b") == b) & (F.col("n") == repeats), F.col("m"))) for b in range(len(each))]).alias("scores"))
-        scored = same_group(decided, wide, ["g", "sid"], "left")
+    scored = ranked_decisions(decided, len(each), repeats, hot)
     scored = scored.withColumnsRenamed({"g": "__g", "sid": "__sid", "label": "__label", "d": "__d", "scores": "__scores"})
     return scored.join(groups, "__g").select(
         *keys, F.col("__sid").alias(sid), F.col("__label").alias(y), *[F.get("__scores", F.lit(b)).alias(n) for b, n in enumerate(names)],

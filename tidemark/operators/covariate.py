@@ -7,9 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import batched as bt
+from tidemark.operators import models as ml
 from tidemark.operators.ordered import medians, same_group
 from tidemark.session import stored
 
@@ -183,6 +186,86 @@ def crossfitted(long: DataFrame, keys: Sequence[str], sid: str, y: str, age: str
     return each.select(*keys, "repeat", "mfold", "fold", sid, y, x.alias("x")).filter(F.size("x") > 0)
 
 
+def crossfit_scores(rows: DataFrame, keys: Sequence[str], sid: str, y: str, age: str, x: str, folds: str, k: int, repeats: int, how: str = "residual",
+                    hot: bool | None = None) -> DataFrame:
+    """(keys, sid, y, s): out-of-fold scores whose transform and model both come from the training folds, rank-averaged over repeats.
+
+    ``rows`` has one row a subject with its features ``x`` and the fold of each repeat ``folds``. It is stored once; transforms and models are
+    fitted by passes over it, and each model transforms the rows inside the pass, so that nothing is copied by repeat or fold.
+    """
+    keys, min_n = list(keys), 5 if how == "residual" else 30
+    groups = ml.numbered_groups(rows, keys)
+    own = same_group(rows, groups, keys).select(F.col("__g").alias("g"), F.col(sid).alias("sid"), F.col(y).alias("label"), F.concat(x, F.array(F.col(age).cast("double"))).alias("x"),
+                                                F.array(F.col(y).cast("double")).alias("y"), F.col(folds).alias("f"))
+    own = stored(own, "crossfit")
+    blocks = [ml.Block(r * k + m, None, 0, [(r, m)]) for r in range(repeats) for m in range(k)]
+
+    def powers(a):
+        t = (a - CENTRE) / SPREAD
+        return np.column_stack([np.ones(len(t)), t, t * t])
+
+    def moments(key, v, label, mask):
+        c = mask[:, 0] & (label == 0)
+        a = powers(v[c, -1])
+        return np.concatenate([(a.T @ a).ravel(), (a.T @ v[c, :-1]).ravel()])
+
+    trends = {}
+    for key, v in ml._block_sums(own, blocks, None, moments).items():
+        gram, right = v[:9].reshape(3, 3), v[9:].reshape(3, -1)
+        ok = gram[0, 0] >= min_n and abs(np.linalg.det(gram)) > 1e-12
+        trends[key] = np.linalg.solve(gram, right) if ok else None
+    spreads: dict = {}
+    if how != "residual":
+        def logs(key, v, label, mask):
+            if trends.get(key) is None:
+                return None
+            c = mask[:, 0] & (label == 0)
+            a = powers(v[c, -1])
+            return np.concatenate([(a.T @ a).ravel(), (a.T @ np.log(np.abs(v[c, :-1] - a @ trends[key]) + FLOOR)).ravel()])
+
+        for key, v in ml._block_sums(own, blocks, None, logs).items():
+            (n, t, tt), (l, tl, _) = (v[0], v[1], v[2]), v[9:].reshape(3, -1)
+            det = n * tt - t * t
+            if n > 1 and det > 1e-12 * n * tt:
+                slope = (n * tl - t * l) / det
+                spreads[key] = (l - slope * t) / n, slope
+
+    def transform(group, block, v):
+        fit = trends.get((group, block))
+        if fit is None or how != "residual" and (group, block) not in spreads:
+            return v[:, :0]
+        a = powers(v[:, -1])
+        r = v[:, :-1] - a @ fit
+        if how == "residual":
+            return r
+        g0, g1 = spreads[group, block]
+        return r / np.maximum(np.exp(g0 + a[:, [1]] * g1 + LOG_ABS_TO_SD), FLOOR)
+
+    models = {key: (b0[0], coef[0]) for key, (b0, coef, _, _) in ml.fit_blocks(own, blocks, transform=transform).items()}
+
+    def decide(batches):
+        for batch in batches:
+            t, g = pa.Table.from_batches([batch]), batch["g"].to_numpy()
+            out = np.full((len(g), repeats), np.nan)
+            for group in np.unique(g):
+                at = np.flatnonzero(g == group)
+                v, f = ml._matrix(t["x"], at), ml._matrix(t["f"], at)
+                for b in blocks:
+                    (r, m), (b0, coef) = b.models[0], models[int(group), b.name]
+                    held = np.flatnonzero(f[:, r] == m)
+                    z = transform(int(group), b.name, v[held])
+                    if z.shape[1]:
+                        out[at[held], r] = z @ coef + b0
+            flat = pa.array(out.ravel(), mask=np.isnan(out.ravel()))
+            d = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1, dtype=np.int32) * repeats), flat)
+            yield pa.RecordBatch.from_arrays([batch["g"], batch["sid"], batch["label"], d], ["g", "sid", "label", "d"])
+
+    types = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    decided = own.select("g", "sid", "label", "x", "f").mapInArrow(decide, f"g int, sid {types['sid']}, label {types['label']}, d array<double>")
+    scored = bt.ranked_decisions(decided, 1, repeats, hot).select(F.col("g").alias("__g"), F.col("sid").alias("__sid"), F.col("label").alias("__label"), "scores")
+    return scored.join(groups, "__g").select(*keys, F.col("__sid").alias(sid), F.col("__label").alias(y), F.get("scores", F.lit(0)).alias("s"))
+
+
 # ---- anchored reading -------------------------------------------------------------------------
 def anchor_prefixes(picked: DataFrame, keys: Sequence[str], order: str, sid: str, z: str, ks: Sequence[int]) -> DataFrame:
     """(keys, k, ids, shift, scale): median and 1.4826*MAD of the first k anchors for every k of the grid, from one sorted pass.

@@ -219,14 +219,11 @@ def _crossfit_scores(t: Tables, how: str):
     """AUC of the cross-fitted scores: transform and model both come from the training folds."""
     keys = ["cond", "contrast"]
     hot = t.hot("customer")
-    rows = fd.stratified(contrast_rows(t), ["contrast"], "subject", "y", K, REPEATS, hot)
-    long = usable_long(t).join(rows.select("contrast", "subject", "y", "age", "repeat", "fold"), "subject")
-    cross = cv.crossfitted(long, keys, "subject", "y", "age", "value", K, how).withColumnRenamed("mfold", "model")
-    g = [*keys, "repeat", "model"]
-    params = ml.fit(cross.filter("fold <> model"), g, "y", "x", large=t.large("customer"))
-    s = ml.scored(cross.filter("fold = model"), params, g, "x")
-    mean = ml.rank_mean(s, keys, "subject", "y", hot)
-    return rs.auc(mean, keys, "y", "s", hot=hot).withColumn("auc", rounded(F.col("auc")))
+    folds = fd.stratified(contrast_rows(t).select("contrast", "subject", "y"), ["contrast"], "subject", "y", K, REPEATS, hot)
+    folds = folds.groupBy("contrast", "subject").agg(F.array(*[F.max(F.when(F.col("repeat") == r, F.col("fold"))) for r in range(REPEATS)]).alias("folds"))
+    rows = design(t).select(*keys, "subject", "y", "age", "x").join(folds, ["contrast", "subject"])
+    scores = cv.crossfit_scores(stored(rows, "crossfit-rows"), keys, "subject", "y", "age", "x", "folds", K, REPEATS, how, hot)
+    return rs.auc(scores, keys, "y", "s", hot=hot).withColumn("auc", rounded(F.col("auc")))
 
 
 @query("ml10_normative_fit", with_views(SUBJECT, CUBE, LONG_AGE, NORM) + f"""
