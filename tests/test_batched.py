@@ -95,3 +95,12 @@ def test_permutations_like_copies(frame, carried):
     want = {r["perm"]: r["auc"] for r in rs.auc(ml.rank_mean(oof, ["perm"], "id", "y"), ["perm"], "y", "s").collect()}
     assert got.keys() == want.keys() == set(range(-1, 5))
     assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+@pytest.mark.parametrize("carried", [None, "c"])
+def test_permutations_by_passes_like_one_task(spark, small_limits, carried):
+    x, y = sample(90)
+    rows = spark.createDataFrame([(i, int(y[i]), x[i][:2].tolist(), float(x[i][2])) for i in range(90)], "id long, y int, v array<double>, c double")
+    got = {large: {r["perm"]: r["auc"] for r in bt.permutation_aucs(rows, "id", "y", "v", 4, "seed", carried, 3, 2, large).collect()} for large in (True, False)}
+    assert sorted(got[True]) == sorted(got[False]) == [-1, 0, 1, 2, 3]
+    assert max(abs(got[True][p] - got[False][p]) for p in got[True]) < 1e-6

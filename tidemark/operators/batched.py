@@ -358,16 +358,75 @@ def permuted_aucs(rows: DataFrame, sid: str, y: str, x: str, n: int, seed: str,
 
 def permutation_aucs(rows: DataFrame, sid: str, y: str, x: str, n: int, seed: str, carried: str | None = None, k: int = 5, repeats: int = 5,
                      large: bool | None = None, hot: bool | None = None) -> DataFrame:
-    """``permuted_aucs`` while all rows fit one task that fits models, else permuted copies by distributed passes: (perm, auc)."""
+    """``permuted_aucs`` while all rows fit one task that fits models, else by passes that serve all permutations: (perm, auc)."""
     limit = int(rows.sparkSession.conf.get(ml.MODEL_CONF, str(ml.MODEL_DEFAULT)))
     if large is False or (large is None and rows.count() <= limit):
         return permuted_aucs(rows, sid, y, x, n, seed, carried, k, repeats).select("perm", "auc")
     from tidemark.operators import rankstats as rs
     from tidemark.operators.resample import permuted
-    moving = [y, *([carried] if carried else [])]
-    own = stored(rows.select(sid, *moving, x), "permuted")
-    every = own.withColumn("perm", F.lit(-1)).unionByName(permuted(own, [], sid, moving, n, seed, hot))
-    if carried:
-        every = every.withColumn(x, F.concat(x, F.array(F.col(carried).cast("double"))))
-    oof = ml.out_of_fold(every.select("perm", sid, y, x), ["perm"], sid, y, x, k, repeats, hot=hot)
-    return rs.auc(ml.rank_mean(oof, ["perm"], sid, y, hot), ["perm"], y, "s", hot=hot).select("perm", "auc")
+    own = stored(rows.select(F.col(sid).alias("sid"), F.col(y).cast("int").alias("y"), (F.col(carried) if carried else F.lit(0.0)).cast("double").alias("c"), F.col(x).alias("x")),
+                 "permuted")
+    moved = permuted(own.select("sid", "y", "c"), [], "sid", ["y", "c"], n, seed, hot).unionByName(own.select("sid", "y", "c", F.lit(-1).alias("perm")))
+    lists = moved.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("perm", "y", "c"))).alias("l"))
+    lists = stored(lists.select("sid", F.transform("l", lambda e: e["y"].cast("tinyint")).alias("label"), F.transform("l", lambda e: e["c"]).alias("c")), "permuted")
+    folds = _permuted_folds(lists.select("sid", "label"), k, repeats)
+    full = own.select("sid", "x").join(lists, "sid").join(folds, "sid")
+    wide = F.concat("x", "c") if carried else F.col("x")
+    full = stored(full.select(F.lit(0).alias("g"), "sid", wide.alias("x"), F.col("label").cast("array<double>").alias("y"), "f"), "permuted")
+    width = own.select(F.size("x")).first()
+    d = width[0] if width else 0
+    columns = [[*range(d), d + p] if carried else list(range(d)) for p in range(n + 1)]
+    blocks = [ml.Block(p, {0: columns[p]}, p, [(r * (n + 1) + p, h) for r in range(repeats) for h in range(k)]) for p in range(n + 1)]
+    models = {p: (b0, coef) for (_, p), (b0, coef, _, _) in ml.fit_blocks(full, blocks).items()}
+
+    def decide(batches):
+        for batch in batches:
+            t, rows_in = pa.Table.from_batches([batch]), batch.num_rows
+            v, label, f = (ml._matrix(t[c]) for c in ("x", "y", "f"))
+            for p, (b0, coef) in models.items():
+                out = np.empty((rows_in, repeats))
+                for r in range(repeats):
+                    m = r * k + f[:, r * (n + 1) + p].astype(int)
+                    out[:, r] = (v[:, columns[p]] * coef[m]).sum(axis=1) + b0[m]
+                flat = pa.array(out.ravel(), mask=np.isnan(out.ravel()))
+                each = pa.ListArray.from_arrays(pa.array(np.arange(rows_in + 1, dtype=np.int32) * repeats), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows_in, p - 1, np.int32)), batch["sid"], pa.array(label[:, p].astype(np.int32)), each], ["g", "sid", "label", "d"])
+
+    kind = full.schema["sid"].dataType.simpleString()
+    decided = full.select("sid", "x", "y", "f").mapInArrow(decide, f"g int, sid {kind}, label int, d array<double>")
+    scored = ranked_decisions(decided, 1, repeats, hot).select(F.col("g").alias("perm"), F.col("label").alias("y"), F.get("scores", F.lit(0)).alias("s"))
+    return rs.auc(scored, ["perm"], "y", "s", hot=hot).select("perm", "auc")
+
+
+def _permuted_folds(labels: DataFrame, k: int, repeats: int) -> DataFrame:
+    """(sid, f): stratified folds of every repeat and label vector, repeat by repeat. ``labels`` has sid and the labels of a row, one a vector.
+
+    The hash order of a repeat is the same for all label vectors: rows are sorted once a repeat into ranges, and the counts of the classes
+    before a row are running sums of vectors, carried in from earlier ranges.
+    """
+    n = max(1, -(-labels.count() // int(labels.sparkSession.conf.get(ml.MODEL_CONF, str(ml.MODEL_DEFAULT)))))
+    each = labels.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("h", hash32(F.col("r"), F.col("sid")))
+    cut = stored(each.repartitionByRange(n * repeats, "r", "h", "sid").withColumn("part", F.spark_partition_id()), "ranges")
+
+    def count(table: pa.Table) -> pa.Table:
+        own = ml._matrix(table["label"]).astype(np.int64)
+        return pa.table({"r": table["r"][:1], "part": table["part"][:1], "rows": pa.array([len(own)], pa.int64()), "ones": pa.array([own.sum(axis=0).tolist()], pa.list_(pa.int64()))})
+
+    before, last = {}, {}
+    for row in sorted(cut.groupBy("r", "part").applyInArrow(count, "r int, part int, rows bigint, ones array<bigint>").collect()):
+        start = last.get(row["r"], (0, 0))
+        before[row["r"], row["part"]] = start
+        last[row["r"]] = start[0] + row["rows"], start[1] + np.array(row["ones"])
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("sid", "ascending")])
+        own = ml._matrix(table["label"]).astype(np.int64)
+        rows, ones = before[table["r"][0].as_py(), table["part"][0].as_py()]
+        ahead = np.cumsum(own, axis=0) - own + ones
+        fold = np.where(own == 1, ahead, rows + np.arange(len(own))[:, None] - ahead) % k
+        ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * own.shape[1])
+        return pa.table({"sid": table["sid"], "r": table["r"], "f": pa.ListArray.from_arrays(ends, pa.array(fold.astype(np.int8).ravel()))})
+
+    kind = labels.schema["sid"].dataType.simpleString()
+    placed = cut.groupBy("r", "part").applyInArrow(place, f"sid {kind}, r int, f array<tinyint>")
+    return placed.groupBy("sid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("r", "f"))), lambda e: e["f"])).alias("f"))
