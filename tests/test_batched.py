@@ -104,3 +104,13 @@ def test_permutations_by_passes_like_one_task(spark, small_limits, carried):
     got = {large: {r["perm"]: r["auc"] for r in bt.permutation_aucs(rows, "id", "y", "v", 4, "seed", carried, 3, 2, large).collect()} for large in (True, False)}
     assert sorted(got[True]) == sorted(got[False]) == [-1, 0, 1, 2, 3]
     assert max(abs(got[True][p] - got[False][p]) for p in got[True]) < 1e-6
+
+
+def test_permuted_rows_are_not_sent_to_every_task(spark):
+    rows = spark.createDataFrame([(i, i % 2, float(i)) for i in range(40)], "id long, y int, b double")
+    got = rp.permuted(rows, [], "id", ["y", "b"], 6, "seed", False)
+    assert got.columns == ["id", "perm", "y", "b"]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    for p in range(6):
+        own = [(r.id, r.b) for r in got.filter(f"perm = {p}").collect()]
+        assert sorted(i for i, _ in own) == list(range(40)) and sorted(b for _, b in own) == [float(i) for i in range(40)]

@@ -46,11 +46,12 @@ def permuted(df: DataFrame, keys: Sequence[str], sid: str, carry: Sequence[str],
              hot: bool | None = None) -> DataFrame:
     """Rows under ``n`` permutations: ``carry`` columns move together to another row's place."""
     keys = list(keys)
-    place = replicated(row_numbers(df.drop(*carry), keys, [sid], "__i", hot), n, "perm")
+    place = row_numbers(df.drop(*carry), keys, [sid], "__i", hot)
     moved = replicated(df.select(*keys, sid, *carry), n, "perm").withColumn(
         "__h", hash32(seed, F.col("perm"), F.col(sid)))
     moved = row_numbers(moved, [*keys, "perm"], ["__h", sid], "__i", hot).drop("__h", sid)
-    return same_group(place, moved, [*keys, "perm", "__i"]).drop("__i")
+    # Places are joined before they are copied; copies are no larger to Spark's estimate than their source, and would be sent to every task.
+    return same_group(moved, place.hint("merge"), [*keys, "__i"]).select(*place.drop("__i").columns, "perm", *carry)
 
 
 def permutation_p(null: DataFrame, observed: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
