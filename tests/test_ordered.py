@@ -133,3 +133,13 @@ def test_crc_seed_is_the_plain_checksum(spark):
     from tidemark.functions.draws import crc_seed
     row = spark.range(1).select(crc_seed("mci", "full", F.lit(40)).alias("s")).first()
     assert row["s"] == zlib.crc32(b"mci|full|40")
+
+
+def test_neighbours_read_no_frame_from_its_end(spark):
+    """A frame that ends at the group's last row costs the square of the group."""
+    rows = spark.range(40_000).select(F.lit(1).alias("g"), (F.col("id") % 20_001).cast("double").alias("v"), (F.col("id") % 7 == 0).cast("int").alias("ref"))
+    out = od.neighbours(rows, KEYS, "v", "ref", False)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    want = np.unique([i % 20_001 for i in range(0, 40_000, 7)]).astype(float)
+    for r in out.filter("v % 500 = 3").collect():
+        assert r.lo == max(want[want <= r.v], default=None) and r.hi == min(want[want >= r.v], default=None)

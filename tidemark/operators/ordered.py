@@ -161,11 +161,13 @@ def neighbours(df: DataFrame, keys: Sequence[str], value: str, is_ref: str,
     keys = list(keys)
     ref = F.when(F.col(is_ref) == 1, F.col(value))
     if not group_is_hot(df, keys, hot):
-        w = W.partitionBy(*keys).orderBy(value)
+        # Spark adds up a frame that only grows; one that ends at the group's last row is read again for every row.
+        w = W.partitionBy(*keys)
+        so_far = (W.unboundedPreceding, W.currentRow)
         known = F.col(value).isNotNull()
         return df.withColumns({
-            "lo": F.when(known, F.max(ref).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))),
-            "hi": F.when(known, F.min(ref).over(w.rangeBetween(W.currentRow, W.unboundedFollowing)))})
+            "lo": F.when(known, F.max(ref).over(w.orderBy(F.asc(value)).rangeBetween(*so_far))),
+            "hi": F.when(known, F.min(ref).over(w.orderBy(F.desc(value)).rangeBetween(*so_far)))})
     # Distinct values carry the running maximum of the references; the mirror image gives hi.
     df = stored(df, "rows")
     vals = stored(df.groupBy(*keys, value).agg(F.max(ref).alias("__r")).withColumn("__neg", -F.col(value)), "values")
