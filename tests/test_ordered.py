@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered as od
+from tidemark.operators import rankstats as rs
+from tidemark.operators.operating import rank_fraction
 
 KEYS = ["g"]
 
@@ -143,3 +145,17 @@ def test_neighbours_read_no_frame_from_its_end(spark):
     want = np.unique([i % 20_001 for i in range(0, 40_000, 7)]).astype(float)
     for r in out.filter("v % 500 = 3").collect():
         assert r.lo == max(want[want <= r.v], default=None) and r.hi == min(want[want >= r.v], default=None)
+
+
+def test_large_groups_do_not_share_a_task(spark, monkeypatch):
+    """Partitions are not merged by their bytes where several sorts of a group are held at once."""
+    monkeypatch.setattr(od, "OWN_TASK_ROWS", 100)
+    rows = spark.range(6000).select((F.col("id") % 12).alias("g"), F.hash("id").cast("double").alias("s"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    hot, own = od.apart(rows, KEYS)
+    places = own.select("g", F.spark_partition_id().alias("p")).distinct().collect()
+    assert not hot and len({r.p for r in places}) == len({r.g for r in places}) == len(places) == 12
+    rest = rs.delong(rows.withColumn("t", F.hash("s").cast("double")), KEYS, "y", "s", "t")
+    tasks = rest.select("g", F.spark_partition_id().alias("p")).collect()
+    assert len({r.p for r in tasks}) == 12
+    ranked = rank_fraction(rows, KEYS, "s", "f").select("g", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r.p for r in ranked}) == len(ranked) == 12

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import dims
 from tidemark.functions.scalars import Z80_POWER, Z95_FULL, clip, ratio, wilson
-from tidemark.operators.ordered import group_is_hot, midranks, neighbours, row_numbers, same_group
+from tidemark.operators.ordered import apart, midranks, neighbours, row_numbers, same_group
 from tidemark.operators.rankstats import negatives, positives, with_group
 from tidemark.session import stored
 
@@ -184,7 +184,8 @@ def _counter(values: list[tuple], keys: list[str]):
 def rank_fraction(df: DataFrame, keys: Sequence[str], value: str, name: str, hot: bool | None = None) -> DataFrame:
     """Midrank divided by the group size."""
     keys = list(keys)
-    if not group_is_hot(df, keys, hot):
+    hot, df = apart(df, keys, hot)
+    if not hot:
         out = midranks(df, keys, value, name, False)
         return out.withColumn(name, F.col(name) / F.count(value).over(W.partitionBy(*keys)))
     df = stored(df, "ranked")

@@ -18,6 +18,8 @@ from tidemark.session import stored
 
 HOT_CONF = "spark.tidemark.hotGroupRows"
 HOT_DEFAULT = 2_000_000
+#: Rows from which a group has a task of its own where several sorts of it are held at once.
+OWN_TASK_ROWS = 100_000
 
 
 def hot_limit(spark: SparkSession) -> int:
@@ -37,6 +39,21 @@ def group_is_hot(df: DataFrame, keys: Sequence[str], hot: bool | None = None) ->
     return hot if hot is not None else largest_group(df, keys) > hot_limit(df.sparkSession)
 
 
+def apart(df: DataFrame, keys: Sequence[str], hot: bool | None = None) -> tuple[bool, DataFrame]:
+    """Whether a group is hot, and the rows by group, so that large groups do not share a task.
+
+    A plan that sorts its groups by several orders keeps them all in the task at once, and small partitions are merged by their
+    bytes in the shuffle, which are fewer. Ranges of the keys never split a group. Without a count (``hot`` given) rows stay as they are.
+    """
+    if hot is not None or not keys:
+        return group_is_hot(df, keys, hot), df
+    most, total = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    if (most or 0) > hot_limit(df.sparkSession):
+        return True, df
+    n = -(-(total or 0) // OWN_TASK_ROWS)
+    return False, df.repartitionByRange(n, *keys) if n > 1 else df
+
+
 def same_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` with null equal to null; the columns of ``left`` come first, keys once."""
     if not keys:

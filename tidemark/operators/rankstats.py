@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import Z95, normal_two_sided, ratio
-from tidemark.operators.ordered import (counts_through, group_is_hot, histogram, quantiles,
+from tidemark.operators.ordered import (apart, counts_through, group_is_hot, histogram, quantiles,
                                         running, same_group)
 from tidemark.session import stored
 
@@ -63,11 +63,11 @@ def delong(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, min_n: in
            hot: bool | None = None) -> DataFrame:
     """Paired DeLong comparison of two scores per group, on the rows where both exist."""
     keys = list(keys)
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    hot = group_is_hot(rows, keys, hot)
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, y, a, *([b] if b != a else []))
+    hot, rows = apart(rows, keys, hot)
     counts = {"__n1": F.sum(positives(y)), "__n0": F.sum(negatives(y))}
     if hot:
-        rows = stored(rows.select(*keys, y, a, *([b] if b != a else [])), "paired")
+        rows = stored(rows, "paired")
         rows = with_group(rows, rows.groupBy(*keys).agg(*[e.alias(n) for n, e in counts.items()]), keys)
     else:
         rows = rows.withColumns({n: e.over(W.partitionBy(*keys)) for n, e in counts.items()})
