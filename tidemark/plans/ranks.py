@@ -100,7 +100,7 @@ def i03_registered(spark, sf):
     arms = rows.select("cond", "contrast", "y", "age", F.explode(F.create_map(
         F.lit("sub"), F.col("s"), F.lit("inc"), F.col("tot"))).alias("margin", "s"))
     d = rs.delong(arms, ["cond", "contrast", "margin"], "y", "s", "age",
-                  hot=t.hot("customer"))
+                  hot=t.hot("customer", fanout=30))  # rows of all groups
     d = rs.holm(d, ["cond"], "p", ["contrast", "margin"], hot=False)  # six tests a family
     return d.select("cond", "contrast", "margin", "n", rounded(F.col("auc_a")).alias("auc_score"),
                     rounded(F.col("auc_b")).alias("auc_age"), rounded(F.col("diff")).alias("diff"),
