@@ -8,6 +8,9 @@ from tidemark import dims
 from tidemark.functions.draws import hash32
 from tidemark.operators.ordered import same_group
 
+#: Instants of a recording that are shuffled together.
+RUN = 4096
+
 
 def measurable(samples: DataFrame, montage_channel: DataFrame) -> DataFrame:
     """(rec, montage) whose sites the recording all carries."""
@@ -41,10 +44,22 @@ def average_referenced(samples: DataFrame) -> DataFrame:
 
 
 def subset_referenced(samples: DataFrame, montage_channel: DataFrame) -> DataFrame:
-    """Common average over each montage's own channels."""
+    """Common average over each montage's own channels.
+
+    Samples are shuffled once, not once a montage: by runs of instants, so that the channels of an instant meet in one row (bounded by
+    the electrode count) and every montage is read off that row. Neighbouring instants share a task, where sums over time collapse.
+    """
     car = montage_channel.filter("ref = 'subset_car'")
-    return _centred(subset(samples, car).select("montage", "rec", "t", "channel", "x"),
-                    ["montage", "rec", "t"])
+    # One row with the registry, a design list.
+    sites = car.groupBy("montage").agg(F.collect_set("channel").alias("sites")).agg(F.collect_list(F.struct("montage", "sites")).alias("__montages"))
+    runs = samples.filter("channel IS NOT NULL").select("rec", "t", F.struct("channel", "x").alias("s"), F.floor(F.col("t") / RUN).alias("run"))
+    inst = runs.repartition("rec", "run").groupBy("rec", "run", "t").agg(F.collect_list("s").alias("c"))
+    rows = inst.crossJoin(F.broadcast(sites)).select("rec", "t", "c", F.explode("__montages").alias("m"))
+    rows = rows.select("rec", "t", F.col("m.montage").alias("montage"), F.filter("c", lambda s: F.array_contains("m.sites", s["channel"])).alias("c"))
+    known = F.filter(F.transform("c", lambda s: s["x"]), lambda v: v.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(known), F.lit(0))
+    return rows.withColumn("mean", mean).select("montage", "rec", "t", "mean", F.explode("c").alias("s")).select(
+        "montage", "rec", "t", F.col("s.channel").alias("channel"), (F.col("s.x") - F.col("mean")).alias("x"))
 
 
 def bipolar(samples: DataFrame, montage_pair: DataFrame) -> DataFrame:
