@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -118,3 +119,10 @@ def test_product_is_associative(brute):
         groups = [g for c in sorted(closed) for g in c[1]]
         assert groups == expected([text], brute)[0][-1].split(";") and not len(root.a) and not len(root.b)
     assert reader.ids("", "") == ([], [], True)
+
+
+def test_pairs_are_counted_by_few_documents():
+    """A batch of many long documents is never unfolded as a whole."""
+    batch = pa.RecordBatch.from_pydict({"pairs": [np.arange(i % 9, dtype=np.int32).tobytes() for i in range(1000)], "i": list(range(1000))})
+    parts = list(alignment._few([batch.slice(0, 0), batch]))
+    assert max(p.num_rows for p in parts) <= alignment.DOCS_AT_ONCE and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +40,10 @@ CHUNK = 1 << 16
 FANOUT = 8
 #: Most frequent id pairs that every task holds.
 FREQUENT = 1 << 19
+#: Documents whose pairs a task counts or looks up together.
+DOCS_AT_ONCE = 256
 #: Runs remembered in the young and in the old half, and the longest run that is.
-RUNS, LONGEST_RUN = 100_000, 80
+RUNS, LONGEST_RUN = 150_000, 80
 #: Ids of B fill the low bits of a pair's code.
 B_BITS = 15
 #: Neither tokenizer has a token across these: a space after a non-space, with more to follow.
@@ -51,6 +54,13 @@ _READERS: dict[tuple[str, str], "Reader"] = {}
 SUMS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that what is made of their rows does not grow with a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+            yield batch.slice(at, DOCS_AT_ONCE)
+
+
 def align(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[list[str], list[int]]:
     """Groups and linked pairs of tokens that begin at one offset and end at one offset."""
     if not a:
@@ -157,7 +167,7 @@ class Reader:
 
     @staticmethod
     def _written(groups: list[str], pairs: list[int], n_a: int, n_b: int) -> tuple:
-        return ";".join(groups), np.array(pairs, np.int32).tobytes(), n_a, n_b, len(groups)
+        return ";".join(groups), array("i", pairs).tobytes(), n_a, n_b, len(groups)
 
     def _learn(self, runs: list[str]) -> None:
         """Remember runs that end in a non-space: they are read as one text, which has a safe cut before each."""
@@ -358,7 +368,7 @@ def _counts(links: DataFrame) -> DataFrame:
             n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
             return values, n
 
-        for batch in batches:
+        for batch in _few(batches):
             pairs, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             held.append((np.frombuffer(b"".join(pairs), np.int32), np.frombuffer(b"".join(ns), np.int32)))
             size += len(held[-1][0])
@@ -382,7 +392,7 @@ def _looked_up(links: DataFrame, held) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, best = held.value
-        for batch in batches:
+        for batch in _few(batches):
             passed = [batch.column(i) for i in range(len(keep))]
             pairs, ns = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
             of = np.repeat(np.arange(len(pairs)), [len(p) // 4 for p in pairs])
