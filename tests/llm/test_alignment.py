@@ -126,3 +126,14 @@ def test_pairs_are_counted_by_few_documents():
     batch = pa.RecordBatch.from_pydict({"pairs": [np.arange(i % 9, dtype=np.int32).tobytes() for i in range(1000)], "i": list(range(1000))})
     parts = list(alignment._few([batch.slice(0, 0), batch]))
     assert max(p.num_rows for p in parts) <= alignment.DOCS_AT_ONCE and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
+def test_later_stages_hold_no_reader(spark):
+    """What a worker has read with is dropped before pairs are counted or looked up."""
+    links = spark.createDataFrame([(1, b"\x01\x00\x00\x00", b"\x02\x00\x00\x00")], "key int, pairs binary, ns binary")
+    alignment._READERS["a", "b"] = None
+    alignment._forget()
+    assert not alignment._READERS
+    held = spark.sparkContext.broadcast((np.array([1], np.int32), np.array([5]), np.array([1])))
+    assert [(r.count_sum, r.n_best) for r in alignment._looked_up(links, held).collect()] == [(10, 2)]
+    assert [(r.pair, r.n) for r in alignment._counts(links).collect()] == [(1, 2)]

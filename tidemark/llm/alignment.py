@@ -217,6 +217,11 @@ def _reader(a_path: str, b_path: str) -> Reader:
     return _READERS[a_path, b_path]
 
 
+def _forget() -> None:
+    """Workers stay for the next stages, which need no tokenizers and no remembered runs."""
+    _READERS.clear()
+
+
 def _distinct(pairs: bytes) -> tuple[bytes, bytes]:
     values, n = np.unique(np.frombuffer(pairs, np.int32), return_counts=True)
     return values.tobytes(), n.astype(np.int32).tobytes()
@@ -361,6 +366,7 @@ def _long(ranges: DataFrame, parts: int, a_path: str, b_path: str, fanout: int)
 def _counts(links: DataFrame) -> DataFrame:
     """(pair, n): how many links hold each pair of ids; each task adds up blocks before anything is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         held, size = [], 0
 
         def summed():
@@ -391,6 +397,7 @@ def _looked_up(links: DataFrame, held) -> DataFrame:
     schema = ", ".join(f"`{c}` {links.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         known, counts, best = held.value
         for batch in _few(batches):
             passed = [batch.column(i) for i in range(len(keep))]
