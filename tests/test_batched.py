@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,34 @@ def test_permuted_rows_are_not_sent_to_every_task(spark):
     for p in range(6):
         own = [(r.id, r.b) for r in got.filter(f"perm = {p}").collect()]
         assert sorted(i for i, _ in own) == list(range(40)) and sorted(b for _, b in own) == [float(i) for i in range(40)]
+
+
+def test_wide_rows_are_taken_in_pieces():
+    """What a task holds of wide rows is bounded by their entries, not by their number."""
+    x = np.arange(1000 * 9000, dtype=float).reshape(1000, 9000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), bt._lists(x, 9000), bt._lists(np.ones((1000, 1)), 1)], ["g", "x", "y"])
+    cut = ml.pieces(batch, ("x", "y"))
+    assert len(cut) > 2 and max(p.num_rows for p in cut) * 9001 <= ml.CELLS_AT_ONCE
+    assert [i for p in cut for i in p["g"].to_pylist()] == list(range(1000))
+    assert np.array_equal(np.vstack([ml._matrix(pa.Table.from_batches([p])["x"]) for p in cut]), x)
+    assert ml.pieces(batch.slice(0, 0), ("x", "y")) == []
+
+
+def test_arms_of_a_wide_group_are_ranked_apart(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    d = draw.integers(0, 9, (80, 6)).astype(float)
+    d[3, 1] = np.nan
+    rows = [(i % 2, None if i == 7 else f"s{i}", i % 3, [None if np.isnan(v) else float(v) for v in d[i]]) for i in range(80)]
+    decided = spark.createDataFrame(rows, "g int, sid string, label int, d array<double>")
+    whole = sorted(map(str, bt.ranked_decisions(decided, 3, 2).collect()))
+    monkeypatch.setattr(bt, "CELLS", 100)
+    apart = bt.ranked_decisions(decided, 3, 2)
+    plan = apart._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow [g#" in plan and plan.count("FlatMapGroupsInArrow") == 1 and ", b#" in plan.split("FlatMapGroupsInArrow [")[1].split("]")[0]
+    assert sorted(map(str, apart.collect())) == whole
+
+
+def test_a_group_is_handed_over_as_arrow(frame):
+    """Arms as Python objects took several times the room of their numbers."""
+    plan = bt.cross_validated(frame, ["g"], "id", "y", {"one": "x", "two": "v"}, (), 3, 2, large=False)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "InPandas" not in plan

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from tidemark.functions.draws import hash32
 from tidemark.operators import models as ml
 from tidemark.operators.folds import stratified
 from tidemark.operators.operating import rank_fraction
-from tidemark.operators.ordered import group_is_hot, largest_group, same_group
+from tidemark.operators.ordered import hot_limit, largest_group, same_group
 from tidemark.session import stored
 
 #: Entries of one rows-by-models array.
@@ -139,6 +140,13 @@ def held_out(x: np.ndarray, y: np.ndarray, orders: Sequence[np.ndarray], k: int,
     return out
 
 
+def _lists(values: np.ndarray | pa.Array, n: int) -> pa.ListArray:
+    """Values in a row as lists of ``n``; NaN becomes null."""
+    if isinstance(values, np.ndarray):
+        values = pa.array(values.ravel(), from_pandas=True)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) // n + 1, dtype=np.int32) * n), values)
+
+
 def _hashes(sid: str, repeats: int):
     return F.array(*[hash32(F.lit(r), F.col(sid)) for r in range(repeats)])
 
@@ -173,21 +181,21 @@ def cross_validated(rows: DataFrame, keys: Sequence[str], sid: str, y: str, arms
     types = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, sid, y)], "scores array<double>", "repeats array<array<double>>"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sid, kind="stable")
-        label, h = pdf[y].to_numpy(int), np.stack(pdf["__h"].to_list())
+    def run(table: pa.Table) -> pa.Table:
+        # The designs of all arms stay in the Arrow table; one arm at a time is a matrix.
+        at = pc.sort_indices(table.select([sid]), sort_keys=[(sid, "ascending")])
+        label, h = table[y].take(at).to_numpy().astype(int), ml._matrix(table["__h"].take(at))
         orders = [np.argsort(h[:, r], kind="stable") for r in range(repeats)]
-        x = {c: ml._stack(pdf[c]) for c in columns}
-        per = [held_out(x[a], label, orders, k, pdf[s].to_numpy(bool) if s else None, None if a == b else x[b])
-               for s in (subsets or [None]) for a, b in pairs.values()]
-        score = np.stack([fractions(d).mean(axis=1) for d in per], axis=1)
-        out = pdf[[*keys, sid, y]].copy()
-        plain = lambda v: [None if np.isnan(e) else float(e) for e in v]
-        out["scores"] = [plain(v) for v in score]
-        out["repeats"] = [[plain(d[i]) for d in per] for i in range(len(pdf))]
-        return out
-
-    got = narrow.withColumn("__h", _hashes(sid, repeats)).groupBy(*keys).applyInPandas(run, schema)
+        insides = [table[s].take(at).to_numpy().astype(bool) if s else None for s in (subsets or [None])]
+        score, per = (np.empty((len(label), len(names) * w)) for w in (1, repeats))
+        for i, (inside, (a, b)) in enumerate((inside, pair) for inside in insides for pair in pairs.values()):
+            fit_x = ml._matrix(table[a], at)
+            d = held_out(fit_x, label, orders, k, inside, None if a == b else ml._matrix(table[b], at))
+            per[:, i * repeats:(i + 1) * repeats], score[:, i] = d, fractions(d).mean(axis=1)
+        return pa.table([*[table[c].take(at) for c in (*keys, sid, y)], _lists(score, len(names)), _lists(_lists(per, repeats), len(names))],
+                        [*keys, sid, y, "scores", "repeats"])
+
+    got = narrow.withColumn("__h", _hashes(sid, repeats)).groupBy(*keys).applyInArrow(run, schema)
     return got.select(*keys, sid, y, *[F.get("scores", F.lit(i)).alias(n) for i, n in enumerate(names)], "repeats")
 
 
@@ -205,18 +213,29 @@ def ranked_decisions(decided: DataFrame, arms: int, repeats: int, hot: bool | No
     """(g, sid, label, d, scores): for each arm the rank fraction inside its repeat and group, averaged over repeats; ``d`` lists decisions arm by arm."""
     types = {f.name: f.dataType.simpleString() for f in decided.schema.fields}
     decided = stored(decided, "decisions")
-    if group_is_hot(decided, ["g"], None):
+    most = largest_group(decided, ["g"])
+    if most > hot_limit(decided.sparkSession):
         one = decided.select("g", "sid", F.posexplode("d").alias("i", "s")).filter("s IS NOT NULL")
         ranked = rank_fraction(one.withColumn("b", F.floor(F.col("i") / repeats)), ["g", "i"], "s", "__f", hot)
         mean = ranked.groupBy("g", "sid", "b").agg(F.avg("__f").alias("m"), F.count("*").alias("n"))
         wide = mean.groupBy("g", "sid").agg(F.array(*[F.max(F.when((F.col("b") == b) & (F.col("n") == repeats), F.col("m"))) for b in range(arms)]).alias("scores"))
         return same_group(decided, wide, ["g", "sid"], "left")
+    if arms > 1 and most * arms * repeats > CELLS:
+        # A task ranks one arm of a group, as all of them are too wide for one.
+        each = F.transform(F.sequence(F.lit(0), F.lit(arms - 1)), lambda b: F.struct(b.alias("b"), F.slice("d", b * repeats + 1, F.lit(repeats)).alias("d")))
+
+        def rank_arm(table: pa.Table) -> pa.Table:
+            s = fractions(ml._matrix(table["d"])).mean(axis=1)
+            return table.drop_columns(["d"]).append_column("s", pa.array(s, from_pandas=True))
+
+        ranked = decided.select("g", "sid", F.inline(each)).groupBy("g", "b").applyInArrow(rank_arm, f"g int, sid {types['sid']}, b int, s double")
+        wide = ranked.groupBy("g", "sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "s"))), lambda e: e["s"]).alias("scores"))
+        return same_group(decided, wide, ["g", "sid"])
 
     def rank(table: pa.Table) -> pa.Table:
         d = ml._matrix(table["d"])
         s = np.column_stack([fractions(d[:, b * repeats:(b + 1) * repeats]).mean(axis=1) for b in range(arms)])
-        flat = pa.array(s.ravel(), mask=np.isnan(s.ravel()))
-        return table.append_column("scores", pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * arms), flat))
+        return table.append_column("scores", _lists(s, arms))
 
     return decided.groupBy("g").applyInArrow(rank, f"g int, sid {types['sid']}, label {types['label']}, d array<double>, scores array<double>")
 
@@ -243,10 +262,10 @@ def _by_passes(rows, keys, sid, y, pairs, subsets, k, repeats, hot) -> DataFrame
     each = [(i, pair) for i in range(max(1, len(subsets))) for pair in pairs.values()]
     blocks = [ml.Block(b, places[fit_x], 0, [(i * repeats + r, f) for r in range(repeats) for f in range(k)]) for b, (i, (fit_x, _)) in enumerate(each)]
     models = {key: (b0, coef) for key, (b0, coef, _, _) in ml.fit_blocks(full, blocks).items()}
-    seen = [places[score_x] for _, (_, score_x) in each]
+    seen, width = [places[score_x] for _, (_, score_x) in each], len(each) * repeats
 
     def decide(batches):
-        for batch in batches:
+        for batch in (p for whole in batches for p in ml.pieces(whole, ("x", "f"), width)):
             t = pa.Table.from_batches([batch])
             n, g = batch.num_rows, batch["g"].to_numpy()
             out = np.full((n, len(each), repeats), np.nan)
@@ -260,13 +279,10 @@ def _by_passes(rows, keys, sid, y, pairs, subsets, k, repeats, hot) -> DataFrame
                         at = np.flatnonzero(f[:, i * repeats + r] >= 0)
                         m = r * k + f[at, i * repeats + r]
                         out[own[at], b, r] = (design[at] * coef[m]).sum(axis=1) + b0[m]
-            flat = pa.array(out.ravel(), mask=np.isnan(out.ravel()))
-            ends = pa.array(np.arange(n + 1, dtype=np.int32) * (len(each) * repeats))
-            yield pa.RecordBatch.from_arrays([batch["g"], batch["sid"], batch["label"], pa.ListArray.from_arrays(ends, flat)], ["g", "sid", "label", "d"])
+            yield pa.RecordBatch.from_arrays([batch["g"], batch["sid"], batch["label"], _lists(out, width)], ["g", "sid", "label", "d"])
 
     types = {f.name: f.dataType.simpleString() for f in full.schema.fields}
     decided = full.select("g", "sid", "label", "x", "f").mapInArrow(decide, f"g int, sid {types['sid']}, label {types['label']}, d array<double>")
-    width = len(each) * repeats
     scored = ranked_decisions(decided, len(each), repeats, hot)
     scored = scored.withColumnsRenamed({"g": "__g", "sid": "__sid", "label": "__label", "d": "__d", "scores": "__scores"})
     return scored.join(groups, "__g").select(

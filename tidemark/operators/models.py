@@ -153,8 +153,8 @@ def _in_task(kind, rows, keys, y, x, folds, c, penalty) -> DataFrame:
 
 
 # ---- many models by passes ----------------------------------------------------------------------
-#: Rows that a task reads together.
-ROWS_AT_ONCE = 32_768
+#: Rows that a task reads together, and entries of their features, labels and folds.
+ROWS_AT_ONCE, CELLS_AT_ONCE = 32_768, 4_000_000
 
 
 class Block(NamedTuple):
@@ -173,6 +173,15 @@ def _matrix(column: pa.ChunkedArray, rows: np.ndarray | None = None) -> np.ndarr
     return flat.to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 0))
 
 
+def pieces(batch: pa.RecordBatch, columns: Sequence[str], extra: int = 0) -> list[pa.RecordBatch]:
+    """A batch cut so that its list ``columns``, and ``extra`` more entries a row, stay within ``CELLS_AT_ONCE``; nothing is copied."""
+    if not batch.num_rows:
+        return []
+    width = extra + sum(len(batch[c].flatten()) for c in columns) // batch.num_rows
+    some = max(1, min(ROWS_AT_ONCE, CELLS_AT_ONCE // max(1, width)))
+    return [batch.slice(lo, some) for lo in range(0, batch.num_rows, some)]
+
+
 def _block_sums(rows: DataFrame, blocks: Sequence[Block], transform: Callable | None, stat: Callable) -> dict:
     """{(group, block): vector}: every task adds up ``stat`` over its rows, Spark adds up the tasks; one vector a group and block comes back.
 
@@ -196,13 +205,14 @@ def _block_sums(rows: DataFrame, blocks: Sequence[Block], transform: Callable |
                         key = int(group), b.name
                         acc[key] = acc[key] + v if key in acc else v
 
-        held, n = [], 0
+        held, n, cells = [], 0, 0
         for batch in batches:
-            if batch.num_rows:
-                held, n = [*held, batch], n + batch.num_rows
-            if n >= ROWS_AT_ONCE:
-                add(held)
-                held, n = [], 0
+            for part in pieces(batch, ("x", "y", "f")):
+                size = sum(len(part[c].flatten()) for c in ("x", "y", "f"))
+                if held and (n + part.num_rows > ROWS_AT_ONCE or cells + size > CELLS_AT_ONCE):
+                    add(held)
+                    held, n, cells = [], 0, 0
+                held, n, cells = [*held, part], n + part.num_rows, cells + size
         if held:
             add(held)
         if acc:
