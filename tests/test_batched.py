@@ -146,3 +146,31 @@ def test_a_group_is_handed_over_as_arrow(frame):
     """Arms as Python objects took several times the room of their numbers."""
     plan = bt.cross_validated(frame, ["g"], "id", "y", {"one": "x", "two": "v"}, (), 3, 2, large=False)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "InPandas" not in plan
+
+
+def test_oof_scores_average_over_the_repeats_that_have_a_model(spark, small_limits):
+    """As one out-of-fold run after the other, in all ways; group a has one case only, group b none."""
+    from tidemark.plans.modelling import oof_scores
+    x, y = sample(90)
+    rows = [("a" if i < 24 else "b" if i < 40 else None, i, int(i == 5) if i < 24 else 0 if i < 40 else int(y[i]), x[i].tolist()) for i in range(90)]
+    rows = spark.createDataFrame(rows, "g string, id long, y int, x array<double>")
+    oof = ml.out_of_fold(rows, ["g"], "id", "y", "x", 4, 3, hot=False, large=False)
+    want = {r["id"]: r["s"] for r in ml.rank_mean(oof, ["g"], "id", "y", False).collect()}
+    assert 0 < sum(i < 24 for i in want) and not any(24 <= i < 40 for i in want)
+    seen = {r["id"]: r["n"] for r in oof.groupBy("id").count().withColumnRenamed("count", "n").collect()}
+    assert 0 < min(seen.values()) < 3
+    spark.conf.set("spark.tidemark.hotGroupRows", "1000")
+    for large, hot in ((False, False), (True, None), (None, None), (True, "ranges")):
+        if hot == "ranges":
+            spark.conf.set("spark.tidemark.hotGroupRows", "5")
+        got = oof_scores(rows, ["g"], "id", 4, 3, hot=None if hot == "ranges" else hot, large=large)
+        assert got.columns == ["g", "id", "y", "s"]
+        got = {r["id"]: r["s"] for r in got.collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want), (large, hot)
+
+
+def test_oof_scores_keep_one_row_a_subject(spark, frame):
+    """The rows of the design are stored as they are, not once a repeat."""
+    from tidemark.plans.modelling import oof_scores
+    plan = oof_scores(frame.select("g", "id", "y", "x"), ["g"], "id", large=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan

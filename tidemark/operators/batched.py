@@ -114,6 +114,15 @@ def fractions(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def mean_rank(d: np.ndarray, partial: bool = False) -> np.ndarray:
+    """Rank fractions averaged over the columns: NaN where one is missing, or with ``partial`` where all are."""
+    f = fractions(d)
+    if not partial:
+        return f.mean(axis=1)
+    n = (~np.isnan(f)).sum(axis=1)
+    return np.divide(np.nansum(f, axis=1), n, out=np.full(len(f), np.nan), where=n > 0)
+
+
 def auc_of(y: np.ndarray, s: np.ndarray) -> float:
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     if not n1 or not n0:
@@ -152,12 +161,14 @@ def _hashes(sid: str, repeats: int):
 
 
 def cross_validated(rows: DataFrame, keys: Sequence[str], sid: str, y: str, arms: Mapping[str, str | tuple[str, str]],
-                    subsets: Sequence[str] = (), k: int = 5, repeats: int = 5, large: bool | None = None, hot: bool | None = None) -> DataFrame:
+                    subsets: Sequence[str] = (), k: int = 5, repeats: int = 5, large: bool | None = None, hot: bool | None = None,
+                    partial: bool = False) -> DataFrame:
     """(keys, sid, y, one column an arm): out-of-fold scores, rank-averaged over repeats, plus ``repeats``: for each column
     the decisions of every repeat.
 
     An arm is an array column, or a pair of them, fitted on the first and scored on the second. ``subsets`` are boolean columns; each
-    makes columns ``<subset>_<arm>`` from its own rows, refitted, and null elsewhere.
+    makes columns ``<subset>_<arm>`` from its own rows, refitted, and null elsewhere. A row that a repeat leaves without a model has no score,
+    or with ``partial`` the average over the other repeats.
     """
     keys = list(keys)
     pairs = {a: (v, v) if isinstance(v, str) else v for a, v in arms.items()}
@@ -174,10 +185,10 @@ def cross_validated(rows: DataFrame, keys: Sequence[str], sid: str, y: str, arms
             named = big.withColumnsRenamed({c: f"__k_{c}" for c in keys})
             on = [narrow[c].eqNullSafe(named[f"__k_{c}"]) for c in keys]
             few = narrow.join(named, on, "left_anti")
-            return (cross_validated(few, keys, sid, y, arms, subsets, k, repeats, False)
-                    .unionByName(_by_passes(narrow.join(named, on, "left_semi"), keys, sid, y, pairs, subsets, k, repeats, hot)))
+            return (cross_validated(few, keys, sid, y, arms, subsets, k, repeats, False, partial=partial)
+                    .unionByName(_by_passes(narrow.join(named, on, "left_semi"), keys, sid, y, pairs, subsets, k, repeats, hot, partial)))
     if large:
-        return _by_passes(narrow, keys, sid, y, pairs, subsets, k, repeats, hot)
+        return _by_passes(narrow, keys, sid, y, pairs, subsets, k, repeats, hot, partial)
     types = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, sid, y)], "scores array<double>", "repeats array<array<double>>"])
 
@@ -191,7 +202,7 @@ def cross_validated(rows: DataFrame, keys: Sequence[str], sid: str, y: str, arms
         for i, (inside, (a, b)) in enumerate((inside, pair) for inside in insides for pair in pairs.values()):
             fit_x = ml._matrix(table[a], at)
             d = held_out(fit_x, label, orders, k, inside, None if a == b else ml._matrix(table[b], at))
-            per[:, i * repeats:(i + 1) * repeats], score[:, i] = d, fractions(d).mean(axis=1)
+            per[:, i * repeats:(i + 1) * repeats], score[:, i] = d, mean_rank(d, partial)
         return pa.table([*[table[c].take(at) for c in (*keys, sid, y)], _lists(score, len(names)), _lists(_lists(per, repeats), len(names))],
                         [*keys, sid, y, "scores", "repeats"])
 
@@ -209,7 +220,7 @@ def _folds(rows: DataFrame, subsets: Sequence[str], k: int, repeats: int, hot: b
     return folded.groupBy("g", "sid").agg(F.array(*[F.coalesce(F.max(F.when(at == i, F.col("fold"))), F.lit(-1)) for i in range(n)]).alias("f"))
 
 
-def ranked_decisions(decided: DataFrame, arms: int, repeats: int, hot: bool | None = None) -> DataFrame:
+def ranked_decisions(decided: DataFrame, arms: int, repeats: int, hot: bool | None = None, partial: bool = False) -> DataFrame:
     """(g, sid, label, d, scores): for each arm the rank fraction inside its repeat and group, averaged over repeats; ``d`` lists decisions arm by arm."""
     types = {f.name: f.dataType.simpleString() for f in decided.schema.fields}
     decided = stored(decided, "decisions")
@@ -218,14 +229,14 @@ def ranked_decisions(decided: DataFrame, arms: int, repeats: int, hot: bool | No
         one = decided.select("g", "sid", F.posexplode("d").alias("i", "s")).filter("s IS NOT NULL")
         ranked = rank_fraction(one.withColumn("b", F.floor(F.col("i") / repeats)), ["g", "i"], "s", "__f", hot)
         mean = ranked.groupBy("g", "sid", "b").agg(F.avg("__f").alias("m"), F.count("*").alias("n"))
-        wide = mean.groupBy("g", "sid").agg(F.array(*[F.max(F.when((F.col("b") == b) & (F.col("n") == repeats), F.col("m"))) for b in range(arms)]).alias("scores"))
+        wide = mean.groupBy("g", "sid").agg(F.array(*[F.max(F.when((F.col("b") == b) & (F.col("n") >= (1 if partial else repeats)), F.col("m"))) for b in range(arms)]).alias("scores"))
         return same_group(decided, wide, ["g", "sid"], "left")
     if arms > 1 and most * arms * repeats > CELLS:
         # A task ranks one arm of a group, as all of them are too wide for one.
         each = F.transform(F.sequence(F.lit(0), F.lit(arms - 1)), lambda b: F.struct(b.alias("b"), F.slice("d", b * repeats + 1, F.lit(repeats)).alias("d")))
 
         def rank_arm(table: pa.Table) -> pa.Table:
-            s = fractions(ml._matrix(table["d"])).mean(axis=1)
+            s = mean_rank(ml._matrix(table["d"]), partial)
             return table.drop_columns(["d"]).append_column("s", pa.array(s, from_pandas=True))
 
         ranked = decided.select("g", "sid", F.inline(each)).groupBy("g", "b").applyInArrow(rank_arm, f"g int, sid {types['sid']}, b int, s double")
@@ -234,13 +245,13 @@ def ranked_decisions(decided: DataFrame, arms: int, repeats: int, hot: bool | No
 
     def rank(table: pa.Table) -> pa.Table:
         d = ml._matrix(table["d"])
-        s = np.column_stack([fractions(d[:, b * repeats:(b + 1) * repeats]).mean(axis=1) for b in range(arms)])
+        s = np.column_stack([mean_rank(d[:, b * repeats:(b + 1) * repeats], partial) for b in range(arms)])
         return table.append_column("scores", _lists(s, arms))
 
     return decided.groupBy("g").applyInArrow(rank, f"g int, sid {types['sid']}, label {types['label']}, d array<double>, scores array<double>")
 
 
-def _by_passes(rows, keys, sid, y, pairs, subsets, k, repeats, hot) -> DataFrame:
+def _by_passes(rows, keys, sid, y, pairs, subsets, k, repeats, hot, partial=False) -> DataFrame:
     """The same columns by passes over all rows, every arm, subset, repeat and fold in each pass."""
     columns = sorted({c for v in pairs.values() for c in v})
     rows = stored(rows, "arms")
@@ -283,7 +294,7 @@ def _by_passes(rows, keys, sid, y, pairs, subsets, k, repeats, hot) -> DataFrame
 
     types = {f.name: f.dataType.simpleString() for f in full.schema.fields}
     decided = full.select("g", "sid", "label", "x", "f").mapInArrow(decide, f"g int, sid {types['sid']}, label {types['label']}, d array<double>")
-    scored = ranked_decisions(decided, len(each), repeats, hot)
+    scored = ranked_decisions(decided, len(each), repeats, hot, partial)
     scored = scored.withColumnsRenamed({"g": "__g", "sid": "__sid", "label": "__label", "d": "__d", "scores": "__scores"})
     return scored.join(groups, "__g").select(
         *keys, F.col("__sid").alias(sid), F.col("__label").alias(y), *[F.get("__scores", F.lit(b)).alias(n) for b, n in enumerate(names)],

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import rounded
+from tidemark.operators import batched as bt
 from tidemark.operators import covariate as cv
 from tidemark.operators import folds as fd
 from tidemark.operators import labels as lb
@@ -36,10 +37,11 @@ def design(t: Tables):
         "cond", "contrast", "subject", "cohort", "y", "age", "x", "both")
 
 
-def oof_scores(rows, keys, sid, k=K, repeats=REPEATS, x="x", hot=None, rank=True, **kw):
-    """Out-of-fold scores of one feature set, rank-averaged over repeats."""
-    oof = ml.out_of_fold(rows, keys, sid, "y", x, k, repeats, hot=hot, **kw)
-    return ml.rank_mean(oof, keys, sid, "y", hot) if rank else oof
+def oof_scores(rows, keys, sid, k=K, repeats=REPEATS, x="x", hot=None, large=None):
+    """(keys, sid, y, s): out-of-fold scores of one feature set, rank-averaged over the repeats that have one; rows are not copied by repeat."""
+    keys = list(keys)
+    out = bt.cross_validated(rows, keys, sid, "y", {"s": x}, (), k, repeats, large, hot, partial=True)
+    return out.select(*keys, sid, "y", "s").filter("s IS NOT NULL")
 
 
 @query("ml01_stratified_folds", with_views(SCORE) + f"""
