@@ -1,8 +1,10 @@
 """Operating-point tables, curve summaries, subgroup rates, design tables, orderings."""
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,8 +16,9 @@ from tidemark.operators.ordered import apart, midranks, neighbours, row_numbers,
 from tidemark.operators.rankstats import negatives, positives, with_group
 from tidemark.session import stored
 
-#: Values of one automaton.
-VALUES_AT_ONCE = 100_000
+#: Values looked for in one pass; the longest that is short; characters of texts taken together, and of a text that is long;
+#: steps of a trie kept as a plain table.
+VALUES_AT_ONCE, SHORT_VALUE, TOGETHER, CHARS_AT_ONCE, TABLE_CELLS = 100_000, 8, 131_072, 1_000_000, 4_000_000
 
 
 def panel(points: DataFrame, prevalences: DataFrame) -> DataFrame:
@@ -127,8 +130,8 @@ def power_design(ref: DataFrame, deltas: DataFrame) -> DataFrame:
 def occurrences(texts: DataFrame, keys: Sequence[str], text: str, values: DataFrame, at_once: int = VALUES_AT_ONCE) -> DataFrame:
     """(name, keys, n, n_texts): non-overlapping occurrences of each value, and texts that have it.
 
-    ``values`` has (name, value), values not empty. Each text is read once by one automaton for at most ``at_once`` values; more values
-    take further passes, so what a task holds is bounded whatever their number. A task adds up its counts before they are shuffled.
+    ``values`` has (name, value), values not empty. Each text is read once for at most ``at_once`` values: short ones by a trie that is walked
+    from all characters together, else by an automaton; more values take further passes, so what a task holds is bounded whatever their number. A task adds up its counts before they are shuffled.
     """
     keys = list(keys)
     rows = texts.select(*keys, F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
@@ -145,38 +148,151 @@ def occurrences(texts: DataFrame, keys: Sequence[str], text: str, values: DataFr
     return out.groupBy("name", *keys).agg(F.sum("n").alias("n"), F.sum("n_texts").alias("n_texts"))
 
 
+def _overlaps_itself(value: str) -> bool:
+    """Whether two occurrences of a value can overlap; long values count as if they could."""
+    return len(value) > 64 or any(value.startswith(value[i:]) for i in range(1, len(value)))
+
+
+class _Short:
+    """Short values as a trie in arrays, walked from all characters of many texts at once."""
+
+    def __init__(self, words: Sequence[str]):
+        chars = {c: i for i, c in enumerate(sorted({c for w in words for c in w}), 1)}
+        # State 0 is the end of a walk, state 1 its start.
+        self.width, edges, value = len(chars) + 1, {}, {}
+        for v, w in enumerate(words):
+            state = 1
+            for c in w:
+                state = edges.setdefault(state * self.width + chars[c], len(edges) + 2)
+            value[state] = v
+        self.ids = np.zeros(max(map(ord, chars)) + 2, np.int32)
+        self.ids[[ord(c) for c in chars]] = list(chars.values())
+        self.value = np.full(len(edges) + 2, -1, np.int32)
+        self.value[list(value)] = list(value.values())
+        self.keys = np.array(sorted(edges))
+        self.next = np.array([edges[k] for k in self.keys.tolist()], np.int32)
+        self.table = None
+        if len(self.value) * self.width <= TABLE_CELLS:
+            self.table = np.zeros(len(self.value) * self.width, np.int32)
+            self.table[self.keys] = self.next
+        self.first = self.step(np.ones(self.width, np.int32), np.arange(self.width, dtype=np.int32))
+        self.size, self.lengths = np.array([len(w) for w in words]), {len(w) for w in words}
+        self.overlaps = np.array([_overlaps_itself(w) for w in words])
+
+    def step(self, state: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The next states; 0 where there is none."""
+        if self.table is not None:
+            return self.table.take(state * np.int32(self.width) + ids)
+        live, out = np.flatnonzero(state), np.zeros(len(state), np.int32)
+        key = state[live].astype(np.int64) * self.width + ids[live]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[live] = np.where(self.keys[at] == key, self.next[at], 0)
+        return out
+
+    def count(self, texts: Sequence[str], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(group, value, n, n_texts) over texts with their groups."""
+        codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        ids = self.ids.take(codes, mode="clip")
+        ids[ends] = 0
+        state, found = self.first.take(ids), []
+        for depth in range(1, max(self.lengths) + 1):
+            if depth > 1:
+                # No walk goes beyond the last character, which is the end of a text.
+                state = self.step(state[:-1], ids[depth - 1:])
+            if depth in self.lengths:
+                v = self.value.take(state)
+                hit = np.flatnonzero(v >= 0)
+                found.append((hit, v[hit]))
+            if len(state) < 2:
+                break
+        pos, v = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        pair = np.searchsorted(ends, pos) * len(self.size) + v
+        drop = self._hidden(pos, pair, v)
+        pair, n = np.unique(pair if drop is None else np.delete(pair, drop), return_counts=True)
+        code, at = np.unique(group[pair // len(self.size)] * len(self.size) + pair % len(self.size), return_inverse=True)
+        return code // len(self.size), code % len(self.size), np.bincount(at, n, len(code)).astype(int), np.bincount(at, minlength=len(code))
+
+    def _hidden(self, pos: np.ndarray, pair: np.ndarray, v: np.ndarray) -> list[int] | None:
+        """Occurrences that begin inside the counted one before them."""
+        own = np.flatnonzero(self.overlaps[v])
+        own = own[np.lexsort((pos[own], pair[own]))]
+        near = np.r_[False, (pair[own][1:] == pair[own][:-1]) & (np.diff(pos[own]) < self.size[v[own]][1:])] if len(own) else np.zeros(0, bool)
+        if not near.any():
+            return None
+        out, last = [], -1
+        some = np.flatnonzero(near | np.r_[near[1:], False])
+        for i, p, close, size in zip(own[some].tolist(), pos[own[some]].tolist(), near[some].tolist(), self.size[v[own[some]]].tolist()):
+            if close and p - last < size:
+                out.append(i)
+            else:
+                last = p
+        return out
+
+
 def _counter(values: list[tuple], keys: list[str]):
     def run(batches):
         import ahocorasick
         words: dict[str, list] = {}
         for name, value in values:
             words.setdefault(value, []).append(name)
-        automaton = ahocorasick.Automaton()
-        for w, names in words.items():
-            automaton.add_word(w, (len(w), names))
-        if not len(automaton):
+        if not words:
             return
-        automaton.make_automaton()
-        total: dict[tuple, list[int]] = {}
+        named = list(words.values())
+        short = _Short(list(words)) if max(map(len, words)) <= SHORT_VALUE else None
+        automaton, size = ahocorasick.Automaton(), [len(w) for w in words]
+        total: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+
+        def stream(text: str, times: Counter, texts: Counter) -> None:
+            """A long text, or long values: one automaton, occurrences one by one."""
+            if not len(automaton):
+                for i, w in enumerate(words):
+                    automaton.add_word(w, i)
+                automaton.make_automaton()
+            last: dict[int, int] = {}
+            for end, v in automaton.iter(text):
+                if end - size[v] >= last.get(v, -1):
+                    times[v] += 1
+                    last[v] = end
+            texts.update(last.keys())
+
+        def sent():
+            rows = [(name, *key, n, texts[v]) for key, (times, texts) in total.items() for v, n in times.items() for name in named[v]]
+            return pd.DataFrame(rows, columns=["name", *keys, "n", "n_texts"])
+
         for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                key = tuple(None if pd.isna(v) else v for v in row[:-1])
-                found: dict[int, list] = {}
-                for end, (size, names) in automaton.iter(row[-1]):
-                    mine = found.setdefault(id(names), [names, 0, -1])
-                    if end - size >= mine[2]:
-                        mine[1] += 1
-                        mine[2] = end
-                for names, n, _ in found.values():
-                    for name in names:
-                        held = total.setdefault((name, *key), [0, 0])
-                        held[0] += n
-                        held[1] += 1
-            if len(total) > 200_000:
-                yield pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["name", *keys, "n", "n_texts"])
-                total = {}
+            of = [tuple(None if pd.isna(v) else v for v in row) for row in pdf[keys].itertuples(index=False, name=None)] if keys else [()] * len(pdf)
+            some: list[str] = []
+            group: list[int] = []
+            places: dict[tuple, int] = {}
+            room = 0
+
+            def flush():
+                each = list(places)
+                for g, v, n, m in zip(*(a.tolist() for a in short.count(some, np.array(group)))):
+                    times, texts = total[each[g]]
+                    times[v] += n
+                    texts[v] += m
+                some.clear()
+                group.clear()
+
+            for key, text in zip(of, pdf.iloc[:, -1]):
+                if short is None or len(text) > CHARS_AT_ONCE:
+                    stream(text, *total[key])
+                    continue
+                if room + len(text) > TOGETHER and some:
+                    flush()
+                    room = 0
+                some.append(text)
+                group.append(places.setdefault(key, len(places)))
+                room += len(text) + 1
+            if some:
+                flush()
+            if sum(len(t) for t, _ in total.values()) > 200_000:
+                yield sent()
+                total.clear()
         if total:
-            yield pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["name", *keys, "n", "n_texts"])
+            yield sent()
 
     return run
 
