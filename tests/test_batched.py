@@ -174,3 +174,43 @@ def test_oof_scores_keep_one_row_a_subject(spark, frame):
     from tidemark.plans.modelling import oof_scores
     plan = oof_scores(frame.select("g", "id", "y", "x"), ["g"], "id", large=False)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan
+
+
+def test_groups_are_dealt_and_ranked_in_a_task_or_by_ranges(frame, spark, small_limits, monkeypatch):
+    """Designs of shared parts, carried columns and AUCs of repeats: the same from one task, from passes, and from ranges; no row is copied by arm or repeat."""
+    rows = frame.withColumns({"c": F.col("id") / 3, "w": F.concat("x", F.reverse("v")), "r": F.reverse("v")})
+    picks = {("a",): [0, 2], ("b",): [1, 2], (None,): [0, 1]}
+    parts = {"one": "x", "both": ["x", "r"], "some": [("x", picks), "r"], "moved": (["x", "v"], ["x", "r"])}
+    arrays = rows.withColumns({"some": F.concat(F.when(F.col("g") == "a", F.array(F.get("x", 0), F.get("x", 2))).when(F.col("g") == "b", F.array(F.get("x", 1), F.get("x", 2)))
+                                                .otherwise(F.array(F.get("x", 0), F.get("x", 1))), "r"), "xv": F.concat("x", "v"), "xr": F.concat("x", "r")})
+    plain = {"one": "x", "both": "w", "some": "some", "moved": ("xv", "xr")}
+    want = bt.cross_validated(arrays, ["g"], "id", "y", plain, ["most", "half"], 3, 2, False)
+    names = [f"{s}_{a}" for s in ("most", "half") for a in parts]
+    spread = {(r["g"], r["arm"]): r["auc_sd"] for r in bt.repeat_spread(want, ["g"], "y", names).collect()}
+    want = {r["id"]: r for r in want.collect()}
+    for large, cells in ((False, None), (True, None), (None, None), (True, 1)):
+        if cells:
+            monkeypatch.setattr(bt, "TASK_CELLS", cells)
+        out = bt.cross_validated(rows, ["g"], "id", "y", parts, ["most", "half"], 3, 2, large, carry=["c"], keep="aucs")
+        if cells is None:
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Generate" not in plan and "Window" not in plan
+        assert out.columns == ["g", "id", "y", "c", *names, "aucs"]
+        got = out.collect()
+        assert len(got) == 200 and sum(r["aucs"] is not None for r in got) == 3
+        for r in got:
+            assert r["c"] == r["id"] / 3
+            assert all((r[n] is None) == (want[r["id"]][n] is None) and (r[n] is None or abs(r[n] - want[r["id"]][n]) < 1e-9) for n in names)
+        assert {(r["g"], r["arm"]) for r in bt.repeat_spread(out, ["g"], "y", names).collect()} == spread.keys()
+        for r in bt.repeat_spread(out, ["g"], "y", names).collect():
+            assert abs(r["auc_sd"] - spread[r["g"], r["arm"]]) < 1e-9
+    assert "repeats" not in bt.cross_validated(rows, ["g"], "id", "y", parts, [], 3, 2, True, keep=None).columns
+
+
+def test_usable_arrays_like_feature_rows(spark):
+    from tidemark.plans.modelling import usable_arrays, usable_long
+    from tidemark.plans.registry import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    want = ml.feature_array(usable_long(t), ["cond", "subject"]).collect()
+    got = usable_arrays(t).collect()
+    assert len(got) > 100 and {(r.cond, r.subject): r.x for r in got} == {(r.cond, r.subject): r.x for r in want}

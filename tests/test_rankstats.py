@@ -151,3 +151,32 @@ def test_wilson_and_p_text(spark):
     assert out[1]["lo"] is None and 0 < out[0]["lo"] < 0.3 < out[0]["hi"] < 1 and abs(out[2]["lo"]) < 1e-12
     p = spark.createDataFrame([(0.0,), (0.0005,), (0.02,), (None,)], "p double").select(text_p(F.col("p")).alias("t"))
     assert [r["t"] for r in p.collect()] == ["P<0.0001", "P=0.0005", "P=0.020", "MISSING"]
+
+
+@pytest.mark.parametrize("cells", [80_000_000, 1])
+def test_pairs_of_a_wide_row_like_copies_of_it(spark, monkeypatch, cells):
+    """Nulls, NaN, ties, one class, one case, few rows, equal scores and null keys; in a task and by copies of the rows."""
+    draw = np.random.default_rng(11)
+    rows = []
+    for i in range(260):
+        g = ["a", "b", None, "one", "few", "case"][i % 6] if i < 240 else "a"
+        a, b, c = (float(v) for v in draw.integers(0, 12, 3))
+        y = 1 if g == "one" else int(i == 5) if g == "case" else None if i == 19 else i // 6 % 2
+        rows.append((g, y, None if i % 17 == 0 else a, float("nan") if i % 23 == 0 else b, c if g != "b" else None))
+    rows = [r for i, r in enumerate(rows) if r[0] != "few" or i < 30]
+    wide = spark.createDataFrame(rows, "g string, y int, a double, b double, c double")
+    monkeypatch.setattr(rs, "TASK_CELLS", cells)
+    pairs = [("ab", "a", "b"), ("aa", "a", "a"), ("bc", "b", "c")]
+    got = rs.delong_pairs(wide, ["g"], "y", pairs)
+    assert ("Generate" in got._jdf.queryExecution().executedPlan().toString()) == (cells == 1)
+    got = {(r.g, r.margin): r for r in got.collect()}
+    want = {(r.g, m): r for m, a, b in pairs for r in rs.delong(wide.withColumns({"sa": F.col(a), "sb": F.col(b)}), ["g"], "y", "sa", "sb").collect()}
+    assert got.keys() == want.keys() and len(want) == 17
+    for k, w in want.items():
+        for c in ("n", "auc_a", "auc_b", "diff", "se", "z", "p", "ci_lo", "ci_hi"):
+            assert (got[k][c] is None) == (w[c] is None) and (w[c] is None or abs(got[k][c] - w[c]) < 1e-9), (k, c, got[k][c], w[c])
+    read = {(r.g, r.arm): tuple(r[2:]) for r in rs.arm_aucs(wide, ["g"], "y", ["a", "b", "c"]).collect()}
+    long = {(r.g, r.arm): tuple(r[2:]) for r in rs.auc(rs.long_scores(wide, ["g"], "y", ["a", "b", "c"]), ["g", "arm"], "y", "s").collect()}
+    assert read.keys() == long.keys()
+    for k, w in long.items():
+        assert read[k][1:] == w[1:] and (read[k][0] == w[0] or abs(read[k][0] - w[0]) < 1e-12)

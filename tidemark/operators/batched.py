@@ -8,7 +8,7 @@ passes of ``models`` instead. Both ways solve the same problem.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,8 @@ from tidemark.operators.operating import rank_fraction
 from tidemark.operators.ordered import hot_limit, largest_group, same_group
 from tidemark.session import stored
 
-#: Entries of one rows-by-models array.
-CELLS = 4_000_000
+#: Entries of one rows-by-models array, and of the rows of a large group that one task deals into folds or ranks.
+CELLS, TASK_CELLS = 4_000_000, 80_000_000
 
 
 def _solve(z1: np.ndarray, y: np.ndarray, m: np.ndarray, pen: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +103,19 @@ def stratified_folds(order: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def midranks(s: np.ndarray) -> np.ndarray:
+    """Average ranks of the known values, 1-based."""
+    _, at, n = np.unique(s, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at]
+
+
 def fractions(s: np.ndarray) -> np.ndarray:
     """Midrank over the count, by column; NaN stays out."""
     out = np.full(s.shape, np.nan)
     for j in range(s.shape[1]):
         known = np.flatnonzero(~np.isnan(s[:, j]))
         if len(known):
-            values, at, n = np.unique(s[known, j], return_inverse=True, return_counts=True)
-            out[known, j] = ((np.cumsum(n) - (n - 1) / 2)[at]) / len(known)
+            out[known, j] = midranks(s[known, j]) / len(known)
     return out
 
 
@@ -160,21 +165,49 @@ def _hashes(sid: str, repeats: int):
     return F.array(*[hash32(F.lit(r), F.col(sid)) for r in range(repeats)])
 
 
-def cross_validated(rows: DataFrame, keys: Sequence[str], sid: str, y: str, arms: Mapping[str, str | tuple[str, str]],
+def _parts(spec: str | Sequence) -> list[tuple[str, Mapping | None]]:
+    """(column, entries by key or None for all) of a design."""
+    return [(p, None) if isinstance(p, str) else tuple(p) for p in ([spec] if isinstance(spec, str) else spec)]
+
+
+def ranked_arms(label: np.ndarray, arms: int, repeats: int, decided: Callable[[int, int], np.ndarray], partial: bool,
+                seen: Callable[[int, int, np.ndarray], None] | None = None) -> tuple[np.ndarray, list[float | None]]:
+    """Mean rank fractions (rows by arms), and the AUC of every arm and repeat; one column of decisions is held at a time."""
+    scores, aucs = np.full((len(label), arms), np.nan), []
+    for b in range(arms):
+        total, n = np.zeros(len(label)), np.zeros(len(label), np.int16)
+        for r in range(repeats):
+            d = decided(b, r)
+            if seen is not None:
+                seen(b, r, d)
+            known = np.flatnonzero(~np.isnan(d))
+            rank = midranks(d[known])
+            one = label[known] == 1
+            n1, n0 = int(one.sum()), int((label[known] == 0).sum())
+            aucs.append(float(rank[one].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) if n1 and n0 else None)
+            total[known] += rank / max(1, len(known))
+            n[known] += 1
+        ok = n >= (1 if partial else repeats)
+        scores[ok, b] = total[ok] / n[ok]
+    return scores, aucs
+
+
+def cross_validated(rows: DataFrame, keys: Sequence[str], sid: str, y: str, arms: Mapping[str, str | Sequence],
                     subsets: Sequence[str] = (), k: int = 5, repeats: int = 5, large: bool | None = None, hot: bool | None = None,
-                    partial: bool = False) -> DataFrame:
-    """(keys, sid, y, one column an arm): out-of-fold scores, rank-averaged over repeats, plus ``repeats``: for each column
-    the decisions of every repeat.
-
-    An arm is an array column, or a pair of them, fitted on the first and scored on the second. ``subsets`` are boolean columns; each
-    makes columns ``<subset>_<arm>`` from its own rows, refitted, and null elsewhere. A row that a repeat leaves without a model has no score,
-    or with ``partial`` the average over the other repeats.
+                    partial: bool = False, carry: Sequence[str] = (), keep: str | None = "repeats") -> DataFrame:
+    """(keys, sid, y, carry, one column an arm): out-of-fold scores, rank-averaged over repeats; with ``keep`` also ``repeats``, for each
+    column the decisions of every repeat, or ``aucs``, for each column their AUCs, in one row of a group and null in the others.
+
+    An arm is a design, or a pair (tuple) of them, fitted on the first and scored on the second. A design is an array column or a list of
+    them, side by side, so that what designs share is there once; a pair (column, {key: entries}) in the list takes some entries.
+    ``subsets`` are boolean columns; each makes columns ``<subset>_<arm>`` from its own rows, refitted, and null elsewhere. A row that a repeat
+    leaves without a model has no score, or with ``partial`` the average over the other repeats. ``carry`` are columns that stay with their row.
     """
-    keys = list(keys)
-    pairs = {a: (v, v) if isinstance(v, str) else v for a, v in arms.items()}
+    keys, carry = list(keys), list(carry)
+    pairs = {a: tuple(_parts(e) for e in (v if isinstance(v, tuple) else (v, v))) for a, v in arms.items()}
     names = [f"{s}_{a}" for s in subsets for a in pairs] if subsets else list(pairs)
-    columns = sorted({c for v in pairs.values() for c in v})
-    narrow = rows.select(*keys, sid, y, *subsets, *columns)
+    columns = sorted({c for v in pairs.values() for design in v for c, _ in design})
+    narrow = rows.select(*keys, sid, y, *subsets, *carry, *columns)
     limit = int(rows.sparkSession.conf.get(ml.MODEL_CONF, str(ml.MODEL_DEFAULT)))
     if large is None:
         narrow = stored(narrow, "arms")
@@ -182,15 +215,20 @@ def cross_validated(rows: DataFrame, keys: Sequence[str], sid: str, y: str, arms
         big = stored(sizes.where(F.col("count") > limit).drop("count") if keys else sizes.where(F.col("count") > limit), "large-groups")
         large = not big.isEmpty()
         if large and keys:
-            named = big.withColumnsRenamed({c: f"__k_{c}" for c in keys})
+            named = F.broadcast(big.withColumnsRenamed({c: f"__k_{c}" for c in keys}))
             on = [narrow[c].eqNullSafe(named[f"__k_{c}"]) for c in keys]
             few = narrow.join(named, on, "left_anti")
-            return (cross_validated(few, keys, sid, y, arms, subsets, k, repeats, False, partial=partial)
-                    .unionByName(_by_passes(narrow.join(named, on, "left_semi"), keys, sid, y, pairs, subsets, k, repeats, hot, partial)))
+            by_passes = _by_passes(narrow.join(named, on, "left_semi"), keys, sid, y, pairs, subsets, k, repeats, hot, partial, carry, keep)
+            if few.isEmpty():
+                return by_passes
+            return cross_validated(few, keys, sid, y, arms, subsets, k, repeats, False, partial=partial, carry=carry, keep=keep).unionByName(by_passes)
+    elif large:
+        narrow = stored(narrow, "arms")
     if large:
-        return _by_passes(narrow, keys, sid, y, pairs, subsets, k, repeats, hot, partial)
+        return _by_passes(narrow, keys, sid, y, pairs, subsets, k, repeats, hot, partial, carry, keep)
     types = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, sid, y)], "scores array<double>", "repeats array<array<double>>"])
+    extra = {None: [], "repeats": ["repeats array<array<double>>"], "aucs": ["aucs array<double>"]}[keep]
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, sid, y, *carry)], "scores array<double>", *extra])
 
     def run(table: pa.Table) -> pa.Table:
         # The designs of all arms stay in the Arrow table; one arm at a time is a matrix.
@@ -198,16 +236,31 @@ def cross_validated(rows: DataFrame, keys: Sequence[str], sid: str, y: str, arms
         label, h = table[y].take(at).to_numpy().astype(int), ml._matrix(table["__h"].take(at))
         orders = [np.argsort(h[:, r], kind="stable") for r in range(repeats)]
         insides = [table[s].take(at).to_numpy().astype(bool) if s else None for s in (subsets or [None])]
+        key = tuple(table[c][0].as_py() for c in keys)
+
+        def matrix(design) -> np.ndarray:
+            made = [ml._matrix(table[c], at) if some is None else ml._matrix(table[c], at)[:, some[key]] for c, some in design]
+            return made[0] if len(made) == 1 else np.hstack(made)
+
         score, per = (np.empty((len(label), len(names) * w)) for w in (1, repeats))
         for i, (inside, (a, b)) in enumerate((inside, pair) for inside in insides for pair in pairs.values()):
-            fit_x = ml._matrix(table[a], at)
-            d = held_out(fit_x, label, orders, k, inside, None if a == b else ml._matrix(table[b], at))
+            fit_x = matrix(a)
+            d = held_out(fit_x, label, orders, k, inside, None if a == b else matrix(b))
             per[:, i * repeats:(i + 1) * repeats], score[:, i] = d, mean_rank(d, partial)
-        return pa.table([*[table[c].take(at) for c in (*keys, sid, y)], _lists(score, len(names)), _lists(_lists(per, repeats), len(names))],
-                        [*keys, sid, y, "scores", "repeats"])
+        out = [*[table[c].take(at) for c in (*keys, sid, y, *carry)], _lists(score, len(names))]
+        if keep == "repeats":
+            out.append(_lists(_lists(per, repeats), len(names)))
+        elif keep == "aucs":
+            out.append(_once(ranked_arms(label, per.shape[1], 1, lambda b, r: per[:, b], partial)[1], len(label)))
+        return pa.table(out, [*keys, sid, y, *carry, "scores", *([keep] if keep else [])])
 
     got = narrow.withColumn("__h", _hashes(sid, repeats)).groupBy(*keys).applyInArrow(run, schema)
-    return got.select(*keys, sid, y, *[F.get("scores", F.lit(i)).alias(n) for i, n in enumerate(names)], "repeats")
+    return got.select(*keys, sid, y, *carry, *[F.get("scores", F.lit(i)).alias(n) for i, n in enumerate(names)], *([keep] if keep else []))
+
+
+def _once(values: list, n: int) -> pa.Array:
+    """The list in the first of ``n`` rows, null in the others."""
+    return pa.array([values] + [None] * (n - 1), pa.list_(pa.float64()))
 
 
 def _folds(rows: DataFrame, subsets: Sequence[str], k: int, repeats: int, hot: bool | None) -> DataFrame:
@@ -237,7 +290,7 @@ def ranked_decisions(decided: DataFrame, arms: int, repeats: int, hot: bool | No
 
         def rank_arm(table: pa.Table) -> pa.Table:
             s = mean_rank(ml._matrix(table["d"]), partial)
-            return table.drop_columns(["d"]).append_column("s", pa.array(s, from_pandas=True))
+            return table.select(["g", "sid", "b"]).append_column("s", pa.array(s, from_pandas=True))
 
         ranked = decided.select("g", "sid", F.inline(each)).groupBy("g", "b").applyInArrow(rank_arm, f"g int, sid {types['sid']}, b int, s double")
         wide = ranked.groupBy("g", "sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "s"))), lambda e: e["s"]).alias("scores"))
@@ -248,57 +301,142 @@ def ranked_decisions(decided: DataFrame, arms: int, repeats: int, hot: bool | No
         s = np.column_stack([mean_rank(d[:, b * repeats:(b + 1) * repeats], partial) for b in range(arms)])
         return table.append_column("scores", _lists(s, arms))
 
-    return decided.groupBy("g").applyInArrow(rank, f"g int, sid {types['sid']}, label {types['label']}, d array<double>, scores array<double>")
+    return decided.groupBy("g").applyInArrow(rank, ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", scores array<double>")
+
+
+def _dealt(own: DataFrame, inside: Sequence[str], k: int, repeats: int) -> DataFrame:
+    """``own`` (g, sid, y and more) with f, the folds of ``_folds``: the rows of a group meet in one task and are not sorted themselves."""
+    # Eight hex digits as a signed number of 4 bytes, in the same order.
+    h = F.transform(_hashes("sid", repeats), lambda v: (v - F.lit(2 ** 31)).cast("int"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name not in inside) + ", f array<tinyint>"
+
+    def deal(table: pa.Table) -> pa.Table:
+        at, label = pc.sort_indices(table.select(["sid"]), sort_keys=[("sid", "ascending")]).to_numpy(), table["y"].to_numpy()
+        h = ml._matrix(table["__h"])
+        f = np.full((len(label), max(1, len(inside)) * repeats), -1, np.int8)
+        masks = [table[c].to_numpy().astype(bool) for c in inside] or [None]
+        for r in range(repeats):
+            order = at[np.argsort(h[at, r], kind="stable")]
+            for cls in (0, 1):
+                own = order[label[order] == cls]
+                for i, m in enumerate(masks):
+                    some = own if m is None else own[m[own]]
+                    f[some, i * repeats + r] = np.arange(len(some)) % k
+        return table.drop_columns(["__h", *inside]).append_column("f", _lists(pa.array(f.ravel()), f.shape[1]))
 
+    return own.withColumn("__h", h).groupBy("g").applyInArrow(deal, schema)
 
-def _by_passes(rows, keys, sid, y, pairs, subsets, k, repeats, hot, partial=False) -> DataFrame:
-    """The same columns by passes over all rows, every arm, subset, repeat and fold in each pass."""
-    columns = sorted({c for v in pairs.values() for c in v})
-    rows = stored(rows, "arms")
+
+def _by_passes(rows, keys, sid, y, pairs, subsets, k, repeats, hot, partial=False, carry=(), keep="repeats") -> DataFrame:
+    """The same columns by passes over all (stored) rows, every arm, subset, repeat and fold in each pass.
+
+    Rows go by group twice: to be dealt into folds, and to be decided and ranked, so that decisions are numbers of a task and not rows. A
+    group with more than ``TASK_CELLS`` entries is dealt and ranked by ranges instead.
+    """
+    columns = sorted({c for v in pairs.values() for design in v for c, _ in design})
     groups = ml.numbered_groups(rows, keys) if keys else F.broadcast(rows.sparkSession.range(1).select(F.lit(0).alias("__g")))
-    inside = [f"in{i}" for i in range(len(subsets))]
+    inside, carried = [f"in{i}" for i in range(len(subsets))], [f"c{i}" for i in range(len(carry))]
     own = same_group(rows, groups, keys).select(
-        F.col("__g").alias("g"), F.col(sid).alias("sid"), F.col(y).alias("y"), *[F.col(s).alias(n) for s, n in zip(subsets, inside)], *[F.col(c).alias(f"x{i}") for i, c in enumerate(columns)])
+        F.col("__g").alias("g"), F.col(sid).alias("sid"), F.col(y).alias("y"), *[F.col(s).alias(n) for s, n in zip((*subsets, *carry), (*inside, *carried))],
+        *[F.col(c).alias(f"x{i}") for i, c in enumerate(columns)])
     places: dict = {c: {} for c in columns}
-    for r in own.groupBy("g").agg(*[F.max(F.size(f"x{i}")).alias(f"w{i}") for i in range(len(columns))]).collect():
+    names = [f"{s}_{a}" for s in subsets for a in pairs] if subsets else list(pairs)
+    each = [(i, pair) for i in range(max(1, len(subsets))) for pair in pairs.values()]
+    width, cells = len(each) * repeats, 0
+    for r in own.groupBy("g").agg(F.count("*").alias("n"), *[F.max(F.size(f"x{i}")).alias(f"w{i}") for i in range(len(columns))]).collect():
         start = 0
         for i, c in enumerate(columns):
             places[c][r["g"]] = range(start, start + r[f"w{i}"])
             start += r[f"w{i}"]
-    folds = _folds(own.select("g", "sid", "y", *inside), inside, k, repeats, hot)
-    full = same_group(own.select("g", "sid", "y", F.concat(*[f"x{i}" for i in range(len(columns))]).alias("x")), folds, ["g", "sid"], "left")
-    outside = F.array_repeat(F.lit(-1), max(1, len(subsets)) * repeats)
-    full = stored(full.select("g", "sid", F.col("y").alias("label"), "x", F.array(F.col("y").cast("double")).alias("y"), F.coalesce("f", outside).alias("f")), "arms")
-    names = [f"{s}_{a}" for s in subsets for a in pairs] if subsets else list(pairs)
-    each = [(i, pair) for i in range(max(1, len(subsets))) for pair in pairs.values()]
-    blocks = [ml.Block(b, places[fit_x], 0, [(i * repeats + r, f) for r in range(repeats) for f in range(k)]) for b, (i, (fit_x, _)) in enumerate(each)]
+        cells = max(cells, r["n"] * (start + max(1, len(subsets)) * repeats + len(carry) + len(names) + 2 + (width if keep == "repeats" else 0)))
+    own = own.select("g", "sid", "y", *inside, *carried, F.concat(*[f"x{i}" for i in range(len(columns))]).alias("x"))
+    whole = cells <= TASK_CELLS
+    if whole:
+        full = _dealt(own, inside, k, repeats)
+    else:
+        full = same_group(own, _folds(own.select("g", "sid", "y", *inside), inside, k, repeats, hot), ["g", "sid"], "left")
+    outside = F.array_repeat(F.lit(-1).cast("tinyint"), max(1, len(subsets)) * repeats)
+    f = F.coalesce(F.col("f").cast("array<tinyint>"), outside)
+    full = stored(full.select("g", "sid", F.col("y").alias("label"), *carried, "x", F.array(F.col("y").cast("double")).alias("y"), f.alias("f")), "arms")
+    key_of = {r["__g"]: tuple(r[c] for c in keys) for r in groups.collect()}
+
+    def entries(design) -> dict[int, list[int]]:
+        return {g: [at for c, some in design for at in (places[c][g] if some is None else [places[c][g][e] for e in some[key]])]
+                for g, key in key_of.items() if g in places[columns[0]]}
+
+    blocks = [ml.Block(b, entries(fit_x), 0, [(i * repeats + r, f) for r in range(repeats) for f in range(k)]) for b, (i, (fit_x, _)) in enumerate(each)]
     models = {key: (b0, coef) for key, (b0, coef, _, _) in ml.fit_blocks(full, blocks).items()}
-    seen, width = [places[score_x] for _, (_, score_x) in each], len(each) * repeats
+    seen = [entries(score_x) for _, (_, score_x) in each]
+
+    def decisions(group: int, b: int, r: int, design: np.ndarray, f: np.ndarray) -> np.ndarray:
+        out, (b0, coef) = np.full(len(f), np.nan), models[group, b]
+        own = f[:, each[b][0] * repeats + r]
+        for fold in range(k):
+            at = np.flatnonzero(own == fold)
+            out[at] = design[at] @ coef[r * k + fold] + b0[r * k + fold]
+        return out
+
+    types = {f.name: f.dataType.simpleString() for f in full.schema.fields}
+    kept = "".join(f", {c} {types[c]}" for c in carried)
+    extra = {None: "", "repeats": ", d array<double>", "aucs": ", aucs array<double>"}[keep]
+
+    def rank(table: pa.Table) -> pa.Table:
+        group = table["g"][0].as_py()
+        # The rows stay in the batches they came in.
+        parts = [(ml._matrix(p["x"]), ml._matrix(p["f"])) for p in map(pa.Table.from_batches, ([b] for b in table.to_batches()))]
+        d = np.empty((table.num_rows, width)) if keep == "repeats" else None
+
+        def decided(b: int, r: int) -> np.ndarray:
+            return np.concatenate([decisions(group, b, r, x[:, seen[b][group]], f) for x, f in parts])
+
+        def note(b: int, r: int, v: np.ndarray) -> None:
+            d[:, b * repeats + r] = v
+
+        scores, aucs = ranked_arms(table["label"].to_numpy(), len(each), repeats, decided, partial, note if keep == "repeats" else None)
+        out = table.select(["g", "sid", "label", *carried]).append_column("scores", _lists(scores, len(each)))
+        if keep == "repeats":
+            return out.append_column("d", _lists(d, width))
+        return out if keep is None else out.append_column("aucs", _once(aucs, table.num_rows))
 
     def decide(batches):
         for batch in (p for whole in batches for p in ml.pieces(whole, ("x", "f"), width)):
             t = pa.Table.from_batches([batch])
-            n, g = batch.num_rows, batch["g"].to_numpy()
-            out = np.full((n, len(each), repeats), np.nan)
+            g = batch["g"].to_numpy()
+            out = np.full((batch.num_rows, width), np.nan)
             for group in np.unique(g):
                 own = np.flatnonzero(g == group)
                 x, f = ml._matrix(t["x"], own), ml._matrix(t["f"], own)
-                for b, (i, _) in enumerate(each):
-                    b0, coef = models[int(group), b]
+                for b in range(len(each)):
                     design = x[:, seen[b][int(group)]]
                     for r in range(repeats):
-                        at = np.flatnonzero(f[:, i * repeats + r] >= 0)
-                        m = r * k + f[at, i * repeats + r]
-                        out[own[at], b, r] = (design[at] * coef[m]).sum(axis=1) + b0[m]
-            yield pa.RecordBatch.from_arrays([batch["g"], batch["sid"], batch["label"], _lists(out, width)], ["g", "sid", "label", "d"])
-
-    types = {f.name: f.dataType.simpleString() for f in full.schema.fields}
-    decided = full.select("g", "sid", "label", "x", "f").mapInArrow(decide, f"g int, sid {types['sid']}, label {types['label']}, d array<double>")
-    scored = ranked_decisions(decided, len(each), repeats, hot, partial)
-    scored = scored.withColumnsRenamed({"g": "__g", "sid": "__sid", "label": "__label", "d": "__d", "scores": "__scores"})
+                        out[own, b * repeats + r] = decisions(int(group), b, r, design, f)
+            yield pa.RecordBatch.from_arrays([batch["g"], batch["sid"], batch["label"], *[batch[c] for c in carried], _lists(out, width)],
+                                             ["g", "sid", "label", *carried, "d"])
+
+    own = full.select("g", "sid", "label", *carried, "x", "f")
+    head = f"g int, sid {types['sid']}, label {types['label']}{kept}"
+    if whole:
+        scored = own.groupBy("g").applyInArrow(rank, f"{head}, scores array<double>{extra}")
+    else:
+        decided = stored(own.mapInArrow(decide, f"{head}, d array<double>"), "decisions")
+        scored = ranked_decisions(decided, len(each), repeats, hot, partial)
+        if keep == "aucs":
+            scored = same_group(scored, _aucs_of_groups(decided, len(each) * repeats, hot), ["g", "sid"], "left")
+    scored = scored.withColumnsRenamed({c: f"__{c}" for c in ("g", "sid", "label", *carried, "scores", *{"repeats": ["d"], "aucs": ["aucs"]}.get(keep, []))})
+    last = [F.col("__aucs").alias("aucs")] if keep == "aucs" else []
+    if keep == "repeats":
+        last = [F.array(*[F.slice("__d", 1 + lo, repeats) for lo in range(0, width, repeats)]).alias("repeats")]
     return scored.join(groups, "__g").select(
-        *keys, F.col("__sid").alias(sid), F.col("__label").alias(y), *[F.get("__scores", F.lit(b)).alias(n) for b, n in enumerate(names)],
-        F.array(*[F.slice("__d", 1 + lo, repeats) for lo in range(0, width, repeats)]).alias("repeats"))
+        *keys, F.col("__sid").alias(sid), F.col("__label").alias(y), *[F.col(f"__{n}").alias(c) for n, c in zip(carried, carry)],
+        *[F.get("__scores", F.lit(b)).alias(n) for b, n in enumerate(names)], *last)
+
+
+def _aucs_of_groups(decided: DataFrame, n: int, hot: bool | None) -> DataFrame:
+    """(g, sid, aucs): the AUC of each of the ``n`` decisions of a group, at the lowest sid of the group."""
+    from tidemark.operators import rankstats as rs
+    a = rs.auc(decided.select("g", "label", F.posexplode("d").alias("i", "s")), ["g", "i"], "label", "s", hot=hot)
+    lists = a.groupBy("g").agg(F.array(*[F.max(F.when(F.col("i") == i, F.col("auc"))) for i in range(n)]).alias("aucs"))
+    return same_group(decided.groupBy("g").agg(F.min("sid").alias("sid")), lists, ["g"])
 
 
 def fold_models(rows: DataFrame, keys: Sequence[str], sid: str, y: str, x: str, k: int = 5, repeats: int = 5, large: bool | None = None,
@@ -330,12 +468,17 @@ def fold_models(rows: DataFrame, keys: Sequence[str], sid: str, y: str, x: str,
 def arm_aucs(scored: DataFrame, keys: Sequence[str], y: str, arms: Sequence[str], hot: bool | None = None) -> DataFrame:
     """(keys, arm, auc, n_pos, n_neg)."""
     from tidemark.operators import rankstats as rs
-    return rs.auc(rs.long_scores(scored, keys, y, arms), [*keys, "arm"], y, "s", hot=hot)
+    return rs.arm_aucs(scored, keys, y, arms, hot)
 
 
 def repeat_spread(scored: DataFrame, keys: Sequence[str], y: str, arms: Sequence[str], hot: bool | None = None) -> DataFrame:
-    """(keys, arm, auc_sd): how far the AUC moves with the assignment of folds."""
+    """(keys, arm, auc_sd): how far the AUC moves with the assignment of folds. ``scored`` was made with ``keep``, either way."""
     from tidemark.operators import rankstats as rs
+    if "aucs" in scored.columns:
+        n = F.size("aucs") / len(arms)
+        per = scored.filter("aucs IS NOT NULL").select(*keys, n.cast("int").alias("__n"), F.posexplode("aucs").alias("__i", "auc"))
+        return per.groupBy(*keys, F.element_at(F.array(*[F.lit(a) for a in arms]), (F.floor(F.col("__i") / F.col("__n")) + 1).cast("int")).alias("arm")).agg(
+            F.stddev_pop("auc").alias("auc_sd"))
     per = scored.select(*keys, y, F.explode(F.arrays_zip(F.array(*[F.lit(a) for a in arms]).alias("arm"), F.col("repeats"))).alias("__e"))
     per = per.select(*keys, y, F.col("__e.arm").alias("arm"), F.posexplode("__e.repeats").alias("repeat", "s"))
     a = rs.auc(per, [*keys, "arm", "repeat"], y, "s", hot=hot)

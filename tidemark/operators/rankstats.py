@@ -3,16 +3,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import Z95, normal_two_sided, ratio
-from tidemark.operators.ordered import (apart, counts_through, group_is_hot, histogram, quantiles,
+from tidemark.operators.ordered import (apart, counts_through, group_is_hot, histogram, largest_group, quantiles,
                                         running, same_group)
 from tidemark.session import stored
 
 Y1, Y0 = 1, 0
+#: Entries of the rows of a group that one task tests or reads.
+TASK_CELLS = 80_000_000
 
 
 def positives(y: str) -> Column:
@@ -91,6 +95,11 @@ def delong(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, min_n: in
         F.when(ok, F.avg(F.when(pos, F.col("__vb")))).alias("auc_b"),
         F.when(ok, term(pos, "__n1") + term(neg, "__n0")).alias("__var"),
         F.when(ok, own(pos, "__n1") + own(neg, "__n0")).alias("__own"))
+    return _tested(est, keys)
+
+
+def _tested(est: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, AUCs, difference, its test and interval) from (keys, n, auc_a, auc_b, __var, __own)."""
     diff = F.col("auc_a") - F.col("auc_b")
     # Zero up to rounding, measured against the two variances it is the difference of.
     flat = F.col("__var") <= 1e-13 * F.col("__own")
@@ -106,6 +115,98 @@ def delong(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, min_n: in
                       (centre - half).alias("ci_lo"), (centre + half).alias("ci_hi"))
 
 
+def _fits_a_task(wide: DataFrame, keys: Sequence[str], columns: int, hot: bool | None) -> bool:
+    """Whether every group of a wide table is read by one task: rows that cannot be hot are, others are counted."""
+    return hot is False or largest_group(wide, keys) * (columns + 2) <= TASK_CELLS
+
+
+def _known(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
+    """Rows with a value in all columns."""
+    out = np.ones(table.num_rows, bool)
+    for c in columns:
+        out &= table[c].is_valid().to_numpy()
+    return out
+
+
+def _half_below(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each value, how many of the sorted ``others`` are smaller, equal ones counted half."""
+    return (np.searchsorted(others, values, "left") + np.searchsorted(others, values, "right")) / 2
+
+
+def _delong_sums(one: np.ndarray, zero: np.ndarray, pair: Sequence[np.ndarray], min_n: int) -> tuple:
+    """n, the two AUCs, the variance of their difference, and the sum of their own variances; None where undefined."""
+    n1, n0 = int(one.sum()), int(zero.sum())
+    if not n1 or not n0 or n1 + n0 < min_n:
+        return n1 + n0, None, None, None, None
+    cases, controls = [], []
+    for s in pair:
+        a, b = s[one], s[zero]
+        cases.append(_half_below(a, np.sort(b)) / n0)
+        controls.append(1 - _half_below(b, np.sort(a)) / n1)
+    aucs = [float(v.mean()) for v in cases]
+    if n1 < 2 or n0 < 2:
+        return n1 + n0, *aucs, None, None
+    var = own = 0.0
+    for va, vb in (cases, controls):
+        ca, cb, n = va - va.mean(), vb - vb.mean(), len(va)
+        each = (ca @ ca + cb @ cb) / (n - 1)
+        own += each / n
+        var += (each - 2 * (ca @ cb) / (n - 1)) / n
+    return n1 + n0, *aucs, float(var), float(own)
+
+
+def delong_pairs(wide: DataFrame, keys: Sequence[str], y: str, pairs: Sequence[tuple[str, str, str]], min_n: int = 10, hot: bool | None = None) -> DataFrame:
+    """``delong`` of named pairs of score columns, [(margin, a, b)], with the columns of ``delong`` by (keys, margin).
+
+    A row is not copied by pair: a group meets in one task, which takes the pairs one after the other, unless it is too large for that.
+    """
+    keys, columns = list(keys), sorted({c for _, *ab in pairs for c in ab})
+    if not _fits_a_task(wide, keys, len(columns), hot):
+        arms = F.array(*[F.struct(F.lit(m).alias("margin"), F.col(a).cast("double").alias("sa"), F.col(b).cast("double").alias("sb")) for m, a, b in pairs])
+        rows = wide.select(*keys, y, F.explode(arms).alias("p")).select(*keys, y, "p.*")
+        return delong(rows, [*keys, "margin"], y, "sa", "sb", min_n, hot)
+    rows = wide.select(*keys, F.col(y).cast("int").alias("__y"), *[F.col(c).cast("double").alias(f"__s{i}") for i, c in enumerate(columns)])
+    place = {c: f"__s{i}" for i, c in enumerate(columns)}
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def test(table: pa.Table) -> pa.Table:
+        label, out = np.asarray(table["__y"].fill_null(-1)), []
+        for margin, a, b in pairs:
+            some = np.flatnonzero(_known(table, (place[a], place[b])))
+            if len(some):
+                own = label[some]
+                out.append((margin, *_delong_sums(own == 1, own == 0, [table[place[c]].to_numpy()[some] for c in (a, b)], min_n)))
+        made = [pa.array(v, t) for v, t in zip(zip(*out) if out else [()] * 6, [pa.string(), pa.int64(), *[pa.float64()] * 4])]
+        return pa.table([*[pa.array([table[c][0].as_py()] * len(out), table.schema.field(c).type) for c in keys], *made],
+                        [*keys, "margin", "n", "auc_a", "auc_b", "__var", "__own"])
+
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keys], "margin string, n bigint, auc_a double, auc_b double, __var double, __own double"])
+    return _tested(rows.groupBy(*keys).applyInArrow(test, schema), [*keys, "margin"])
+
+
+def arm_aucs(wide: DataFrame, keys: Sequence[str], y: str, arms: Sequence[str], hot: bool | None = None) -> DataFrame:
+    """(keys, arm, auc, n_pos, n_neg): ``auc`` of every score column, of groups that meet in one task each unless they are too large."""
+    keys, arms = list(keys), list(arms)
+    if not _fits_a_task(wide, keys, len(arms), hot):
+        return auc(long_scores(wide, keys, y, arms), [*keys, "arm"], y, "s", hot=hot)
+    rows = wide.select(*keys, F.col(y).cast("int").alias("__y"), *[F.col(c).cast("double").alias(f"__s{i}") for i, c in enumerate(arms)])
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def read(table: pa.Table) -> pa.Table:
+        label, out = np.asarray(table["__y"].fill_null(-1)), []
+        for i, arm in enumerate(arms):
+            some = np.flatnonzero(_known(table, [f"__s{i}"]))
+            if len(some):
+                s, own = table[f"__s{i}"].to_numpy()[some], label[some]
+                a, b = s[own == 1], s[own == 0]
+                out.append((arm, float(_half_below(a, np.sort(b)).sum()) / (len(a) * len(b)) if len(a) and len(b) else None, len(a), len(b)))
+        made = [pa.array(v, t) for v, t in zip(zip(*out) if out else [()] * 4, [pa.string(), pa.float64(), pa.int64(), pa.int64()])]
+        return pa.table([*[pa.array([table[c][0].as_py()] * len(out), table.schema.field(c).type) for c in keys], *made], [*keys, "arm", "auc", "n_pos", "n_neg"])
+
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keys], "arm string, auc double, n_pos bigint, n_neg bigint"])
+    return rows.groupBy(*keys).applyInArrow(read, schema)
+
+
 def holm(df: DataFrame, family: Sequence[str], p: str, order: Sequence[str] = (),
          name: str = "p_holm", hot: bool | None = None) -> DataFrame:
     """Step-down adjusted p-values inside each declared family; null p-values stay null.

@@ -13,7 +13,7 @@ from tidemark.operators import rankstats as rs
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.sql import auc_cte, h, r, u
 from tidemark.session import stored
-from tidemark.tables import (CONTRAST, CUBE, SCORE, SUBJECT, contrast_rows, cube, score, with_views)
+from tidemark.tables import (CONTRAST, CUBE, NAMES, SCORE, SUBJECT, contrast_rows, cube, features_wide, score, with_views)
 
 K, REPEATS, RIDGE_REPEATS = 5, 5, 10
 
@@ -29,9 +29,18 @@ def usable_long(t: Tables):
     return c.join(lb.usable_features(c, ["cond", "feature"]), ["cond", "feature"], "left_semi")
 
 
+def usable_arrays(t: Tables):
+    """(cond, subject, x): the features that every subject has under the condition, in name order, without a row for each of them."""
+    wide = stored(features_wide(t), "features")
+    names = sorted(NAMES)
+    usable = wide.groupBy("cond").agg(F.array_compact(F.array(*[F.when(F.count_if(F.col(n).isNull()) == 0, F.lit(i)) for i, n in enumerate(names)])).alias("known"))
+    x = F.transform("known", lambda i: F.get(F.array(*names), i))
+    return wide.join(F.broadcast(usable.filter(F.size("known") > 0)), "cond").select("cond", "subject", x.alias("x"))
+
+
 def design(t: Tables):
     """(cond, contrast, subject, cohort, y, age, x, both) on the features every subject has."""
-    x = ml.feature_array(usable_long(t), ["cond", "subject"])
+    x = usable_arrays(t)
     return contrast_rows(t).join(x, "subject").withColumn(
         "both", F.concat("x", F.array(F.col("age") / 25))).select(
         "cond", "contrast", "subject", "cohort", "y", "age", "x", "both")
@@ -40,7 +49,7 @@ def design(t: Tables):
 def oof_scores(rows, keys, sid, k=K, repeats=REPEATS, x="x", hot=None, large=None):
     """(keys, sid, y, s): out-of-fold scores of one feature set, rank-averaged over the repeats that have one; rows are not copied by repeat."""
     keys = list(keys)
-    out = bt.cross_validated(rows, keys, sid, "y", {"s": x}, (), k, repeats, large, hot, partial=True)
+    out = bt.cross_validated(rows, keys, sid, "y", {"s": x}, (), k, repeats, large, hot, partial=True, keep=None)
     return out.select(*keys, sid, "y", "s").filter("s IS NOT NULL")
 
 
