@@ -244,3 +244,34 @@ def test_subset_reference_shuffles_samples_not_montages(spark):
             want += [(m, rec, t, c, None if x is None else round(x - sum(known) / len(known), 9)) for c, x in own]
     got = [(r.montage, r.rec, r.t, r.channel, None if r.x is None else round(r.x, 9)) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_correlations_of_many_recordings_read_the_samples_once(spark, hot):
+    """Whole recordings in a task, or instants in order; gaps, nulls, flat and unnamed channels, far offsets and null recordings as by hand."""
+    draw = np.random.default_rng(8)
+    data = {}
+    for rec in [None, *range(40)]:
+        common = draw.normal(size=30)
+        for i, c in enumerate(("T5", "O1", "T6")):
+            for t in range(30):
+                if (t + i) % 7 and not (rec == 3 and c == "T6"):
+                    data[rec, c, t] = None if (t * 3 + i) % 11 == 0 else 4.0 if rec == 5 and c == "O1" else float(1e6 + common[t] * i + draw.normal())
+    rows = [(*k, v) for k, v in data.items()] + [(1, None, 2, 9.0)] * (not hot)
+    out = ql.channel_correlations(spark.createDataFrame(rows, "rec int, channel string, t bigint, x double"), hot)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") + plan.count("FlatMapGroupsInArrow") == 1 and ("rangepartitioning" in plan) == hot
+    got = {(r.rec, r.a, r.b): r.r for r in out.collect()}
+    want = {}
+    for rec in [None, *range(40)]:
+        for a in ("T5", "O1", "T6"):
+            for b in ("T5", "O1", "T6"):
+                pairs = [(data[rec, a, t], data[rec, b, t]) for t in range(30) if data.get((rec, a, t)) is not None and data.get((rec, b, t)) is not None]
+                if a != b and pairs:
+                    x, y = np.array(pairs).T
+                    want[rec, a, b] = None if rec == 5 and "O1" in (a, b) else np.corrcoef(x, y)[0, 1]
+    assert got.keys() == want.keys() and len(want) == 6 * 40 + 2
+    assert all(got[k] is None if w is None else abs(got[k] - w) < 1e-8 for k, w in want.items())
+    blocks = spark.createDataFrame([("t", "T5"), ("t", "T6"), ("o", "O1")], "block string, channel string")
+    plan = ql.block_structure(out, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") + plan.count("FlatMapGroupsInArrow") == 1

@@ -5,11 +5,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import Z95_FULL, finite
-from tidemark.operators.ordered import medians, quantiles, same_group
+from tidemark.operators.ordered import group_is_hot, medians, quantiles, same_group
+from tidemark.session import stored
 
 UNIT_LIMIT, UNIT_FACTOR, FLAT_SD = 1e-3, 1e-6, 1e-15
 
@@ -80,16 +84,49 @@ def preferred_copy(copies: DataFrame, subject: str, has_data: str, path: str) ->
         F.count("*").alias("n_copies")).select(subject, f"__b.{path}", f"__b.{has_data}", "n_copies")
 
 
-def channel_correlations(samples: DataFrame) -> DataFrame:
-    """(rec, a, b, r) for every channel pair of a recording.
-
-    The channels of one instant meet in one row (bounded by the electrode count). A task adds its instants up to one
-    co-moment matrix a recording, over the instants that both channels have, about each channel's mean; matrices are summed. No
-    row is made for a pair of samples.
+def _pair_rows(table: pa.Table) -> pa.Table:
+    """(rec, a, b, r) of one recording, in both orders: correlations over the instants that both channels have."""
+    table = table.filter(pc.is_valid(table["channel"]))
+    coded = pc.dictionary_encode(table["channel"]).combine_chunks()
+    names = coded.dictionary.to_pylist() if len(coded) else []
+    order = np.argsort(np.array(names, object), kind="stable") if names else np.empty(0, int)
+    kind = table.schema.field("rec").type
+    if len(names) < 2:
+        return pa.table([pa.array([], kind), pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], ["rec", "a", "b", "r"])
+    code, v, known = np.argsort(order)[coded.indices.to_numpy()], table["x"].to_numpy().astype(float), table["x"].is_valid().to_numpy()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.bincount(code[known], weights=v[known], minlength=len(names)) / np.bincount(code[known], minlength=len(names))
+    _, at = np.unique(table["t"].to_numpy(), return_inverse=True)
+    x = np.full((at.max() + 1, len(names)), np.nan)
+    x[at[known], code[known]] = v[known] - mean[code[known]]
+    m = ~np.isnan(x)
+    x, m = np.where(m, x, 0.0), m.astype(float)
+    n, sa, saa, sab = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+    with np.errstate(invalid="ignore", divide="ignore"):
+        var = saa - sa * sa / n
+        cov, scale = sab - sa * sa.T / n, var * var.T
+        r = np.where((var > 0) & (var.T > 0), cov / np.sqrt(scale), np.nan)
+    first, second = np.nonzero((n > 0) & ~np.eye(len(names), dtype=bool))
+    names = [names[i] for i in order]
+    return pa.table([pa.array([table["rec"][0].as_py()] * len(first), kind), pa.array([names[i] for i in first]), pa.array([names[i] for i in second]),
+                     pa.array(r[first, second], from_pandas=True)], ["rec", "a", "b", "r"])
+
+
+def channel_correlations(samples: DataFrame, hot: bool | None = None) -> DataFrame:
+    """(rec, a, b, r) for every channel pair of a recording, in both orders.
+
+    A recording meets in one task. With a hot one, the channels of an instant meet in one row (bounded by the electrode count), rows are put in
+    order, and a task adds its instants up to one co-moment matrix a recording, over the instants that both channels have, about each
+    channel's mean; matrices are summed. No row is made for a pair of samples.
     """
+    if not group_is_hot(samples, ["rec"], hot):
+        kind = samples.schema["rec"].dataType.simpleString()
+        return samples.select("rec", "channel", "t", "x").groupBy("rec").applyInArrow(_pair_rows, f"rec {kind}, a string, b string, r double")
     means = samples.groupBy("rec", "channel").agg(F.avg("x").alias("m"))
     centred = same_group(samples, means, ["rec", "channel"]).select("rec", "t", "channel", (F.col("x") - F.col("m")).alias("x"))
-    at = centred.groupBy("rec", "t").agg(F.collect_list(F.struct("channel", "x")).alias("c")).select("rec", "c")
+    at = stored(centred.groupBy("rec", "t").agg(F.collect_list(F.struct("channel", "x")).alias("c")), "instants")
+    # In order, a batch holds few recordings, and adds each of them up to one matrix.
+    at = at.repartitionByRange("rec", "t").sortWithinPartitions("rec", "t").select("rec", "c")
 
     def run(batches):
         for pdf in batches:
@@ -116,8 +153,10 @@ def channel_correlations(samples: DataFrame) -> DataFrame:
     n = F.col("n")
     va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
-    half = s.filter(n > 0).select("rec", "a", "b", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("r"))
-    return half.unionByName(half.select("rec", F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    r = F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+    half = s.filter(n > 0).select("rec", "a", "b", r.alias("r"))
+    both = F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    return half.select("rec", F.inline(both))
 
 
 def block_structure(corr: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -125,11 +164,10 @@ def block_structure(corr: DataFrame, blocks: DataFrame) -> DataFrame:
 
     ``blocks`` has (block, channel). Recordings with an undefined pair are left out.
     """
-    good = corr.groupBy("rec").agg(F.bool_and(finite(F.col("r")).isNotNull()).alias("ok")).filter("ok")
+    good = corr.withColumn("__ok", F.bool_and(finite(F.col("r")).isNotNull()).over(W.partitionBy("rec"))).filter("__ok")
     ba = blocks.select(F.col("block"), F.col("channel").alias("a"))
     bb = blocks.select(F.col("block").alias("block_b"), F.col("channel").alias("b"))
-    j = (corr.join(good, "rec", "left_semi").join(F.broadcast(ba), "a")
-         .join(F.broadcast(bb), "b", "left"))
+    j = good.join(F.broadcast(ba), "a").join(F.broadcast(bb), "b", "left")
     inside = F.col("block").eqNullSafe(F.col("block_b"))
     per = j.groupBy("rec", "block").agg(F.avg(F.when(inside, F.col("r"))).alias("w"),
                                         F.avg(F.when(~inside, F.col("r"))).alias("b"))

@@ -320,6 +320,7 @@ SELECT block, count(*) AS n_recordings, {r('avg(w)')} AS mean_within, {r('avg(b)
   {r('avg(w - b) - 1.959964e0 * stddev_samp(w - b) / sqrt(count(*))')} AS ci_lo,
   {r('avg(w - b) + 1.959964e0 * stddev_samp(w - b) / sqrt(count(*))')} AS ci_hi, avg(w) > avg(b) AS separated FROM per GROUP BY block""")
 def q09(spark, sf):
-    out = ql.block_structure(ql.channel_correlations(signal(Tables(spark, sf))), dims.table(spark, BLOCKS, "block, channel"))
+    t = Tables(spark, sf)
+    out = ql.block_structure(ql.channel_correlations(signal(t), t.one_hot("lineitem", "l_suppkey")), dims.table(spark, BLOCKS, "block, channel"))
     return out.select("block", "n_recordings", *[rounded(F.col(c)).alias(c) for c in (
         "mean_within", "mean_between", "separation", "ci_lo", "ci_hi")], "separated")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.models import MODEL_CONF, MODEL_DEFAULT
-from tidemark.operators.ordered import hot_limit
+from tidemark.operators.ordered import group_is_hot, hot_limit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,12 @@ class Tables:
         bound = max(self.rows(n) for n in names) * fanout
         return False if bound <= hot_limit(self.spark) else None
 
+    def one_hot(self, name: str, key: str) -> bool:
+        """Whether the rows of one value of ``key`` are hot; measured once for each query, unless the whole table is not."""
+        if (name, key) not in self._counts:
+            self._counts[name, key] = self.hot(name) is not False and group_is_hot(getattr(self, name), [key])
+        return self._counts[name, key]
+
     def large(self, *names: str, fanout: float = 1) -> bool | None:
         """False when no group can outgrow a task that fits models; None = measure."""
         limit = int(self.spark.conf.get(MODEL_CONF, str(MODEL_DEFAULT)))

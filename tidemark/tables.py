@@ -23,8 +23,11 @@ def signal(t: Tables) -> DataFrame:
     """samples(rec, channel, t, x): one series per supplier and line number."""
     li = t.lineitem.select("l_suppkey", "l_linenumber", "l_shipdate", "l_orderkey", "l_partkey",
                            "l_extendedprice")
-    seq = row_numbers(li, ["l_suppkey", "l_linenumber"], ["l_shipdate", "l_orderkey", "l_partkey"],
-                      hot=t.hot("lineitem"))
+    hot = t.hot("lineitem")
+    if hot is None and not t.one_hot("lineitem", "l_suppkey"):
+        # Dealt by recording, so that what groups by recording later on finds its rows together.
+        li, hot = li.repartition("l_suppkey"), False
+    seq = row_numbers(li, ["l_suppkey", "l_linenumber"], ["l_shipdate", "l_orderkey", "l_partkey"], hot=hot)
     return seq.select(F.col("l_suppkey").alias("rec"),
                       case_map(F.col("l_linenumber"), dict(enumerate(SITES, 1))).alias("channel"),
                       (F.col("rn") - 1).alias("t"), F.col("l_extendedprice").alias("x"))
