@@ -85,3 +85,22 @@ def test_regressions_brute_force(spark, monkeypatch):
             pick = [r for r in own for _ in range(weight("m", r[1], b))]
             y, p = np.array([r[3] for r in pick]) + 1e6, np.array([r[4] for r in pick])
             assert abs(got[g, b]["mae"] - np.abs(p - y).mean()) < 1e-6 and abs(got[g, b]["pcc"] - np.corrcoef(y, p)[0, 1]) < 1e-9
+
+
+@pytest.mark.parametrize("limits", [{}, {"TASK_COUNTS": 300}, {"ROWS_AT_ONCE": 7}, {"TASK_CELLS": 0}, {"TASK_CELLS": 0, "DIGESTS": 40, "BLOCK": 7}])
+def test_scores_of_a_row_share_its_draws(spark, monkeypatch, limits):
+    """Nulls, NaN, ties, one class, null labels and null ids; by group and replicates, and by ranges of every score. Draws are made once a row and replicate."""
+    for name, value in limits.items():
+        monkeypatch.setattr(bs, name, value)
+    some = rows(120)
+    some = [(g, None if i == 3 else i, None if i == 9 else y, float("nan") if i % 13 == 0 else s, t) for g, i, y, s, t in some] + [("one", 200 + i, 1, 1.0, None) for i in range(4)]
+    out = bs.aucs(spark.createDataFrame(some, SCHEMA), ["g"], "id", "y", ["s", "t"], 10, "seed")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("chunk#" in plan) == ("TASK_CELLS" in limits)
+    got = out.collect()
+    high = [(g, i, y, 1e9 if s is not None and np.isnan(s) else s, t) for g, i, y, s, t in some]
+    for arm, at in (("s", 3), ("t", 4)):
+        want = {k: v for k, v in brute_auc(high, at, 10, "seed").items() if arm == "s" or k[0] != "one"}
+        own = {(r["g"], r["replicate"]): r["auc"] for r in got if r["arm"] == arm}
+        assert own.keys() == want.keys()
+        assert all((own[k] is None) == (v is None) and (v is None or abs(own[k] - v) < 1e-12) for k, v in want.items())

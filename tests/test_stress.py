@@ -133,3 +133,41 @@ def test_quota_is_a_row_limit_inside_tasks(spark):
     ptp = spark.createDataFrame(rows, "mix string, montage string, rec string, win bigint, ptp double")
     plan = st.chosen(ptp, st.checked(FAULTS, ("b4",), RATE), LIMIT)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_stress_scores_take_known_features_of_shared_columns(spark, monkeypatch):
+    """Like designs of their own in which unknown features are 0; a feature is unknown under one fault, others only under clean or for one contrast."""
+    from tidemark.operators import batched as bt
+    from tidemark.plans import stress as ps
+    from tidemark.plans.registry import Tables
+    draw, n = np.random.default_rng(2), 60
+    data = []
+    for contrast in ps.T_CONTRASTS:
+        for rec in range(n):
+            base = draw.normal(size=len(dims.FEATURES)) + rec % 2
+            for k, fault in enumerate(ps.T_STRESS):
+                v = [float(e) for e in base + draw.normal(size=len(base)) * k / 5]
+                lost = [2] if fault == "short3" else [4] if fault == "clean" else [5] if contrast == "dementia" and rec == 7 else []
+                if not (rec == 11 and fault == "short6"):
+                    data.append((contrast, "b4", fault, rec, rec % 2 if rec % 5 else 1, float(rec % 9), *[None if i in lost else e for i, e in enumerate(v)]))
+    cube = spark.createDataFrame(data, "contrast string, montage string, fault string, rec int, y int, age double, " + ", ".join(f"{f} double" for f in dims.FEATURES)).cache()
+    monkeypatch.setattr(ps, "table_cube", lambda t: cube)
+    seen = {}
+    real = bt.cross_validated
+    monkeypatch.setattr(bt, "cross_validated", lambda rows, *a, **k: seen.update(rows=rows) or real(rows, *a, **k))
+    s = ps.stress_scores(Tables(spark, "/root/testdata/sf0.001"), False)
+    assert sum(c.startswith("x_") for c in seen["rows"].columns) == len(ps.T_STRESS) and len(seen["rows"].columns) == len(ps.T_STRESS) + 6
+    got = {(r.contrast, r.rec): r for r in s.collect()}
+    assert len(got) == 2 * (n - 1)
+    by = {(r.contrast, r.fault, r.rec): r for r in cube.collect()}
+    for contrast in ps.T_CONTRASTS:
+        known = {f: [all(r[d] is not None for (c, g, _), r in by.items() if (c, g) == (contrast, f)) for d in dims.FEATURES] for f in ps.T_STRESS}
+        assert not all(known["short3"]) and not all(known["clean"])
+        recs = [i for i in range(n) if i != 11]
+        for fault in ("short3", "mix_severe"):
+            for fit, at, on, arm in ((fault, fault, known[fault], f"{fault}:device_age"), ("clean", fault, [a and b for a, b in zip(known["clean"], known[fault])], f"{fault}:clinic")):
+                made = [[[by[contrast, g, i][d] if k else 0.0 for d, k in zip(dims.FEATURES, on)] + ([i % 9 / 25] if arm.endswith("_age") else []) for i in recs] for g in (fit, at)]
+                rows = spark.createDataFrame([("g", i, by[contrast, fault, i].y, a, b) for i, a, b in zip(recs, *made)], "g string, id int, y int, a array<double>, b array<double>")
+                want = {r.id: r.s for r in real(rows, ["g"], "id", "y", {"s": ("a", "b")}, large=False).collect()}
+                assert all(abs(got[contrast, i][arm] - want[i]) < 1e-9 for i in recs), (contrast, arm)
+    assert all(r.age == r.rec % 9 for r in got.values())

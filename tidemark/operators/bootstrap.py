@@ -7,10 +7,12 @@ those are shuffled, cut into chunks of replicates.
 For an AUC the rows are range-sorted by group and score. A range keeps P and Q (weight of cases and of controls) and U (their ordered
 pairs); neighbours compose as U = U1 + U2 + P2*Q1. The first and the last tie of a range stay apart until its neighbours are known,
 so ranges may cut a tie anywhere. Moments of regressions just add.
+
+Several scores of one row share its draws. While the wide rows of a group fit a task, a task takes a group and some replicates, draws
+once and reads all scores with these counts.
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,25 +22,33 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.draws import poisson_bounds
 from tidemark.functions.scalars import ratio
-from tidemark.operators.ordered import same_group
+from tidemark.operators.ordered import largest_group, same_group
 from tidemark.session import stored
 
+try:  # Python's own digest starts twice as fast on a few bytes as the one of OpenSSL.
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 #: Replicates of one shuffled vector, rows folded at once, digests a range is cut for, and rows from which ranges grow no further in number.
 CHUNK, BLOCK, DIGESTS, RANGE_ROWS = 256, 64, 500_000, 50_000
+ROWS_AT_ONCE = 4096
+#: Scores of a group that one task holds, and counts (one byte each) that it draws.
+TASK_CELLS, TASK_COUNTS = 40_000_000, 64_000_000
 _BOUNDS = np.array([int(b, 16) for b in poisson_bounds()], np.uint32)
 #: Sums behind a weighted mean absolute error and correlation.
 MOMENTS = ["w", "e", "y", "p", "yy", "pp", "yp"]
 
 
-def counts(seed: str, ids: Sequence[str | None], n: int) -> np.ndarray:
-    """Counts of each id (rows) in each replicate (columns)."""
+def counts(seed: str, ids: Sequence[str | None], n: int, first: int = 0, dtype=np.float64) -> np.ndarray:
+    """Counts of each id (rows) in each of ``n`` replicates (columns) from ``first`` on, a multiple of four."""
     blocks = -(-n // 4)
-    heads = [f"{seed}|{b}".encode() for b in range(blocks)]
+    heads = [f"{seed}|{b}".encode() for b in range(first // 4, first // 4 + blocks)]
     tails = [b"" if i is None else b"|" + i.encode() for i in ids]
-    raw = b"".join([hashlib.md5(h + t).digest() for t in tails for h in heads])
+    raw = b"".join([md5(h + t).digest() for t in tails for h in heads])
     # The first eight hex digits of a digest are its first four bytes, and so on.
     draws = np.frombuffer(raw, ">u4").astype(np.uint32).reshape(len(ids), blocks * 4)[:, :n]
-    return np.searchsorted(_BOUNDS, draws, "right").astype(np.float64)
+    return np.searchsorted(_BOUNDS, draws, "right").astype(dtype)
 
 
 def _runs(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, int, int]]:
@@ -117,9 +127,59 @@ def _ranges_for(rows: int, n: int, parallelism: int) -> int:
     return int(max(1, min(-(-rows * (n // 4 + 1) // DIGESTS), max(4 * parallelism, rows // RANGE_ROWS))))
 
 
+def weighted_aucs(s: np.ndarray, one: np.ndarray, zero: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """AUC of a score in every replicate; ``one`` and ``zero`` list cases and controls, ``w`` has the counts (rows by replicates)."""
+    zero = zero[np.argsort(s[zero], kind="stable")]
+    before = np.zeros((len(zero) + 1, w.shape[1]), np.int32)
+    np.cumsum(w[zero], axis=0, dtype=np.int32, out=before[1:])
+    lo, hi = (np.searchsorted(s[zero], s[one], side) for side in ("left", "right"))
+    p, twice = np.zeros(w.shape[1], np.int64), np.zeros(w.shape[1], np.int64)
+    for i in range(0, len(one), ROWS_AT_ONCE):
+        at, a, b = one[i:i + ROWS_AT_ONCE], lo[i:i + ROWS_AT_ONCE], hi[i:i + ROWS_AT_ONCE]
+        own, tied = w[at], np.flatnonzero(a != b)
+        p += own.sum(axis=0, dtype=np.int64)
+        twice += 2 * (own * before[a]).sum(axis=0, dtype=np.int64)
+        twice += (own[tied] * (before[b[tied]] - before[a[tied]])).sum(axis=0, dtype=np.int64)
+    u, pq = twice / 2, p.astype(float) * before[-1]
+    return np.divide(u, pq, out=np.full(len(p), np.nan), where=pq > 0)
+
+
+def _wide_aucs(wide: DataFrame, keys: Sequence[str], scores: Sequence[str], n: int, seed: str, most: int) -> DataFrame:
+    """``aucs`` of rows (keys, __id, __y, __s0, __s1, ...) whose groups fit a task. Rows are copied by some hundred replicates, not by score."""
+    some = int(max(4, min(CHUNK, TASK_COUNTS // max(1, most)) // 4 * 4))
+    types = {f.name: f.dataType.simpleString() for f in wide.schema.fields}
+
+    def read(table: pa.Table) -> pa.Table:
+        first, ids, label = table["__c"][0].as_py(), table["__id"], np.asarray(table["__y"].fill_null(-1))
+        w = np.empty((len(label), min(some, n - first)), np.uint8)
+        for i in range(0, len(label), ROWS_AT_ONCE):
+            w[i:i + ROWS_AT_ONCE] = counts(seed, ids.slice(i, ROWS_AT_ONCE).to_pylist(), w.shape[1], first, np.uint8)
+        arms, got = [], []
+        for i, arm in enumerate(scores):
+            known = table[f"__s{i}"].is_valid().to_numpy()
+            if known.any():
+                arms.append(arm)
+                got.append(weighted_aucs(table[f"__s{i}"].to_numpy(), np.flatnonzero(known & (label == 1)), np.flatnonzero(known & (label == 0)), w))
+        size = w.shape[1] * len(arms)
+        return pa.table([*[pa.array([table[c][0].as_py()] * size, table.schema.field(c).type) for c in keys], pa.array(np.repeat(np.array(arms, object), w.shape[1]), pa.string()),
+                         pa.array(np.tile(np.arange(first, first + w.shape[1]), len(arms)), pa.int32()),
+                         pa.array(np.concatenate(got) if got else np.empty(0), pa.float64(), from_pandas=True)], [*keys, "arm", "replicate", "auc"])
+
+    each = wide.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(some))))
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "arm string, replicate int, auc double"])
+    return each.groupBy(*keys, "__c").applyInArrow(read, schema)
+
+
 def aucs(df: DataFrame, keys: Sequence[str], sid: str, y: str, scores: Sequence[str], n: int, seed: str) -> DataFrame:
     """(keys, replicate, arm, auc): every score read with the same weights; null where a replicate has one class only."""
     spark = df.sparkSession
+    if len(scores) > 1:
+        df = stored(df.select(*keys, F.col(sid).cast("string").alias("__id"), F.col(y).cast("double").alias("__y"),
+                              *[F.col(c).cast("double").alias(f"__s{i}") for i, c in enumerate(scores)]), "boot")
+        most = largest_group(df, keys)
+        if most * (len(scores) + 2) <= TASK_CELLS:
+            return _wide_aucs(df, keys, scores, n, seed, most)
+        df, sid, y = df.withColumnsRenamed({f"__s{i}": c for i, c in enumerate(scores)}), "__id", "__y"
     arms = F.explode(F.array(*[F.struct(F.lit(s).alias("arm"), F.col(s).cast("double").alias("s")) for s in scores]))
     rows = df.select(*[F.col(k) for k in keys], F.col(sid).cast("string").alias("__id"), F.col(y).cast("double").alias("__y"), arms.alias("__a"))
     rows = stored(rows.select(*keys, F.col("__a.arm").alias("arm"), F.col("__a.s").alias("__s"), "__y", "__id").where("__s is not null"), "boot")

@@ -10,7 +10,6 @@ from tidemark.operators import bootstrap as bs
 from tidemark.operators import resample as rp
 from tidemark.operators import stress as st
 from tidemark.operators import sweep as sw
-from tidemark.operators.ordered import same_group
 from tidemark.plans.inference import POOLED, _family, margin_tests, pair_family
 from tidemark.plans.recordings import QUOTA, taps_sql
 from tidemark.plans.registry import Tables, query
@@ -114,28 +113,28 @@ def mt11_cube(spark, sf):
 def stress_scores(t: Tables, hot):
     """(contrast, montage, rec, y, age, one column a fault, regime and arm): fitted on the fault (device) or on clean recordings (clinic).
 
-    Recordings measured under every fault. A feature takes part where it is known of all recordings it is fitted on and scored on; elsewhere it is the constant 0,
-    which no model can use.
+    Recordings measured under every fault. A feature takes part where it is known of all recordings it is fitted on and scored on. A row has the
+    features of every fault once; arms take theirs.
     """
     cube, g = table_cube(t), ["contrast", "montage"]
     known = cube.groupBy(*g, "fault").agg(F.array(*[F.count(n) == F.count("*") for n in dims.FEATURES]).alias("known"))
-    x = F.array(*dims.FEATURES)
     # One row for each contrast, montage and fault: the size of the design.
-    rows = cube.select(*g, "fault", "rec", "y", "age", x.alias("x")).join(F.broadcast(known), [*g, "fault"])
-    per = rows.groupBy(*g, "rec", "y", "age").agg(F.map_from_entries(F.collect_list(F.struct("fault", F.struct("x", "known")))).alias("m"))
-    per = per.filter(F.size("m") == len(T_STRESS))
-    of = lambda f: F.element_at("m", F.lit(f))
-    masked = lambda v, k: F.zip_with(v, k, lambda e, on: F.when(on, e).otherwise(0.0))
-    both_known = lambda f: F.zip_with(of("clean")["known"], of(f)["known"], lambda a, b: a & b)
-    made = {f"device_{f}": masked(of(f)["x"], of(f)["known"]) for f in T_STRESS}
-    made |= {f"fit_{f}": masked(of("clean")["x"], both_known(f)) for f in FAULTS}
-    made |= {f"at_{f}": masked(of(f)["x"], both_known(f)) for f in FAULTS}
-    age = F.array(F.col("age") / 25)
-    per = stored(per.select(*g, "rec", "y", "age", *[v.alias(n) for n, v in made.items()], *[F.concat(v, age).alias(f"{n}_age") for n, v in made.items()]), "stress-design")
-    arms = {f"{f}:device{b}": f"device_{f}{b}" for f in T_STRESS for b in ("", "_age")}
-    arms |= {f"{f}:clinic{b}": (f"fit_{f}{b}", f"at_{f}{b}") for f in FAULTS for b in ("", "_age")}
-    s = bt.cross_validated(per, g, "rec", "y", arms, large=t.large("supplier"), hot=hot)
-    return stored(same_group(s, per.select(*g, "rec", "age"), [*g, "rec"]), "stress")
+    of_group: dict = {}
+    for r in known.collect():
+        of_group.setdefault((r["contrast"], r["montage"]), {})[r["fault"]] = r["known"]
+    x = F.array(*[F.coalesce(F.col(n), F.lit(0.0)) for n in dims.FEATURES])
+    per = cube.groupBy(*g, "rec", "y", "age").agg(F.map_from_entries(F.collect_list(F.struct("fault", x))).alias("m"))
+    per = per.filter(F.size("m") == len(T_STRESS)).select(
+        *g, "rec", "y", "age", F.array(F.col("age") / 25).alias("own"), *[F.element_at("m", F.lit(f)).alias(f"x_{f}") for f in T_STRESS])
+
+    def shared(f: str, *others: str) -> tuple:
+        """The features of a fault that are known under it and the others."""
+        return f"x_{f}", {k: [i for i in range(len(dims.FEATURES)) if all(known[o][i] for o in (f, *others))] for k, known in of_group.items() if {f, *others} <= known.keys()}
+
+    arms = {f"{f}:device{b}": [shared(f), *own] for f in T_STRESS for b, own in (("", []), ("_age", ["own"]))}
+    arms |= {f"{f}:clinic{b}": ([shared("clean", f), *own], [shared(f, "clean"), *own]) for f in FAULTS for b, own in (("", []), ("_age", ["own"]))}
+    s = bt.cross_validated(per, g, "rec", "y", arms, large=t.large("supplier"), hot=hot, carry=["age"], keep=None)
+    return stored(s, "stress")
 
 
 CASES = ["clean:device", *[f"{f}:{regime}" for f in FAULTS for regime in ("device", "clinic")]]
