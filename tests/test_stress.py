@@ -171,3 +171,23 @@ def test_stress_scores_take_known_features_of_shared_columns(spark, monkeypatch)
                 want = {r.id: r.s for r in real(rows, ["g"], "id", "y", {"s": ("a", "b")}, large=False).collect()}
                 assert all(abs(got[contrast, i][arm] - want[i]) < 1e-9 for i in recs), (contrast, arm)
     assert all(r.age == r.rec % 9 for r in got.values())
+
+
+def test_recordings_with_equal_choices_share_a_matrix(monkeypatch):
+    """Every draw differs, the choices are few; signals as by a matrix of each recording's own."""
+    faults, names = {n: st.Fault(*f) for n, f in dims.STRESS.items()}, ["Cz", "Fp1", "Fp2", "O1", "O2", "T5", "T6"]
+    draw, montages = np.random.default_rng(6), ["b4", "muse"]
+    draws = [draw.integers(0, 2 ** 32, 19 * sum(bool(f.share) for f in st.mixes(faults).values()) + 2) for _ in range(400)]
+    x, real, made = draw.normal(size=(400, 7, 16)), st.fault_matrix, []
+    monkeypatch.setattr(st, "fault_matrix", lambda *a: made.append(1) or real(*a))
+    for montage in ("b4", "muse"):
+        for mix in st.mixes(faults):
+            made.clear()
+            got = st._mixed(names, draws, x, montage, mix, faults, montages)
+            if got is None:
+                assert real(names, montage, mix, faults, montages, draws[0]) is None
+                continue
+            assert len(made) <= 200
+            for i in range(0, 400, 9):
+                matrix, signals = real(names, montage, mix, faults, montages, draws[i])
+                assert np.allclose(got[0][i], matrix @ x[i]) and list(got[1][i]) == signals

@@ -91,6 +91,17 @@ def fault_matrix(names: Sequence[str], montage: str, mix: str, faults: Mapping[s
     return matrix, signals
 
 
+def _choices(names: Sequence[str], montage: str, mix: str, faults: Mapping[str, Fault], montages: Sequence[str]) -> tuple[list[int], list[int]]:
+    """Which draws ``fault_matrix`` reads, and modulo what: recordings that agree in these share a matrix."""
+    fault, sites = mixes(faults)[mix], dims.MONTAGES[montage][0]
+    moved = [m for m, f in mixes(faults).items() if f.share]
+    read = [(len(moved) * len(dims.CANON) + list(montages).index(montage), len(sites))] if fault.drop else []
+    if fault.share:
+        near = {s: sum(n in names for n in dims.NEIGHBOURS[s]) for s in sites}
+        read += [(moved.index(mix) * len(dims.CANON) + dims.CANON.index(s), n) for s, n in near.items() if n]
+    return [i for i, _ in read], [n for _, n in read]
+
+
 def _batches(pdf: pd.DataFrame) -> Iterator[tuple[list[str], pd.DataFrame, np.ndarray]]:
     """Windows with the same channels and length, some at a time: names, rows, samples (windows × channels × time)."""
     shape = [pdf["channels"].map(tuple), pdf["xs"].map(len)]
@@ -102,12 +113,13 @@ def _batches(pdf: pd.DataFrame) -> Iterator[tuple[list[str], pd.DataFrame, np.nd
 
 
 def _mixed(names: list[str], draws: list, x: np.ndarray, montage: str, mix: str, faults, montages) -> tuple[np.ndarray, np.ndarray] | None:
-    """Signals (windows × signals × time) and their names (windows × signals); a matrix is made once for equal draws."""
+    """Signals (windows × signals × time) and their names (windows × signals); a matrix is made once for equal choices."""
     made: dict[tuple, tuple | None] = {}
-    keys = [tuple(d) for d in draws]
-    for k in keys:
+    at, of = _choices(names, montage, mix, faults, montages)
+    keys = [tuple(int(d[i]) % n for i, n in zip(at, of)) for d in draws]
+    for k, d in zip(keys, draws):
         if k not in made:
-            made[k] = fault_matrix(names, montage, mix, faults, montages, k)
+            made[k] = fault_matrix(names, montage, mix, faults, montages, d)
     if any(m is None for m in made.values()):
         return None
     return np.einsum("wsc,wct->wst", np.stack([made[k][0] for k in keys]), x), np.array([made[k][1] for k in keys])
